@@ -8,14 +8,13 @@ Matches are independent, so all new matches of a slice of texts share one queue.
 
 Edge cases: a null text counts as empty; an empty text has no ids; repeated rows give repeated results; an empty
 table gives an empty result; a null id is kept; other columns are ignored. Matches are memoised in each
-Python worker, in a table that is emptied when it would pass ``MEMO_ENTRIES`` (a slice's own matches always fit).
+Python worker, in two generations of about ``MEMO_ENTRIES`` each; what the older one alone has goes with it.
 """
 
 from __future__ import annotations
 
 import base64
 from array import array
-from heapq import heappop, heappush
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -23,8 +22,8 @@ from pyspark.sql import functions as F
 
 from engramite.llm._batches import id_type, map_texts
 
-#: Entries of the memo of a Python worker.
-MEMO_ENTRIES = 400_000
+#: Entries of a generation of the memo of a Python worker.
+MEMO_ENTRIES = 300_000
 
 #: The white space of Unicode, for split patterns whose ``\\s`` means White_Space.
 WHITE_SPACE = r"\t-\r\x20\x85\xa0  -     　"
@@ -36,7 +35,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class RankQueue:
-    """Heaps of positions by rank; a summary bitmap over words of ``1 << SHIFT`` ranks finds the first one."""
+    """Buckets of positions by rank; a summary bitmap over words of ``1 << SHIFT`` ranks finds the first one."""
 
     SHIFT = 8
 
@@ -46,21 +45,14 @@ class RankQueue:
         self.buckets: dict[int, list[int]] = {}
 
     def put(self, rank: int, bucket: list[int]) -> None:
-        """Add a heap of positions under a rank that has none."""
+        """Add positions under a rank that has none."""
         self.buckets[rank] = bucket
         high = rank >> self.SHIFT
         self.words[high] = self.words.get(high, 0) | 1 << (rank & 255)
         self.summary |= 1 << high
 
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is None:
-            self.put(rank, [position])
-        else:
-            heappush(bucket, position)
-
     def take(self) -> tuple[int, list[int]]:
-        """Remove and return the lowest rank and its heap; the queue has something."""
+        """Remove and return the lowest rank and its positions; the queue has something."""
         high = (self.summary & -self.summary).bit_length() - 1
         word = self.words[high]
         rank = (high << self.SHIFT) + (word & -word).bit_length() - 1
@@ -88,7 +80,7 @@ class Merger:
         """For each non-empty match its ids, as little-endian unsigned 32-bit integers."""
         if not pieces:
             return []
-        ranks, queue, data = self.ranks, RankQueue(), b"".join(pieces)
+        ranks, look, queue, data = self.ranks, self.ranks.get, RankQueue(), b"".join(pieces)
         n, raw, sizes = len(data), np.frombuffer(data, np.uint8), np.array([len(p) for p in pieces])
         starts = np.cumsum(sizes) - sizes
         first = np.zeros(n + 1, np.uint8)
@@ -105,36 +97,46 @@ class Merger:
         first, pending = first.tobytes(), array("i", found.astype(np.int32).tobytes())
         ids = array("i", self.single[raw].astype(np.int32).tobytes())
         after, before = array("i", range(1, n + 1)), array("i", range(-1, n))
+        buckets = queue.buckets
         while queue.summary:
             rank, bucket = queue.take()
+            bucket.sort(reverse=True)
             while bucket:
-                i = heappop(bucket)
+                i = bucket.pop()
                 if pending[i] != rank:
                     continue
                 gone = after[i]
                 after[i] = end = after[gone]
                 pending[gone], ids[gone], ids[i] = -1, -1, rank
-                lowest = rank
+                changed = []
                 if first[end]:
                     pending[i] = -1
                 else:
                     before[end] = i
-                    pending[i] = new = ranks.get(data[i : after[end]], -1)
-                    if new == rank:
-                        heappush(bucket, i)
-                    elif new >= 0:
-                        queue.push(new, i)
-                        lowest = min(lowest, new)
+                    pending[i] = new = look(data[i : after[end]], -1)
+                    if new >= 0:
+                        changed.append((new, i))
                 if not first[i]:
                     left = before[i]
-                    pending[left] = new = ranks.get(data[left:end], -1)
+                    pending[left] = new = look(data[left:end], -1)
+                    if new >= 0:
+                        changed.append((new, left))
+                again = False
+                for new, position in changed:
                     if new == rank:
-                        heappush(bucket, left)
-                    elif new >= 0:
-                        queue.push(new, left)
-                        lowest = min(lowest, new)
-                if lowest < rank and bucket:
-                    queue.put(rank, bucket)
+                        bucket.append(position)
+                        bucket.sort(reverse=True)
+                    elif new in buckets:
+                        buckets[new].append(position)
+                        again |= new < rank
+                    else:
+                        queue.put(new, [position])
+                        again |= new < rank
+                if again and bucket:  # a lower rank came up: it goes first
+                    if rank in buckets:
+                        buckets[rank] += bucket
+                    else:
+                        queue.put(rank, bucket)
                     break
         made = np.frombuffer(ids, np.int32).copy()
         for start, size, rank in zip(starts.tolist(), sizes.tolist(), whole, strict=True):
@@ -152,15 +154,17 @@ class Encoder:
         import regex
 
         white = pattern.replace(r"[^\s", f"[^{WHITE_SPACE}").replace(r"\S", f"[^{WHITE_SPACE}]").replace(r"\s", f"[{WHITE_SPACE}]")
-        self.find, self.merge, self.memo = regex.compile(white).findall, Merger(ranks), {}
+        self.find, self.merge, self.memo, self.older = regex.compile(white).findall, Merger(ranks), {}, {}
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         found = [self.find(t) if t else [] for t in texts]
         matches = set().union(*found)
-        new = list(matches - self.memo.keys())
-        if len(new) + len(self.memo) > MEMO_ENTRIES:
-            self.memo.clear()
-            new = list(matches)
+        if len(self.memo) + len(matches) > MEMO_ENTRIES:
+            self.memo, self.older = {}, self.memo
+        new = matches - self.memo.keys()
+        known = new & self.older.keys()
+        self.memo.update(zip(known, map(self.older.__getitem__, known), strict=True))
+        new = list(new - known)
         self.memo.update(zip(new, self.merge([p.encode("utf-8") for p in new]), strict=True))
         look = self.memo.__getitem__
         return [b"".join(map(look, x)) for x in found]
