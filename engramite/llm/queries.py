@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from engramite.llm import byte_bpe, fingerprints, language_id, token_counts
+from engramite.llm import byte_bpe, fingerprints, language_id, quality, token_counts
 from engramite.llm._batches import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,6 +37,13 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = documents(spark, sf_dir), language_id.held_out()
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~held)
+    return quality.score(docs, model, threshold=0.7).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 @query
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
