@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from engramite.llm import byte_bpe, fingerprints, jaccard_join, language_id, quality, token_counts
+from engramite.llm import byte_bpe, fingerprints, jaccard_join, language_id, quality, secret_scan, token_counts
 from engramite.llm._batches import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,40 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
 
 
+@query
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(secret_scan.scan(documents(spark, sf_dir).select("doc_id", "text")))
+
+
+def _secret_sql() -> str:
+    rules, kinds = secret_scan.BASE + secret_scan.ADDED, []
+    for rank, rule in enumerate(rules):
+        pattern = rule.pattern.replace("'", "''")
+        kinds.append(
+            f"SELECT doc_id, {rank} AS rank, '{rule.kind}' AS kind, {max(1, rule.least)} AS least, regexp_extract_all(t, '{pattern}') AS hits, "
+            f"regexp_extract_all(t, '{pattern}', {rule.group}) AS kept, regexp_split_to_array(t, '{pattern}') AS gaps FROM docs"
+        )
+    counts = ", ".join(f"CAST(count(*) FILTER (kind = '{r.kind}') AS BIGINT) AS n_{r.kind}" for r in secret_scan.BASE)
+    names = ", ".join(f"'{r.kind}'" for r in secret_scan.BASE)
+    return f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+found AS ({" UNION ALL ".join(kinds)}),
+each AS (SELECT doc_id, rank, kind, least, hits, kept, gaps, unnest(range(1, len(hits) + 1)) AS i FROM found),
+spans AS (
+  SELECT doc_id, rank, kind, len(hits[i]) AS n,
+    list_sum(list_transform(gaps[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(hits[1:i-1], lambda x: len(x))), 0) AS s
+  FROM each WHERE len(kept[i]) >= least
+), told AS (SELECT doc_id, rank, kind, CAST(s AS BIGINT) AS s, kind || ':' || CAST(s AS BIGINT) || ':' || CAST(s + n AS BIGINT) AS line FROM spans)
+SELECT d.doc_id, {counts},
+  sha256(coalesce(string_agg(line, ',' ORDER BY s, rank) FILTER (kind IN ({names})), '')) AS base_sha256,
+  coalesce(string_agg(line, ',' ORDER BY s, rank), '') AS spans
+FROM docs d LEFT JOIN told USING (doc_id) GROUP BY d.doc_id
+"""
+
+
+ORACLES["op5_secret_scan"] = _secret_sql()
+
+
 @query
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
