@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from engramite.llm import byte_bpe, fingerprints, jaccard_join, language_id, quality, secret_scan, suffix_dedup, token_counts
+from engramite.llm import byte_bpe, fingerprints, jaccard_join, language_id, quality, secret_scan, suffix_dedup, token_counts, token_files
 from engramite.llm._batches import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,6 +68,11 @@ FROM docs d LEFT JOIN told USING (doc_id) GROUP BY d.doc_id
 ORACLES["op5_secret_scan"] = _secret_sql()
 
 
+@query
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.roundtrip(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+
+
 @query
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
