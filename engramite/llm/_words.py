@@ -16,6 +16,8 @@ _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 #: Space, tab, newline, vertical tab, form feed, carriage return.
 WHITE = np.zeros(256, bool)
 WHITE[[32, 9, 10, 11, 12, 13]] = True
+#: Every ASCII sign but letters and digits.
+SIGNS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 #: A to Z to a to z; other bytes stay.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -38,10 +40,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def spans(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the words (runs of bytes that are not white space)."""
+def spans(raw: np.ndarray, apart: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words (runs of bytes that do not keep words apart)."""
     solid = np.zeros(len(raw) + 2, np.int8)
-    solid[1:-1] = ~WHITE[raw]
+    solid[1:-1] = ~apart[raw]
     step = np.diff(solid)
     return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
 
@@ -62,11 +64,11 @@ def hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return out
 
 
-def words_of(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words_of(texts: list[bytes], lower: bool = True, apart: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(raw bytes, starts, ends, hashes, border): ``border[i]:border[i + 1]`` are the words of text i."""
     raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     if lower:
         raw = LOWER[raw]
-    starts, ends = spans(raw)
+    starts, ends = spans(raw, apart)
     edges = np.concatenate([[0], np.cumsum(np.array([len(t) + 1 for t in texts], np.int64))])
     return raw, starts, ends, hashes(raw, starts, ends), np.searchsorted(starts, edges)
