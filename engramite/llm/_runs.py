@@ -9,28 +9,31 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text in a run, and bytes of packed tokens in a part.
-RUN_BYTES, PART_BYTES = 8 << 20, 16 << 20
+RUN_BYTES, PART_BYTES = 4 << 20, 8 << 20
 SENT = "part int, run int, tokens binary"
-_SENT = pa.schema([("part", pa.int32()), ("run", pa.int32()), ("tokens", pa.binary())])
+SCHEMA = pa.schema([("part", pa.int32()), ("run", pa.int32()), ("tokens", pa.binary())])
 
 
 def runs_for(total_bytes: int) -> int:
     return max(1, -(-total_bytes // RUN_BYTES))
 
 
-def part_bits(total_tokens: int) -> int:
-    return max(3, int(-(-total_tokens * 5 // PART_BYTES) - 1).bit_length())
+def part_bits(total_tokens: float) -> int:
+    return max(3, int(total_tokens * 5 // PART_BYTES).bit_length())
+
+
+def run_of(id_col: str, runs: int) -> Column:
+    return F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(runs)).cast("int")
 
 
 def by_run(docs: DataFrame, runs: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(run, id, text) of the rows with an id, null texts as empty ones."""
     rows = docs.where(F.col(id_col).isNotNull())
-    run = F.pmod(F.xxhash64(F.col(id_col)), F.lit(runs)).cast("int").alias("run")
-    return rows.select(run, F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return rows.select(run_of(id_col, runs).alias("run"), F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -59,7 +62,7 @@ def send(run: int, tokens: np.ndarray, owners: np.ndarray, bits: int) -> pa.Tabl
     value = ((tokens >> np.uint64(64 - bits - 39)) & np.uint64((1 << 39) - 1)) << np.uint64(1) | shared.astype(np.uint64)
     cuts = np.searchsorted(part, np.arange((1 << bits) + 1))
     rows = [(p, pack(value[a:b])) for p, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if b > a]
-    return pa.table([[p for p, _ in rows], [run] * len(rows), [t for _, t in rows]], schema=_SENT)
+    return pa.table([[p for p, _ in rows], [run] * len(rows), [t for _, t in rows]], schema=SCHEMA)
 
 
 def survivors(sent: DataFrame) -> DataFrame:
@@ -78,15 +81,13 @@ def survivors(sent: DataFrame) -> DataFrame:
         keep[order] = many[group]
         edges = np.concatenate([[0], np.cumsum([len(b) for b in blobs])])
         out = [pack(values[a:b][keep[a:b]] >> np.uint64(1)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-        return pa.table([table.column("part").to_pylist(), runs, out], schema=_SENT)
+        return pa.table([table.column("part").to_pylist(), runs, out], schema=SCHEMA)
 
     return sent.groupBy("part").applyInArrow(pick, SENT).where(F.length("tokens") > 0)
 
 
 def surviving(tokens: np.ndarray, table: pa.Table, bits: int) -> np.ndarray:
     """Which of a run's tokens are among the survivors that came back."""
-    parts, blobs = table.column("part").to_pylist(), table.column("tokens").to_pylist()
-    if not parts:
-        return np.zeros(len(tokens), bool)
-    back = np.concatenate([unpack(b) | np.uint64(p << 39) for p, b in zip(parts, blobs, strict=True)])
+    got = [unpack(b) | np.uint64(p << 39) for p, b in zip(table.column("part").to_pylist(), table.column("tokens").to_pylist(), strict=True) if b is not None]
+    back = np.concatenate(got) if got else np.zeros(0, np.uint64)
     return np.isin(tokens >> np.uint64(64 - bits - 39), back)

@@ -6,11 +6,13 @@ A larger set is heavy: its rarest shingles (so many that any partner must share
 sets are candidates, and candidates are verified on their whole sets. x is where the summed cost of subsets and lists
 over the sizes of all sets is least. Light sets that a heavy one can link with go to the lists too.
 
-Nothing is done for each pair of a group. Equal sets are one node. Lists hold a node once, and only shingles that two
-documents have are listed at all (``_runs``). Shingles that very many documents have are ordered last, so they are
+Nothing is done for each pair of a group. Equal sets are one node, and only the smallest id's row of a node is read
+again. Only shingles that two nodes have are listed at all (``_runs``). At most a known number of a linked set's
+shingles are its own, so a set with too few shared ones among its rarest links with nothing and is left out. Shingles that very many documents have are ordered last, so they are
 among the rarest of hardly any set. In a list first the node that shares most is compared with all others; nodes
 that are then of one class need no more comparisons, and each further round takes the next such node, until the
-members of every list that are of different classes have been compared or ruled out by their sizes.
+members of every list that are of different classes have been compared or ruled out: by their sizes, or by a bitmap of
+the parities of their hashed elements, which differs in at most as many bits as the sets differ in elements.
 
 Edge cases: null and empty texts have no shingles and link with nothing; with fewer words than a shingle has, the
 whole sequence is one; rows with a null id are not linked and have a null class; repeated ids
@@ -66,6 +68,16 @@ def node_of(tokens: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63)
 
 
+#: Words of 64 bits in the bitmap of a set.
+BITMAP = 64
+
+
+def parities(tokens: np.ndarray) -> np.ndarray:
+    """Bit i tells whether an odd number of elements hash to i."""
+    odd = np.bincount((tokens & np.uint64(64 * BITMAP - 1)).astype(np.int64), minlength=64 * BITMAP) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 class Threshold:
     """Links at num * union <= den * intersection; all in whole numbers."""
 
@@ -86,6 +98,10 @@ class Threshold:
         """So many elements of a set that a linked set lacks at least one fewer."""
         return s - self.low(s) + 1
 
+    def extra(self, s: int) -> int:
+        """So many more of the rarest elements are looked up. Of them all a linked set shares one more than that with its partner, so it need be listed under all its shared ones but that many."""
+        return -(-s // 4)
+
     def subsets(self, s: int) -> int:
         return sum(comb(s, self.need(s, t)) for t in range(self.low(s), self.high(s) + 1))
 
@@ -150,23 +166,24 @@ class Order:
         return tokens[np.lexsort((tokens, count))[:k]]
 
 
-def _listed(table: pa.Table, width: int, order: Order, at: Threshold, light: int) -> tuple[list[tuple[int, np.ndarray, np.ndarray]], list[tuple[int, np.ndarray]]]:
-    """Of a run: (node, set, listed shingles) of the distinct sets that go to lists, and (node, set) of the light ones."""
+def _listed(table: pa.Table, reps: set[int], width: int, order: Order, at: Threshold, light: int) -> tuple[list[tuple[int, np.ndarray, np.ndarray]], list[tuple[int, np.ndarray]]]:
+    """Of the rows of a run that stand for a node: (node, set, rarest shingles) of those that go to lists, (node, set) of the light ones."""
     heavy, small, seen = [], [], set()
-    for part in table.combine_chunks().to_batches():
+    for part in table.filter(pa.array([i in reps for i in table.column("id").to_pylist()], pa.bool_())).combine_chunks().to_batches():
         for piece in slices(part):
             for tokens in shingle_sets([t.encode("utf-8") for t in piece.column("text").to_pylist()], width):
-                if len(tokens) and (node := node_of(tokens)) not in seen:
+                n = len(tokens)
+                if n and (node := node_of(tokens)) not in seen:
                     seen.add(node)
-                    if len(tokens) <= light:
+                    if n <= light:
                         small.append((node, tokens))
-                    if at.high(len(tokens)) > light:
-                        heavy.append((node, tokens, order.rarest(tokens, at.prefix(len(tokens)))))
+                    if at.high(n) > light:
+                        heavy.append((node, tokens, order.rarest(tokens, at.prefix(n) + at.extra(n))))
     return heavy, small
 
 
-_POSTINGS = pa.schema([("kind", pa.int8()), ("token", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("m", pa.int64()), ("set", pa.list_(pa.int64()))])
-_POSTINGS_DDL = "kind byte, token long, node long, n long, m long, set array<long>"
+_POSTINGS = pa.schema([("kind", pa.int8()), ("token", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("m", pa.int64()), ("set", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
+_POSTINGS_DDL = "kind byte, token long, node long, n long, m long, set array<long>, bits array<long>"
 
 
 def _subset_rows(node: int, tokens: np.ndarray, at: Threshold, light: int) -> list[tuple[int, int, int, int]]:
@@ -196,32 +213,37 @@ def link(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100, id_col:
     sizes = {r["n"]: r["count"] for r in linkable.where(F.col("n") <= MOST_LIGHT).groupBy("n").count().collect()}
     light = light_bound(sizes, at)
 
-    runs, bits = _runs.runs_for(total["b"]), _runs.part_bits(int(total["n"] * (1 - num / den)) + 1)
+    runs, bits = _runs.runs_for(total["b"]), _runs.part_bits(float(total["n"]) * (1.25 - num / den))
     texts = _runs.by_run(docs, runs, id_col, text_col)
 
-    def sent(table: pa.Table) -> pa.Table:
-        heavy, _ = _listed(table, width, order, at, light)
+    def sent(table: pa.Table, reps: pa.Table) -> pa.Table:
+        if not table.num_rows or not reps.num_rows:
+            return pa.table([[]] * 3, schema=_runs.SCHEMA)
+        heavy, _ = _listed(table, set(reps.column("ids")[0].as_py()), width, order, at, light)
         tokens = np.concatenate([k for _, _, k in heavy]) if heavy else np.zeros(0, np.uint64)
         return _runs.send(table.column("run")[0].as_py(), tokens, np.repeat(np.arange(len(heavy)), [len(k) for _, _, k in heavy]), bits)
 
     def posted(table: pa.Table, back: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return pa.table([[]] * 6, schema=_POSTINGS)
-        heavy, small = _listed(table, width, order, at, light)
-        out = [(2, key, node, n, low, None) for node, tokens in small for key, node, n, low in _subset_rows(node, tokens, at, light)]
+        lead = [x for x in back.column("ids").to_pylist() if x is not None]
+        if not table.num_rows or not lead:
+            return pa.table([[]] * 7, schema=_POSTINGS)
+        heavy, small = _listed(table, set(lead[0]), width, order, at, light)
+        out = [(2, key, node, n, low, None, None) for node, tokens in small for key, node, n, low in _subset_rows(node, tokens, at, light)]
         if heavy:
             tokens = np.concatenate([k for _, _, k in heavy])
             keep, edge = _runs.surviving(tokens, back, bits), 0
             for node, whole, listed in heavy:
-                kept = listed[keep[edge : edge + len(listed)]].view(np.int64).tolist()
+                n, shared = len(whole), listed[keep[edge : edge + len(listed)]]
                 edge += len(listed)
-                if kept:
-                    # shared: in thousandths of what is listed
-                    out += [(0, token, node, len(whole), 1000 * len(kept) // len(listed), None) for token in kept]
-                    out.append((1, None, node, len(whole), None, whole.view(np.int64)))
+                if (needed := len(shared) - at.extra(n)) > 0:
+                    # m: what is shared of the rarest, in thousandths
+                    out += [(0, token, node, n, 1000 * len(shared) // len(listed), None, None) for token in shared[:needed].view(np.int64).tolist()]
+                    out.append((1, None, node, n, None, whole.view(np.int64), parities(whole)))
         return pa.table([pa.array([r[k] for r in out], f.type) for k, f in enumerate(_POSTINGS)], schema=_POSTINGS)
 
-    back = _runs.survivors(texts.groupBy("run").applyInArrow(sent, _runs.SENT))
+    reps = linkable.groupBy("node").agg(F.min("id").alias("id")).groupBy(_runs.run_of("id", runs).alias("run")).agg(F.collect_list("id").alias("ids"))
+    back = _runs.survivors(texts.groupBy("run").cogroup(reps.groupBy("run")).applyInArrow(sent, _runs.SENT))
+    back = back.withColumn("ids", F.lit(None).cast("array<long>")).unionByName(reps.select(F.lit(-1).alias("part"), "run", F.lit(None).cast("binary").alias("tokens"), "ids"))
     made = cut_lineage(texts.groupBy("run").cogroup(back.groupBy("run")).applyInArrow(posted, _POSTINGS_DDL))
     links = _light_links(made.where("kind = 2")).unionByName(_heavy_links(made, at))
     classes = connected_components(links, "a", "b")
@@ -242,8 +264,8 @@ def _light_links(keys: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, sets: DataFrame, at: Threshold) -> DataFrame:
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.where(F.lit(at.den) * common >= F.lit(at.num) * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+    both = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("common"), (F.size("sa") + F.size("sb")).alias("sizes"))
+    return both.where(F.lit(at.den) * F.col("common") >= F.lit(at.num) * (F.col("sizes") - F.col("common"))).select("a", "b")
 
 
 #: Rounds in which one node of each list is compared with the rest, before what is left is compared pair by pair.
@@ -251,31 +273,34 @@ STAR_ROUNDS = 2
 
 
 def _heavy_links(made: DataFrame, at: Threshold) -> DataFrame:
-    posted = made.where("kind = 0").select("token", "node", "n", F.col("m").alias("shared")).distinct()
-    sets = made.where("kind = 1").select("node", "set").dropDuplicates(["node"])
+    posted = made.where("kind = 0").select("token", "node", "n", F.col("m").alias("shared"))
+    sets = made.where("kind = 1").select("node", "set")
     near = lambda x, y: (F.lit(at.den) * F.least(x, y) >= F.lit(at.num) * F.greatest(x, y))
+    # lists with the same nodes give the same pairs: one of them is enough
+    same = F.count("*").alias("members"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64("node", F.lit(7))).alias("xor")
     links, done, lists = None, None, posted.withColumn("class", F.col("node"))
-    for k in range(STAR_ROUNDS + 1):
-        mixed = lists.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.min(F.struct((-F.col("shared")).alias("s"), "node", "n", "class")).alias("head")).where("low < high").select("token", "head")
-        live = lists.join(mixed, "token")
-        if k < STAR_ROUNDS:
-            star = live.where((F.col("class") != F.col("head.class")) & near(F.col("n"), F.col("head.n")))
-            pairs = star.select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b"))
-        else:
-            one, two = live.select("token", "node", "n", "class"), live.select("token", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("class").alias("class2"))
-            pairs = one.join(two, "token").where((F.col("node") < F.col("node2")) & (F.col("class") != F.col("class2")) & near(F.col("n"), F.col("n2"))).select(F.col("node").alias("a"), F.col("node2").alias("b"))
-        pairs = pairs.distinct()
+    for _ in range(STAR_ROUNDS):
+        mixed = lists.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.min(F.struct((-F.col("shared")).alias("s"), "node", "n", "class")).alias("head"), *same).where("low < high")
+        mixed = mixed.groupBy("members", "sum", "xor").agg(F.min_by(F.struct("token", "head"), "token").alias("one")).select("one.token", "one.head")
+        live = cut_lineage(lists.join(mixed, "token"))
+        star = live.where((F.col("class") != F.col("head.class")) & near(F.col("n"), F.col("head.n")))
+        pairs = star.select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b")).distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = cut_lineage(pairs)
         found = cut_lineage(_verified(pairs, sets, at))
-        links = found if links is None else links.unionByName(found)
         done = pairs if done is None else done.unionByName(pairs)
-        if k < STAR_ROUNDS:
-            classes = connected_components(links, "a", "b")
-            lists = posted.join(classes, "node", "left").select("token", "node", "n", "shared", F.coalesce("component", "node").alias("class"))
-            # a node that has been a list's head and is alone steps back
-            tried = done.groupBy("a").count().select(F.col("a").alias("node"), F.col("count").alias("times")).unionByName(done.groupBy("b").count().select(F.col("b").alias("node"), F.col("count").alias("times"))).groupBy("node").agg(F.sum("times").alias("times"))
-            lists = lists.join(tried, "node", "left").select("token", "node", "n", (F.col("shared") - 1000 * F.least(F.coalesce("times", F.lit(0)), F.lit(1000))).alias("shared"), "class")
-            lists = cut_lineage(lists)
-    return links
+        links = found if links is None else links.unionByName(found)
+        classes = connected_components(links, "a", "b").withColumnRenamed("component", "joined")
+        tried = done.select(F.col("a").alias("node")).unionByName(done.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("times"))
+        # a node that has been compared often steps back as a head
+        lists = live.join(classes, "node", "left").join(tried, "node", "left").withColumns({"class": F.coalesce("joined", "node"), "shared": F.col("shared") - 1000 * F.least(F.coalesce("times", F.lit(0)), F.lit(1000))})
+        lists = cut_lineage(lists.select("token", "node", "n", "shared", "class"))
+    mixed = lists.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("token")
+    live = lists.join(mixed, "token").join(made.where("kind = 1").select("node", "bits"), "node").select("token", "node", "n", "class", "bits")
+    other = live.select("token", *[F.col(c).alias(f"{c}_2") for c in live.columns if c != "token"])
+    differ = F.aggregate(F.zip_with("bits", "bits_2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    open_ = (F.col("node") < F.col("node_2")) & (F.col("class") != F.col("class_2")) & near(F.col("n"), F.col("n_2"))
+    open_ &= F.lit(at.num + at.den) * differ <= F.lit(at.den - at.num) * (F.col("n") + F.col("n_2"))
+    pairs = live.join(other, "token").where(open_).select(F.col("node").alias("a"), F.col("node_2").alias("b")).distinct()
+    return links.unionByName(_verified(pairs.join(done, ["a", "b"], "left_anti"), sets, at))
