@@ -126,12 +126,15 @@ class Model:
 def training_sample(docs: DataFrame, labelled: DataFrame, per_class: int, classes: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(text, label) of at most ``per_class`` rows of each of the ``classes`` most frequent labels of ``labelled`` (id, label).
 
-    Ids are picked by a hash, before any text is read; the picked ids (at most per_class * classes) are broadcast.
+    Ids are picked by a hash, before any text is read; the picked ids (at most per_class * classes) are broadcast. The
+    counts of the labels give the share of hashes to take, so only about as many rows as are picked are ranked.
     """
     labelled = labelled.where(F.col("label").isNotNull() & F.col("id").isNotNull()).distinct()
-    kept = labelled.groupBy("label").count().orderBy(F.desc("count"), "label").limit(classes).select("label")
-    by = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
-    picked = labelled.join(F.broadcast(kept), "label").withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= per_class).select("id", "label")
+    kept = labelled.groupBy("label").count().orderBy(F.desc("count"), "label").limit(classes)
+    by = Window.partitionBy("label").orderBy("draw", "id")
+    draw = F.pmod(F.xxhash64("id"), F.lit(1 << 32))
+    thinned = labelled.join(F.broadcast(kept), "label").withColumn("draw", draw).where(F.col("draw") * F.col("count") <= F.lit(1.5 * per_class * (1 << 32)))
+    picked = thinned.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= per_class).select("id", "label")
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null").join(F.broadcast(picked), "id").select("id", "text", "label")
 
 
