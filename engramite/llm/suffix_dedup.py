@@ -32,10 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from engramite.llm import _runs, _words
-from engramite.llm._batches import SLICE_BYTES
 
 #: Bytes of the grams that anchors are chosen from; bytes of a long text looked at together; documents sampled for splitters.
-GRAM, PIECE, SAMPLED = 24, 1 << 20, 400
+GRAM, PIECE, SAMPLED = 24, 1 << 18, 400
+#: Bytes hashed together, and anchors whose entries are cut out together.
+TOGETHER, CUT = 1 << 19, 1 << 14
 
 _HUGE = np.uint64((1 << 64) - 1)
 
@@ -55,7 +56,7 @@ def anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np
     pieces = [(k, at, t[at : at + PIECE + length - 1]) for k, t in enumerate(texts) if len(t) >= length for at in range(0, max(1, len(t) - length + 1), PIECE)]
     owners, places, found, group, size = [], [], [], [], 0
     for piece in [*pieces, None]:
-        if group and (piece is None or size + len(piece[2]) > SLICE_BYTES):
+        if group and (piece is None or size + len(piece[2]) > TOGETHER):
             raw = np.frombuffer(b"".join(p for _, _, p in group), np.uint8)
             n, ends = len(raw), np.cumsum([len(p) for _, _, p in group])
             power, inverse = _words._powers(n)
@@ -107,14 +108,14 @@ class Layout:
         raw = np.frombuffer(pad + b"".join(texts) + pad, np.uint8)
         base = np.cumsum(sizes) - sizes + len(pad)
         after, before = np.minimum(sizes[owner] - place, self.right), np.minimum(place, self.left)
-        at = (base[owner] + place)[:, None]
         out = np.zeros((len(owner), self.width), np.uint8)
-        steps = np.arange(self.right)
-        out[:, : self.right] = np.where(steps < after[:, None], raw[at + steps], 0)
-        out[:, self.right] = after + 1
-        steps = np.arange(self.left)
-        out[:, self.right + 1 : -1] = np.where(steps < before[:, None], raw[at - 1 - steps], 0)
-        out[:, -1] = before + 1
+        out[:, self.right], out[:, -1] = after + 1, before + 1
+        ahead, back = np.arange(self.right), np.arange(self.left)
+        for a in range(0, len(owner), CUT):
+            some = slice(a, a + CUT)
+            at = (base[owner[some]] + place[some])[:, None]
+            out[some, : self.right] = np.where(ahead < after[some, None], raw[at + ahead], 0)
+            out[some, self.right + 1 : -1] = np.where(back < before[some, None], raw[at - 1 - back], 0)
         return out
 
 
@@ -255,7 +256,7 @@ def find_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
 
     sample = texts.where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(every)) == 0).select("text").mapInArrow(grams, "gram binary")
     sample = sorted(bytes(r["gram"]) for r in sample.limit(SAMPLED * 64).collect())
-    parts = max(8, 2 * runs)
+    parts = max(8, runs)
     splitters = sorted({sample[i * len(sample) // parts] for i in range(1, parts)}) if sample else []
 
     def sent(table: pa.Table) -> pa.Table:
