@@ -48,6 +48,18 @@ def map_texts(docs: DataFrame, make: Callable[[], Callable[[list, list], dict]],
     return frame.mapInArrow(run, schema)
 
 
+def filter_texts(docs: DataFrame, make: Callable[[], Callable[[list], list]], text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text the function of a slice's texts says to keep."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = make()
+        for batch in batches:
+            for part in slices(batch, text_col):
+                yield part.filter(pa.array(keep(part.column(part.schema.get_field_index(text_col)).to_pylist()), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def id_type(docs: DataFrame, id_col: str = "doc_id") -> str:
     return docs.schema[id_col].dataType.simpleString()
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from engramite.llm import _words
-from engramite.llm._batches import id_type, map_texts
+from engramite.llm._batches import filter_texts, id_type, map_texts
 from engramite.llm.language_id import training_sample
 
 PASSAGE_WORDS, PER_LABEL, BAG_PASSAGES = 64, 1200, 48
@@ -173,3 +173,19 @@ def score(docs: DataFrame, model: AttentionNet | float, threshold: float = 0.7,
         return work
 
     return map_texts(docs, make, f"`{id_col}` {id_type(docs, id_col)}, score double, predicted int", id_col, text_col)
+
+
+def keep_good(docs: DataFrame, model: AttentionNet | float, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose score reaches the threshold, with all their columns."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        def keep(texts: list) -> list:
+            net = sent.value
+            if isinstance(net, float):
+                return [net >= threshold] * len(texts)
+            return (net.score(*passages([(t or "").encode("utf-8", "surrogatepass") for t in texts])) >= threshold).tolist()
+
+        return keep
+
+    return filter_texts(docs, make, text_col)
