@@ -12,8 +12,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from engramite.llm._batches import tidy
+
 #: Bytes of text in a run, and bytes of packed tokens in a part.
-RUN_BYTES, PART_BYTES = 4 << 20, 8 << 20
+RUN_BYTES, PART_BYTES = 4 << 20, 4 << 20
 SENT = "part int, run int, tokens binary"
 SCHEMA = pa.schema([("part", pa.int32()), ("run", pa.int32()), ("tokens", pa.binary())])
 
@@ -83,7 +85,7 @@ def survivors(sent: DataFrame) -> DataFrame:
         out = [pack(values[a:b][keep[a:b]] >> np.uint64(1)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
         return pa.table([table.column("part").to_pylist(), runs, out], schema=SCHEMA)
 
-    return sent.groupBy("part").applyInArrow(pick, SENT).where(F.length("tokens") > 0)
+    return sent.groupBy("part").applyInArrow(tidy(pick), SENT).where(F.length("tokens") > 0)
 
 
 def surviving(tokens: np.ndarray, table: pa.Table, bits: int) -> np.ndarray:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from engramite.llm import _runs, _words
-from engramite.llm._batches import slices
+from engramite.llm._batches import slices, tidy
 from engramite.operators.components import connected_components
 from engramite.session import cut_lineage
 
@@ -242,9 +242,9 @@ def link(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100, id_col:
         return pa.table([pa.array([r[k] for r in out], f.type) for k, f in enumerate(_POSTINGS)], schema=_POSTINGS)
 
     reps = linkable.groupBy("node").agg(F.min("id").alias("id")).groupBy(_runs.run_of("id", runs).alias("run")).agg(F.collect_list("id").alias("ids"))
-    back = _runs.survivors(texts.groupBy("run").cogroup(reps.groupBy("run")).applyInArrow(sent, _runs.SENT))
+    back = _runs.survivors(texts.groupBy("run").cogroup(reps.groupBy("run")).applyInArrow(tidy(sent), _runs.SENT))
     back = back.withColumn("ids", F.lit(None).cast("array<long>")).unionByName(reps.select(F.lit(-1).alias("part"), "run", F.lit(None).cast("binary").alias("tokens"), "ids"))
-    made = cut_lineage(texts.groupBy("run").cogroup(back.groupBy("run")).applyInArrow(posted, _POSTINGS_DDL))
+    made = cut_lineage(texts.groupBy("run").cogroup(back.groupBy("run")).applyInArrow(tidy(posted), _POSTINGS_DDL))
     links = _light_links(made.where("kind = 2")).unionByName(_heavy_links(made, at))
     classes = connected_components(links, "a", "b")
 

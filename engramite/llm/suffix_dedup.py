@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from engramite.llm import _runs, _words
+from engramite.llm._batches import tidy
 
 #: Bytes of the grams that anchors are chosen from; bytes of a long text looked at together; documents sampled for splitters.
 GRAM, PIECE, SAMPLED = 24, 1 << 18, 400
@@ -374,10 +375,10 @@ def find_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
             out.append((doc, len(text), spans, kept))
         return pa.table([pa.array([r[k] for r in out], f.type) for k, f in enumerate(result)], schema=result)
 
-    back = _runs.survivors(texts.groupBy("run").applyInArrow(sent, _runs.SENT))
-    dealt = texts.groupBy("run").cogroup(back.groupBy("run")).applyInArrow(deal, _DEALT)
-    answers = dealt.groupBy("part").applyInArrow(combine, _DEALT)
-    found = texts.groupBy("run").cogroup(answers.groupBy("run")).applyInArrow(mark, result_ddl)
+    back = _runs.survivors(texts.groupBy("run").applyInArrow(tidy(sent), _runs.SENT))
+    dealt = texts.groupBy("run").cogroup(back.groupBy("run")).applyInArrow(tidy(deal), _DEALT)
+    answers = dealt.groupBy("part").applyInArrow(tidy(combine), _DEALT)
+    found = texts.groupBy("run").cogroup(answers.groupBy("run")).applyInArrow(tidy(mark), result_ddl)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     lone = docs.where(F.col(id_col).isNull()).select(F.col(id_col).cast("long").alias("id"), F.octet_length(text).cast("long").alias("n_bytes"), F.array().cast("array<struct<start:long,stop:long>>").alias("spans"), text.cast("binary").alias("kept"))
     return found.unionByName(lone).withColumnRenamed("id", id_col)
