@@ -30,7 +30,7 @@ def block_pairs(df: DataFrame, key: str, embedding: str, pick: Callable[[np.ndar
     rows = df.where(F.col(key).isNotNull() & F.col(embedding).isNotNull()).select(F.col(key).alias("id"), F.col(embedding).alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"))
     every = F.sequence(F.lit(0), F.lit(blocks - 1))
     left = rows.select("id", "v", "block", F.explode(F.filter(every, lambda o: o >= F.col("block"))).alias("other"))
-    right = rows.select("id", "v", F.explode(F.filter(every, lambda o: o <= F.col("block"))).alias("block"), F.col("block").alias("other"))
+    right = rows.selectExpr("id as id2", "v as v2", f"explode(filter(sequence(0, {blocks - 1}), o -> o <= block)) as block2", "block as other2").toDF("id", "v", "block", "other")
 
     def multiply(a: pa.Table, b: pa.Table) -> pa.Table:
         (ia, ma), (ib, mb) = _matrix(a), _matrix(b)
