@@ -40,6 +40,13 @@ def words(text: Column) -> Column:
     return F.filter(clean, lambda w: (F.length(w) > 2) & ~w.isin(STOPWORDS))
 
 
+def word_count(text: Column, word: str) -> Column:
+    """How often ``words`` has a word (lower-case letters and digits, no stop word), without making the array: one regular expression that skips what cleaning removes."""
+    blank, other = r" \t\r\n\f\x0B", r"[^a-z0-9 \t\r\n\f\x0B]*"
+    pattern = f"(?<![^{blank}])" + other + "".join(c + other for c in word) + f"(?![^{blank}])"
+    return F.regexp_count(F.replace(F.lower(text), F.lit("-"), F.lit(" ")), F.lit(pattern))
+
+
 def query_words(query: str) -> list[str]:
     """Words of a query that full-text search takes: letters and digits, more than two characters, no stop words."""
     clean = ("".join(c for c in w if c.isascii() and c.isalnum()) for w in query.lower().replace("-", " ").split())

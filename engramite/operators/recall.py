@@ -21,16 +21,12 @@ def ranked(df: DataFrame, order: list[Column], limit: int, name: str) -> DataFra
 
 def or_rank(df: DataFrame, query: list[str], text: str = "content") -> DataFrame:
     """``df`` with text_score, for rows with any of the words: 0.1 times the sum of 1/j**2 over each word's occurrences, over pi**2/6 and the number of words."""
-    held = tx.words(F.col(text))
     score = F.lit(0.0)
-    for word in query:
-        count = F.size(F.filter(held, _equals(word)))
+    df = df.withColumns({f"__tf{i}": tx.word_count(F.col(text), word) for i, word in enumerate(query)})
+    for i in range(len(query)):
+        count = F.col(f"__tf{i}")
         score = score + F.aggregate(F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>")), F.lit(0.0), lambda s, j: s + 1.0 / (j * j))
-    return df.withColumn("text_score", score * 0.1 / 1.64493406685 / len(query)).where("text_score > 0")
-
-
-def _equals(word: str):
-    return lambda w: w == word
+    return df.withColumn("text_score", score * 0.1 / 1.64493406685 / len(query)).where("text_score > 0").drop(*[f"__tf{i}" for i in range(len(query))])
 
 
 def knn(df: DataFrame, vector: list[float], embedding: str = "embedding") -> DataFrame:
@@ -64,7 +60,7 @@ def bm25(df: DataFrame, query: list[str], key: str, text: str = "content", k1: f
     Document frequencies and the average length are one aggregate over all rows.
     """
     weights = columns or {text: 1.0}
-    tf = [sum(w * F.size(F.filter(tx.words(F.col(c)), _equals(q))) for c, w in weights.items()) for q in query]
+    tf = [sum(w * tx.word_count(F.col(c), q) for c, w in weights.items()) for q in query]
     length = sum(F.size(tx.words(F.col(c))) for c in weights)
     rows = df.select(key, length.alias("dl"), *[x.cast("double").alias(f"tf{i}") for i, x in enumerate(tf)])
     stats = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(query))])
