@@ -19,14 +19,18 @@ def ranked(df: DataFrame, order: list[Column], limit: int, name: str) -> DataFra
     return df.orderBy(*order).limit(limit).withColumn(name, F.row_number().over(Window.orderBy(*order)))
 
 
-def or_rank(df: DataFrame, query: list[str], text: str = "content") -> DataFrame:
-    """``df`` with text_score, for rows with any of the words: 0.1 times the sum of 1/j**2 over each word's occurrences, over pi**2/6 and the number of words."""
+def or_score(df: DataFrame, query: list[str], text: str = "content") -> DataFrame:
+    """``df`` with text_score, 0 of rows without any of the words: 0.1 times the sum of 1/j**2 over each word's occurrences, over pi**2/6 and the number of words."""
     score = F.lit(0.0)
     df = df.withColumns({f"__tf{i}": tx.word_count(F.col(text), word) for i, word in enumerate(query)})
     for i in range(len(query)):
         count = F.col(f"__tf{i}")
         score = score + F.aggregate(F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>")), F.lit(0.0), lambda s, j: s + 1.0 / (j * j))
-    return df.withColumn("text_score", score * 0.1 / 1.64493406685 / len(query)).where("text_score > 0").drop(*[f"__tf{i}" for i in range(len(query))])
+    return df.withColumn("text_score", score * 0.1 / 1.64493406685 / len(query)).drop(*[f"__tf{i}" for i in range(len(query))])
+
+
+def or_rank(df: DataFrame, query: list[str], text: str = "content") -> DataFrame:
+    return or_score(df, query, text).where("text_score > 0")
 
 
 def knn(df: DataFrame, vector: list[float], embedding: str = "embedding") -> DataFrame:
@@ -36,7 +40,8 @@ def knn(df: DataFrame, vector: list[float], embedding: str = "embedding") -> Dat
 
 
 def text_leg(df: DataFrame, query: list[str], key: str, limit: int) -> DataFrame:
-    return ranked(or_rank(df, query), [F.desc("text_score"), F.col(key)], limit, "r_text").select(key, "r_text", "text_score")
+    # rows without a word rank last, so they can go after the limit; before it the filter would compute each score twice
+    return ranked(or_score(df, query), [F.desc("text_score"), F.col(key)], limit, "r_text").where("text_score > 0").select(key, "r_text", "text_score")
 
 
 def vector_leg(df: DataFrame, vector: list[float], key: str, k: int) -> DataFrame:

@@ -83,13 +83,13 @@ def _entities_sql() -> str:
 
 @query("KG1_entities", _entities_sql() + " SELECT doc_id, type, name, mentions FROM r WHERE n = 1")
 def entities(t):
-    return g.entities(t.documents, "doc_id", "text", ENTITIES)
+    return g.entities(t.texts, "doc_id", "text", ENTITIES)
 
 
 @query("KG3_relations", _entities_sql() + """, k AS (SELECT doc_id, name, row_number() OVER (PARTITION BY doc_id ORDER BY type, name) AS o FROM r WHERE n = 1)
 SELECT x.name AS a, y.name AS b, CAST(count(DISTINCT x.doc_id) AS DOUBLE) AS weight FROM k x JOIN k y ON x.doc_id = y.doc_id AND x.name < y.name WHERE x.o <= 50 AND y.o <= 50 GROUP BY 1, 2""")
 def relations(t):
-    return g.relations(g.entities(t.documents, "doc_id", "text", ENTITIES), "doc_id", 50)
+    return g.relations(g.entities(t.texts, "doc_id", "text", ENTITIES), "doc_id", 50)
 
 
 @query("KG4_context_edges", """WITH m AS (SELECT DISTINCT l_orderkey, l_partkey % 400 AS item FROM lineitem WHERE l_quantity >= 45), k AS (SELECT x.item AS a, y.item AS b, count(*) AS weight FROM m x JOIN m y ON x.l_orderkey = y.l_orderkey AND x.item < y.item GROUP BY 1, 2),

@@ -58,7 +58,7 @@ def overlay(t):
 
 @query("PRJ3_preview", r"SELECT doc_id, CASE WHEN length(f) > 60 THEN f[1:60] || '...' ELSE f END AS preview FROM (SELECT doc_id, regexp_replace(text, '\s+', ' ', 'g') AS f FROM documents)")
 def preview(t):
-    return t.documents.select("doc_id", tx.preview(F.col("text"), 60).alias("preview"))
+    return t.texts.select("doc_id", tx.preview(F.col("text"), 60).alias("preview"))
 
 
 @query("PRJ5_age", "SELECT event_id, CASE WHEN s >= 86400 THEN CAST(s // 86400 AS BIGINT) || 'd ago' WHEN s >= 3600 THEN CAST(s // 3600 AS BIGINT) || 'h ago' WHEN s >= 60 THEN CAST(s // 60 AS BIGINT) || 'm ago' ELSE 'just now' END AS age FROM (SELECT event_id, date_diff('microsecond', ts, TIMESTAMP '2024-02-01') // 1000000 AS s FROM events)")
@@ -194,13 +194,13 @@ def classify(t):
 
 @query("TXT17_chunks", r"""WITH s AS (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS s FROM documents), c AS (SELECT doc_id, s, unnest(range(0, CAST(greatest(ceil((length(s) - 200) / 1000.0) - 1, 0) AS BIGINT) + 1)) AS i FROM s WHERE length(s) > 0) SELECT doc_id, i AS chunk_index, length(s[i * 1000 + 1 : i * 1000 + 1200]) AS n, sha256(s[i * 1000 + 1 : i * 1000 + 1200]) AS hash FROM c""")
 def chunks(t):
-    each = t.documents.select("doc_id", F.posexplode(tx.chunks(F.col("text"))).alias("i", "c"))
+    each = t.texts.select("doc_id", F.posexplode(tx.chunks(F.col("text"))).alias("i", "c"))
     return each.select("doc_id", F.col("i").cast("long").alias("chunk_index"), F.length("c").cast("long").alias("n"), F.sha2("c", 256).alias("hash"))
 
 
 @query("TXT18_slug", "SELECT doc_id, CASE WHEN s = '' THEN 'untitled' ELSE s END AS slug FROM (SELECT doc_id, regexp_replace((regexp_replace(regexp_replace(lower(text[1:80]), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'))[1:40], '-+$', '', 'g') AS s FROM documents)")
 def slug(t):
-    return t.documents.select("doc_id", tx.slug(F.substring("text", 1, 80)).alias("slug"))
+    return t.texts.select("doc_id", tx.slug(F.substring("text", 1, 80)).alias("slug"))
 
 
 @query("TXT19_project", "SELECT DISTINCT source, CASE WHEN lower(source) = 'src0' THEN 'main' ELSE lower(source) END AS project FROM documents")
@@ -210,7 +210,7 @@ def project(t):
 
 @query("TXT20_content_hash", r"SELECT doc_id, sha256(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS hash FROM documents")
 def content_hash(t):
-    return t.documents.select("doc_id", tx.content_hash(F.col("text")).alias("hash"))
+    return t.texts.select("doc_id", tx.content_hash(F.col("text")).alias("hash"))
 
 
 @query("TXT21_tags", "SELECT doc_id, array_to_string(list_filter(list_transform(string_split(source || ', ' || lang || ' ,,', ','), lambda x: trim(x)), lambda x: x <> ''), '|') AS tags FROM documents")
@@ -226,13 +226,13 @@ def _dimension(patterns) -> str:
 c AS (SELECT doc_id, CAST(0.30 AS DOUBLE) * s + CAST(0.25 AS DOUBLE) * a + CAST(0.25 AS DOUBLE) * e + CAST(0.20 AS DOUBLE) * greatest(least(CAST(0.7 AS DOUBLE) - v + CASE WHEN n < 50 THEN CAST(0.1 AS DOUBLE) WHEN n > 200 THEN CAST(-0.1 AS DOUBLE) ELSE 0 END, 1.0), 0.0) AS x FROM d)
 SELECT CASE WHEN x >= 0.30 THEN 'high' WHEN x >= 0.20 THEN 'medium' ELSE 'low' END AS level, count(*) AS n FROM c GROUP BY 1""")
 def confidence(t):
-    return t.documents.select(tx.confidence(F.col("text")).alias("level")).groupBy("level").agg(F.count("*").alias("n"))
+    return t.texts.select(tx.confidence(F.col("text")).alias("level")).groupBy("level").agg(F.count("*").alias("n"))
 
 
 @query("RED1_personal_data", r"""SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')) AS emails, len(regexp_extract_all(text, '\b(?:10|192\.168|172\.(?:1[6-9]|2[0-9]|3[01]))(?:\.[0-9]{1,3}){2,3}\b')) AS addresses, len(regexp_extract_all(text, '\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b')) AS ssn FROM documents""")
 def personal(t):
     count = lambda p: F.regexp_count("text", F.lit(p)).cast("long")
-    return t.documents.select("doc_id", count(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}").alias("emails"), count(r"\b(?:10|192\.168|172\.(?:1[6-9]|2[0-9]|3[01]))(?:\.[0-9]{1,3}){2,3}\b").alias("addresses"), count(r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b").alias("ssn"))
+    return t.texts.select("doc_id", count(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}").alias("emails"), count(r"\b(?:10|192\.168|172\.(?:1[6-9]|2[0-9]|3[01]))(?:\.[0-9]{1,3}){2,3}\b").alias("addresses"), count(r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b").alias("ssn"))
 
 
 @query("RED3_entropy", "WITH u AS (SELECT user_id, string_agg(event_type, '' ORDER BY ts, event_id)[1:40] AS s FROM events GROUP BY 1), c AS (SELECT user_id, unnest(string_split(s, '')) AS ch, length(s) AS n FROM u), g AS (SELECT user_id, ch, count(*) / CAST(any_value(n) AS DOUBLE) AS p FROM c GROUP BY 1, 2) SELECT user_id, round(-sum(p * log2(p)), 6) AS bits FROM g GROUP BY 1")
@@ -250,7 +250,7 @@ def mask(t):
 def redact(t):
     text = F.regexp_replace("text", r"(password|passwd|secret)(\s*[:=]\s*)\S+", "$1$2[REDACTED]")
     text = F.regexp_replace(F.regexp_replace(text, r'(token\s*=\s*)"[^"]*"', '$1"[REDACTED]"'), "AKIA[0-9A-Z]{16}", "[AWS_KEY]")
-    return t.documents.select("doc_id", F.sha2(text, 256).alias("hash"))
+    return t.texts.select("doc_id", F.sha2(text, 256).alias("hash"))
 
 
 @query("LKP1_latest", "SELECT o_custkey, arg_max(o_orderkey, {'d': o_orderdate, 'p': o_totalprice, 'k': o_orderkey}) AS o_orderkey FROM orders GROUP BY 1")

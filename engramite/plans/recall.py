@@ -27,7 +27,7 @@ def probe(t) -> list[float]:
 
 
 def texts(t) -> DataFrame:
-    return t.documents.select("doc_id", F.col("text").alias("content"))
+    return t.texts.withColumnRenamed("text", "content")
 
 
 def rank_terms(words: list[str]) -> str:
@@ -49,7 +49,7 @@ def legs(t) -> tuple[DataFrame, DataFrame]:
 @query("TXT5_token_counts", f"SELECT doc_id, len(w) AS n, len(list_distinct(w)) AS n_distinct, coalesce(array_to_string(list_sort(list_distinct(w))[1:5], ' '), '') AS first FROM (SELECT doc_id, {TOKENS.format(c='text')} AS w FROM documents)")
 def tokens(t):
     w = tx.words(F.col("text"))
-    return t.documents.select("doc_id", F.size(w).cast("long").alias("n"), F.size(F.array_distinct(w)).cast("long").alias("n_distinct"), F.array_join(F.slice(F.array_sort(F.array_distinct(w)), 1, 5), " ").alias("first"))
+    return t.texts.select("doc_id", F.size(w).cast("long").alias("n"), F.size(F.array_distinct(w)).cast("long").alias("n_distinct"), F.array_join(F.slice(F.array_sort(F.array_distinct(w)), 1, 5), " ").alias("first"))
 
 
 @query("TXT7_or_rank", f"WITH {TEXT_LEG} SELECT doc_id, r AS r_text, round(s, 9) AS text_score FROM text_leg")

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from engramite.sources.tables import spread
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -23,6 +25,11 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    @property
+    def texts(self) -> DataFrame:
+        """(doc_id, text) of documents over all cores, for work on every character."""
+        return spread(self.documents.select("doc_id", "text"))
+
     @property
     def learnings(self) -> DataFrame:
         """documents as learnings: exact copies are superseded by the first, toxic ones archived, recalls are view events."""
