@@ -1,0 +1,87 @@
+"""Edge cases of the library's operators on small tables."""
+
+import math
+
+from pyspark.sql import functions as F
+
+from engramite.functions import text as tx
+from engramite.functions import vectors as vc
+from engramite.operators import graph, lifecycle, pairs, recall, sequence
+from engramite.operators.components import connected_components
+
+
+def one(spark, **columns):
+    return spark.createDataFrame([tuple(columns.values())], list(columns))
+
+
+def test_components_of_chains_hubs_and_loops(spark):
+    chain = [(i, i + 1) for i in range(100, 160)]
+    hub = [(1, i) for i in range(2, 50)]
+    edges = spark.createDataFrame([*chain, *hub, (7, 7), (200, 200), (None, 3), (5, None)], "u long, v long")
+    found = {r["node"]: r["component"] for r in connected_components(edges).collect()}
+    assert all(found[i] == 100 for i in range(100, 161)) and all(found[i] == 1 for i in range(1, 50)) and found[200] == 200
+    assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_text_functions(spark):
+    row = one(spark, t="  Well-known thing's, THE thing!\tx ", e="", s="password-1234").select(
+        tx.words(F.col("t")).alias("w"), tx.words(F.col("e")).alias("we"), tx.slug(F.col("t")).alias("slug"), tx.slug(F.col("e")).alias("none"), tx.mask(F.col("s")).alias("m"), tx.mask(F.col("e")).alias("me"),
+        tx.entropy(F.lit("aabb")).alias("bits"), tx.chunks(F.lit("x" * 2300)).alias("c"), tx.chunks(F.lit(" ")).alias("c0"), tx.chunks(F.lit("y" * 1200)).alias("c1"), tx.preview(F.col("t"), 5).alias("p"), tx.word_count(F.col("t"), "thing").alias("n"),
+        tx.canonical_project(F.lit(" -Users-ann-Work/ ")).alias("proj"), tx.canonical_project(F.lit("  ")).alias("noproj"),
+    ).first()
+    assert row["w"] == ["known", "things", "thing"] and row["we"] == [] and row["n"] == 1
+    assert (row["slug"], row["none"], row["m"], row["me"]) == ("well-known-thing-s-the-thing-x", "untitled", "pass****1234", "****")
+    assert row["bits"] == 1.0 and [len(c) for c in row["c"]] == [1200, 1200, 300] and row["c0"] == [] and [len(c) for c in row["c1"]] == [1200]
+    assert row["proj"] == "work" and row["noproj"] is None
+    assert tx.or_query("please show THE auth-patterns of it") == "auth | patterns" and tx.or_query("the of") == ""
+
+
+def test_vector_functions(spark):
+    row = one(spark, a=[1.0, 0.0], b=[1.0, 1.0], z=[0.0, 0.0]).select(vc.cosine(F.col("a"), F.col("b")).alias("c"), vc.cosine(F.col("a"), F.col("z")).alias("z"), vc.fit_dimension(F.col("a"), 3).alias("up"), vc.fit_dimension(F.col("a"), 1).alias("down")).first()
+    assert math.isclose(row["c"], 1 / math.sqrt(2)) and row["z"] == 0.0 and row["up"] == [1.0, 0.0, 0.0] and row["down"] == [1.0]
+
+
+def test_pairs_over_several_blocks(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(pairs, "BLOCK_ROWS", 7)
+    vectors = np.random.default_rng(3).normal(size=(40, 8))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)] + [(None, [0.0] * 8)], "vec_id long, embedding array<double>")
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    cosine = unit @ unit.T
+    want = {(i, j) for i in range(40) for j in range(i + 1, 40) if cosine[i, j] >= 0.3}
+    assert {(r["a"], r["b"]) for r in pairs.similar_pairs(frame, 0.3).collect()} == want
+    near = {(r["id"], r["rank"]): r["other"] for r in pairs.nearest(frame, 3).collect()}
+    np.fill_diagonal(cosine, -2)
+    assert near == {(i, k + 1): int(np.argsort(-cosine[i])[k]) for i in range(40) for k in range(3)}
+    level = pairs.density(frame, [0.3]).first()
+    assert level["pairs"] == len(want)
+
+
+def test_lifecycle_guards(spark):
+    store = spark.createDataFrame([(1, "p", None, None), (2, "p", None, None), (3, "q", None, None), (4, "p", 1, None), (5, "p", None, "2024-01-01")], "id long, project string, superseded_by long, archived_at string").withColumn("superseded_at", F.lit(None).cast("timestamp_ntz"))
+    plan = spark.createDataFrame([(2, 1), (3, 1), (4, 2), (1, 5)], "loser long, keeper long")
+    after = {r["id"]: r["superseded_by"] for r in lifecycle.supersede(store, plan, "id", "2024-03-01 00:00:00").collect()}
+    assert after == {1: None, 2: 1, 3: None, 4: 1, 5: None}  # other project, already superseded, keeper not in use
+    row = one(spark, a=["x", "", "y"], b=["x", "z"]).select(lifecycle.union_capped(F.col("a"), F.col("b"), 2).alias("two"), lifecycle.union_capped(F.col("a"), F.col("b"), 9).alias("all")).first()
+    assert row["two"] == ["y", "z"] and row["all"] == ["x", "y", "z"]
+    chunks = spark.createDataFrame([("a", "global"), ("b", "restricted")], "collection string, scope string")
+    assert lifecycle.scope_gate(chunks, None).count() == 1 and lifecycle.scope_gate(chunks, "b").count() == 1 and lifecycle.scope_gate(chunks, "none").count() == 0
+    assert lifecycle.apply_selection(spark.createDataFrame([(1,)], "id long"), [], "id", 3).count() == 0
+
+
+def test_sequence_edges(spark):
+    rows = spark.createDataFrame([("r", None), ("a", "r"), ("b", "a"), ("x", "y"), ("y", "x"), ("o", "gone"), ("d", "r"), ("d", "a")], "node string, parent string")
+    assert {(r["node"], r["root"], r["depth"]) for r in sequence.ancestors(rows, "node", "parent").collect()} == {("r", "r", 0), ("a", "r", 1), ("b", "r", 2), ("o", "o", 0)}
+    spans = spark.sql("select 1 k, timestamp_ntz'2024-01-01 00:00:00' a, timestamp_ntz'2024-01-01 00:01:00' b union all select 1, timestamp_ntz'2024-01-01 00:00:30', timestamp_ntz'2024-01-01 00:02:00' union all select 1, timestamp_ntz'2024-01-01 01:00:00', timestamp_ntz'2024-01-01 00:59:00' union all select 1, timestamp_ntz'2024-01-01 02:00:00', timestamp_ntz'2024-01-01 02:00:00'")
+    assert tuple(sequence.union_seconds(spans, "k", "a", "b").first()) == (1, 2, 120.0)
+
+
+def test_project_first_and_split(spark):
+    own = spark.createDataFrame([(10 + i, i) for i in range(1, 8)], "id long, rank int")
+    everywhere = spark.createDataFrame([(11, 1), (99, 2)], "id long, rank int")
+    assert [r["id"] for r in recall.project_first(own, everywhere, "id", 6).orderBy("position").collect()] == [11, 12, 13, 99, 14, 15]
+    weak = [(i, i + 1, 1.0) for i in range(1, 9)]
+    edges = spark.createDataFrame([(a, b, 2.0 if b != 5 else w) for a, b, w in weak], "a long, b long, weight double")
+    found = {r["node"]: r["component"] for r in graph.split_large(edges, 6, 2, 1.0).collect()}
+    assert found == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 5, 7: 5, 8: 5, 9: 5}
