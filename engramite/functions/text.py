@@ -137,3 +137,33 @@ def plain_html(html: Column) -> Column:
     for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         text = F.replace(text, F.lit(entity), F.lit(sign))
     return F.trim(F.regexp_replace(text, r"[ \t\r\n]+", " "))
+
+
+#: Phrases that tell of a change of view or of a confirmed approach.
+SIGNALS = [
+    r"\bactually\b", r"\brealized?\b", r"\bthe issue\b", r"\bthat'?s why\b", r"\bturns out\b", r"\bI was wrong\b", r"\bworks because\b", r"\bthe problem is\b", r"\bOh,", r"\bAha\b",
+    r"\bnow I see\b", r"\bnow I understand\b", r"\bI see now\b", r"\bmisunderstood\b", r"\bwait,?\b", r"\bhmm\b", r"\binteresting\b", r"\bunexpected\b", r"\bsurpris", r"\bdifferent than\b",
+    r"\bdifferent from\b", r"\bnot what I\b", r"\bwasn'?t\b.*\bexpect", r"\bthis works\b", r"\bthat works\b", r"\bworked well\b", r"\bgood approach\b", r"\bright approach\b", r"\bas expected\b",
+    r"\bconfirm(?:s|ed)?\b.*\bapproach\b", r"\bthis pattern\b.*\b(?:works|effective|reliable)\b", r"\bkeep doing\b", r"\bcorrect approach\b", r"\bsolid approach\b",
+    r"\bclean(?:er)? (?:solution|approach|pattern)\b", r"\beffective(?:ly)?\b.*\b(?:handles?|solves?|addresses)\b", r"\brobust\b.*\b(?:solution|approach|pattern)\b",
+    r"\belegant\b.*\b(?:solution|approach|pattern)\b", r"\bthis is the right\b", r"\bvalidated\b",
+]
+
+
+def has_signal(text: Column) -> Column:
+    return text.rlike("(?i)" + "|".join(SIGNALS))
+
+
+def printable(text: Column, longest: int = 500) -> Column:
+    """For logs: line ends and other control signs escaped, anything beyond ASCII as a question mark, cut with a mark."""
+    out = text
+    for sign, shown in (("\\\\", "\\\\\\\\"), ("\n", "\\\\n"), ("\r", "\\\\r"), ("\t", "\\\\t")):
+        out = F.regexp_replace(out, sign, shown)
+    out = F.regexp_replace(out, r"[^\x20-\x7E]", "?")
+    return F.when(F.length(out) > longest, F.concat(F.substring(out, 1, longest), F.lit("...[cut]"))).otherwise(out)
+
+
+def is_conversational(text: Column) -> Column:
+    """Short turns that need no recall: greetings, thanks, agreement."""
+    low = F.trim(F.lower(text))
+    return (F.length(low) < 12) | low.rlike(r"^(yes|no|ok|okay|sure|thanks|thank you|hi|hello|continue|go ahead|great|perfect)\b.{0,20}$")

@@ -1,6 +1,6 @@
 """All queries of the library, without those of the llm subpackage."""
 
-from engramite.plans import graph, lifecycle, metrics, numeric, recall, sequence  # noqa: F401
+from engramite.plans import graph, lifecycle, metrics, more, numeric, recall, sequence  # noqa: F401
 from engramite.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -85,3 +85,8 @@ def test_project_first_and_split(spark):
     edges = spark.createDataFrame([(a, b, 2.0 if b != 5 else w) for a, b, w in weak], "a long, b long, weight double")
     found = {r["node"]: r["component"] for r in graph.split_large(edges, 6, 2, 1.0).collect()}
     assert found == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 5, 7: 5, 8: 5, 9: 5}
+
+
+def test_log_line(spark):
+    row = one(spark, t="a\n\tb\u0007é" + "x" * 600).select(tx.printable(F.col("t"), 20).alias("p")).first()
+    assert row["p"] == "a\\n\\tb??" + "x" * 12 + "...[cut]"
