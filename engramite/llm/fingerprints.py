@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from engramite.llm._batches import SLICE_BYTES, id_type, map_texts
+from engramite.llm._batches import SLICE_BYTES, id_type, map_texts, short_batches
 
 #: Smallest, normal and largest chunk in bytes, and the bits of the strict and the lax mask.
 SMALLEST, NORMAL, LARGEST, STRICT_BITS, LAX_BITS = 8, 16, 64, 5, 3
@@ -194,4 +194,5 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         if len(held) > 1:
             yield compare(held)
 
+    short_batches(docs.sparkSession)
     return next_documents(docs, id_col, text_col)[0].mapInArrow(run, schema)

@@ -22,12 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from engramite.llm import _words
-from engramite.llm._batches import filter_texts, id_type, map_texts
+from engramite.llm._batches import filter_texts, give_back, id_type, map_texts
 from engramite.llm.language_id import training_sample
 
-PASSAGE_WORDS, PER_LABEL, BAG_PASSAGES = 64, 1200, 48
+PASSAGE_WORDS, PER_LABEL, BAG_PASSAGES = 64, 1200, 24
 HIDDEN, EPOCHS, RATE, DECAY, BATCH = 24, 10, 0.01, 1e-4, 64
 
+#: Steps of the training at least, however few the labels are.
+LEAST_STEPS = 300
+
 #: Classes of bytes: each ASCII sign its own; digits, lower case, upper case and lead bytes beyond ASCII one each.
 _CLASS = np.zeros(256, np.int64)
 _CLASS[ord("0") : ord("9") + 1], _CLASS[ord("a") : ord("z") + 1], _CLASS[ord("A") : ord("Z") + 1], _CLASS[128:] = 1, 2, 3, 4
@@ -113,11 +116,13 @@ class AttentionNet:
         return {"E": x.T @ dh, "e": dh.sum(0), "V": f["h"].T @ dt, "U": f["h"].T @ dg, "w": (f["t"] * f["g"]).T @ ds, "c": f["z"].T @ dy, "d": np.array([dy.sum()])}
 
     def fit(self, bags: list[np.ndarray], labels: np.ndarray, weights: np.ndarray) -> AttentionNet:
-        everything = np.vstack(bags)
-        self.mean, self.scale = everything.mean(0), everything.std(0) + 1e-3
-        bags = [(b - self.mean) / self.scale for b in bags]
+        count = sum(len(b) for b in bags)
+        self.mean = sum(b.sum(0, dtype=float) for b in bags) / count
+        self.scale = np.sqrt(sum(((b - self.mean) ** 2).sum(0) for b in bags) / count) + 1e-3
+        bags = [((b - self.mean) / self.scale).astype(np.float32) for b in bags]
         draw, m, v, step = np.random.default_rng(5), {k: 0 for k in self.p}, {k: 0 for k in self.p}, 0
-        for epoch in range(EPOCHS):
+        epochs = max(EPOCHS, -(-LEAST_STEPS * BATCH // len(bags)))
+        for epoch in range(epochs):
             order = draw.permutation(len(bags))
             for at in range(0, len(bags), BATCH):
                 rows = order[at : at + BATCH]
@@ -126,7 +131,7 @@ class AttentionNet:
                 for k, g in found.items():
                     g = g + DECAY * self.p[k]
                     m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.99 * v[k] + 0.01 * g * g
-                    self.p[k] = self.p[k] - RATE * (1 - epoch / EPOCHS) * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
+                    self.p[k] = self.p[k] - RATE * (1 - epoch / epochs) * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
         return self
 
     def score(self, x: np.ndarray, edges: np.ndarray) -> np.ndarray:
@@ -154,7 +159,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from, label_col: str = "qualit
     labels_ = np.array([k for k, _ in rows], float)
     total, taken = sum(shares.values()), {k: max(1, int((labels_ == k).sum())) for k in shares}
     weights = np.array([shares[k] / total / (taken[k] / len(rows)) for k, _ in rows])
-    return AttentionNet().fit([np.frombuffer(x, np.float32).reshape(-1, WIDTH).astype(float) for _, x in rows], labels_, weights)
+    net = AttentionNet().fit([np.frombuffer(x, np.float32).reshape(-1, WIDTH) for _, x in rows], labels_, weights)
+    del rows
+    give_back()
+    return net
 
 
 def score(docs: DataFrame, model: AttentionNet | float, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
