@@ -19,21 +19,25 @@ from __future__ import annotations
 import json
 import unicodedata
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from engramite.llm.token_counts import byte_alphabet
+from engramite.llm import _words
+from engramite.llm._batches import tidy
+from engramite.llm.token_counts import BORDER, CONTRACTIONS, LETTER, NUMBER, OTHER, byte_alphabet, character_classes
 from engramite.session import scratch_path
 
-#: Bytes of text in a shard, on average; entries in a generation of the memo of words; bits in a block of the counts.
-SHARD_BYTES, MEMO_ENTRIES, BLOCK = 6 << 20, 300_000, 512
+#: Bytes of text in a shard, on average; entries of the table of words; bits in a block of the counts.
+SHARD_BYTES, MEMO_ENTRIES, BLOCK = 6 << 20, 400_000, 512
 
-#: Fixed value: white space of Unicode, as the split pattern means it.
-WHITE_SPACE = r"\t-\r\x20\x85\xa0  -     　"
+#: Characters split together.
+TOGETHER = 1 << 18
+
+#: Fixed value: the split pattern that is compiled here.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class WaveletMatrix:
@@ -127,48 +131,163 @@ class WaveletMatrix:
         return now
 
 
+class WordTable:
+    """Indexes of words by their 64-bit hash: direct tables over some bits, each taking what finds its slot used in the one before; a dict takes the rest."""
+
+    SHAPES = ((0, 21), (24, 18), (44, 16))
+
+    def __init__(self) -> None:
+        self.hashes = np.zeros(1 << 16, np.uint64)
+        self.count, self.rest = 0, {}
+        self.tables = [np.full(1 << bits, -1, np.int32) for _, bits in self.SHAPES]
+
+    def find(self, hashed: np.ndarray) -> np.ndarray:
+        """Index of each word, -1 if it is not there."""
+        out = np.full(len(hashed), -1, np.int32)
+        for k, ((shift, bits), table) in enumerate(zip(self.SHAPES, self.tables, strict=True)):
+            left = slice(None) if not k else np.flatnonzero(out < 0)
+            words = hashed[left]
+            at = table[((words >> np.uint64(shift)) & np.uint64((1 << bits) - 1)).astype(np.int64)]
+            out[left] = np.where((at >= 0) & (self.hashes[at] == words), at, -1)
+        if self.rest:
+            for i in np.flatnonzero(out < 0).tolist():
+                out[i] = self.rest.get(int(hashed[i]), -1)
+        return out
+
+    def add(self, hashed: np.ndarray) -> None:
+        """Words that are not there yet, each once; they get the next indexes in order."""
+        first, self.count = self.count, self.count + len(hashed)
+        while len(self.hashes) < self.count:
+            self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
+        self.hashes[first : self.count] = hashed
+        left = np.arange(first, self.count)
+        for (shift, bits), table in zip(self.SHAPES, self.tables, strict=True):
+            slot = ((self.hashes[left] >> np.uint64(shift)) & np.uint64((1 << bits) - 1)).astype(np.int64)
+            free = table[slot] < 0
+            table[slot[free]] = left[free]
+            left = left[table[slot] != left]
+        self.rest.update(zip(self.hashes[left].tolist(), left.tolist(), strict=True))
+
+
 class WordEncoder:
-    """A lower-casing word BPE file through its library: words are split off here, each new word goes through the library's model once."""
+    """A lower-casing word BPE file through its library: texts are normalised and split here, for a slice of texts at a time; each new word goes through the library's model once."""
 
     def __init__(self, path: str) -> None:
-        import regex
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         kinds = [x["type"] for x in spec["normalizer"]["normalizers"]], [x["type"] for x in spec["pre_tokenizer"]["pretokenizers"]]
         split = spec["pre_tokenizer"]["pretokenizers"][0]
-        if kinds != (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]) or split["behavior"] != "Removed" or not split["invert"]:
-            raise ValueError("only files that normalise by NFC and lower case and split off matches are read")
+        if kinds != (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]) or split["behavior"] != "Removed" or not split["invert"] or split["pattern"]["Regex"] != PATTERN:
+            raise ValueError("only files that normalise by NFC and lower case and split off matches of the usual pattern are read")
         self.library = Tokenizer.from_file(path)
-        pattern = split["pattern"]["Regex"].replace(r"[^\s", f"[^{WHITE_SPACE}").replace(r"\s", f"[{WHITE_SPACE}]")
-        self.find = regex.compile(pattern).findall
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.width = max(max(spec["model"]["vocab"].values()), *(t["id"] for t in spec["added_tokens"])).bit_length()
         self.kind = np.dtype("<u2") if self.width <= 16 else np.dtype("<u4")
         shown = {b: c for c, b in byte_alphabet().items()}
-        tokenize, code, outer = self.library.model.tokenize, "H" if self.width <= 16 else "I", self
-        letters = [shown[b] for b in range(256)]
-
-        class Memo(dict):
-            def __missing__(self, word: str) -> bytes:
-                found = outer.older.get(word)
-                if found is None:
-                    found = array(code, [t.id for t in tokenize("".join([letters[b] for b in word.encode("utf-8")]))]).tobytes()
-                self[word] = found
-                return found
-
-        self.new, self.memo, self.older = Memo, Memo(), {}
-
-    def __call__(self, text: str | None) -> bytes:
-        """Ids of a text, little-endian, in ``kind``."""
-        if not text:
-            return b""
-        if any(s in text for s in self.special) or "Σ" in text or "İ" in text:  # lower case depends on what is around
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
-        if len(self.memo) > MEMO_ENTRIES:
-            self.memo, self.older = self.new(), self.memo
-        return b"".join(map(self.memo.__getitem__, self.find(unicodedata.normalize("NFC", text).lower())))
+        self.letters = [shown[b] for b in range(256)]
+        self.classes = character_classes()
+        self.reset()
+
+    def reset(self) -> None:
+        self.table, self.ids, self.sizes = WordTable(), np.zeros(1 << 18, self.kind), np.zeros(1 << 16, np.int64)
+        self.starts, self.used = np.zeros(1 << 16, np.int64), 0
+
+    def _learn(self, words: list[str], hashed: np.ndarray) -> None:
+        tokenize, letters, first = self.library.model.tokenize, self.letters, self.table.count
+        found = [[t.id for t in tokenize("".join([letters[b] for b in w.encode("utf-8", "surrogatepass")]))] for w in words]
+        self.table.add(hashed)
+        sizes = np.array([len(f) for f in found], np.int64)
+        flat = np.array([i for f in found for i in f], self.kind)
+        while len(self.ids) < self.used + len(flat):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while len(self.sizes) < self.table.count:
+            self.sizes, self.starts = np.concatenate([self.sizes, np.zeros_like(self.sizes)]), np.concatenate([self.starts, np.zeros_like(self.starts)])
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.sizes[first : self.table.count] = sizes
+        self.starts[first : self.table.count] = self.used + np.cumsum(sizes) - sizes
+        self.used += len(flat)
+
+    def _words(self, texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(joined texts, starts, ends and hashes of the words, border of each text's words)."""
+        joined = "\0" + "\0".join(texts) + "\0"
+        codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
+        kinds = self.classes[codes]
+        borders = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+        kinds[borders] = BORDER
+        solid = (kinds == LETTER) | (kinds == NUMBER) | (kinds == OTHER)
+        start = solid.copy()
+        start[1:] &= (kinds[1:] != kinds[:-1]) | (kinds[1:] == NUMBER)
+        marks = np.flatnonzero((codes == ord("'")) & start)
+        if len(marks):
+            padded = np.append(codes, np.zeros(3, codes.dtype))
+            for tail in CONTRACTIONS:
+                hit = marks
+                for k, letter in enumerate(tail):
+                    hit = hit[padded[hit + 1 + k] == ord(letter)]
+                start[hit + 1] = False
+                after = hit + 1 + len(tail)
+                start[after[kinds[after] == LETTER]] = True
+        cuts = np.flatnonzero(start | ~solid)
+        opening = np.flatnonzero(start[cuts])
+        starts, ends = cuts[opening], cuts[opening + 1]
+        power, inverse = _words._powers(len(codes))
+        sums = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum((codes.astype(np.uint64) + np.uint64(0x1F123BB5)) * np.uint64(0xD6E8FEB86659FD93) * power, out=sums[1:])
+        hashed = _words.mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        return joined, starts, ends, hashed, np.searchsorted(starts, borders)
+
+    def _slice(self, texts: list[str]) -> list[np.ndarray]:
+        joined, starts, ends, hashed, border = self._words(texts)
+        if self.table.count > MEMO_ENTRIES:
+            self.reset()
+        at = self.table.find(hashed)
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            fresh, where = np.unique(hashed[missing], return_index=True)
+            self._learn([joined[a:b] for a, b in zip(starts[missing[where]].tolist(), ends[missing[where]].tolist(), strict=True)], fresh)
+            at[missing] = self.table.find(hashed[missing])
+        sizes = self.sizes[at]
+        total = np.concatenate([[0], np.cumsum(sizes)])
+        ids = self.ids[np.repeat(self.starts[at] - total[:-1], sizes) + np.arange(int(total[-1]))]
+        cuts = total[border]
+        return [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+
+    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of each text."""
+        out: list[np.ndarray] = [np.zeros(0, self.kind)] * len(texts)
+        parts: list[list[np.ndarray]] = [[] for _ in texts]
+        group, owner, size = [], [], 0
+
+        def work() -> None:
+            for i, ids in zip(owner, self._slice(group), strict=True):
+                parts[i].append(ids)
+
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            if any(s in text for s in self.special) or "Σ" in text or "İ" in text:  # lower case depends on what is around
+                parts[i].append(np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind))
+                continue
+            text, at = unicodedata.normalize("NFC", text).lower(), 0
+            while at < len(text):
+                end = at + TOGETHER
+                while end < len(text) and not text[end].isspace():  # a long text is cut where no word is
+                    end += 1
+                group.append(text[at:end])
+                owner.append(i)
+                size += len(group[-1])
+                at = end
+                if size >= TOGETHER:
+                    work()
+                    group, owner, size = [], [], 0
+        if group:
+            work()
+        for i, found in enumerate(parts):
+            if found:
+                out[i] = found[0] if len(found) == 1 else np.concatenate(found)
+        return out
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -204,18 +323,19 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col:
         encode = encoder(tokenizer_path)
         ids, texts = table.column("id").to_pylist(), table.column("text").to_pylist()
         order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0, texts[i]))
-        end = np.array([end_id], encode.kind).tobytes()
-        parts = [encode(texts[i]) + end for i in order]
-        matrix = WaveletMatrix.build(np.frombuffer(b"".join(parts), encode.kind), width)
+        end = np.array([end_id], encode.kind)
+        parts = [x for ids_of in encode([texts[i] for i in order]) for x in (ids_of, end)]
+        counts = [len(p) + 1 for p in parts[::2]]
+        matrix = WaveletMatrix.build(np.concatenate(parts), width)
         row = {
             "shard": table.column("shard")[0].as_py(), "n": matrix.n, "width": width, "docs": np.array([ids[i] or 0 for i in order], "<i8").tobytes(),
-            "sizes": (np.array([len(p) for p in parts], "<i8") // encode.kind.itemsize).tobytes(), "known": bytes(ids[i] is not None for i in order), "zeros": np.array(matrix.zeros, "<i8").tobytes(),
+            "sizes": np.array(counts, "<i8").tobytes(), "known": bytes(ids[i] is not None for i in order), "zeros": np.array(matrix.zeros, "<i8").tobytes(),
         }
         for k in range(width):
             row[f"plane_{k}"], row[f"ones_{k}"] = matrix.planes[k].tobytes(), matrix.ones[k].astype("<u4").tobytes()
         return pa.Table.from_pylist([row], schema=schema)
 
-    made = rows.withColumn("shard", shard).groupBy("shard").applyInArrow(build, ", ".join(f"{n} {t}" for n, t in names))
+    made = rows.withColumn("shard", shard).groupBy("shard").applyInArrow(tidy(build), ", ".join(f"{n} {t}" for n, t in names))
     made.write.partitionBy("shard").option("compression", "zstd").parquet(path)
     return path
 
