@@ -81,3 +81,18 @@ def ancestors(nodes: DataFrame, node: str, parent: str, most_rounds: int = 40) -
         if not left or state.where("not done and up = node").count() == left:
             break
     return state.where("done").select("node", F.col("up").alias("root"), "depth")
+
+
+def merge_episodes(episodes: DataFrame, episode: str, shared: str, rank: str, at: str) -> DataFrame:
+    """(merged, episodes, strongest, first, last): episodes that share an affected event are one, with the strongest class and the outer times.
+
+    ``episodes`` has a row for each episode and affected event. The bipartite graph of both is cut into components;
+    events are told from episodes by their sign.
+    """
+    from engramite.operators.components import connected_components
+
+    edges = episodes.select(F.col(episode).alias("u"), (-1 - F.col(shared)).alias("v"))
+    parts = connected_components(edges, "u", "v").where("node >= 0").select(F.col("node").alias(episode), "component")
+    each = episodes.groupBy(episode).agg(F.max(rank).alias("r"), F.min(at).alias("first"), F.max(at).alias("last"))
+    made = each.join(parts, episode).groupBy("component").agg(F.min(episode).alias("merged"), F.count("*").alias("episodes"), F.max("r").alias("strongest"), F.min("first").alias("first"), F.max("last").alias("last"))
+    return made.drop("component")

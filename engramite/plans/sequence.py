@@ -123,3 +123,13 @@ def late_rows(t):
     inner = day.withColumn("inner", F.max("ts").over(Window.partitionBy("slice").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)))
     marked = inner.join(tops.select("slice", "before"), "slice").withColumn("mark", F.greatest("before", "inner"))
     return marked.agg(F.count("*").alias("n"), F.count_if(F.col("ts") < F.col("mark") - F.expr("interval 1 day")).alias("late"))
+
+
+@query("SEQ3_merged_episodes", """WITH e AS (SELECT event_id, user_id * 1000 + CAST(json_extract(props, '$.k') AS INTEGER) // 10 AS shared, CASE WHEN value > 80 THEN 2 WHEN value > 40 THEN 1 ELSE 0 END AS r, ts FROM events WHERE event_type = 'error')
+SELECT min(event_id) AS merged, count(*) AS episodes, max(r) AS strongest, min(ts) AS first, max(ts) AS last FROM e GROUP BY shared""")
+def merged_episodes(t):
+    """Errors are episodes; those of one user on the same tenth of the files share an affected event."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    rank = F.when(F.col("value") > 80, 2).when(F.col("value") > 40, 1).otherwise(0)
+    rows = t.events.where("event_type = 'error'").select("event_id", (F.col("user_id") * 1000 + F.floor(k / 10)).alias("shared"), rank.alias("r"), "ts")
+    return sq.merge_episodes(rows, "event_id", "shared", "r", "ts")
