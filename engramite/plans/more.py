@@ -214,3 +214,34 @@ def jitter(t):
 def tag_jaccard(t):
     u = t.events.groupBy("user_id").agg(F.collect_set("event_type").alias("a"), F.collect_set(F.when(F.col("value") > 50, F.col("event_type"))).alias("b"))
     return u.select("user_id", F.round(F.try_divide(F.size(F.array_intersect("a", "b")), F.size(F.array_union("a", "b"))), 9).alias("jaccard"))
+
+
+@query("CUR5_scoped_search", """WITH c AS (SELECT a.vec_id, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS s FROM embeddings a, embeddings b WHERE b.vec_id = 7 AND a.label % 2 = 0) SELECT vec_id, round(s, 9) AS similarity FROM c ORDER BY s DESC, vec_id LIMIT 8""")
+def scoped_search(t):
+    """Nearest chunks among those of global collections; even labels stand for them."""
+    from engramite.operators import recall as rc
+    from engramite.plans.recall import probe
+
+    chunks = t.embeddings.withColumns({"collection": F.col("label").cast("string"), "scope": F.when(F.col("label") % 2 == 0, "global").otherwise("restricted")})
+    return rc.knn(lc.scope_gate(chunks, None), probe(t)).orderBy(F.desc("similarity"), "vec_id").limit(8).select("vec_id", F.round("similarity", 9).alias("similarity"))
+
+
+@query("LKP16_tuning_rule", """WITH c AS (SELECT p_brand AS config, avg(p_retailprice) / 2000 AS ndcg, quantile_disc(p_size, 0.95) AS p95 FROM part GROUP BY 1), b AS (SELECT * FROM c WHERE config = (SELECT min(config) FROM c)) SELECT c.config, c.ndcg > b.ndcg + 1e-9 AND c.p95 <= greatest(b.p95 * 1.25, b.p95 + 1) AS keep FROM c, b""")
+def tuning_rule(t):
+    """A configuration is kept if its quality is strictly better and its slow cases stay within the budget of the first one."""
+    c = t.part.groupBy(F.col("p_brand").alias("config")).agg((F.avg("p_retailprice") / 2000).alias("ndcg"), F.element_at(F.array_sort(F.collect_list("p_size")), F.ceil(F.count("*") * 0.95).cast("int")).alias("p95"))
+    b = c.agg(F.min_by(F.struct("ndcg", "p95"), "config").alias("b"))
+    return c.crossJoin(F.broadcast(b)).select("config", ((F.col("ndcg") > F.col("b.ndcg") + 1e-9) & (F.col("p95") <= F.greatest(F.col("b.p95") * 1.25, F.col("b.p95") + 1))).alias("keep"))
+
+
+@query("LKP5_recall_text", "SELECT source, array_to_string(list('- ' || CAST(doc_id AS VARCHAR) || ': ' || CAST(n_chars AS VARCHAR) ORDER BY doc_id DESC)[1:3], chr(10)) AS context FROM documents GROUP BY 1")
+def recall_text(t):
+    by = Window.partitionBy("source").orderBy(F.desc("doc_id"))
+    rows = t.documents.select("source", "doc_id", "n_chars", F.row_number().over(by).alias("r")).where("r <= 3")
+    lines = F.array_sort(F.collect_list(F.struct("r", F.concat(F.lit("- "), "doc_id", F.lit(": "), "n_chars").alias("line"))))
+    return rows.groupBy("source").agg(F.array_join(F.transform(lines, lambda s: s["line"]), "\n").alias("context"))
+
+
+@query("SNK11_push_counts", "SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS id, count(*) AS push_count FROM events WHERE event_type = 'click' GROUP BY 1")
+def push_counts(t):
+    return t.events.where("event_type = 'click'").groupBy(F.get_json_object("props", "$.k").cast("long").alias("id")).agg(F.count("*").alias("push_count"))
