@@ -20,12 +20,12 @@ SENT = "part int, run int, tokens binary"
 SCHEMA = pa.schema([("part", pa.int32()), ("run", pa.int32()), ("tokens", pa.binary())])
 
 
-def runs_for(total_bytes: int) -> int:
-    return max(1, -(-total_bytes // RUN_BYTES))
+def runs_for(total_bytes: int, run_bytes: int = RUN_BYTES) -> int:
+    return max(1, -(-total_bytes // run_bytes))
 
 
-def part_bits(total_tokens: float) -> int:
-    return max(3, int(total_tokens * 5 // PART_BYTES).bit_length())
+def part_bits(total_tokens: float, part_bytes: int = PART_BYTES) -> int:
+    return max(3, int(total_tokens * 5 // part_bytes).bit_length())
 
 
 def run_of(id_col: str, runs: int) -> Column:
