@@ -162,6 +162,32 @@ def test_benchmark_passages_are_found(spark, sf, docs):
     assert len(found & brute) >= 0.9 * len(brute) and len(found - brute) <= 0.02 * len(found)
 
 
+def test_found_are_those_with_any_span_by_the_rule(spark, sf, docs):
+    rows = spark.read.parquet(f"{sf}/benchmark.parquet").collect()
+    items = decontaminate.read_items([(r["item_id"], r["text"]) for r in rows])
+    found = {(r["doc_id"], r["item_id"]) for r in queries.op4_decontaminate(spark, sf).collect()}
+
+    def share(of, part):
+        return decontaminate.common_subsequence(decontaminate.places(of), len(of), part) / len(of)
+
+    def rule(item, words):
+        n, span = len(item.words), max(len(item.words) + 2, int(decontaminate.SPREAD * len(item.words)))
+        for a in range(0, len(words), max(1, span // 6)):
+            own = share(item.words, words[a : a + span])
+            if n < decontaminate.SHORT and own == 1 or n >= decontaminate.SHORT and own >= decontaminate.SURE:
+                return True
+            if n >= decontaminate.SHORT and own >= decontaminate.PARAPHRASE and share(item.answer, words[a : a + span]) >= decontaminate.ANSWER:
+                return True
+        return False
+
+    brute = set()
+    for i, text in docs:
+        words = decontaminate.split_words([text.encode()])[0].tolist()
+        held = set(words)
+        brute |= {(i, t.item_id) for t in items if len(set(t.words) & held) >= decontaminate.PARAPHRASE * len(set(t.words)) and rule(t, words)}
+    assert brute and len(found & brute) >= 0.9 * len(brute) and len(found - brute) <= 0.02 * len(found)
+
+
 def test_paraphrases_are_found_and_others_left(spark):
     draw = random.Random(6)
     items = [(k, sentence(draw, 25) + ". " + sentence(draw, 6) + ".") for k in range(12)] + [(98, None), (99, " ?")]
@@ -176,6 +202,27 @@ def test_paraphrases_are_found_and_others_left(spark):
     assert decontaminate.find(nothing(spark), benchmark).count() == 0 and decontaminate.find(awkward(spark), benchmark.limit(0)).count() == 0
 
 
+def test_any_span_with_the_answer_is_contamination():
+    """Words put in move the answer out of the span that has the most of the item's words."""
+    draw, met = random.Random(8), 0
+    for _ in range(400):
+        n, last = draw.randint(12, 60), draw.randint(3, 8)
+        words = [draw.randrange(10**6) for _ in range(n)]
+        item = decontaminate.Item(0, words, words[-last:])
+        around = [0] * n
+        for word in [w for w in words[:-last] if draw.random() < 0.65] + item.answer:
+            around += [word] + [0] * (draw.random() < 0.6) * draw.randint(1, 3)
+        around += [0] * n
+        span = max(n + 2, int(decontaminate.SPREAD * n))
+        step = max(1, span // 6)
+        parts = [around[a : a + span] for a in range(0, len(around), step)]
+        shares = [[len(set(of) & set(part)) / len(of) for of in (words, item.answer)] for part in parts]  # words are apart and in order
+        rule = any(s >= decontaminate.SURE or s >= decontaminate.PARAPHRASE and a >= decontaminate.ANSWER for s, a in shares)
+        assert item.judge(around)[2] == rule
+        met += rule
+    assert 100 < met < 400
+
+
 def test_common_subsequence():
     draw = random.Random(7)
     for _ in range(200):
