@@ -241,6 +241,15 @@ def entropy(t):
     return names.select("user_id", F.round(tx.entropy(F.substring(F.array_join(F.transform("a", lambda e: e["event_type"]), ""), 1, 40)), 6).alias("bits"))
 
 
+@query("RED3_entropy_whole", "WITH u AS (SELECT user_id, string_agg(event_type, '' ORDER BY ts, event_id) AS s FROM events GROUP BY 1), c AS (SELECT user_id, unnest(string_split(s, '')) AS ch, length(s) AS n FROM u), g AS (SELECT user_id, ch, count(*) / CAST(any_value(n) AS DOUBLE) AS p FROM c GROUP BY 1, 2) SELECT user_id, round(-sum(p * log2(p)), 6) AS bits FROM g GROUP BY 1")
+def entropy_whole(t):
+    """Of each user's whole history; the order of the events does not matter, so no history is gathered."""
+    names = t.events.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    chars = names.select("user_id", "n", F.explode(F.split("event_type", "")).alias("ch")).where("ch <> ''").groupBy("user_id", "ch").agg(F.sum("n").alias("n"))
+    total = F.sum("n")
+    return chars.groupBy("user_id").agg(F.round(F.log2(total) - F.sum(F.col("n") * F.log2("n")) / total, 6).alias("bits"))
+
+
 @query("RED4_mask", "SELECT DISTINCT c_name, CASE WHEN length(c_name) <= 8 THEN '****' ELSE c_name[1:4] || '****' || right(c_name, 4) END AS masked FROM customer")
 def mask(t):
     return t.customer.select("c_name", tx.mask(F.col("c_name")).alias("masked")).distinct()

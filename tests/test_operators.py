@@ -8,6 +8,7 @@ from engramite.functions import text as tx
 from engramite.functions import vectors as vc
 from engramite.operators import graph, lifecycle, pairs, recall, sequence
 from engramite.operators.components import connected_components
+from engramite.plans import library
 
 
 def one(spark, **columns):
@@ -90,3 +91,12 @@ def test_project_first_and_split(spark):
 def test_log_line(spark):
     row = one(spark, t="a\n\tb\u0007é" + "x" * 600).select(tx.printable(F.col("t"), 20).alias("p")).first()
     assert row["p"] == "a\\n\\tb??" + "x" * 12 + "...[cut]"
+
+
+def test_entropy_reads_whole_histories(spark, tmp_path):
+    rows = [(i, 1, i, "view") for i in range(15)] + [(15 + i, 1, 15 + i, "buy") for i in range(15)] + [(40, 2, 1, None)]
+    spark.createDataFrame(rows, "event_id long, user_id long, ts long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    found = library.QUERIES["RED3_entropy_whole"](spark, str(tmp_path)).collect()
+    text = "view" * 15 + "buy" * 15
+    bits = -sum(text.count(c) / len(text) * math.log2(text.count(c) / len(text)) for c in set(text))
+    assert [(r["user_id"], r["bits"]) for r in found] == [(1, round(bits, 6))]
