@@ -100,3 +100,13 @@ def test_entropy_reads_whole_histories(spark, tmp_path):
     text = "view" * 15 + "buy" * 15
     bits = -sum(text.count(c) / len(text) * math.log2(text.count(c) / len(text)) for c in set(text))
     assert [(r["user_id"], r["bits"]) for r in found] == [(1, round(bits, 6))]
+
+
+def test_cooccurrence_takes_all_lines_and_parts(spark, tmp_path):
+    """Small quantities count, and parts that are equal modulo 400 stay apart."""
+    lines = [(1, 7, 2.0), (1, 407, 50.0), (1, 9, 1.0), (2, 7, 3.0), (2, 407, 4.0), (2, 7, 5.0), (3, 9, 1.0)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    run = lambda name: {tuple(r) for r in library.QUERIES[name](spark, str(tmp_path)).collect()}
+    assert run("CLU2_cooccurrence_whole") == {(7, 407, 2.0), (7, 9, 1.0), (9, 407, 1.0)}
+    assert run("CLU2_weighted_cooccurrence_whole") == {(7, 407, 0.833333), (7, 9, 0.333333), (9, 407, 0.333333)}
+    assert run("KG4_context_edges_whole") == {(7, 407, 2.0, 1), (7, 9, 1.0, 2), (407, 7, 2.0, 1), (407, 9, 1.0, 2), (9, 7, 1.0, 1), (9, 407, 1.0, 2)}
