@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from engramite.functions import text as tx
 from engramite.operators import lifecycle as lc
 from engramite.operators import metrics as m
+from engramite.operators import secrets as se
 from engramite.plans.registry import AS_OF, LEARNINGS, query
 
 T = f"TIMESTAMP '{AS_OF}'"
@@ -235,6 +236,16 @@ def personal(t):
     return t.texts.select("doc_id", count(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}").alias("emails"), count(r"\b(?:10|192\.168|172\.(?:1[6-9]|2[0-9]|3[01]))(?:\.[0-9]{1,3}){2,3}\b").alias("addresses"), count(r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b").alias("ssn"))
 
 
+@query("RED1_rules")
+def secret_rules(t):
+    return se.findings(t.texts, "doc_id", "text")
+
+
+@query("RED9_rules")
+def rule_audit(t):
+    return se.audit(se.findings(t.texts, "doc_id", "text"), "doc_id")
+
+
 @query("RED3_entropy", "WITH u AS (SELECT user_id, string_agg(event_type, '' ORDER BY ts, event_id)[1:40] AS s FROM events GROUP BY 1), c AS (SELECT user_id, unnest(string_split(s, '')) AS ch, length(s) AS n FROM u), g AS (SELECT user_id, ch, count(*) / CAST(any_value(n) AS DOUBLE) AS p FROM c GROUP BY 1, 2) SELECT user_id, round(-sum(p * log2(p)), 6) AS bits FROM g GROUP BY 1")
 def entropy(t):
     names = t.events.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))).alias("a"))
