@@ -101,3 +101,10 @@ def project_first(own: DataFrame, everywhere: DataFrame, key: str, k: int) -> Da
     both = lead.unionByName(everywhere.withColumn("tier", F.lit(1))).unionByName(rest)
     first = both.groupBy(key).agg(F.min(F.struct("tier", "rank")).alias("at"))
     return ranked(first, [F.col("at.tier"), F.col("at.rank"), F.col(key)], k, "position").select(key, "position")
+
+
+def turn_facts(turns: DataFrame, session: str, turn: str, of: object = None, first: int | None = None, last: int | None = None) -> DataFrame:
+    """The turns of one session, or of all, from the ``first`` to the ``last`` one asked for."""
+    for bound, kept in ((of, F.col(session) == of), (first, F.col(turn) >= first), (last, F.col(turn) <= last)):
+        turns = turns if bound is None else turns.where(kept)
+    return turns

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from engramite.functions import text as tx
 from engramite.operators import lifecycle as lc
 from engramite.operators import metrics as m
+from engramite.operators import recall as rc
 from engramite.plans.registry import AS_OF, LEARNINGS, query
 
 T = f"TIMESTAMP '{AS_OF}'"
@@ -139,6 +140,11 @@ def turn_facts(t):
     return t.conversations.where("turn <= 2 and conv_id % 4 = 1").select("conv_id", "turn", "role")
 
 
+@query("LKP9_turn_facts_whole", "SELECT conv_id, turn, role FROM conversations WHERE turn <= 2")
+def turn_facts_whole(t):
+    return rc.turn_facts(t.conversations, "conv_id", "turn", last=2).select("conv_id", "turn", "role")
+
+
 @query("LKP11_backfill", "SELECT d.doc_id, CASE WHEN l.doc_id IS NOT NULL THEN 'done' WHEN e.vec_id IS NOT NULL THEN 'partial' ELSE 'new' END AS state, (row_number() OVER (PARTITION BY d.source ORDER BY d.doc_id) - 1) // 10 AS batch FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON l.doc_id = d.doc_id LEFT JOIN embeddings e ON e.vec_id = d.doc_id")
 def backfill(t):
     done = t.labels.select("doc_id").distinct().withColumn("done", F.lit(True))

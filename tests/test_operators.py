@@ -139,3 +139,9 @@ def test_rules_find_secrets_and_personal_data(spark):
         assert category == ("pii" if rule.startswith("pii") else "secret")
     counts = {r["rule"]: (r["finds"], r["rows"]) for r in secrets.audit(found, "id").collect()}
     assert counts["pii-email"] == (3, 2) and counts["twilio-sid"] == (1, 1)
+
+
+def test_turn_facts_of_any_session(spark):
+    turns = spark.createDataFrame([(c, k) for c in range(5) for k in range(1, 5)], "conv_id long, turn int")
+    run = lambda **a: {tuple(r) for r in recall.turn_facts(turns, "conv_id", "turn", **a).collect()}
+    assert run(last=2) == {(c, k) for c in range(5) for k in (1, 2)} and run(of=0, first=3) == {(0, 3), (0, 4)} and len(run()) == 20
