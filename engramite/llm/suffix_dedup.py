@@ -231,7 +231,14 @@ def _parse(data: bytes, count: int) -> list[bytes]:
 
 
 def _texts(table: pa.Table) -> tuple[list[int], list[bytes]]:
-    return table.column("id").to_pylist(), [t.encode("utf-8", "surrogatepass") for t in table.column("text").to_pylist()]
+    """Ids and texts of a run in ascending order, so that a row has the same number each time the run is read.
+
+    Spark does not fix the order of rows within a group: blocks come from several executors in any order, and anew
+    after a retry. Rows with the same id and text are alike in all that is computed.
+    """
+    raw = (t.encode("utf-8", "surrogatepass") for t in table.column("text").to_pylist())
+    rows = sorted(zip(table.column("id").to_pylist(), raw, strict=True))
+    return [i for i, _ in rows], [t for _, t in rows]
 
 
 def find_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
