@@ -100,6 +100,52 @@ def test_repeats_of_awkward_rows(spark):
     assert suffix_dedup.find_repeats(frame).count() == 20 and suffix_dedup.find_repeats(nothing(spark)).count() == 0
 
 
+def test_repeats_with_many_runs_and_any_order_of_rows(spark, sf, monkeypatch):
+    """Tens of runs, rows of each group in another order at each read, null ids and ids that come twice."""
+    draw = random.Random(9)
+    table = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    rows = table + [(i, t) for i, t in draw.sample(table, 60)] + [(i, table[draw.randrange(len(table))][1]) for i, _ in draw.sample(table, 60)]
+    rows += [(None, t) for _, t in draw.sample(table, 30)] + [(None, None), (7, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    tidy, runs_for = suffix_dedup.tidy, suffix_dedup._runs.runs_for
+    monkeypatch.setattr(suffix_dedup._runs, "runs_for", lambda total: runs_for(total, 60_000))
+
+    def in_any_order(work):
+        work = tidy(work)
+
+        def mixed(table):
+            import os
+
+            return table.take(np.random.default_rng(int.from_bytes(os.urandom(8))).permutation(table.num_rows))
+
+        def one(table):
+            return work(mixed(table))
+
+        def two(left, right):
+            return work(mixed(left), mixed(right))
+
+        return one if work.__code__.co_argcount == 1 else two
+
+    monkeypatch.setattr(suffix_dedup, "tidy", in_any_order)
+    found = suffix_dedup.report(suffix_dedup.find_repeats(frame)).collect()
+    got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in found)
+    first, want = {}, []
+    for i, text in rows:
+        raw = (text or "").encode()
+        for p in range(len(raw) - 49) if i is not None else ():
+            gram = raw[p : p + 50]
+            first[gram] = min(i, first.get(gram, i))
+    for i, text in rows:
+        raw = (text or "").encode()
+        covered = np.zeros(len(raw) + 2, np.int8)
+        for p in range(len(raw) - 49) if i is not None else ():
+            if first[raw[p : p + 50]] < i:
+                covered[p + 1 : p + 51] = 1
+        kept = bytes(b for b, c in zip(raw, covered[1:], strict=False) if not c)
+        want.append((-1 if i is None else i, len(raw), int(covered.sum()), int((np.diff(covered) == 1).sum()), hashlib.sha256(kept).hexdigest()))
+    assert got == sorted(want) and sum(w[2] for w in want) > 100_000
+
+
 def test_merge_orders_and_knows_prefixes():
     draw = random.Random(2)
     width = 12
@@ -135,14 +181,54 @@ def test_counts_of_odd_texts(spark, monkeypatch):
     want = [len(x.ids) for x in library.encode_batch(texts, add_special_tokens=False)]
     count = token_counts.TokenCounter(path)
     assert count(texts) == want
-    monkeypatch.setattr(token_counts, "CHUNK_CHARS", 9)  # every text is a scan of chunk maps
-    assert count(texts) == want
-    monkeypatch.setattr(token_counts, "MAX_STATES", 50)
-    assert token_counts.TokenCounter(path)(texts[:300]) == want[:300]
+    for chunk in range(1, 10):  # cuts inside matches, contractions and runs of white space
+        for block in (chunk * 7, 1000, 1 << 19):
+            monkeypatch.setattr(token_counts, "CHUNK", chunk)
+            monkeypatch.setattr(token_counts, "BLOCK", block)
+            assert count(texts) == want
+    monkeypatch.setattr(token_counts, "BLOCK", 100)
+    monkeypatch.setattr(token_counts, "MAX_STATES", 50)  # the table of states is emptied between blocks
+    assert token_counts.TokenCounter(path)(texts[:300] + ["ab" * 900]) == want[:300] + [len(library.encode("ab" * 900, add_special_tokens=False).ids)]
     assert token_counts.count_tokens(awkward(spark), path).where("n_bytes = 0 and n_tokens = 0").count() == 3
     assert token_counts.count_tokens(nothing(spark), path).count() == 0
 
 
+def test_chunk_maps_compose(docs):
+    """A chunk's map from any entry state is what the transducer does from it; composition is associative."""
+    count = token_counts.TokenCounter(public_tokenizers.path("byte_bpe_50k.json"))
+    run = count.matches.run
+    draw = random.Random(5)
+    words = [w for _, t in docs[:50] for w in t.split()][:400]
+    states = {run(0, w[:k].encode())[0] for w in words for k in range(len(w))}
+    for _ in range(200):
+        word = draw.choice(words).encode()
+        a, b = sorted(draw.randint(0, len(word)) for _ in range(2))
+        parts = [token_counts.ChunkMap(token_counts.StateMap(lambda s, raw=raw: run(s, raw)), 0, None) for raw in (word[:a], word[a:b], word[b:])]
+        parts.append(token_counts.ChunkMap(None, *reversed(run(0, b" next"))))
+        left, right = parts[0].then(parts[1]).then(parts[2].then(parts[3])), parts[0].then(parts[1].then(parts[2])).then(parts[3])
+        whole = token_counts.prefix_scan(parts)
+        for state in (0, run(0, draw.choice(words).encode()[:2])[0]):
+            try:
+                want = run(state, word)
+            except ValueError:
+                continue
+            assert whole[2](state) == want
+            assert left(state) == right(state) == whole[3](state) == (parts[3].tail, want[1] + parts[3].tokens)
+    assert len(states) > 50
+
+
+def test_split_scan_is_the_sequential_transducer():
+    split, draw = token_counts.SplitTransducer(), np.random.default_rng(3)
+    symbol = draw.integers(0, 14, 5000).astype(np.uint8)
+    state, want = 0, []
+    for one in symbol.tolist():
+        found = int(split.table[state << 4 | one])
+        state = found & 7
+        want.append(bool(found >> 3))
+    marks, last = split.marks(symbol, 0)
+    assert marks.tolist() == want and last == state
+
+
 # 4 benchmark decontamination
 
 def test_benchmark_passages_are_found(spark, sf, docs):
