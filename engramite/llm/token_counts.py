@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 
 from engramite.llm._batches import id_type, map_texts
 
-CHUNK, BLOCK, MAX_STATES, MEMO_ENTRIES = 256, 1 << 19, 150_000, 400_000
+CHUNK, BLOCK, MAX_STATES, MEMO_ENTRIES = 1024, 1 << 19, 150_000, 400_000
 
 #: Code points that are white space, and the letters that may follow an apostrophe as a match.
 WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -328,18 +328,20 @@ class TokenCounter:
         cuts, ends = cuts[real], ends[real]
         if not len(cuts):
             return split, 0
-        # parts that start at a mark are counted from state 0
+        # parts that start at a mark are counted from state 0; the others stand for nothing until their entry state is known
         marked = start[cuts]
         pieces = [text[a:b] for a, b in zip(cuts.tolist(), ends.tolist(), strict=True)]
-        new = {p for p, m in zip(pieces, marked.tolist(), strict=True) if m} - self.memo.keys()
+        unmarked = {k: pieces[k] for k in np.flatnonzero(~marked).tolist()}
+        for k in unmarked:
+            pieces[k] = ""
+        new = set(pieces) - self.memo.keys()
         if len(new) + len(self.memo) > MEMO_ENTRIES:
             self.memo.clear()
-            new = {p for p, m in zip(pieces, marked.tolist(), strict=True) if m}
-        run, get = self.matches.run, self.memo.get
+            new = set(pieces)
+        run = self.matches.run
         for piece in new:
             self.memo[piece] = run(0, piece.encode("utf-8", "surrogatepass"))[1]
-        tokens = np.fromiter((get(p, 0) for p in pieces), np.int64, len(pieces))
-        tokens[~marked] = 0
+        tokens = np.fromiter(map(self.memo.__getitem__, pieces), np.int64, len(pieces))
         # the map of each chunk that has parts: an unmarked part at its start is the head
         chunk = cuts // CHUNK
         first = np.flatnonzero(np.append(True, chunk[1:] != chunk[:-1]))
@@ -352,7 +354,7 @@ class TokenCounter:
         for a, b, total, headed, opened in zip(first.tolist(), last.tolist(), sums, (~marked[first]).tolist(), open_end[last].tolist(), strict=True):
             head = tail = None
             if headed:
-                piece = pieces[a]
+                piece = unmarked[a]
                 head = heads.get(piece)
                 if head is None:
                     raw = piece.encode("utf-8", "surrogatepass")
@@ -371,7 +373,7 @@ class TokenCounter:
         for k in np.flatnonzero(~marked[first]).tolist():
             tokens[first[k]] = maps[k].head(entry[k])[1]
         owner = np.searchsorted(all_borders, cuts + at) - 1
-        np.add.at(totals, owner, tokens)
+        totals += np.bincount(owner, tokens, len(totals)).astype(np.int64)
         return split, scanned[-1](match)[0]
 
     def __call__(self, texts: list[str | None]) -> list[int]:
