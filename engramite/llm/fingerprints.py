@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from engramite.llm._batches import SLICE_BYTES, id_type, map_texts, short_batches
@@ -34,7 +34,10 @@ SMALLEST, NORMAL, LARGEST, STRICT_BITS, LAX_BITS = 8, 16, 64, 5, 3
 WINDOW = 8
 
 #: Bits of a chunk digest: sets are compared two at a time, so few are enough.
-DIGEST_BITS = 40
+DIGEST_BITS = 36
+#: Fixed value: the signs of a fingerprint's text, in order of their six bits.
+SIGNS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"
+_TWO = [a + b for a in SIGNS for b in SIGNS]
 
 #: Random 32-bit value of each byte, from a fixed seed.
 GEAR = np.random.default_rng(20240229).integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -95,8 +98,29 @@ def containment(a: dict[int, int], b: dict[int, int]) -> float:
 
 
 def render(chunks: dict[int, int]) -> str:
-    """digest:length in ascending order, comma-joined."""
-    return ",".join([f"{k:010x}:{chunks[k]}" for k in sorted(chunks)])
+    """Seven signs a chunk in ascending order of digests: six for the digest, one for the length less one."""
+    return "".join([f"{_TWO[k >> 24]}{_TWO[k >> 12 & 4095]}{_TWO[k & 4095]}{SIGNS[chunks[k] - 1]}" for k in sorted(chunks)])
+
+
+def parse(text: str) -> dict[int, int]:
+    """The chunk set that ``render`` wrote."""
+    value = {c: k for k, c in enumerate(SIGNS)}
+    out = {}
+    for at in range(0, len(text), 7):
+        digest = 0
+        for sign in text[at : at + 6]:
+            digest = digest << 6 | value[sign]
+        out[digest] = value[text[at + 6]] + 1
+    return out
+
+
+def bucket_of(column: Column, points: list[int]) -> Column:
+    """How many of the ascending points are at most the value, by bisection; 0 for null."""
+    if not points:
+        return F.lit(0)
+    steps, held = F.array(*[F.lit(1 << k) for k in reversed(range(len(points).bit_length()))]), F.array(*map(F.lit, points))
+    found = F.aggregate(steps, F.lit(0), lambda n, s: F.when((n + s <= len(points)) & (F.get(held, n + s - 1) <= column), n + s).otherwise(n))
+    return F.when(column.isNull(), 0).otherwise(found)
 
 
 def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -105,7 +129,7 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def make():
         def work(keys: list, texts: list) -> dict:
             sets = chunk_sets([(t or "").encode("utf-8") for t in texts])
-            return {id_col: keys, "chunks": [[{"digest": f"{k:010x}", "length": c[k]} for k in sorted(c)] for c in sets]}
+            return {id_col: keys, "chunks": [[{"digest": f"{k:09x}", "length": c[k]} for k in sorted(c)] for c in sets]}
 
         return work
 
@@ -124,10 +148,7 @@ def next_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     count = 4 * partitions
     points = docs.stat.approxQuantile(id_col, [i / count for i in range(1, count)], 0.1 / count) if docs.schema[id_col].dataType.typeName() != "string" else []
     points = sorted({int(p) for p in points})
-    bucket = F.lit(0)
-    if points:
-        bucket = F.when(F.col("id").isNull(), 0).otherwise(F.expr(f"aggregate(array({','.join(f'{p}L' for p in points)}), 0, (n, p) -> n + int(id >= p))"))
-    rows = rows.withColumn("bucket", bucket)
+    rows = rows.withColumn("bucket", bucket_of(F.col("id"), points))
     # the first row of each bucket, by (id, text); its text is fetched for the smallest id only
     heads = rows.groupBy("bucket").agg(F.min(F.struct(F.col("id").isNotNull().alias("known"), "id")).alias("first")).select("bucket", "first.id").collect()
     order = sorted(heads, key=lambda r: r["bucket"])
