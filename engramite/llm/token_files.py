@@ -1,6 +1,7 @@
 """Token files: the ids of a shard of documents as a wavelet matrix.
 
-Documents are ordered by id and cut into shards. Plane k of a shard's matrix holds bit 15 - k (for 16-bit ids) of
+Documents are ordered by id, dealt by ranges of ids, and each range is cut into shards by bytes as it is read; shard
+numbers ascend with the ids. Plane k of a shard's matrix holds bit 15 - k (for 16-bit ids) of
 every id, in the order in which the earlier planes have sorted them; with counts of ones before each block of 512 bits
 an id is read, counted up to a place, or found by its number in one step a plane, without unpacking the file.
 
@@ -22,16 +23,19 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from engramite.llm import _words
-from engramite.llm._batches import tidy
+from engramite.llm._batches import give_back, short_batches
 from engramite.llm.token_counts import BORDER, CONTRACTIONS, LETTER, NUMBER, OTHER, byte_alphabet, character_classes
 from engramite.session import scratch_path
 
-#: Bytes of text in a shard, on average; entries of the table of words; bits in a block of the counts.
+#: Bytes of text in a shard (one longer text is a shard of its own); entries of the table of words; bits in a block of the counts.
 SHARD_BYTES, MEMO_ENTRIES, BLOCK = 6 << 20, 400_000, 512
+#: Ranges of ids at most; each is cut into as many shards as its bytes need, so this bounds the driver's table of borders, not the input.
+MOST_RANGES = 20_000
 
 #: Characters split together.
 TOGETHER = 1 << 18
@@ -300,7 +304,7 @@ def encoder(path: str) -> WordEncoder:
 
 
 def _columns(width: int) -> list[tuple[str, str]]:
-    fixed = [("shard", "int"), ("n", "long"), ("width", "int"), ("docs", "binary"), ("sizes", "binary"), ("known", "binary"), ("zeros", "binary")]
+    fixed = [("shard", "long"), ("n", "long"), ("width", "int"), ("docs", "binary"), ("sizes", "binary"), ("known", "binary"), ("zeros", "binary")]
     return fixed + [(f"{name}_{k}", "binary") for k in range(width) for name in ("plane", "ones")]
 
 
@@ -310,32 +314,44 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col:
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text, F.lit("")).alias("text"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
-    count = max(1, -(-total // SHARD_BYTES))
-    points = sorted({int(p) for p in rows.stat.approxQuantile("id", [i / count for i in range(1, count)], 0.1 / count)}) if count > 1 else []
-    shard = F.lit(0)
-    if points:
-        held = F.array(*map(F.lit, points))  # one split point a shard
-        shard = F.when(F.col("id").isNull(), 0).otherwise(F.size(F.filter(held, lambda p: p <= F.col("id"))))
+    ranges = min(MOST_RANGES, max(1, -(-total // SHARD_BYTES)))
+    # rows with one id may be many: the head of the text, in whose order they stand, parts them
+    keys = [F.col("id").asc_nulls_first(), F.substring("text", 1, 32)]
+    rows = rows.repartitionByRange(ranges, *keys).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
     names = _columns(width)
-    schema = pa.schema([(n, {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[t]) for n, t in names])
+    schema = pa.schema([(n, {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[t]) for n, t in names])
 
-    def build(table: pa.Table) -> pa.Table:
+    def build(shard: int, ids: list, texts: list) -> pa.RecordBatch:
         encode = encoder(tokenizer_path)
-        ids, texts = table.column("id").to_pylist(), table.column("text").to_pylist()
-        order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0, texts[i]))
         end = np.array([end_id], encode.kind)
-        parts = [x for ids_of in encode([texts[i] for i in order]) for x in (ids_of, end)]
+        parts = [x for ids_of in encode(texts) for x in (ids_of, end)]
         counts = [len(p) + 1 for p in parts[::2]]
         matrix = WaveletMatrix.build(np.concatenate(parts), width)
         row = {
-            "shard": table.column("shard")[0].as_py(), "n": matrix.n, "width": width, "docs": np.array([ids[i] or 0 for i in order], "<i8").tobytes(),
-            "sizes": np.array(counts, "<i8").tobytes(), "known": bytes(ids[i] is not None for i in order), "zeros": np.array(matrix.zeros, "<i8").tobytes(),
+            "shard": shard, "n": matrix.n, "width": width, "docs": np.array([i or 0 for i in ids], "<i8").tobytes(),
+            "sizes": np.array(counts, "<i8").tobytes(), "known": bytes(i is not None for i in ids), "zeros": np.array(matrix.zeros, "<i8").tobytes(),
         }
         for k in range(width):
             row[f"plane_{k}"], row[f"ones_{k}"] = matrix.planes[k].tobytes(), matrix.ones[k].astype("<u4").tobytes()
-        return pa.Table.from_pylist([row], schema=schema)
+        return pa.RecordBatch.from_pylist([row], schema=schema)
 
-    made = rows.withColumn("shard", shard).groupBy("shard").applyInArrow(tidy(build), ", ".join(f"{n} {t}" for n, t in names))
+    def run(batches):
+        first, ids, texts, size, made = TaskContext.get().partitionId() << 32, [], [], 0, 0
+        for batch in batches:
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids.append(i)
+                texts.append(text)
+                size += len(text)
+                if size >= SHARD_BYTES:
+                    yield build(first + made, ids, texts)
+                    ids, texts, size, made = [], [], 0, made + 1
+                    give_back()
+        if ids:
+            yield build(first + made, ids, texts)
+        give_back()
+
+    short_batches(docs.sparkSession)
+    made = rows.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in names))
     made.write.partitionBy("shard").option("compression", "zstd").parquet(path)
     return path
 
@@ -349,17 +365,21 @@ def load(row: dict) -> WaveletMatrix:
 
 def read(spark: SparkSession, path: str, width: int, id_col: str = "doc_id", with_ids: bool = False) -> DataFrame:
     """(id_col, start, n_tokens, ids_crc32[, ids]) of each document in the files, ``start`` counting the ids before it over all shards."""
-    schema = ", ".join(f"{n} {t}" for n, t in _columns(width) if n != "shard") + ", shard int"
+    schema = ", ".join(f"{n} {t}" for n, t in _columns(width) if n != "shard") + ", shard long"
     shards = spark.read.schema(schema).parquet(path)
-    ddl = "shard int, id long, at long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
-    arrow = pa.schema([("shard", pa.int32()), ("id", pa.int64()), ("at", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.list_(pa.int64()))] * with_ids)
+    ddl = "shard long, id long, at long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
+    arrow = pa.schema([("shard", pa.int64()), ("id", pa.int64()), ("at", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.list_(pa.int64()))] * with_ids)
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                values = load(row).decode().astype("<u4")
+                matrix = load(row)
+                values = matrix.decode().astype("<u4")
                 ends = np.cumsum(np.frombuffer(row["sizes"], "<i8"))
+                last = int(values[-1])  # the end id: found again by rank and select, at the place where the last document ends
+                if matrix.select(last, matrix.rank(last) - 1) != ends[-1] - 1 or matrix.access(int(ends[0]) - 1) != last:
+                    raise ValueError(f"shard {row['shard']} is damaged")
                 starts = ends - np.frombuffer(row["sizes"], "<i8")
                 whole = memoryview(values.tobytes())
                 cuts = list(zip(starts.tolist(), ends.tolist(), strict=True))
@@ -369,9 +389,10 @@ def read(spark: SparkSession, path: str, width: int, id_col: str = "doc_id", wit
                     columns.append([values[a:b].astype(np.int64) for a, b in cuts])
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
+    short_batches(spark)
     found = shards.mapInArrow(run, ddl)
     # ids before a shard: sums within blocks of shards, and of the blocks before
-    sizes = shards.select("shard", "n", F.floor(F.col("shard") / 1000).alias("block"))
+    sizes = shards.select("shard", "n", F.shiftright("shard", 40).alias("block"))
     blocks = sizes.groupBy("block").agg(F.sum("n").alias("n"))
     before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     blocks = blocks.select("block", before(Window.orderBy("block")).alias("first"))
