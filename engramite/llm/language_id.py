@@ -5,8 +5,8 @@ count as blanks), logarithmic and of unit length. Linear support vector machines
 descent, tell each two families apart; within a family one machine for each two of its languages votes. The score is
 the product of the logistic confidence of the family and of the language.
 
-The machines are fitted on a sample of at most ``PER_LANGUAGE`` labelled rows of each of the ``LANGUAGES`` most
-frequent languages, chosen by a hash of the id; counts of languages and predictions cover all rows.
+The machines are fitted on a sample of labelled rows of every language: at most ``PER_LANGUAGE`` of each, and about
+``LABELLED`` in all, chosen by a hash of the id; counts of languages and predictions cover all rows.
 
 Edge cases: a null text, an empty one or one without a letter is ``und`` with score 0; without labelled rows all
 are ``und``; with one language only it is predicted with score 1; rows with a null lang are not learned from; repeated
@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 
 from engramite.llm._batches import id_type, map_texts
 
-#: Bound of the training sample; bins of the histogram.
-PER_LANGUAGE, LANGUAGES, BINS = 500, 64, 4096
+#: Bounds of the training sample, in rows of a language and in all; bins of the histogram.
+PER_LANGUAGE, LABELLED, BINS = 500, 16_000, 4096
+#: Picked ids that are broadcast at most; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 #: Families of languages by code; any other language is a family of its own.
 FAMILIES = {
@@ -123,25 +125,29 @@ class Model:
         return langs.tolist(), sure
 
 
-def training_sample(docs: DataFrame, labelled: DataFrame, per_class: int, classes: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(text, label) of at most ``per_class`` rows of each of the ``classes`` most frequent labels of ``labelled`` (id, label).
+def training_sample(docs: DataFrame, labelled: DataFrame, per_class: int, in_all: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(text, label) of at most ``per_class`` rows of each label of ``labelled`` (id, label), fewer where all labels would come to more than ``in_all``, but one of each.
 
-    Ids are picked by a hash, before any text is read; the picked ids (at most per_class * classes) are broadcast. The
-    counts of the labels give the share of hashes to take, so only about as many rows as are picked are ranked.
+    Ids are picked by a hash, before any text is read. The counts of the labels give the share of hashes to take, so
+    only about as many rows as are picked are ranked. Counts and picked ids are broadcast while their number, which is
+    known before, is small.
     """
     labelled = labelled.where(F.col("label").isNotNull() & F.col("id").isNotNull()).distinct()
-    kept = labelled.groupBy("label").count().orderBy(F.desc("count"), "label").limit(classes)
+    kept = labelled.groupBy("label").count()
+    classes = kept.count()
+    per_class = max(1, min(per_class, in_all // max(1, classes)))
+    small = F.broadcast if classes * per_class <= BROADCAST_IDS else lambda frame: frame
     by = Window.partitionBy("label").orderBy("draw", "id")
     draw = F.pmod(F.xxhash64("id"), F.lit(1 << 32))
-    thinned = labelled.join(F.broadcast(kept), "label").withColumn("draw", draw).where(F.col("draw") * F.col("count") <= F.lit(1.5 * per_class * (1 << 32)))
+    thinned = labelled.join(small(kept), "label").withColumn("draw", draw).where(F.col("draw") * F.col("count") <= F.lit(float(max(1.5 * per_class, per_class + 20) * (1 << 32))))
     picked = thinned.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= per_class).select("id", "label")
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null").join(F.broadcast(picked), "id").select("id", "text", "label")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null").join(small(picked), "id").select("id", "text", "label")
 
 
 def fit(docs: DataFrame, learn_from, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """Fit the machines on the rows where the condition ``learn_from`` holds; None without such rows."""
     labelled = docs.where(learn_from).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("label"))
-    sample = training_sample(docs, labelled, PER_LANGUAGE, LANGUAGES, id_col, text_col)
+    sample = training_sample(docs, labelled, PER_LANGUAGE, LABELLED, id_col, text_col)
     key = sample.select(F.col("label").alias("k"), F.col("text"))
 
     def make():

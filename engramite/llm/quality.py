@@ -5,9 +5,8 @@ hashed pairs of classes, and how its words repeat. An encoder turns each passage
 attention (tanh times sigmoid) weighs the passages of a bag; the weighted sum gives the score. Encoder, attention and
 score are trained together, from document labels only.
 
-Training takes at most ``PER_LABEL`` labelled rows of each label, chosen by a hash of the id, and at most
-``BAG_PASSAGES`` evenly spaced passages of each; classes are weighted back to their share among all labelled rows.
-Scoring encodes every passage of every text.
+Training takes at most ``PER_LABEL`` labelled rows of each label, chosen by a hash of the id, with all their passages;
+classes are weighted back to their share among all labelled rows. Scoring encodes every passage of every text.
 
 Edge cases: a null or empty text has one passage without words and is scored like any other; rows without a label or
 with a null one are not learned from; without labels every score is 0.5, with one label only it is that label; a
@@ -25,7 +24,7 @@ from engramite.llm import _words
 from engramite.llm._batches import filter_texts, give_back, id_type, map_texts
 from engramite.llm.language_id import training_sample
 
-PASSAGE_WORDS, PER_LABEL, BAG_PASSAGES = 64, 1200, 24
+PASSAGE_WORDS, PER_LABEL = 64, 1200
 HIDDEN, EPOCHS, RATE, DECAY, BATCH = 24, 10, 0.01, 1e-4, 64
 
 #: Steps of the training at least, however few the labels are.
@@ -145,13 +144,12 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from, label_col: str = "qualit
     shares = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     if len(shares) < 2:
         return float(next(iter(shares), 0.5))
-    sample = training_sample(docs, known, PER_LABEL, 2, id_col, text_col).select(F.col("label").alias("k"), "text")
+    sample = training_sample(docs, known, PER_LABEL, 2 * PER_LABEL, id_col, text_col).select(F.col("label").alias("k"), "text")
 
     def make():
         def work(keys: list, texts: list) -> dict:
             x, edges = passages([t.encode("utf-8", "surrogatepass") for t in texts])
-            picked = [np.unique(np.linspace(a, b - 1, min(b - a, BAG_PASSAGES)).astype(int)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-            return {"k": keys, "x": [x[p].tobytes() for p in picked]}
+            return {"k": keys, "x": [x[a:b].tobytes() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]}
 
         return work
 
