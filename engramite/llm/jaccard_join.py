@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from engramite.llm import _runs, _words
 from engramite.llm._batches import give_back, short_batches, slices, tidy
-from engramite.operators.components import connected_components
+from engramite.operators.components import connected_components, join_hot
 from engramite.session import cut_lineage
 
 #: Bytes of text in a run and of packed shingles in a part: small, as a run's sets are held together.
@@ -213,7 +213,7 @@ def link(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100, id_col:
     linkable = rows.where("node is not null and id is not null")
     frequent = summary.where("kind = 1").groupBy("node").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "node").limit(FREQUENT).collect()
     order = Order([(r["node"], r["n"]) for r in frequent])
-    total = rows.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("b"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    total = rows.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("b"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("rows")).first()
     sizes = {r["n"]: r["count"] for r in linkable.where(F.col("n") <= MOST_LIGHT).groupBy("n").count().collect()}
     light = light_bound(sizes, at)
 
@@ -257,7 +257,8 @@ def link(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100, id_col:
     linked = smallest.join(classes, "node")
     named = linked.join(linked.groupBy("component").agg(F.min("id").alias("component_id")), "component").select("node", "component_id")
     named = smallest.join(named, "node", "left").select("node", F.coalesce("component_id", "id").alias("component_id"))
-    found = rows.join(named, "node", "left").select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
+    # all copies of a text are rows of one node
+    found = join_hot(rows, named, "node", total["rows"], "left").select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
     return found.select(F.col("id").alias(id_col), "n_shingles", "component_id")
 
 
