@@ -57,12 +57,15 @@ def tidy(work: Callable) -> Callable:
 
 
 def short_batches(spark: SparkSession) -> None:
-    """Let Spark send at most ``BATCH_ROWS`` rows and ``BATCH_BYTES`` bytes at a time; its defaults are made for short rows."""
+    """Let Spark send at most ``BATCH_ROWS`` rows and ``BATCH_BYTES`` bytes at a time; its defaults are made for short rows.
+
+    The settings are read when a plan runs, which is after an operator has returned, so they stay; they are only ever
+    lowered.
+    """
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        with contextlib.suppress(Exception):  # a setting that this version does not have
-            now = int("".join(c for c in spark.conf.get(key) if c.isdigit()) or 0)
-            if not 0 < now <= most:
-                spark.conf.set(key, str(most))
+        now = int("".join(c for c in spark.conf.get(key) if c.isdigit()) or 0)
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
 
 
 def map_texts(docs: DataFrame, make: Callable[[], Callable[[list, list], dict]], schema: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
