@@ -1,8 +1,8 @@
 """Connected components of an undirected graph given as pairs, by alternating large-star and small-star rounds.
 
-Every round is a grouped minimum (combined before the shuffle) and a join with it; the edges of a hub are joined where
-they are (``join_hot``), so they are never gathered in one task. The number of rounds is logarithmic in the longest
-path. Each round is written to the shared checkpoint folder, which bounds the lineage and survives lost executors.
+Every round is a grouped minimum (combined before the shuffle) and a join with it. A hub of more than ``HUB_EDGES``
+edges is joined where its edges are (``join_hot``); the edges of smaller ones, rows of two ids, meet in one task. The
+number of rounds is logarithmic in the longest path. Each round is written to the shared checkpoint folder, which bounds the lineage and survives lost executors.
 """
 
 from __future__ import annotations
@@ -12,19 +12,21 @@ from pyspark.sql import functions as F
 
 from engramite.session import cut_lineage
 
-#: A key is hot with more rows than this and than one in ``MOST_HOT`` of all, so there are at most ``MOST_HOT`` hot keys.
-HOT_ROWS, MOST_HOT = 1000, 10_000
+#: A key is hot with more rows than one in ``MOST_HOT`` of all, so there are at most ``MOST_HOT`` hot keys.
+MOST_HOT = 10_000
+#: Edges of a node that one task can well hold.
+HUB_EDGES = 1_000_000
 
 
-def join_hot(rows: DataFrame, small: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
-    """rows joined with a frame that has one row for each key, without gathering the rows of a hot key.
+def join_hot(rows: DataFrame, small: DataFrame, key: str, total: int, how: str = "inner", most: int = 1000) -> DataFrame:
+    """rows joined with a frame that has one row for each key, without gathering the rows of a key that has over ``most``.
 
     ``total`` is the number of ``rows`` (or more), and bounds the number of hot keys and so what is broadcast for them:
     their rows stay where they are. The rows of all other keys are shuffled. Rows with a null key match nothing.
     """
-    if total <= HOT_ROWS:
+    if total <= most:
         return rows.join(small, key, how)
-    least = max(HOT_ROWS, total // MOST_HOT)
+    least = max(most, total // MOST_HOT)
     hot = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > least).select(key)
     there = F.broadcast(small.join(F.broadcast(hot), key, "left_semi"))
     apart = rows.join(F.broadcast(hot), key, "left_anti").join(small, key, how)
@@ -49,10 +51,12 @@ def connected_components(pairs: DataFrame, left: str = "u", right: str = "v", ma
             break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = join_hot(both.where("v > u"), low, "u", state[0]).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = join_hot(both.where("v > u"), low, "u", state[0], most=HUB_EDGES).select(F.col("v").alias("u"), F.col("m").alias("v"))
         down = large.where("u <> v").distinct()
+        if state[0] > HUB_EDGES:
+            down = cut_lineage(down)
         low = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = join_hot(down, low, "u", state[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        small = join_hot(down, low, "u", state[0], most=HUB_EDGES).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         edges = cut_lineage(small.where("u <> v").distinct())
         new = _state(edges)
         if new == state:

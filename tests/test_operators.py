@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from engramite.functions import text as tx
 from engramite.functions import vectors as vc
 from engramite.operators import graph, lifecycle, pairs, recall, secrets, sequence
+from engramite.operators import components
 from engramite.operators.components import connected_components
 from engramite.plans import library
 
@@ -17,6 +18,20 @@ def one(spark, **columns):
     return spark.createDataFrame([tuple(columns.values())], list(columns))
 
 
+def test_components_with_hubs_joined_in_place(spark, monkeypatch):
+    """A hub with the smallest, one with the largest and one with a middle id, and a chain between them."""
+    edges = [(0, k) for k in range(1, 60)] + [(500, k) for k in range(100, 160)] + [(250, k) for k in (*range(200, 230), *range(270, 300))] + [(59, 100), (900, 901), (7, None)]
+    frame = spark.createDataFrame(edges, "u long, v long")
+    want = {r["node"]: r["component"] for r in connected_components(frame).collect()}
+    monkeypatch.setattr(components, "HUB_EDGES", 20)
+    assert {r["node"]: r["component"] for r in connected_components(frame).collect()} == want
+    assert want[500] == 0 and want[299] == 200 and want[901] == 900
+    rows, small = spark.createDataFrame([(1, k) for k in range(50)] + [(2, 0), (None, 1), (3, 2)], "k long, x int"), spark.createDataFrame([(1, "a"), (2, "b")], "k long, y string")
+    for how in ("inner", "left"):
+        plain = sorted(map(str, rows.join(small, "k", how).collect()))
+        assert sorted(map(str, components.join_hot(rows, small, "k", 53, how, most=10).collect())) == plain
+
+
 def test_components_of_chains_hubs_and_loops(spark):
     chain = [(i, i + 1) for i in range(100, 160)]
     hub = [(1, i) for i in range(2, 50)]
