@@ -34,8 +34,6 @@ from engramite.session import scratch_path
 
 #: Bytes of text in a shard (one longer text is a shard of its own); entries of the table of words; bits in a block of the counts.
 SHARD_BYTES, MEMO_ENTRIES, BLOCK = 6 << 20, 400_000, 512
-#: Ranges of ids at most; each is cut into as many shards as its bytes need, so this bounds the driver's table of borders, not the input.
-MOST_RANGES = 20_000
 
 #: Characters split together.
 TOGETHER = 1 << 18
@@ -313,8 +311,8 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col:
     width = encoder(tokenizer_path).width
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text, F.lit("")).alias("text"))
-    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
-    ranges = min(MOST_RANGES, max(1, -(-total // SHARD_BYTES)))
+    # as many ranges as shuffles have partitions: each is cut into as many shards as its bytes need
+    ranges = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # rows with one id may be many: the head of the text, in whose order they stand, parts them
     keys = [F.col("id").asc_nulls_first(), F.substring("text", 1, 32)]
     rows = rows.repartitionByRange(ranges, *keys).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
