@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words that queries and word counts leave out.
@@ -58,6 +58,36 @@ def or_query(query: str) -> str:
     return " | ".join(query_words(query))
 
 
+def sanitized(words: Column) -> Column:
+    """Letters and digits of each word, of those with more than two."""
+    return F.filter(F.transform(words, lambda w: F.regexp_replace(w, "[^a-zA-Z0-9]", "")), lambda w: F.length(w) > 2)
+
+
+def cleaned_query(text: Column) -> Column:
+    """Lower case, hyphens apart, no stop words; the text itself where nothing is left."""
+    parts = F.filter(F.split(F.replace(F.lower(text), F.lit("-"), F.lit(" ")), r"[ \t\r\n\f\x0B]+"), lambda w: (w != "") & ~w.isin(STOPWORDS))
+    return F.when(F.size(parts) == 0, text).otherwise(F.array_join(parts, " "))
+
+
+#: Names of outcomes and what each is kept as.
+OUTCOMES = {
+    "SUCCESS": "SUCCEEDED", "SUCCEEDED": "SUCCEEDED", "PARTIAL": "PARTIAL_PLUS", "PARTIAL_PLUS": "PARTIAL_PLUS",
+    "PARTIAL_MINUS": "PARTIAL_MINUS", "FAILED": "FAILED", "FAILURE": "FAILED", "UNKNOWN": "UNKNOWN",
+}
+
+
+def outcome(status: Column) -> Column:
+    """The kept name of an outcome in any case; UNKNOWN for any other and for null."""
+    named = F.create_map(*[F.lit(x) for pair in OUTCOMES.items() for x in pair])
+    return F.coalesce(F.try_element_at(named, F.upper(status)), F.lit("UNKNOWN"))
+
+
+def core_matches(df: DataFrame, key: str, query: str) -> DataFrame:
+    """Rows whose key holds the query or is held by it, in any case."""
+    name, asked = F.lower(key), F.lit(query.lower())
+    return df.where(F.contains(name, asked) | F.contains(asked, name))
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
@@ -154,16 +184,102 @@ def has_signal(text: Column) -> Column:
     return text.rlike("(?i)" + "|".join(SIGNALS))
 
 
-def printable(text: Column, longest: int = 500) -> Column:
-    """For logs: line ends and other control signs escaped, anything beyond ASCII as a question mark, cut with a mark."""
-    out = text
-    for sign, shown in (("\\\\", "\\\\\\\\"), ("\n", "\\\\n"), ("\r", "\\\\r"), ("\t", "\\\\t")):
-        out = F.regexp_replace(out, sign, shown)
-    out = F.regexp_replace(out, r"[^\x20-\x7E]", "?")
-    return F.when(F.length(out) > longest, F.concat(F.substring(out, 1, longest), F.lit("...[cut]"))).otherwise(out)
+#: Commands are redacted by these rules in this order; the first group (and the second, if any) stays.
+COMMAND_RULES = [
+    (r"(?i)(Bearer\s+)\S+", "$1[REDACTED]"),
+    (r"(://[^:]+:)[^@]+(@)", "$1[REDACTED]$2"),
+    (r"(?i)(--(?:password|token|secret|key)=)(?:\"[^\"]*\"|'[^']*'|\S+)", "$1[REDACTED]"),
+    (r"(?i)(--(?:password|token|secret|key)\s+)(?:\"[^\"]*\"|'[^']*'|[^\s-]\S*)", "$1[REDACTED]"),
+    (r"(?i)((?:export\s+)?[A-Za-z0-9_]*(?:KEY|SECRET|TOKEN|PASSWORD|CREDENTIAL)[A-Za-z0-9_]*=)\S+", "$1[REDACTED]"),
+    (r"\bsk-[A-Za-z0-9_-]{8,}\b", "[REDACTED]"),
+]
+
+#: Free text is masked by these rules in this order.
+SECRET_RULES = [
+    (r"(?i)(Bearer\s+)\S+", "$1<redacted-secret>"),
+    (r"(://[^:/@\s]+:)[^@\s]+(@)", "$1<redacted-secret>$2"),
+    (r"(^|[^A-Za-z0-9_])((?:export\s+)?(?:[A-Z0-9]+_)*(?:KEY|SECRET|TOKEN|PASSWORD|CREDENTIALS?)=)\S+", "$1$2<redacted-secret>"),
+    (r"\bsk-[A-Za-z0-9_-]{8,}", "<redacted-secret>"),
+    (r"\bgh[opusr]_[A-Za-z0-9]{20,}", "<redacted-secret>"),
+    (r"\bgithub_pat_[A-Za-z0-9_]{20,}", "<redacted-secret>"),
+    (r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b", "<redacted-secret>"),
+    (r"\b(?:pa|voy)-[A-Za-z0-9_-]{16,}", "<redacted-secret>"),
+]
+
+#: What of a database error is data: quoted literals, and the values of a key in a detail line.
+VALUE_RULES = [(r"'[^']*'", "'<redacted>'"), (r"\)=\([^\n]*\)", ")=(<redacted>)")]
+
+
+def replaced(text: Column, rules: list[tuple[str, str]]) -> Column:
+    """The rules applied one after the other."""
+    for pattern, kept in rules:
+        text = F.regexp_replace(text, pattern, kept)
+    return text
+
+
+def log_field(text: Column, longest: int = 500) -> Column:
+    """One line of printable ASCII and tabs for logs: other characters by number, longer texts cut with a mark, null named."""
+    head = F.substring(text, 1, longest)
+
+    def shown(at: Column) -> Column:
+        sign = F.substring(head, at, F.lit(1))
+        code = F.ascii(sign)
+        number = lambda prefix, width: F.concat(F.lit(prefix), F.lpad(F.lower(F.hex(code)), width, "0"))
+        return F.when((code == 9) | code.between(32, 126), sign).when(code <= 0xFF, number("\\x", 2)).when(code <= 0xFFFF, number("\\u", 4)).otherwise(number("\\U", 8))
+
+    places = F.when(F.length(head) > 0, F.sequence(F.lit(1), F.length(head))).otherwise(F.array().cast("array<int>"))
+    line = F.when(head.rlike(r"[^\x20-\x7E\t]"), F.array_join(F.transform(places, shown), "")).otherwise(head)
+    cut = F.when(F.length(text) > longest, F.concat(line, F.lit("...[truncated "), F.length(text) - longest, F.lit(" characters]"))).otherwise(line)
+    return F.coalesce(cut, F.lit("<none>"))
+
+
+def file_mentions(text: Column) -> Column:
+    """Files that a markdown text names: in back ticks with an extension (and an optional place), or after **File**:."""
+    return F.concat(F.regexp_extract_all(text, F.lit(r"`([^`\n]+\.[a-z]+)(?::[^`\n]*)?`"), F.lit(1)), F.regexp_extract_all(text, F.lit(r"\*\*File\*\*:\s*`?([^\s`]+)`?"), F.lit(1)))
+
+
+#: Phrases that say how something is asked, dropped in this order from a request.
+ASKING = [
+    r"(?i)^(can you|could you|would you|please|help me|i want to|i need to|let's|lets)\s+", r"(?i)^(show me|tell me|find|search for|look for|recall|remember)\s+",
+    r"(?i)^(how do i|how can i|how to|what is|what are|where is|where are)\s+", r"(?i)\s+(for me|please|thanks|thank you)$", r"\?$",
+]
+#: Words that a request's keywords leave out.
+PLAIN_WORDS = (
+    "a an the is are was were be been being have has had do does did will would could should may might must can to of in for on with at by from as into through during "
+    "before after above below between under again further then once here there when where why how all each few more most other some such no nor not only own same so than too very "
+    "s t just don now i me my you your we help our they them their it its this that these what which who whom and but if or because until while about against also get got make "
+    "want need look see use like know think take come go say said tell please let sure recall remember similar problems issues"
+).split()
+
+
+def keywords(text: Column, most: int = 5) -> Column:
+    """The first distinct words of more than two characters that are not plain ones."""
+    parts = F.split(F.regexp_replace(F.lower(text), r"[^\w\s-]", " "), r"\s+")
+    return F.array_join(F.slice(F.array_distinct(F.filter(parts, lambda w: (F.length(w) > 2) & ~w.isin(PLAIN_WORDS))), 1, most), " ")
+
+
+def intent(text: Column) -> Column:
+    """What is asked without how it is asked; the keywords where fewer than five characters are left."""
+    kept = strip(replaced(strip(text), [(p, "") for p in ASKING]))
+    return F.when(F.length(kept) < 5, keywords(text)).otherwise(kept)
+
+
+#: Words that open a reply, and what follows in orders that only point at what was said.
+LEADS = "no nope nah yes yeah yep yup ok okay sure nvm nevermind oops thanks exactly agreed cool great awesome perfect".split()
+POINTING = (
+    r"^(?:do|redo|undo|run|rerun|try|retry|repeat|revert|keep|continue|extend|fix|change|update|move|apply|test|save|delete|remove|show|add|create|make|use)\s+"
+    r"(?:it|that|this|them|those|these)(?:\s+(?:again|now|once|more|instead|please|too|another\s+\d+(?:\s+\w+){1,2}))*$"
+)
+CHOOSING = (
+    r"^(?:do|redo|run|rerun|try|retry|repeat|use|pick|choose|select|take|apply|keep)\s+the\s+(?:first|second|third|fourth|fifth|sixth|last|next|previous|prior|other|another|latter|former|same|top|bottom|\d+(?:st|nd|rd|th)?)"
+    r"(?:\s+(?:one|ones|option|item|choice|approach|suggestion|result|match|idea|fix))?(?:\s+(?:again|now|please|instead|too))*$"
+)
 
 
 def is_conversational(text: Column) -> Column:
-    """Short turns that need no recall: greetings, thanks, agreement."""
-    low = F.trim(F.lower(text))
-    return (F.length(low) < 12) | low.rlike(r"^(yes|no|ok|okay|sure|thanks|thank you|hi|hello|continue|go ahead|great|perfect)\b.{0,20}$")
+    """Short turns that need no recall: nothing, agreement, or an order that only points at what was said. Over eight words it is a request."""
+    lead = "|".join(LEADS)
+    low = F.regexp_replace(F.lower(strip(text)), rf"^({lead})\s*[,:;.-]+\s*", "$1 ")
+    tokens = F.filter(F.transform(F.split(low, r"\s+"), lambda w: F.regexp_replace(w, r"^[^\w]+|[^\w]+$", "")), lambda w: w != "")
+    rest = F.array_join(F.when(F.get(tokens, F.lit(0)).isin(LEADS), F.slice(tokens, 2, 8)).otherwise(tokens), " ")
+    return (F.size(tokens) == 0) | (F.size(tokens) <= 8) & (F.forall(tokens, lambda w: w.isin(LEADS)) | rest.rlike(POINTING) | rest.rlike(CHOOSING))

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from engramite.session import cut_lineage
+
 #: Rows in a block, on average.
 BLOCK_ROWS = 2048
 
@@ -82,3 +84,20 @@ def nearest(df: DataFrame, k: int, key: str = "vec_id", embedding: str = "embedd
     found = block_pairs(df, key, embedding, pick, "id long, other long, similarity double")
     by = Window.partitionBy("id").orderBy(F.desc("similarity"), "other")
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+
+
+def refused(links: DataFrame, first: str = "a", second: str = "b") -> DataFrame:
+    """(id): in order of ids a row is stored unless a stored earlier one is linked to it; those that are not stored.
+
+    Each round settles the rows without an unsettled earlier neighbour, so there are as many rounds as the longest
+    chain of ids that hang on each other; a settled row's links are dropped.
+    """
+    live = cut_lineage(links.select(F.col(first).alias("a"), F.col(second).alias("b")).where("a < b").distinct())
+    gone = live.select(F.col("b").alias("id")).limit(0)
+    while not live.isEmpty():
+        stored = live.select(F.col("a").alias("id")).distinct().join(live.select(F.col("b").alias("id")), "id", "left_anti")
+        out = cut_lineage(live.join(stored.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id")).distinct())
+        gone = gone.unionByName(out)
+        live = live.join(stored.withColumnRenamed("id", "a"), "a", "left_anti").join(out.withColumnRenamed("id", "a"), "a", "left_anti").join(out.withColumnRenamed("id", "b"), "b", "left_anti")
+        live = cut_lineage(live)
+    return gone

@@ -76,6 +76,16 @@ def bm25(df: DataFrame, query: list[str], key: str, text: str = "content", k1: f
     return rows.crossJoin(F.broadcast(stats)).withColumn("score", score).where("score > 0").select(key, "score")
 
 
+def bounded(score: Column) -> Column:
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), score))
+
+
+def overfetch(df: DataFrame, score: str, key: str, k: int, least: float) -> DataFrame:
+    """Twice k rows, of those the ones that reach a threshold, of those k."""
+    order = [F.desc(score), F.col(key)]
+    return df.orderBy(*order).limit(2 * k).where(F.col(score) >= least).orderBy(*order).limit(k)
+
+
 def recency_blend(df: DataFrame, days: Column, weight: float) -> DataFrame:
     return df.withColumn("score", (1 - weight) * F.col("similarity") + weight * F.greatest(F.lit(0.0), 1 - days / 30.0))
 

@@ -12,10 +12,6 @@ COS = "list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS
 REACH = "e AS (SELECT a AS u, b AS v FROM k UNION ALL SELECT b, a FROM k), reach AS (SELECT DISTINCT u, u AS v FROM e UNION SELECT r.u, e.v FROM reach r JOIN e ON r.v = e.u), comp AS (SELECT u AS node, min(v) AS component FROM reach GROUP BY 1)"
 
 
-def lines(t):
-    return t.lineitem.where("l_quantity >= 45").select("l_orderkey", (F.col("l_partkey") % 400).alias("item"))
-
-
 def whole(t):
     return t.lineitem.select("l_orderkey", F.col("l_partkey").alias("item"))
 
@@ -27,25 +23,14 @@ def by_order(rows):
     return g.cooccurrence(rows, "l_orderkey", "item", weight).withColumn("weight", F.round("weight", 6))
 
 
-@query("CLU2_cooccurrence", "WITH m AS (SELECT DISTINCT l_orderkey, l_partkey % 400 AS item FROM lineitem WHERE l_quantity >= 45) SELECT x.item AS a, y.item AS b, CAST(count(*) AS DOUBLE) AS weight FROM m x JOIN m y ON x.l_orderkey = y.l_orderkey AND x.item < y.item GROUP BY 1, 2")
+@query("CLU2_cooccurrence", "WITH m AS (SELECT DISTINCT l_orderkey, l_partkey AS item FROM lineitem) SELECT x.item AS a, y.item AS b, CAST(count(*) AS DOUBLE) AS weight FROM m x JOIN m y ON x.l_orderkey = y.l_orderkey AND x.item < y.item GROUP BY 1, 2")
 def cooccurrence(t):
-    return g.cooccurrence(lines(t), "l_orderkey", "item")
-
-
-@query("CLU2_weighted_cooccurrence", """WITH m AS (SELECT DISTINCT l_orderkey, l_partkey % 400 AS item FROM lineitem WHERE l_quantity >= 45), w AS (SELECT l_orderkey, 1 / CAST(count(*) AS DOUBLE) AS weight FROM m GROUP BY 1)
-SELECT x.item AS a, y.item AS b, round(sum(w.weight), 6) AS weight FROM m x JOIN m y ON x.l_orderkey = y.l_orderkey AND x.item < y.item JOIN w ON w.l_orderkey = x.l_orderkey GROUP BY 1, 2""")
-def weighted(t):
-    return by_order(lines(t))
-
-
-@query("CLU2_cooccurrence_whole", "WITH m AS (SELECT DISTINCT l_orderkey, l_partkey AS item FROM lineitem) SELECT x.item AS a, y.item AS b, CAST(count(*) AS DOUBLE) AS weight FROM m x JOIN m y ON x.l_orderkey = y.l_orderkey AND x.item < y.item GROUP BY 1, 2")
-def cooccurrence_whole(t):
     return g.cooccurrence(whole(t), "l_orderkey", "item")
 
 
-@query("CLU2_weighted_cooccurrence_whole", """WITH m AS (SELECT DISTINCT l_orderkey, l_partkey AS item FROM lineitem), w AS (SELECT l_orderkey, 1 / CAST(count(*) AS DOUBLE) AS weight FROM m GROUP BY 1)
+@query("CLU2_weighted_cooccurrence", """WITH m AS (SELECT DISTINCT l_orderkey, l_partkey AS item FROM lineitem), w AS (SELECT l_orderkey, 1 / CAST(count(*) AS DOUBLE) AS weight FROM m GROUP BY 1)
 SELECT x.item AS a, y.item AS b, round(sum(w.weight), 6) AS weight FROM m x JOIN m y ON x.l_orderkey = y.l_orderkey AND x.item < y.item JOIN w ON w.l_orderkey = x.l_orderkey GROUP BY 1, 2""")
-def weighted_whole(t):
+def weighted(t):
     return by_order(whole(t))
 
 
@@ -112,13 +97,7 @@ def relations(t):
     return g.relations(g.entities(t.texts, "doc_id", "text", ENTITIES), "doc_id", 50)
 
 
-@query("KG4_context_edges", """WITH m AS (SELECT DISTINCT l_orderkey, l_partkey % 400 AS item FROM lineitem WHERE l_quantity >= 45), k AS (SELECT x.item AS a, y.item AS b, count(*) AS weight FROM m x JOIN m y ON x.l_orderkey = y.l_orderkey AND x.item < y.item GROUP BY 1, 2),
+@query("KG4_context_edges", """WITH m AS (SELECT DISTINCT l_orderkey, l_partkey AS item FROM lineitem), k AS (SELECT x.item AS a, y.item AS b, count(*) AS weight FROM m x JOIN m y ON x.l_orderkey = y.l_orderkey AND x.item < y.item GROUP BY 1, 2),
 b AS (SELECT a AS node, b AS other, weight FROM k UNION ALL SELECT b, a, weight FROM k), r AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY weight DESC, other) AS rank FROM b) SELECT node, other, CAST(weight AS DOUBLE) AS weight, rank FROM r WHERE rank <= 5""")
 def context(t):
-    return g.top_edges(g.cooccurrence(lines(t), "l_orderkey", "item"), 5)
-
-
-@query("KG4_context_edges_whole", """WITH m AS (SELECT DISTINCT l_orderkey, l_partkey AS item FROM lineitem), k AS (SELECT x.item AS a, y.item AS b, count(*) AS weight FROM m x JOIN m y ON x.l_orderkey = y.l_orderkey AND x.item < y.item GROUP BY 1, 2),
-b AS (SELECT a AS node, b AS other, weight FROM k UNION ALL SELECT b, a, weight FROM k), r AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY weight DESC, other) AS rank FROM b) SELECT node, other, CAST(weight AS DOUBLE) AS weight, rank FROM r WHERE rank <= 5""")
-def context_whole(t):
     return g.top_edges(g.cooccurrence(whole(t), "l_orderkey", "item"), 5)

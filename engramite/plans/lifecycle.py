@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from engramite.functions import text as tx
 from engramite.operators import lifecycle as lc
 from engramite.operators import metrics as m
+from engramite.operators import scans
 from engramite.operators import secrets as se
-from engramite.plans.registry import AS_OF, LEARNINGS, query
+from engramite.plans.registry import AS_OF, LEARNINGS, query, sql_replaced
+from engramite.sources import files
 
 T = f"TIMESTAMP '{AS_OF}'"
 
@@ -187,10 +189,14 @@ def html_text(t):
     return t.pages.select("page_id", tx.plain_html(F.col("html")).alias("text"))
 
 
-@query("SRC14_classify_path", r"SELECT page_id, CASE WHEN contains(url, '/de') THEN 'handoff' WHEN contains(url, '/fr') THEN 'plan' WHEN url LIKE '%?%' THEN 'query' ELSE 'other' END AS kind, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host FROM pages")
+PATHS = "concat(list_extract(['/a/thoughts/shared/handoffs/', '/a/plans/', '/b/handoffs/old.d/', '/x/', '/y/CONTINUITY_CLAUDE-'], CAST(page_id % 5 + 1 AS INTEGER)), CAST(page_id AS VARCHAR), list_extract(['.md', '.yaml', '.yml', '.txt'], CAST(page_id % 4 + 1 AS INTEGER)))"
+
+
+@query("SRC14_classify_path", f"SELECT page_id, CASE WHEN contains(p, 'handoffs') AND regexp_matches(p, '\\.ya?ml$') THEN 'handoff_yaml' WHEN contains(p, 'handoffs') AND p LIKE '%.md' THEN 'handoff' WHEN contains(p, 'plans') AND p LIKE '%.md' THEN 'plan' WHEN regexp_matches(p, '/CONTINUITY_CLAUDE-[^/]*$') THEN 'continuity' END AS kind FROM (SELECT page_id, {PATHS} AS p FROM pages)")
 def classify(t):
-    kind = F.when(F.contains("url", F.lit("/de")), "handoff").when(F.contains("url", F.lit("/fr")), "plan").when(F.col("url").like("%?%"), "query").otherwise("other")
-    return t.pages.select("page_id", kind.alias("kind"), F.regexp_extract("url", "^https?://([^/?#]+)", 1).alias("host"))
+    folder = F.element_at(F.array(*map(F.lit, ("/a/thoughts/shared/handoffs/", "/a/plans/", "/b/handoffs/old.d/", "/x/", "/y/CONTINUITY_CLAUDE-"))), (F.col("page_id") % 5 + 1).cast("int"))
+    ending = F.element_at(F.array(*map(F.lit, (".md", ".yaml", ".yml", ".txt"))), (F.col("page_id") % 4 + 1).cast("int"))
+    return t.pages.select("page_id", files.kind_of(F.concat(folder, F.col("page_id").cast("string"), ending)).alias("kind"))
 
 
 @query("TXT17_chunks", r"""WITH s AS (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS s FROM documents), c AS (SELECT doc_id, s, unnest(range(0, CAST(greatest(ceil((length(s) - 200) / 1000.0) - 1, 0) AS BIGINT) + 1)) AS i FROM s WHERE length(s) > 0) SELECT doc_id, i AS chunk_index, length(s[i * 1000 + 1 : i * 1000 + 1200]) AS n, sha256(s[i * 1000 + 1 : i * 1000 + 1200]) AS hash FROM c""")
@@ -199,9 +205,9 @@ def chunks(t):
     return each.select("doc_id", F.col("i").cast("long").alias("chunk_index"), F.length("c").cast("long").alias("n"), F.sha2("c", 256).alias("hash"))
 
 
-@query("TXT18_slug", "SELECT doc_id, CASE WHEN s = '' THEN 'untitled' ELSE s END AS slug FROM (SELECT doc_id, regexp_replace((regexp_replace(regexp_replace(lower(text[1:80]), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'))[1:40], '-+$', '', 'g') AS s FROM documents)")
+@query("TXT18_slug", "SELECT doc_id, CASE WHEN s = '' THEN 'untitled' ELSE s END AS slug FROM (SELECT doc_id, regexp_replace((regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'))[1:40], '-+$', '', 'g') AS s FROM documents)")
 def slug(t):
-    return t.texts.select("doc_id", tx.slug(F.substring("text", 1, 80)).alias("slug"))
+    return t.texts.select("doc_id", tx.slug(F.col("text")).alias("slug"))
 
 
 @query("TXT19_project", "SELECT DISTINCT source, CASE WHEN lower(source) = 'src0' THEN 'main' ELSE lower(source) END AS project FROM documents")
@@ -230,10 +236,6 @@ def confidence(t):
     return t.texts.select(tx.confidence(F.col("text")).alias("level")).groupBy("level").agg(F.count("*").alias("n"))
 
 
-@query("RED1_personal_data", r"""SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')) AS emails, len(regexp_extract_all(text, '\b(?:10|192\.168|172\.(?:1[6-9]|2[0-9]|3[01]))(?:\.[0-9]{1,3}){2,3}\b')) AS addresses, len(regexp_extract_all(text, '\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b')) AS ssn FROM documents""")
-def personal(t):
-    count = lambda p: F.regexp_count("text", F.lit(p)).cast("long")
-    return t.texts.select("doc_id", count(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}").alias("emails"), count(r"\b(?:10|192\.168|172\.(?:1[6-9]|2[0-9]|3[01]))(?:\.[0-9]{1,3}){2,3}\b").alias("addresses"), count(r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b").alias("ssn"))
 
 
 @query("RED1_rules")
@@ -246,14 +248,8 @@ def rule_audit(t):
     return se.audit(se.findings(t.texts, "doc_id", "text"), "doc_id")
 
 
-@query("RED3_entropy", "WITH u AS (SELECT user_id, string_agg(event_type, '' ORDER BY ts, event_id)[1:40] AS s FROM events GROUP BY 1), c AS (SELECT user_id, unnest(string_split(s, '')) AS ch, length(s) AS n FROM u), g AS (SELECT user_id, ch, count(*) / CAST(any_value(n) AS DOUBLE) AS p FROM c GROUP BY 1, 2) SELECT user_id, round(-sum(p * log2(p)), 6) AS bits FROM g GROUP BY 1")
+@query("RED3_entropy", "WITH u AS (SELECT user_id, string_agg(event_type, '' ORDER BY ts, event_id) AS s FROM events GROUP BY 1), c AS (SELECT user_id, unnest(string_split(s, '')) AS ch, length(s) AS n FROM u), g AS (SELECT user_id, ch, count(*) / CAST(any_value(n) AS DOUBLE) AS p FROM c GROUP BY 1, 2) SELECT user_id, round(-sum(p * log2(p)), 6) AS bits FROM g GROUP BY 1")
 def entropy(t):
-    names = t.events.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))).alias("a"))
-    return names.select("user_id", F.round(tx.entropy(F.substring(F.array_join(F.transform("a", lambda e: e["event_type"]), ""), 1, 40)), 6).alias("bits"))
-
-
-@query("RED3_entropy_whole", "WITH u AS (SELECT user_id, string_agg(event_type, '' ORDER BY ts, event_id) AS s FROM events GROUP BY 1), c AS (SELECT user_id, unnest(string_split(s, '')) AS ch, length(s) AS n FROM u), g AS (SELECT user_id, ch, count(*) / CAST(any_value(n) AS DOUBLE) AS p FROM c GROUP BY 1, 2) SELECT user_id, round(-sum(p * log2(p)), 6) AS bits FROM g GROUP BY 1")
-def entropy_whole(t):
     """Of each user's whole history; the order of the events does not matter, so no history is gathered."""
     names = t.events.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
     chars = names.select("user_id", "n", F.explode(F.split("event_type", "")).alias("ch")).where("ch <> ''").groupBy("user_id", "ch").agg(F.sum("n").alias("n"))
@@ -266,11 +262,49 @@ def mask(t):
     return t.customer.select("c_name", tx.mask(F.col("c_name")).alias("masked")).distinct()
 
 
-@query("RED6_redact", r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(text, '(password|passwd|secret)(\s*[:=]\s*)\S+', '\1\2[REDACTED]', 'g'), '(token\s*=\s*)"[^"]*"', '\1"[REDACTED]"', 'g'), 'AKIA[0-9A-Z]{16}', '[AWS_KEY]', 'g')) AS hash FROM documents""")
+@query("RED6_redact", "SELECT doc_id, sha256(" + sql_replaced("text", tx.SECRET_RULES) + ") AS hash FROM documents")
 def redact(t):
-    text = F.regexp_replace("text", r"(password|passwd|secret)(\s*[:=]\s*)\S+", "$1$2[REDACTED]")
-    text = F.regexp_replace(F.regexp_replace(text, r'(token\s*=\s*)"[^"]*"', '$1"[REDACTED]"'), "AKIA[0-9A-Z]{16}", "[AWS_KEY]")
-    return t.texts.select("doc_id", F.sha2(text, 256).alias("hash"))
+    return t.texts.select("doc_id", F.sha2(tx.replaced(F.col("text"), tx.SECRET_RULES), 256).alias("hash"))
+
+
+SECRET_LINES = "concat('export ', CASE o_orderkey % 3 WHEN 0 THEN 'GH_TOKEN=' WHEN 1 THEN 'monkey=' ELSE 'MY_DB_PASSWORD=' END, md5(CAST(o_orderkey AS VARCHAR)), ' Bearer ', md5(CAST(o_custkey AS VARCHAR)), ' postgres://ann:', md5(CAST(o_orderkey AS VARCHAR)), '@host --token=''a b'' --key x --secret -v sk-', md5(CAST(o_custkey AS VARCHAR)), ' task-', o_orderstatus, ' ghp_', md5(CAST(o_orderkey AS VARCHAR)))"
+
+
+def secret_lines(t):
+    one, two = F.md5(F.col("o_orderkey").cast("string")), F.md5(F.col("o_custkey").cast("string"))
+    name = F.when(F.col("o_orderkey") % 3 == 0, "GH_TOKEN=").when(F.col("o_orderkey") % 3 == 1, "monkey=").otherwise("MY_DB_PASSWORD=")
+    line = F.concat(F.lit("export "), name, one, F.lit(" Bearer "), two, F.lit(" postgres://ann:"), one, F.lit("@host --token='a b' --key x --secret -v sk-"), two, F.lit(" task-"), "o_orderstatus", F.lit(" ghp_"), one)
+    return t.orders.select("o_orderkey", line.alias("line"))
+
+
+@query("RED5_commands", f"SELECT o_orderkey, {sql_replaced(SECRET_LINES, tx.COMMAND_RULES)} AS line FROM orders")
+def redact_commands(t):
+    return secret_lines(t).select("o_orderkey", tx.replaced(F.col("line"), tx.COMMAND_RULES).alias("line"))
+
+
+@query("RED6_secret_lines", f"SELECT o_orderkey, {sql_replaced(SECRET_LINES, tx.SECRET_RULES)} AS line FROM orders")
+def redact_lines(t):
+    return secret_lines(t).select("o_orderkey", tx.replaced(F.col("line"), tx.SECRET_RULES).alias("line"))
+
+
+VALUE_LINES = "concat('duplicate key \"orders_pk\" LINE 1: INSERT VALUES (', chr(39), o_orderstatus, chr(39), ', ', chr(39), CAST(o_custkey AS VARCHAR), chr(39), ')', chr(10), 'DETAIL: Key (o_orderkey)=(', CAST(o_orderkey AS VARCHAR), ' (x)) already exists.')"
+
+
+@query("RED7_database_values", f"SELECT o_orderkey, {sql_replaced(VALUE_LINES, tx.VALUE_RULES)} AS line FROM orders")
+def database_values(t):
+    line = F.concat(F.lit('duplicate key "orders_pk" LINE 1: INSERT VALUES (\''), "o_orderstatus", F.lit("', '"), F.col("o_custkey").cast("string"), F.lit("')\nDETAIL: Key (o_orderkey)=("), F.col("o_orderkey").cast("string"), F.lit(" (x)) already exists."))
+    return t.orders.select("o_orderkey", tx.replaced(line, tx.VALUE_RULES).alias("line"))
+
+
+CODE = "unicode(substr(h, i, 1))"
+
+
+@query("RED8_log_field", f"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 7 = 0 THEN text || chr(128512) || chr(155) || chr(10) ELSE right(text, 300) || chr(128512) || chr(155) END AS t FROM documents), s AS (SELECT doc_id, t, substr(t, 1, 500) AS h FROM d)
+SELECT doc_id, sha256(coalesce(coalesce(array_to_string(list_transform(range(1, length(h) + 1), lambda i: CASE WHEN {CODE} = 9 OR {CODE} BETWEEN 32 AND 126 THEN substr(h, i, 1) WHEN {CODE} <= 255 THEN '\\x' || lpad(lower(to_hex({CODE})), 2, '0') WHEN {CODE} <= 65535 THEN '\\u' || lpad(lower(to_hex({CODE})), 4, '0') ELSE '\\U' || lpad(lower(to_hex({CODE})), 8, '0') END), ''), '')
+|| CASE WHEN length(t) > 500 THEN '...[truncated ' || CAST(length(t) - 500 AS VARCHAR) || ' characters]' WHEN t IS NULL THEN NULL ELSE '' END, '<none>')) AS hash FROM s""")
+def log_fields(t):
+    text = F.when(F.col("doc_id") % 11 == 0, None).when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("\U0001f600\x9b\n"))).otherwise(F.concat(F.right("text", F.lit(300)), F.lit("\U0001f600\x9b")))
+    return t.texts.select("doc_id", F.sha2(tx.log_field(text), 256).alias("hash"))
 
 
 @query("LKP1_latest", "SELECT o_custkey, arg_max(o_orderkey, {'d': o_orderdate, 'p': o_totalprice, 'k': o_orderkey}) AS o_orderkey FROM orders GROUP BY 1")
@@ -291,8 +325,11 @@ def cascade(t):
 
 @query("LKP7_feedback", "SELECT source, count(*) AS n, round(CAST(count(*) FILTER (quality = 1) AS DOUBLE) / count(*), 4) AS rate, array_to_string(list(doc_id ORDER BY doc_id)[1:10], ',') AS ids FROM labels JOIN documents USING (doc_id) GROUP BY 1")
 def feedback(t):
+    """Counts of every group, and its first ten: ranked first, so that no group is gathered."""
     joined = t.labels.join(t.documents.select("doc_id", "source"), "doc_id")
-    return joined.groupBy("source").agg(F.count("*").alias("n"), F.round(F.count_if(F.col("quality") == 1) / F.count("*"), 4).alias("rate"), F.array_join(F.slice(F.array_sort(F.collect_list("doc_id")), 1, 10), ",").alias("ids"))
+    counts = joined.groupBy("source").agg(F.count("*").alias("n"), F.round(F.count_if(F.col("quality") == 1) / F.count("*"), 4).alias("rate"))
+    first = scans.top_per_key(joined.select("source", "doc_id"), "source", [F.col("doc_id")], 10).groupBy("source").agg(F.array_join(F.array_sort(F.collect_list("doc_id")), ",").alias("ids"))
+    return counts.join(first, "source")
 
 
 @query("LKP10_reembed_progress", "SELECT CASE WHEN e.vec_id IS NULL THEN 'missing' WHEN label < 5 THEN 'pending' ELSE 'done' END AS state, count(*) AS n FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id GROUP BY 1")

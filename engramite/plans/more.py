@@ -9,7 +9,8 @@ from engramite.functions import text as tx
 from engramite.operators import lifecycle as lc
 from engramite.operators import metrics as m
 from engramite.operators import recall as rc
-from engramite.plans.registry import AS_OF, LEARNINGS, query
+from engramite.operators import scans
+from engramite.plans.registry import AS_OF, LEARNINGS, query, sql_replaced
 
 T = f"TIMESTAMP '{AS_OF}'"
 
@@ -135,13 +136,8 @@ def browse(t):
     return t.documents.where((F.col("lang") == "en") & F.contains(F.lower("text"), F.lit("licensed"))).orderBy(F.desc("doc_id")).limit(20).select("doc_id", "n_chars")
 
 
-@query("LKP9_turn_facts", "SELECT conv_id, turn, role FROM conversations WHERE turn <= 2 AND conv_id % 4 = 1")
+@query("LKP9_turn_facts", "SELECT conv_id, turn, role FROM conversations WHERE turn <= 2")
 def turn_facts(t):
-    return t.conversations.where("turn <= 2 and conv_id % 4 = 1").select("conv_id", "turn", "role")
-
-
-@query("LKP9_turn_facts_whole", "SELECT conv_id, turn, role FROM conversations WHERE turn <= 2")
-def turn_facts_whole(t):
     return rc.turn_facts(t.conversations, "conv_id", "turn", last=2).select("conv_id", "turn", "role")
 
 
@@ -170,10 +166,12 @@ def artifact_upsert(t):
     return t.part.join(fresh, "p_partkey", "left").select("p_partkey", F.coalesce("body", "p_brand").alias("body"), name.alias("name"))
 
 
-@query("LKP20_saved_query", "SELECT source, '[' || array_to_string(list(doc_id ORDER BY doc_id)[1:5], ',') || ']' AS matches FROM documents WHERE contains(lower(text), 'tion') GROUP BY 1")
+@query("LKP20_saved_query", "SELECT source, '[' || array_to_string(list(doc_id ORDER BY doc_id)[1:5], ',') || ']' AS matches, substr(md5(source || 'tion'), 1, 12) AS query_id FROM documents WHERE contains(lower(text), 'tion') GROUP BY source")
 def saved_query(t):
-    hits = t.texts.join(t.documents.select("doc_id", "source"), "doc_id").where(F.contains(F.lower("text"), F.lit("tion")))
-    return hits.groupBy("source").agg(F.to_json(F.slice(F.array_sort(F.collect_list("doc_id")), 1, 5)).alias("matches"))
+    """The first five matches of each source under an id made from what was asked."""
+    hits = t.texts.where(F.contains(F.lower("text"), F.lit("tion"))).select("doc_id").join(t.documents.select("doc_id", "source"), "doc_id")
+    first = scans.top_per_key(hits, "source", [F.col("doc_id")], 5)
+    return first.groupBy("source").agg(F.to_json(F.array_sort(F.collect_list("doc_id"))).alias("matches")).withColumn("query_id", F.substring(F.md5(F.concat("source", F.lit("tion"))), 1, 12))
 
 
 @query("TXT15_signals", "SELECT role, count(*) AS n, count(*) FILTER (regexp_matches(text, '(?i)" + "|".join(tx.SIGNALS).replace("'", "''") + "')) AS with_signal FROM conversations GROUP BY 1")
@@ -181,20 +179,37 @@ def signals(t):
     return t.conversations.groupBy("role").agg(F.count("*").alias("n"), F.count_if(tx.has_signal(F.col("text"))).alias("with_signal"))
 
 
-@query("TXT14_conversational", r"SELECT role, count(*) FILTER (length(trim(lower(text))) < 12 OR regexp_matches(trim(lower(text)), '^(yes|no|ok|okay|sure|thanks|thank you|hi|hello|continue|go ahead|great|perfect)\b.{0,20}$')) AS n FROM conversations GROUP BY 1")
+LEAD_LIST, LEAD = ", ".join(f"'{w}'" for w in tx.LEADS), "|".join(tx.LEADS)
+TURNS = "SELECT conv_id, turn, CASE (conv_id + turn) % 8 WHEN 0 THEN 'No:do that again!' WHEN 1 THEN 'yeah,  use the second option please' WHEN 2 THEN 'OK, sure' WHEN 3 THEN ' ' WHEN 4 THEN 'no, extend it another 7 business days' WHEN 5 THEN 'fix this function' ELSE text END AS text FROM conversations"
+
+
+@query("TXT14_conversational", rf"""WITH c AS ({TURNS}), k AS (SELECT *, list_filter(list_transform(string_split_regex(regexp_replace(lower(regexp_replace(text, '^\s+|\s+$', '', 'g')), '^({LEAD})\s*[,:;.-]+\s*', '\1 '), '\s+'), lambda w: regexp_replace(w, '^[^\w]+|[^\w]+$', '', 'g')), lambda w: w <> '') AS w FROM c),
+r AS (SELECT *, array_to_string(CASE WHEN list_contains([{LEAD_LIST}], w[1]) THEN w[2:] ELSE w END, ' ') AS rest FROM k)
+SELECT conv_id, turn, len(w) = 0 OR (len(w) <= 8 AND (len(list_filter(w, lambda x: NOT list_contains([{LEAD_LIST}], x))) = 0 OR regexp_matches(coalesce(rest, ''), '{tx.POINTING}') OR regexp_matches(coalesce(rest, ''), '{tx.CHOOSING}'))) AS gated FROM r""")
 def conversational(t):
-    return t.conversations.groupBy("role").agg(F.count_if(tx.is_conversational(F.col("text"))).alias("n"))
+    kind = (F.col("conv_id") + F.col("turn")) % 8
+    said = F.when(kind == 0, "No:do that again!").when(kind == 1, "yeah,  use the second option please").when(kind == 2, "OK, sure").when(kind == 3, " ").when(kind == 4, "no, extend it another 7 business days").when(kind == 5, "fix this function").otherwise(F.col("text"))
+    return t.conversations.select("conv_id", "turn", tx.is_conversational(said).alias("gated"))
 
 
-@query("TXT13_keywords", r"SELECT conv_id, turn, coalesce(array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i)[1:5], ' '), '') AS keywords FROM (SELECT conv_id, turn, list_filter(list_transform(string_split_regex(replace(lower(text), '-', ' '), '[ \t\r\n\f\x0B]+'), lambda w: regexp_replace(w, '[^a-z0-9]', '', 'g')), lambda w: length(w) > 2 AND w NOT IN (" + ", ".join(f"'{w}'" for w in tx.STOPWORDS) + ")) AS w FROM conversations WHERE role = 'user')")
+PLAIN = ", ".join(f"'{w}'" for w in tx.PLAIN_WORDS)
+KEYS = r"list_filter(string_split_regex(regexp_replace(lower(text), '[^\w\s-]', ' ', 'g'), '\s+'), lambda w: length(w) > 2 AND w NOT IN (" + PLAIN + "))"
+ASKED = "SELECT conv_id, turn, CASE (conv_id + turn) % 4 WHEN 0 THEN 'Can you  show me ' || text[1:40] || ' please?' WHEN 1 THEN 'how do I do it?' WHEN 2 THEN 'Find the pg_pool leak in node-postgres thanks' ELSE text END AS text FROM conversations"
+
+
+@query("TXT13_keywords", f"WITH a AS ({ASKED}), k AS (SELECT *, {KEYS} AS w FROM a), i AS (SELECT *, regexp_replace(" + sql_replaced(r"regexp_replace(text, '^\s+|\s+$', '', 'g')", [(p, "") for p in tx.ASKING]) + r", '^\s+|\s+$', '', 'g') AS kept FROM k) SELECT conv_id, turn, CASE WHEN length(kept) < 5 THEN coalesce(array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i)[1:5], ' '), '') ELSE kept END AS intent FROM i")
 def keywords(t):
-    return t.conversations.where("role = 'user'").select("conv_id", "turn", F.array_join(F.slice(F.array_distinct(tx.words(F.col("text"))), 1, 5), " ").alias("keywords"))
+    kind = (F.col("conv_id") + F.col("turn")) % 4
+    asked = F.when(kind == 0, F.concat(F.lit("Can you  show me "), F.substring("text", 1, 40), F.lit(" please?"))).when(kind == 1, "how do I do it?").when(kind == 2, "Find the pg_pool leak in node-postgres thanks").otherwise(F.col("text"))
+    return t.conversations.select("conv_id", "turn", tx.intent(asked).alias("intent"))
 
 
-@query("TXT23_links", r"""SELECT page_id, len(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS links, coalesce(array_to_string(list_sort(list_distinct(regexp_extract_all(html, 'href="([^"]+)"', 1)))[1:3], ' '), '') AS first FROM pages""")
-def links(t):
-    found = F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))
-    return t.pages.select("page_id", F.size(found).cast("long").alias("links"), F.array_join(F.slice(F.array_sort(F.array_distinct(found)), 1, 3), " ").alias("first"))
+@query("TXT23_file_mentions", r"""SELECT p_partkey, coalesce(array_to_string(list_concat(regexp_extract_all(t, '`([^`\n]+\.[a-z]+)(?::[^`\n]*)?`', 1), regexp_extract_all(t, '\*\*File\*\*:\s*`?([^\s`]+)`?', 1)), ','), '') AS files
+FROM (SELECT p_partkey, '- `src/' || replace(p_name, ' ', '_') || '.py:' || CAST(p_size AS VARCHAR) || '` and `x y`' || chr(10) || '**File**: ' || CASE WHEN p_partkey % 2 = 0 THEN '`a/b' || CAST(p_partkey AS VARCHAR) || '`' ELSE 'c.ts' END AS t FROM part)""")
+def file_mentions(t):
+    named = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("`a/b"), F.col("p_partkey").cast("string"), F.lit("`"))).otherwise("c.ts")
+    text = F.concat(F.lit("- `src/"), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit(".py:"), F.col("p_size").cast("string"), F.lit("` and `x y`\n**File**: "), named)
+    return t.part.select("p_partkey", F.array_join(tx.file_mentions(text), ",").alias("files"))
 
 
 @query("RED2_luhn", """WITH c AS (SELECT doc_id, unnest(regexp_extract_all(text, '\\b[0-9]{16}\\b')) AS card FROM documents), s AS (SELECT doc_id, card, list_sum(list_transform(range(1, 17), lambda i: CASE WHEN i % 2 = 1 THEN CASE WHEN CAST(card[i] AS INTEGER) * 2 > 9 THEN CAST(card[i] AS INTEGER) * 2 - 9 ELSE CAST(card[i] AS INTEGER) * 2 END ELSE CAST(card[i] AS INTEGER) END)) AS total FROM c)
@@ -203,11 +218,6 @@ def luhn(t):
     return t.texts.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"\b[0-9]{16}\b"), F.lit(0))).alias("card")).select("doc_id", "card", F.expr("luhn_check(card)").alias("valid"))
 
 
-@query("RED9_audit", """WITH r AS (SELECT 'email' AS rule, len(regexp_extract_all(text, '[a-z0-9.]+@[a-z0-9.]+')) AS n FROM documents UNION ALL SELECT 'assignment', len(regexp_extract_all(text, '(password|token)\\s*=')) FROM documents UNION ALL SELECT 'access key', len(regexp_extract_all(text, 'AKIA[0-9A-Z]{16}')) FROM documents) SELECT rule, CAST(sum(n) AS BIGINT) AS finds, count(*) FILTER (n > 0) AS rows FROM r GROUP BY 1""")
-def audit(t):
-    rules = {"email": r"[a-z0-9.]+@[a-z0-9.]+", "assignment": r"(password|token)\s*=", "access key": "AKIA[0-9A-Z]{16}"}
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), F.regexp_count("text", F.lit(p)).cast("long").alias("n")) for k, p in rules.items()])).alias("r")
-    return t.texts.select(each).groupBy("r.rule").agg(F.sum("r.n").alias("finds"), F.count_if(F.col("r.n") > 0).alias("rows"))
 
 
 @query("VEC22_ttl_jitter", "SELECT doc_id, round(0.9 + 0.2 * CAST('0x' || substr(sha256(text), 1, 4) AS INTEGER) / CAST(65535 AS DOUBLE), 9) AS factor FROM documents")
@@ -225,19 +235,21 @@ def tag_jaccard(t):
 @query("CUR5_scoped_search", """WITH c AS (SELECT a.vec_id, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS s FROM embeddings a, embeddings b WHERE b.vec_id = 7 AND a.label % 2 = 0) SELECT vec_id, round(s, 9) AS similarity FROM c ORDER BY s DESC, vec_id LIMIT 8""")
 def scoped_search(t):
     """Nearest chunks among those of global collections; even labels stand for them."""
-    from engramite.operators import recall as rc
     from engramite.plans.recall import probe
 
     chunks = t.embeddings.withColumns({"collection": F.col("label").cast("string"), "scope": F.when(F.col("label") % 2 == 0, "global").otherwise("restricted")})
     return rc.knn(lc.scope_gate(chunks, None), probe(t)).orderBy(F.desc("similarity"), "vec_id").limit(8).select("vec_id", F.round("similarity", 9).alias("similarity"))
 
 
-@query("LKP16_tuning_rule", """WITH c AS (SELECT p_brand AS config, avg(p_retailprice) / 2000 AS ndcg, quantile_disc(p_size, 0.95) AS p95 FROM part GROUP BY 1), b AS (SELECT * FROM c WHERE config = (SELECT min(config) FROM c)) SELECT c.config, c.ndcg > b.ndcg + 1e-9 AND c.p95 <= greatest(b.p95 * 1.25, b.p95 + 1) AS keep FROM c, b""")
+@query("LKP16_tuning_rule", """WITH c AS (SELECT p_brand AS config, avg(p_retailprice) / 2000 AS ndcg, quantile_disc(p_size, 0.95) AS p95, count(DISTINCT p_type) AS signals FROM part GROUP BY 1), b AS (SELECT * FROM c WHERE config = (SELECT min(config) FROM c)) SELECT c.config, (c.ndcg > b.ndcg + 1e-9 OR (abs(c.ndcg - b.ndcg) <= 1e-9 AND c.signals < b.signals)) AND c.p95 <= greatest(b.p95 * 1.25, b.p95 + 1) AS keep FROM c, b""")
 def tuning_rule(t):
-    """A configuration is kept if its quality is strictly better and its slow cases stay within the budget of the first one."""
-    c = t.part.groupBy(F.col("p_brand").alias("config")).agg((F.avg("p_retailprice") / 2000).alias("ndcg"), F.element_at(F.array_sort(F.collect_list("p_size")), F.ceil(F.count("*") * 0.95).cast("int")).alias("p95"))
-    b = c.agg(F.min_by(F.struct("ndcg", "p95"), "config").alias("b"))
-    return c.crossJoin(F.broadcast(b)).select("config", ((F.col("ndcg") > F.col("b.ndcg") + 1e-9) & (F.col("p95") <= F.greatest(F.col("b.p95") * 1.25, F.col("b.p95") + 1))).alias("keep"))
+    """Kept if the quality is strictly better, or as good with fewer signals, and slow cases stay within the budget of the first configuration."""
+    from engramite.operators import rerank as rr
+
+    sizes = t.part.groupBy(F.col("p_brand").alias("config"), "p_size").agg(F.count("*").alias("n"))
+    slow = rr.nearest_rank(sizes, "config", "p_size", "n", 0.95).withColumnRenamed("value", "p95")
+    c = t.part.groupBy(F.col("p_brand").alias("config")).agg((F.avg("p_retailprice") / 2000).alias("ndcg"), F.count_distinct("p_type").alias("signals")).join(slow, "config")
+    return rr.tuning(c, "config").select("config", "keep")
 
 
 @query("LKP5_recall_text", "SELECT source, array_to_string(list('- ' || CAST(doc_id AS VARCHAR) || ': ' || CAST(n_chars AS VARCHAR) ORDER BY doc_id DESC)[1:3], chr(10)) AS context FROM documents GROUP BY 1")

@@ -188,28 +188,67 @@ def softmax(t):
     return rr.type_probabilities(rr.centroids(t.embeddings, "label"), probe(t), "label").withColumn("probability", F.round("probability", 6))
 
 
+TYPES, TAGS, ENTITIES = {"en": 0.4, "fr": 0.3, "de": 0.25, "xx": 0.05}, ["src0", "en"], [("SRC0", "module"), ("en", "language"), ("other", "error")]
 SIGNALS = f"""sig AS (SELECT f.doc_id, rrf, least(1, greatest(0, rrf * 25)) AS cal, CASE WHEN project = 'src0' THEN 1.0 WHEN contains(project, 'src0') OR contains('src0', project) THEN 0.5 ELSE 0.0 END AS s_project,
 exp(-(date_diff('second', created_at, TIMESTAMP '{AS_OF}') / 86400.0) / 45) AS s_recency, CASE confidence WHEN 'high' THEN 1.0 WHEN 'medium' THEN 0.6 WHEN 'low' THEN 0.2 ELSE 0.5 END AS s_confidence,
-least(1, log2(1 + recall_count) / 10) AS s_recall, CASE WHEN type = 'en' THEN 1.0 ELSE 0.0 END AS s_tag FROM fused f JOIN learnings l ON l.id = f.doc_id)"""
+least(1, log2(1 + recall_count) / 10) AS s_recall, CASE type WHEN 'en' THEN 0.5 + 1.5 * (0.4 - 0.25) WHEN 'fr' THEN 0.5 + 1.5 * (0.3 - 0.25) WHEN 'de' THEN 0.5 ELSE 0.5 END AS s_type,
+((CASE WHEN project = 'src0' THEN 1 ELSE 0 END) + (CASE WHEN type = 'en' THEN 1 ELSE 0 END)) / CAST(4 - ((CASE WHEN project = 'src0' THEN 1 ELSE 0 END) + (CASE WHEN type = 'en' THEN 1 ELSE 0 END)) AS DOUBLE) AS s_tag,
+CASE WHEN id % 3 = 0 THEN (id % 10) / CAST(10 AS DOUBLE) * ((CASE WHEN project = 'src0' THEN 1 ELSE 0 END) + (CASE WHEN type = 'en' THEN 1 ELSE 0 END)) / CAST(2 AS DOUBLE) ELSE 0 END AS s_pattern,
+CASE WHEN id % 2 = 0 THEN ((CASE WHEN project = 'src0' THEN 1.0 ELSE 0 END) + (CASE WHEN type = 'en' THEN 0.4 ELSE 0 END)) / CAST(2.3 + (CASE WHEN project = 'src0' THEN 0 ELSE 1.0 END) + (CASE WHEN type = 'en' THEN 0 ELSE 0.4 END) AS DOUBLE) ELSE 0 END AS s_graph,
+true AS graph_active FROM fused f JOIN learnings l ON l.id = f.doc_id)"""
+SCORE = "(1 - wp - wr - wc - wn - wy - wt - wa - wg) * cal + wp * s_project + wr * s_recency + wc * s_confidence + wn * s_recall + wy * s_type + wt * s_tag + wa * s_pattern + wg * s_graph"
 
 
 def features(t) -> DataFrame:
+    """Every third row has a pattern with its project and type as tags, every second one has them as entities."""
     rows = rc.fuse(*legs(t), "doc_id").join(t.learnings.withColumnRenamed("id", "doc_id"), "doc_id")
-    return rr.signals(rows, project="src0", as_of=AS_OF, tag="en")
+    known = F.array(F.struct(F.col("project").alias("name"), F.lit("module").alias("type")), F.struct(F.col("type").alias("name"), F.lit("language").alias("type")))
+    rows = rows.withColumns(
+        {
+            "tags": F.array("project", "type"), "pattern_strength": F.when(F.col("doc_id") % 3 == 0, (F.col("doc_id") % 10) / 10.0), "pattern_tags": F.array("project", "type"),
+            "entities": F.when(F.col("doc_id") % 2 == 0, known).otherwise(F.array().cast("array<struct<name:string,type:string>>")),
+        }
+    )
+    return rr.signals(rows, "src0", AS_OF, TAGS, TYPES, ENTITIES)
 
 
-@query("VEC19_rerank", LEARNINGS + f", {FUSED}, {SIGNALS}, r AS (SELECT doc_id, (1 - 0.26) * cal + 0.09 * s_project + 0.05 * s_recency + 0.05 * s_confidence + 0.02 * s_recall + 0.05 * s_tag AS score FROM sig) SELECT doc_id, round(score, 9) AS score FROM r ORDER BY r.score DESC, doc_id LIMIT 10")
+def signal_query(name: str, column: str) -> None:
+    @query(name, LEARNINGS + f", {FUSED}, {SIGNALS} SELECT doc_id, round({column}, 9) AS signal FROM sig")
+    def one(t):
+        return features(t).select("doc_id", F.round(column, 9).alias("signal"))
+
+
+for _name, _column in (("VEC10_project_match", "s_project"), ("VEC11_recency", "s_recency"), ("VEC12_confidence", "s_confidence"), ("VEC13_recall", "s_recall"), ("VEC14_type_match", "s_type"), ("VEC16_pattern_score", "s_pattern"), ("VEC17_graph_overlap", "s_graph")):
+    signal_query(_name, _column)
+
+
+@query("VEC9_calibrated", f"""WITH {VEC_LEG}, {TEXT_LEG}, a AS (SELECT 'vector' AS mode, doc_id, least(1, greatest(0, (s + 1) / 2)) AS score FROM vec_leg UNION ALL SELECT 'rrf', doc_id, least(1, greatest(0, 25.0 / CAST(60 + r AS DOUBLE))) FROM vec_leg UNION ALL SELECT 'text', doc_id, s / (s + 1) FROM text_leg
+UNION ALL SELECT 'other', doc_id, 1 - (r - 1) / CAST((SELECT count(*) FROM vec_leg) AS DOUBLE) FROM vec_leg) SELECT mode, doc_id, round(score, 9) AS score FROM a""")
+def calibrations(t):
+    text, vector = legs(t)
+    total = vector.agg(F.count("*").alias("total"))
+    made = lambda df, mode, score: df.select(F.lit(mode).alias("mode"), "doc_id", F.round(score, 9).alias("score"))
+    out = made(vector, "vector", rr.calibrated(F.col("similarity"), "vector")).unionByName(made(vector, "rrf", rr.calibrated(1.0 / (60 + F.col("r_vec")), "rrf")))
+    out = out.unionByName(made(text, "text", rr.calibrated(F.col("text_score"), "text")))
+    return out.unionByName(made(vector.crossJoin(F.broadcast(total)), "other", rr.calibrated(F.col("similarity"), "other", F.col("r_vec") - 1, F.col("total"))))
+
+
+WEIGHED = ", ".join(f"{w} AS {n}" for n, w in zip("wp wr wc wn wy wt wa wg".split(), rr.WEIGHTS.values(), strict=True))
+
+
+@query("VEC19_rerank", LEARNINGS + f", {FUSED}, {SIGNALS}, r AS (SELECT doc_id, {SCORE} AS score FROM sig, (SELECT {WEIGHED})) SELECT doc_id, round(score, 9) AS score FROM r ORDER BY r.score DESC, doc_id LIMIT 10")
 def rerank(t):
     return rr.rerank(features(t), rr.WEIGHTS, "doc_id", 10).select("doc_id", F.round("score", 9).alias("score"))
 
 
-@query("AGG32_weight_sweep", LEARNINGS + f""", {FUSED}, {SIGNALS}, cfg AS (SELECT * FROM (VALUES ('default', 0.09, 0.05, 0.05, 0.02, 0.05), ('no-project', 0.0, 0.05, 0.05, 0.02, 0.05), ('heavy-project', 0.3, 0.05, 0.05, 0.02, 0.05), ('retrieval-only', 0.0, 0.0, 0.0, 0.0, 0.0)) v(config, wp, wr, wc, wn, wt)),
-r AS (SELECT config, doc_id, (1 - wp - wr - wc - wn - wt) * cal + wp * s_project + wr * s_recency + wc * s_confidence + wn * s_recall + wt * s_tag AS score FROM sig, cfg), o AS (SELECT *, row_number() OVER (PARTITION BY config ORDER BY round(score, 9) DESC, doc_id) AS rank FROM r)
+CONFIGS = ", ".join(f"('{name}', {', '.join(map(str, w))}, 0.05)" for name, w in rr.SWEEPS.items())
+
+
+@query("AGG32_weight_sweep", LEARNINGS + f""", {FUSED}, {SIGNALS}, cfg AS (SELECT * FROM (VALUES {CONFIGS}) v(config, wp, wr, wc, wn, wy, wt, wa, wg)),
+r AS (SELECT config, doc_id, {SCORE} AS score FROM sig, cfg), o AS (SELECT *, row_number() OVER (PARTITION BY config ORDER BY round(score, 9) DESC, doc_id) AS rank FROM r)
 SELECT config, rank, doc_id, round(score, 9) AS score FROM o WHERE rank <= 5""")
 def sweep(t):
-    base = {"project": 0.09, "recency": 0.05, "confidence": 0.05, "recall": 0.02, "tag": 0.05}
-    configs = {"default": base, "no-project": base | {"project": 0.0}, "heavy-project": base | {"project": 0.3}, "retrieval-only": dict.fromkeys(base, 0.0)}
-    return rr.sweep(features(t), configs, "doc_id", 5)
+    return rr.sweep(features(t), rr.sweep_configs(rr.WEIGHTS), "doc_id", 5)
 
 
 @query("AGG31_ranking_quality", f"""WITH {VEC_LEG}, rel AS (SELECT v.doc_id, v.r, CASE WHEN e.label = (SELECT label FROM embeddings WHERE vec_id = {PROBE}) THEN 1 ELSE 0 END AS rel FROM vec_leg v JOIN embeddings e ON e.vec_id = v.doc_id WHERE v.doc_id <> {PROBE}),
@@ -244,19 +283,27 @@ def dominant(t):
     return counts.crossJoin(F.broadcast(counts.agg(F.sum("n").alias("all")))).orderBy(F.desc("n"), "label").limit(1).select("label", "n", (F.col("all") - F.col("n")).alias("skipped"))
 
 
-@query("JOI20_store_time_duplicate", f"""WITH p AS (SELECT a.vec_id AS id, b.vec_id AS other, {COS} AS s FROM embeddings a, embeddings b WHERE b.vec_id < a.vec_id) SELECT id, arg_max(other, {{'s': s, 'o': -other}}) AS kept, round(max(s), 9) AS similarity FROM p WHERE s >= 0.35 GROUP BY 1""")
+STORED = """o AS (SELECT id, list(other) AS others, row_number() OVER (ORDER BY id) AS n FROM p GROUP BY 1), r(n, gone) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL
+SELECT o.n, CASE WHEN len(list_filter(o.others, lambda x: NOT list_contains(r.gone, x))) > 0 THEN list_append(r.gone, o.id) ELSE r.gone END FROM r JOIN o ON o.n = r.n + 1), g AS (SELECT unnest(gone) AS id FROM (SELECT gone FROM r ORDER BY n DESC LIMIT 1))"""
+
+
+@query("JOI20_store_time_duplicate", f"""WITH RECURSIVE p AS (SELECT a.vec_id AS id, b.vec_id AS other, {COS} AS s FROM embeddings a, embeddings b WHERE b.vec_id < a.vec_id AND {COS} >= 0.35), {STORED}
+SELECT p.id, arg_max(other, {{'s': s, 'o': -other}}) AS kept, round(max(s), 9) AS similarity FROM p JOIN g ON g.id = p.id WHERE other NOT IN (SELECT id FROM g) GROUP BY 1""")
 def store_time(t):
-    close = pr.similar_pairs(t.embeddings, 0.35).select(F.col("b").alias("id"), F.col("a").alias("other"), "similarity")
-    return close.groupBy("id").agg(F.max_by("other", F.struct("similarity", -F.col("other"))).alias("kept"), F.round(F.max("similarity"), 9).alias("similarity"))
+    """Rows refused for a stored earlier one, with the nearest such; refused rows refuse nothing."""
+    close = pr.similar_pairs(t.embeddings, 0.35)
+    gone = pr.refused(close).withColumnRenamed("id", "b")
+    held = close.join(gone, "b", "left_semi").join(gone.withColumnRenamed("b", "a"), "a", "left_anti")
+    return held.groupBy(F.col("b").alias("id")).agg(F.max_by("a", F.struct("similarity", -F.col("a"))).alias("kept"), F.round(F.max("similarity"), 9).alias("similarity"))
 
 
-@query("VEC21_semantic_dedup", f"""WITH h AS (SELECT e.vec_id, e.embedding, row_number() OVER (PARTITION BY sha256(d.text) ORDER BY d.doc_id) AS n FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id), u AS (SELECT vec_id, embedding FROM h WHERE n = 1)
-SELECT a.vec_id AS id, CASE WHEN EXISTS (SELECT 1 FROM u b WHERE b.vec_id < a.vec_id AND {COS} >= 0.35) THEN 'similar' ELSE 'stored' END AS outcome FROM u a
-UNION ALL SELECT vec_id, 'same text' FROM h WHERE n > 1""")
+@query("VEC21_semantic_dedup", f"""WITH RECURSIVE h AS (SELECT e.vec_id, e.embedding, row_number() OVER (PARTITION BY sha256(d.text) ORDER BY d.doc_id) AS n FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id), u AS (SELECT vec_id, embedding FROM h WHERE n = 1),
+p AS (SELECT a.vec_id AS id, b.vec_id AS other FROM u a, u b WHERE b.vec_id < a.vec_id AND {COS} >= 0.35), {STORED}
+SELECT vec_id AS id, CASE WHEN vec_id IN (SELECT id FROM g) THEN 'similar' ELSE 'stored' END AS outcome FROM u UNION ALL SELECT vec_id, 'same text' FROM h WHERE n > 1""")
 def semantic_dedup(t):
     both = t.embeddings.join(t.documents.select("doc_id", F.sha2("text", 256).alias("hash")), F.col("vec_id") == F.col("doc_id"))
     both = both.withColumn("n", F.row_number().over(Window.partitionBy("hash").orderBy("doc_id")))
     fresh = both.where("n = 1").select("vec_id", "embedding")
-    late = pr.similar_pairs(fresh, 0.35).select(F.col("b").alias("vec_id"), F.lit("similar").alias("outcome")).distinct()
+    late = pr.refused(pr.similar_pairs(fresh, 0.35)).select(F.col("id").alias("vec_id"), F.lit("similar").alias("outcome"))
     stored = fresh.join(late, "vec_id", "left").select(F.col("vec_id").alias("id"), F.coalesce("outcome", F.lit("stored")).alias("outcome"))
     return stored.unionByName(both.where("n > 1").select(F.col("vec_id").alias("id"), F.lit("same text").alias("outcome")))

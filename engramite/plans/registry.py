@@ -75,3 +75,11 @@ def query(name: str, sql: str | None = None):
         return f
 
     return add
+
+
+def sql_replaced(column: str, rules: list[tuple[str, str]]) -> str:
+    """The SQL of text.replaced."""
+    for pattern, kept in rules:
+        pattern, kept = pattern.replace("'", "''"), kept.replace("'", "''").replace("$", "\\")
+        column = f"regexp_replace({column}, '{pattern}', '{kept}', 'g')"
+    return column

@@ -112,5 +112,5 @@ def notes(files: DataFrame, text: str = "text") -> DataFrame:
 
 def kind_of(path):
     """handoff, handoff_yaml, plan, continuity or null, from a path."""
-    low = F.lower(path)
-    return F.when(low.rlike(r"handoffs?/.*\.ya?ml$"), "handoff_yaml").when(low.rlike(r"handoffs?/.*\.md$"), "handoff").when(low.rlike(r"plans?/.*\.md$"), "plan").when(low.rlike(r"continuity.*\.md$"), "continuity")
+    handoff, note = F.contains(path, F.lit("handoffs")), F.endswith(path, F.lit(".md"))
+    return F.when(handoff & path.rlike(r"\.ya?ml$"), "handoff_yaml").when(handoff & note, "handoff").when(F.contains(path, F.lit("plans")) & note, "plan").when(path.rlike("(^|/)CONTINUITY_CLAUDE-[^/]*$"), "continuity")

@@ -106,7 +106,7 @@ def test_project_first_and_split(spark):
 
 
 def test_log_line(spark):
-    row = one(spark, t="a\n\tb\u0007é" + "x" * 600).select(tx.printable(F.col("t"), 20).alias("p")).first()
+    row = one(spark, t="a\n\tb\u0007é" + "x" * 600).select(tx.log_field(F.col("t"), 20).alias("p")).first()
     assert row["p"] == "a\\n\\tb??" + "x" * 12 + "...[cut]"
 
 
