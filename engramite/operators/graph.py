@@ -71,25 +71,6 @@ def cluster_stats(rows: DataFrame, cluster: str, key: str, embedding: str, sessi
     return made.withColumn("confidence", 0.3 * F.col("cohesion") + 0.3 * F.col("diversity") + 0.2 * F.col("span") + 0.2 * F.col("size_score"))
 
 
-def entities(texts: DataFrame, key: str, text: str, patterns: dict[str, str]) -> DataFrame:
-    """(key, type, name, mentions): distinct lower-case names by type; a name counts for the first type that finds it."""
-    found = [F.transform(F.regexp_extract_all(F.col(text), F.lit(p), F.lit(0)), _typed(kind, rank)) for rank, (kind, p) in enumerate(patterns.items())]
-    rows = texts.select(key, F.explode(F.concat(*found)).alias("e")).select(key, "e.rank", "e.type", "e.name")
-    counted = rows.groupBy(key, "rank", "type", "name").agg(F.count("*").alias("mentions"))
-    return counted.withColumn("n", F.row_number().over(Window.partitionBy(key, "name").orderBy("rank"))).where("n = 1").drop("n", "rank")
-
-
-def _typed(kind: str, rank: int):
-    return lambda name: F.struct(F.lit(rank).alias("rank"), F.lit(kind).alias("type"), F.lower(name).alias("name"))
-
-
-def relations(found: DataFrame, key: str, cap: int) -> DataFrame:
-    """(a, b, weight): entities of one text are related; of each text the first ``cap`` names by type and name take part."""
-    by = Window.partitionBy(key).orderBy("type", "name")
-    rows = found.withColumn("n", F.row_number().over(by)).where(F.col("n") <= cap)
-    return cooccurrence(rows, key, "name")
-
-
 def top_edges(edges: DataFrame, cap: int) -> DataFrame:
     """(node, other, weight, rank): the heaviest edges of each node."""
     both = edges.select(F.col("a").alias("node"), F.col("b").alias("other"), "weight").unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other"), "weight"))

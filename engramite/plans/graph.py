@@ -69,34 +69,6 @@ def cluster_stats(t):
     return made.select("label", "size", F.round("cohesion", 6).alias("cohesion"), "diversity", "span", "representative", F.round("confidence", 6).alias("confidence"))
 
 
-@query("CLU8_pattern_types", """WITH c AS (SELECT source, count(*) AS n, avg(CASE WHEN lang = 'de' THEN 1.0 ELSE 0 END) AS failed, avg(CASE WHEN lang = 'en' THEN 1.0 ELSE 0 END) AS solved, count(DISTINCT lang) AS kinds FROM documents GROUP BY 1)
-SELECT source, CASE WHEN failed > 0.6 THEN 'anti_pattern' WHEN failed > 0 AND solved > 0 AND failed + solved >= 0.75 THEN 'problem_solution' WHEN solved >= 0.6 THEN 'expertise' WHEN kinds >= 4 THEN 'cross_project' ELSE 'tool_cluster' END AS pattern FROM c""")
-def pattern_types(t):
-    part = lambda lang: F.avg(F.when(F.col("lang") == lang, 1.0).otherwise(0.0))
-    c = t.documents.groupBy("source").agg(part("de").alias("failed"), part("en").alias("solved"), F.count_distinct("lang").alias("kinds"))
-    kind = F.when(F.col("failed") > 0.6, "anti_pattern").when((F.col("failed") > 0) & (F.col("solved") > 0) & (F.col("failed") + F.col("solved") >= 0.75), "problem_solution").when(F.col("solved") >= 0.6, "expertise").when(F.col("kinds") >= 4, "cross_project").otherwise("tool_cluster")
-    return c.select("source", kind.alias("pattern"))
-
-
-ENTITIES = {"email": r"[a-z0-9.]+@[a-z0-9.]+\.com", "licence": r"Licensed under [A-Z][A-Za-z-]+", "number": r"\b[0-9]{3,}\b"}
-
-
-def _entities_sql() -> str:
-    parts = [f"SELECT doc_id, {k} AS rank, '{kind}' AS type, lower(unnest(regexp_extract_all(text, '{p}'))) AS name FROM documents" for k, (kind, p) in enumerate(ENTITIES.items())]
-    return "WITH f AS (" + " UNION ALL ".join(parts) + "), c AS (SELECT doc_id, rank, type, name, count(*) AS mentions FROM f GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, name ORDER BY rank) AS n FROM c)"
-
-
-@query("KG1_entities", _entities_sql() + " SELECT doc_id, type, name, mentions FROM r WHERE n = 1")
-def entities(t):
-    return g.entities(t.texts, "doc_id", "text", ENTITIES)
-
-
-@query("KG3_relations", _entities_sql() + """, k AS (SELECT doc_id, name, row_number() OVER (PARTITION BY doc_id ORDER BY type, name) AS o FROM r WHERE n = 1)
-SELECT x.name AS a, y.name AS b, CAST(count(DISTINCT x.doc_id) AS DOUBLE) AS weight FROM k x JOIN k y ON x.doc_id = y.doc_id AND x.name < y.name WHERE x.o <= 50 AND y.o <= 50 GROUP BY 1, 2""")
-def relations(t):
-    return g.relations(g.entities(t.texts, "doc_id", "text", ENTITIES), "doc_id", 50)
-
-
 @query("KG4_context_edges", """WITH m AS (SELECT DISTINCT l_orderkey, l_partkey AS item FROM lineitem), k AS (SELECT x.item AS a, y.item AS b, count(*) AS weight FROM m x JOIN m y ON x.l_orderkey = y.l_orderkey AND x.item < y.item GROUP BY 1, 2),
 b AS (SELECT a AS node, b AS other, weight FROM k UNION ALL SELECT b, a, weight FROM k), r AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY weight DESC, other) AS rank FROM b) SELECT node, other, CAST(weight AS DOUBLE) AS weight, rank FROM r WHERE rank <= 5""")
 def context(t):

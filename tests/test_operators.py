@@ -4,12 +4,13 @@ import math
 import re
 import string
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from engramite.functions import stems
 from engramite.functions import text as tx
 from engramite.functions import vectors as vc
-from engramite.operators import graph, lifecycle, pairs, recall, secrets, sequence
-from engramite.operators import components
+from engramite.operators import ann, components, density, graph, knowledge, lifecycle, pairs, recall, secrets, sequence
 from engramite.operators.components import connected_components
 from engramite.plans import library
 
@@ -107,13 +108,13 @@ def test_project_first_and_split(spark):
 
 def test_log_line(spark):
     row = one(spark, t="a\n\tb\u0007é" + "x" * 600).select(tx.log_field(F.col("t"), 20).alias("p")).first()
-    assert row["p"] == "a\\n\\tb??" + "x" * 12 + "...[cut]"
+    assert row["p"] == "a\\x0a\tb\\x07\\xe9" + "x" * 14 + "...[truncated 586 characters]"
 
 
 def test_entropy_reads_whole_histories(spark, tmp_path):
     rows = [(i, 1, i, "view") for i in range(15)] + [(15 + i, 1, 15 + i, "buy") for i in range(15)] + [(40, 2, 1, None)]
     spark.createDataFrame(rows, "event_id long, user_id long, ts long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
-    found = library.QUERIES["RED3_entropy_whole"](spark, str(tmp_path)).collect()
+    found = library.QUERIES["RED3_entropy"](spark, str(tmp_path)).collect()
     text = "view" * 15 + "buy" * 15
     bits = -sum(text.count(c) / len(text) * math.log2(text.count(c) / len(text)) for c in set(text))
     assert [(r["user_id"], r["bits"]) for r in found] == [(1, round(bits, 6))]
@@ -124,9 +125,9 @@ def test_cooccurrence_takes_all_lines_and_parts(spark, tmp_path):
     lines = [(1, 7, 2.0), (1, 407, 50.0), (1, 9, 1.0), (2, 7, 3.0), (2, 407, 4.0), (2, 7, 5.0), (3, 9, 1.0)]
     spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
     run = lambda name: {tuple(r) for r in library.QUERIES[name](spark, str(tmp_path)).collect()}
-    assert run("CLU2_cooccurrence_whole") == {(7, 407, 2.0), (7, 9, 1.0), (9, 407, 1.0)}
-    assert run("CLU2_weighted_cooccurrence_whole") == {(7, 407, 0.833333), (7, 9, 0.333333), (9, 407, 0.333333)}
-    assert run("KG4_context_edges_whole") == {(7, 407, 2.0, 1), (7, 9, 1.0, 2), (407, 7, 2.0, 1), (407, 9, 1.0, 2), (9, 7, 1.0, 1), (9, 407, 1.0, 2)}
+    assert run("CLU2_cooccurrence") == {(7, 407, 2.0), (7, 9, 1.0), (9, 407, 1.0)}
+    assert run("CLU2_weighted_cooccurrence") == {(7, 407, 0.833333), (7, 9, 0.333333), (9, 407, 0.333333)}
+    assert run("KG4_context_edges") == {(7, 407, 2.0, 1), (7, 9, 1.0, 2), (407, 7, 2.0, 1), (407, 9, 1.0, 2), (9, 7, 1.0, 1), (9, 407, 1.0, 2)}
 
 
 def test_rules_find_secrets_and_personal_data(spark):
@@ -160,3 +161,92 @@ def test_turn_facts_of_any_session(spark):
     turns = spark.createDataFrame([(c, k) for c in range(5) for k in range(1, 5)], "conv_id long, turn int")
     run = lambda **a: {tuple(r) for r in recall.turn_facts(turns, "conv_id", "turn", **a).collect()}
     assert run(last=2) == {(c, k) for c in range(5) for k in (1, 2)} and run(of=0, first=3) == {(0, 3), (0, 4)} and len(run()) == 20
+
+
+def test_stems_match_and_rank(spark):
+    known = {
+        "consistently": "consist", "consolatory": "consolatori", "knives": "knive", "generously": "generous", "communication": "communic", "happiness": "happi", "hopping": "hop", "hoping": "hope",
+        "relational": "relat", "controlling": "control", "ties": "tie", "cries": "cri", "gas": "gas", "agreed": "agre", "triplicate": "triplic", "queries": "queri", "skies": "sky", "yes": "yes", "enjoy": "enjoy",
+    }
+    assert {w: stems.stem(w) for w in known} == known
+    rows = [(1, "The database queries were running"), (2, "run a query on databases, run it again; query"), (3, "nothing here"), (4, None), (5, "running " + "x " * 120 + "query")]
+    found = spark.createDataFrame(rows, "k long, t string").select("k", stems.stems(F.col("t")).alias("s"))
+    asked = stems.query_stems("the running of queries")
+    assert asked == ["run", "queri"] and stems.query_stems("the of") == []
+    some = {r["k"] for r in found.where(stems.matches(F.col("s"), asked, False)).collect()}
+    assert some == {1, 2, 5} == {r["k"] for r in found.where(stems.matches(F.col("s"), asked, True)).collect()} and found.where(stems.matches(F.col("s"), [], True)).count() == 0
+    score = {r["k"]: r["s"] for r in found.select("k", stems.and_rank(F.col("s"), asked).alias("s")).collect()}
+
+    def plain(text):
+        at = [[k + 1 for k, s in enumerate(stems.text_stems(text)) if s == w] for w in asked]
+        left = 1.0
+        for p in at[0]:
+            for q in at[1]:
+                d = abs(p - q)
+                left *= 1 - math.sqrt(0.01 * (1e-30 if d > 100 else 1 / (1.005 + 0.05 * math.exp(d / 1.5 - 2))))
+        return 1 - left
+
+    for k, text in rows:
+        assert abs(score[k] - plain(text or "")) < 1e-12 if text else score[k] is None or score[k] == 0
+    assert score[2] > score[1] > score[5]
+
+
+def test_entities_and_relations():
+    text = "src/app/main.py uses pandas. It fixes ValueError in src/app/db.py now! We replaced redis with `my cache`, see DB_URL.\nimport numpy.linalg, going on with go and C++ 3.12"
+    found = {(e.kind, e.name): text[e.start : e.stop] for e in knowledge.find_entities(text)}
+    assert {("file", "src/app/main.py"), ("file", "src/app/db.py"), ("module", "numpy.linalg"), ("config", "db_url"), ("error", "valueerror"), ("tool", "redis"), ("tool", "go"), ("language", "go"), ("language", "c++"), ("library", "pandas"), ("concept", "my cache")} <= found.keys()
+    assert ("language", "c") not in found or found["language", "c"] == "C"
+    assert all(shown.strip().lower().endswith(name.split("/")[-1]) for (_, name), shown in found.items())
+    told = {(a.name, b.name, r, s) for a, b, r, s in knowledge.find_relations(text, knowledge.find_entities(text))}
+    assert ("src/app/main.py", "pandas", "uses", 0.7) in told and ("src/app/db.py", "valueerror", "solves", 0.9) in told and ("redis", "my cache", "supersedes", 0.8) in told
+    assert ("src/app", "src/app/main.py", "contains", 0.9) in told and ("src/app", "src/app/db.py", "contains", 0.9) in told
+    many = " ".join(f"VAR_{k}" for k in range(230))
+    assert len(knowledge.find_relations(many, knowledge.find_entities(many), most_entities=20, most=None)) == 190
+    assert len(knowledge.find_relations(many, knowledge.find_entities(many))) == 1000 and len(knowledge.find_relations(many, knowledge.find_entities(many), None, None, None)) == 230 * 229 // 2
+    assert [s for _, s in knowledge.sentences("One. Two! three.\n\nFour")] == ["One.", "Two! three.", "Four"]
+
+
+def test_density_clusters_and_noise(spark):
+    draw = np.random.default_rng(4)
+    x = np.vstack([draw.normal(size=(1, 8)) * 5 + draw.normal(size=(12, 8)) * 0.05 for _ in range(3)] + [draw.normal(size=(4, 8)) * 30])
+    labels = density.labels(x)
+    assert [len(set(labels[12 * k : 12 * k + 12].tolist())) for k in range(3)] == [1, 1, 1] and len(set(labels[:36].tolist())) == 3 and (labels[36:] == -1).all()
+    core = density.core_distances(x, 3)
+    far = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    assert np.allclose(core, np.sort(far, axis=1)[:, 2])
+    reach = np.maximum(np.maximum(core[:, None], core[None]), far)
+    joined, total = {0}, 0.0
+    while len(joined) < len(x):  # a plain Prim over the whole matrix
+        w, b = min((reach[a, b], b) for a in joined for b in range(len(x)) if b not in joined)
+        joined.add(b)
+        total += w
+    assert abs(density.spanning_tree(x, core)[:, 2].sum() - total) < 1e-6
+    assert (density.labels(x[:4]) == -1).all() and (density.labels(np.ones((7, 3))) >= -1).all()
+    rows = [(1, k, v.tolist()) for k, v in enumerate(x)] + [(1, 99, None), (2, 100, [0.0] * 8)]
+    frame = spark.createDataFrame(rows, "block long, k long, v array<double>")
+    assert {r["block"] for r in density.density_clusters(frame, "block", "k", "v").collect()} <= {1}
+
+
+def test_approximate_neighbours_reach_the_recall(spark, sf):
+    frame = spark.read.parquet(f"{sf}/embeddings.parquet")
+    means = ann.fit(frame, "vec_id", "embedding", lists=16)
+    listed = ann.index(frame, "vec_id", "embedding", means).cache()
+    assert listed.count() == frame.count()
+    probes = ann.probes_for(frame, "vec_id", "embedding", means)
+    rows = {r["vec_id"]: np.array(r["embedding"]) / np.linalg.norm(r["embedding"]) for r in frame.collect()}
+    hits, asked = 0, list(rows)[::25]
+    for probe in asked:
+        want = sorted(rows, key=lambda i: (-rows[i] @ rows[probe], i))[:10]
+        hits += len({r["vec_id"] for r in ann.search(listed, "vec_id", "embedding", means, rows[probe].tolist(), 10, probes).collect()} & set(want))
+    assert hits >= 0.9 * 10 * len(asked)
+
+
+def test_refused_rows_refuse_nothing(spark):
+    draw = np.random.default_rng(6)
+    links = {tuple(sorted(map(int, draw.choice(60, 2, replace=False)))) for _ in range(120)}
+    gone = set()
+    for b in range(60):
+        if any((a, b) in links and a not in gone for a in range(b)):
+            gone.add(b)
+    assert {r["id"] for r in pairs.refused(spark.createDataFrame(sorted(links), "a long, b long")).collect()} == gone
+    assert pairs.refused(spark.createDataFrame([], "a long, b long")).count() == 0
