@@ -254,9 +254,9 @@ def link(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100, id_col:
     give_back()
 
     smallest = linkable.groupBy("node").agg(F.min("id").alias("id"))
-    linked = smallest.join(classes, "node")
-    named = linked.join(linked.groupBy("component").agg(F.min("id").alias("component_id")), "component").select("node", "component_id")
-    named = smallest.join(named, "node", "left").select("node", F.coalesce("component_id", "id").alias("component_id"))
+    placed = cut_lineage(smallest.join(classes, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "id"))
+    named = placed.join(placed.groupBy("component").agg(F.min("id").alias("component_id")), "component").select("node", "component_id")
+    named = cut_lineage(named)  # two short plans in place of one that says all three times
     # all copies of a text are rows of one node
     found = join_hot(rows, named, "node", total["rows"], "left").select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
     return found.select(F.col("id").alias(id_col), "n_shingles", "component_id")
