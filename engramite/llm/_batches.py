@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -38,6 +39,13 @@ def give_back() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files that nothing refers to any more; it notices them when the driver collects garbage, which on a quiet driver may be late."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    give_back()
+
+
 def tidy(work: Callable) -> Callable:
     """A grouped function that gives freed memory back after each group."""
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from engramite.llm import _runs, _words
-from engramite.llm._batches import give_back, short_batches, slices, tidy
+from engramite.llm._batches import let_go, short_batches, slices, tidy
 from engramite.operators.components import connected_components, join_hot
 from engramite.session import cut_lineage
 
@@ -249,9 +249,11 @@ def link(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100, id_col:
     back = _runs.survivors(texts.groupBy("run").cogroup(reps.groupBy("run")).applyInArrow(tidy(sent), _runs.SENT))
     back = back.withColumn("ids", F.lit(None).cast("array<long>")).unionByName(reps.select(F.lit(-1).alias("part"), "run", F.lit(None).cast("binary").alias("tokens"), "ids"))
     made = cut_lineage(texts.groupBy("run").cogroup(back.groupBy("run")).applyInArrow(tidy(posted), _POSTINGS_DDL))
+    del texts, back, reps
+    let_go(docs.sparkSession)  # the texts by run are not needed any more
     links = _light_links(made.where("kind = 2")).unionByName(_heavy_links(made, at))
     classes = connected_components(links, "a", "b")
-    give_back()
+    let_go(docs.sparkSession)
 
     smallest = linkable.groupBy("node").agg(F.min("id").alias("id"))
     placed = cut_lineage(smallest.join(classes, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "id"))
@@ -302,6 +304,8 @@ def _heavy_links(made: DataFrame, at: Threshold) -> DataFrame:
         # a node that has been compared often steps back as a head
         lists = live.join(classes, "node", "left").join(tried, "node", "left").withColumns({"class": F.coalesce("joined", "node"), "shared": F.col("shared") - 1000 * F.least(F.coalesce("times", F.lit(0)), F.lit(1000))})
         lists = cut_lineage(lists.select("token", "node", "n", "shared", "class"))
+        del mixed, live, star, pairs, found, classes, tried
+        let_go(made.sparkSession)
     mixed = lists.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("token")
     live = lists.join(mixed, "token").join(made.where("kind = 1").select("node", "bits"), "node").select("token", "node", "n", "class", "bits")
     other = live.select("token", *[F.col(c).alias(f"{c}_2") for c in live.columns if c != "token"])
