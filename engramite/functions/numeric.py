@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from engramite.session import cut_lineage
+
 
 def describe(df: DataFrame, x: str, by: list[str]) -> DataFrame:
     c = F.col(x)
@@ -72,3 +74,90 @@ def one_way(df: DataFrame, x: str, group: str) -> DataFrame:
     between = F.sum(F.col("n") * (F.col("m") - F.col("s") / F.col("all")) ** 2) / (F.first("k") - 1)
     within = F.sum((F.col("n") - 1) * F.col("v")) / (F.first("all") - F.first("k"))
     return j.agg((between / within).alias("f"))
+
+
+def matmul(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(row, col, v): the product of two matrices in (row, col, v) form; absent places are 0."""
+    left, right = a.select("row", F.col("col").alias("__k"), F.col("v").alias("__a")), b.select(F.col("row").alias("__k"), "col", F.col("v").alias("__b"))
+    return left.join(right, "__k").groupBy("row", "col").agg(F.sum(F.col("__a") * F.col("__b")).alias("v"))
+
+
+def polyval(coefficients: list[float], x: Column) -> Column:
+    """Highest power first, by Horner's rule."""
+    value = F.lit(0.0)
+    for c in coefficients:
+        value = value * x + c
+    return value
+
+
+def polyder(coefficients: list[float]) -> list[float]:
+    n = len(coefficients) - 1
+    return [c * (n - k) for k, c in enumerate(coefficients[:-1])] or [0.0]
+
+
+def polyint(coefficients: list[float], constant: float = 0.0) -> list[float]:
+    n = len(coefficients)
+    return [c / (n - k) for k, c in enumerate(coefficients)] + [constant]
+
+
+def ranks(df: DataFrame, x: str) -> DataFrame:
+    """(x, n, rank): distinct values with how many rows have them and the mean of their places from 1.
+
+    Counts come first, so that the running sum sees distinct values only; it runs over ranges of them, then over the
+    sums of the ranges, and no task sees all.
+    """
+    counts = df.where(F.col(x).isNotNull()).groupBy(F.col(x).alias("x")).agg(F.count("*").alias("n"))
+    placed = counts.repartitionByRange("x").withColumn("__p", F.spark_partition_id())
+    placed = cut_lineage(placed)  # the ranges are drawn once
+    before = placed.groupBy("__p").agg(F.sum("n").alias("s")).withColumn("__before", F.coalesce(F.sum("s").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    upto = F.sum("n").over(Window.partitionBy("__p").orderBy("x"))
+    return placed.withColumn("__upto", upto).join(F.broadcast(before.select("__p", "__before")), "__p").select("x", "n", (F.col("__before") + F.col("__upto") - (F.col("n") - 1) / 2.0).alias("rank"))
+
+
+def kruskal(df: DataFrame, x: str, group: str) -> DataFrame:
+    """(h): the rank statistic of several groups, without a correction for ties."""
+    rows = df.groupBy(group, F.col(x).alias("x")).agg(F.count("*").alias("c")).join(ranks(df, x).select("x", "rank"), "x")
+    g = rows.groupBy(group).agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("rank")).alias("s"))
+    total = g.agg(F.sum("n").alias("all"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("q"))
+    return total.select((12.0 / (F.col("all") * (F.col("all") + 1)) * F.col("q") - 3 * (F.col("all") + 1)).alias("h"))
+
+
+def mann_whitney(df: DataFrame, x: str, group: str, one: str, two: str) -> DataFrame:
+    """(u) of the first group."""
+    both = df.where(F.col(group).isin(one, two))
+    rows = both.groupBy(group, F.col(x).alias("x")).agg(F.count("*").alias("c")).join(ranks(both, x).select("x", "rank"), "x").where(F.col(group) == one)
+    return rows.agg(F.sum(F.col("c") * F.col("rank")).alias("s"), F.sum("c").alias("n")).select((F.col("s") - F.col("n") * (F.col("n") + 1) / 2.0).alias("u"))
+
+
+def ks_two(df: DataFrame, x: str, group: str, one: str, two: str) -> DataFrame:
+    """(d): the largest difference of two groups' distribution functions, over distinct values in ranges."""
+    a, b = F.count_if(F.col(group) == one), F.count_if(F.col(group) == two)
+    counts = df.where(F.col(group).isin(one, two) & F.col(x).isNotNull()).groupBy(F.col(x).alias("x")).agg(a.alias("a"), b.alias("b"))
+    placed = cut_lineage(counts.repartitionByRange("x").withColumn("__p", F.spark_partition_id()))
+    w = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    before = placed.groupBy("__p").agg(F.sum("a").alias("sa"), F.sum("b").alias("sb")).select("__p", F.coalesce(F.sum("sa").over(w), F.lit(0)).alias("ba"), F.coalesce(F.sum("sb").over(w), F.lit(0)).alias("bb"))
+    total = placed.agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
+    inner = Window.partitionBy("__p").orderBy("x")
+    told = placed.withColumns({"ua": F.sum("a").over(inner), "ub": F.sum("b").over(inner)}).join(F.broadcast(before), "__p").crossJoin(F.broadcast(total))
+    return told.agg(F.max(F.abs((F.col("ba") + F.col("ua")) / F.col("na") - (F.col("bb") + F.col("ub")) / F.col("nb"))).alias("d"))
+
+
+def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
+    """(chi2, df) of independence of two columns; the table of expected counts is of their distinct values."""
+    seen = df.groupBy(a, b).agg(F.count("*").alias("n"))
+    rows, columns = seen.groupBy(a).agg(F.sum("n").alias("r")), seen.groupBy(b).agg(F.sum("n").alias("c"))
+    total = seen.agg(F.sum("n").alias("t"), F.count_distinct(a).alias("na"), F.count_distinct(b).alias("nb"), F.sum("n").alias("s"))
+    # cells without rows add their expected count: all expected counts come to the total
+    cells = seen.join(rows, a).join(columns, b).crossJoin(F.broadcast(total)).withColumn("x", F.col("r") * F.col("c") / F.col("t"))
+    return cells.agg((F.sum((F.col("n") - F.col("x")) ** 2 / F.col("x")) + F.first("t") - F.sum("x")).alias("chi2"), ((F.first("na") - 1) * (F.first("nb") - 1)).alias("df"))
+
+
+def interpolate(df: DataFrame, by: str, x: str, y: str, tie: str) -> DataFrame:
+    """Rows of a series between known values with ``filled``, linear in x; rows outside of them are left out."""
+    w = Window.partitionBy(by).orderBy(x, tie)
+    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    known = F.when(F.col(y).isNotNull(), F.struct(F.col(x).alias("x"), F.col(y).alias("y")))
+    rows = df.withColumns({"__a": F.last(known, ignorenulls=True).over(back), "__b": F.first(known, ignorenulls=True).over(ahead)}).where("__a is not null and __b is not null")
+    wide = F.col("__b.x") - F.col("__a.x")
+    filled = F.when(wide == 0, F.col("__a.y")).otherwise(F.col("__a.y") + (F.col("__b.y") - F.col("__a.y")) * F.try_divide(F.col(x) - F.col("__a.x"), wide))
+    return rows.withColumn("filled", filled).drop("__a", "__b")

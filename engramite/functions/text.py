@@ -184,6 +184,15 @@ def has_signal(text: Column) -> Column:
     return text.rlike("(?i)" + "|".join(SIGNALS))
 
 
+def with_line(text: Column, line: str) -> Column:
+    """The text with a line at its end, unless it has it."""
+    return F.when(F.array_contains(F.split(text, "\n"), line), text).otherwise(F.concat(text, F.lit("\n" + line)))
+
+
+def without_line(text: Column, line: str) -> Column:
+    return F.array_join(F.filter(F.split(text, "\n"), lambda x: x != line), "\n")
+
+
 #: Commands are redacted by these rules in this order; the first group (and the second, if any) stays.
 COMMAND_RULES = [
     (r"(?i)(Bearer\s+)\S+", "$1[REDACTED]"),

@@ -107,3 +107,14 @@ def apply_selection(rows: DataFrame, chosen: list, key: str, k: int) -> DataFram
         return rows.limit(0).withColumn("position", F.lit(0))
     order = rows.sparkSession.createDataFrame([(x, i) for i, x in enumerate(dict.fromkeys(chosen))], f"{key} {rows.schema[key].dataType.simpleString()}, position int")
     return rows.join(F.broadcast(order), key).orderBy("position").limit(k)
+
+
+def review(rows: DataFrame, routes: dict[str, str], promote_from: int, demote_to: int, as_of: str, stale_days: int, by: list[str]) -> DataFrame:
+    """(action, id): the plan of a dry run over active rows: promote, archive, supersede (all of a group but its keeper), unpromote."""
+    live = active(rows)
+    routed = F.col("type").isin(list(routes))
+    stale = (F.col("recall_count") == 0) & (F.col("created_at") < days_before(as_of, stale_days)) & (F.coalesce("confidence", F.lit("low")) == "low")
+    losers = keeper(rows, by).select(F.lit("supersede").alias("action"), F.col("loser").alias("id"))
+    part = lambda name, kept: live.where(kept).select(F.lit(name).alias("action"), "id")
+    out = part("promote", routed & (F.col("recall_count") >= promote_from)).unionByName(part("archive", stale)).unionByName(losers)
+    return out.unionByName(part("unpromote", routed & F.col("recall_count").between(1, demote_to)))
