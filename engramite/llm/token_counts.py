@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 
 from engramite.llm._batches import id_type, map_texts
 
-CHUNK, BLOCK, MAX_STATES, MEMO_ENTRIES = 1024, 1 << 19, 150_000, 400_000
+CHUNK, BLOCK, MAX_STATES, MEMO_ENTRIES = 1024, 1 << 19, 500_000, 800_000
 
 #: Code points that are white space, and the letters that may follow an apostrophe as a match.
 WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
