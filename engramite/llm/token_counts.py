@@ -334,14 +334,15 @@ class TokenCounter:
         unmarked = {k: pieces[k] for k in np.flatnonzero(~marked).tolist()}
         for k in unmarked:
             pieces[k] = ""
-        new = set(pieces) - self.memo.keys()
-        if len(new) + len(self.memo) > MEMO_ENTRIES:
-            self.memo.clear()
-            new = set(pieces)
-        run = self.matches.run
-        for piece in new:
-            self.memo[piece] = run(0, piece.encode("utf-8", "surrogatepass"))[1]
-        tokens = np.fromiter(map(self.memo.__getitem__, pieces), np.int64, len(pieces))
+        run, memo = self.matches.run, self.memo
+        if len(memo) > MEMO_ENTRIES:
+            memo.clear()
+        found = list(map(memo.get, pieces))
+        for k in [k for k, known in enumerate(found) if known is None]:
+            piece = pieces[k]
+            known = memo.get(piece)  # it may be the second one of the block
+            found[k] = memo[piece] = run(0, piece.encode("utf-8", "surrogatepass"))[1] if known is None else known
+        tokens = np.array(found, np.int64)
         # the map of each chunk that has parts: an unmarked part at its start is the head
         chunk = cuts // CHUNK
         first = np.flatnonzero(np.append(True, chunk[1:] != chunk[:-1]))
