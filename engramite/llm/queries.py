@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from engramite.llm import byte_bpe, decontaminate, filter_audit, fingerprints, jaccard_join, language_id, quality, secret_scan, suffix_dedup, token_counts, token_files
+from engramite.llm import byte_bpe, decontaminate, divergence, filter_audit, fingerprints, jaccard_join, language_id, quality, secret_scan, suffix_dedup, token_counts, token_files
 from engramite.llm._batches import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -157,3 +157,36 @@ SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS ke
   CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
 FROM sums
 """
+
+
+@query
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(divergence.count_terms(documents(spark, sf_dir)), least_docs=10, top=10)
+
+
+ORACLES["op13_source_divergence"] = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), words AS (SELECT d, lang, source, unnest(w) AS term FROM docs),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+kept AS (SELECT lang, term, CAST(count(*) AS HUGEINT) AS n FROM words GROUP BY 1, 2 HAVING count(DISTINCT d) >= 10),
+counts AS (SELECT lang, source, term, CAST(count(*) AS HUGEINT) AS n FROM words GROUP BY 1, 2, 3),
+sizes AS (SELECT lang, CAST(count(*) AS HUGEINT) AS v, sum(n) AS total FROM kept GROUP BY 1),
+grid AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n FROM groups g JOIN kept k USING (lang) LEFT JOIN counts c USING (lang, source, term)),
+sums AS (SELECT lang, source, sum(n) AS total FROM grid GROUP BY 1, 2),
+shares AS (
+  SELECT g.lang, g.source, g.term, g.n, 1 + (1000000000 * (g.n + 2)) // (s.total + 2 * z.v) AS p FROM grid g JOIN sums s USING (lang, source) JOIN sizes z USING (lang)
+), common AS (SELECT k.lang, k.term, 1 + (1000000000 * (k.n + 2)) // (z.total + 2 * z.v) AS q FROM kept k JOIN sizes z USING (lang)),
+apart AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value FROM shares a JOIN shares b USING (lang, term) WHERE a.source <> b.source GROUP BY ALL),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(x.value, 0) AS BIGINT) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN apart x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+), terms AS (
+  SELECT s.lang, s.source, 'term' AS part, s.term AS item, CAST(((s.p - c.q) * (s.p - c.q)) // (s.p + c.q) AS BIGINT) AS value
+  FROM shares s JOIN common c USING (lang, term) WHERE s.n > 0 AND s.p > c.q
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
