@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from engramite.llm import byte_bpe, decontaminate, divergence, filter_audit, fingerprints, jaccard_join, language_id, quality, secret_scan, suffix_dedup, token_counts, token_files
+from engramite.llm import byte_bpe, decontaminate, divergence, filter_audit, fingerprints, html_text, jaccard_join, language_id, quality, secret_scan, suffix_dedup, token_counts, token_files
 from engramite.llm._batches import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,6 +120,11 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(byte_bpe.decode(byte_bpe.encode(documents(spark, sf_dir), path, public_tokenizers.PATTERN), path))
 
 
+@query
+def op11_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 @query
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = filter_audit.masks(documents(spark, sf_dir))
