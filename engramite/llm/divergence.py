@@ -34,8 +34,10 @@ from engramite.session import scratch_path
 SCALE = 1_000_000_000
 #: Bytes of a text that are cut into words at a time; the cut is made where a word ends.
 PIECE = 4 << 20
-#: Rows of counts that a task keeps before it hands them on.
-HELD = 200_000
+#: Bytes of texts that are counted together; one longer text is by itself.
+SLICE = 2 << 20
+#: Counts, and bytes of terms, that a task keeps before it hands them on.
+HELD, HELD_BYTES = 500_000, 64 << 20
 #: Terms and sources of a block.
 BLOCK_TERMS, BLOCK_SOURCES = 2048, 128
 
@@ -60,27 +62,30 @@ def find_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def _same(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray, likes: np.ndarray) -> np.ndarray:
-    """Whether each word equals, byte for byte, the word that begins at its place in ``likes`` and is as long."""
-    if not len(starts):
-        return np.empty(0, bool)
-    begins = np.cumsum(lengths) - lengths
-    within = np.arange(int(lengths.sum())) - np.repeat(begins, lengths)
-    equal = raw[np.repeat(starts, lengths) + within] == raw[np.repeat(likes, lengths) + within]
-    return np.logical_and.reduceat(equal, begins)
+    """Whether each word equals, byte for byte, the word that begins at its place in ``likes`` and is as long; eight bytes at a time."""
+    eights = np.ndarray(len(raw) + 1, "<u8", np.concatenate([raw, np.zeros(8, np.uint8)]), strides=(1,))  # the eight bytes from every place on
+    equal, at, rest = np.ones(len(starts), bool), 0, np.arange(len(starts))
+    while len(rest):
+        differ = eights[starts[rest] + at] ^ eights[likes[rest] + at]
+        unused = (8 * (8 - np.minimum(lengths[rest] - at, 8))).astype(np.uint64)
+        equal[rest] &= (differ << unused) == 0
+        at += 8
+        rest = rest[(lengths[rest] > at) & equal[rest]]
+    return equal
 
 
 def number_words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
     """(number of each word's term, terms): words of one hash are one term once their bytes are found to be equal."""
-    view, digest, lengths = memoryview(raw), xxhash.xxh3_64_intdigest, ends - starts
-    marks = np.fromiter((digest(view[a:b]) for a, b in zip(starts.tolist(), ends.tolist())), np.uint64, len(starts))
+    data, lengths = raw.tobytes(), ends - starts
+    marks = np.fromiter(map(xxhash.xxh3_64_intdigest, map(data.__getitem__, map(slice, starts.tolist(), ends.tolist()))), np.uint64, len(starts))
     _, first, number = np.unique(marks, return_index=True, return_inverse=True)
     likes = first[number]
     sure = lengths == lengths[likes]
     sure[sure] = _same(raw, starts[sure], lengths[sure], starts[likes[sure]])
-    terms = [bytes(view[a:b]) for a, b in zip(starts[first].tolist(), ends[first].tolist())]
+    terms = [data[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
     further: dict[bytes, int] = {}
     for k in np.flatnonzero(~sure).tolist():  # another word of the same hash
-        word = bytes(view[starts[k] : ends[k]])
+        word = data[starts[k] : ends[k]]
         number[k] = further.setdefault(word, len(terms) + len(further))
     return number, terms + list(further)
 
@@ -111,80 +116,87 @@ def _pieces(raw: np.ndarray) -> Iterator[np.ndarray]:
 
 
 class _Counts:
-    """(language, source, term) to (occurrences, documents), handed on when there are many."""
-
-    def __init__(self, schema: pa.Schema) -> None:
-        self.schema, self.kept = schema, {}
-
-    def add(self, group: tuple, terms: list, n: list, docs: list) -> None:
-        kept = self.kept
-        for term, a, b in zip(terms, n, docs):
-            cell = kept.get(key := (*group, term))
-            if cell is None:
-                kept[key] = [a, b]
-            else:
-                cell[0] += a
-                cell[1] += b
+    """(language, source, term) to (occurrences, documents): numbered groups and terms, cells added up by sorting and reduceat, handed on when there are many."""
+
+    def __init__(self) -> None:
+        self.groups, self.terms, self.size, self.cells = {}, {}, 0, np.empty((3, 0), np.int64)
+        self.fresh: list[np.ndarray] = []
+
+    def add(self, group: np.ndarray | int, term: np.ndarray, terms: list[bytes], n: np.ndarray, docs: np.ndarray) -> None:
+        """``term`` numbers ``terms``."""
+        known, before = self.terms, len(self.terms)
+        number = np.array([known.setdefault(t, len(known)) for t in terms], np.int64)
+        if len(known) > before:
+            self.size += sum(map(len, terms))
+        self.fresh.append(np.array([(group << 32) + number[term], n, docs]))
+
+    def merge(self) -> int:
+        """Add up equal cells; how many there are."""
+        cells = np.concatenate([self.cells, *self.fresh], axis=1)
+        cells = cells[:, np.argsort(cells[0])]
+        begin = np.flatnonzero(np.concatenate([[True], cells[0, 1:] != cells[0, :-1]])) if cells.shape[1] else np.empty(0, np.int64)
+        self.cells = np.concatenate([cells[:1, begin], np.add.reduceat(cells[1:], begin, axis=1)]) if len(begin) else cells
+        self.fresh = []
+        return len(begin)
+
+    def full(self) -> bool:
+        return sum(f.shape[1] for f in self.fresh) >= HELD and self.merge() >= HELD or self.size >= HELD_BYTES
 
     def take(self) -> pa.RecordBatch:
-        keys, cells = list(self.kept), list(self.kept.values())
-        self.kept = {}
-        columns = [*zip(*keys), *zip(*cells)] if keys else [[]] * 5
-        return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, self.schema)], schema=self.schema)
+        self.merge()
+        group, term = pa.array(self.cells[0] >> 32), pa.array(self.cells[0] & 0xFFFFFFFF)
+        langs, sources = (pa.array([g[k] for g in self.groups], pa.string()).take(group) for k in range(2))
+        out = [langs, sources, pa.array(list(self.terms), pa.binary()).take(term), pa.array(self.cells[1]), pa.array(self.cells[2])]
+        self.__init__()
+        return pa.RecordBatch.from_arrays(out, names=["lang", "source", "term", "n", "docs"])
 
     def batch(self, langs: list, sources: list, raw: np.ndarray, offsets: np.ndarray) -> None:
         """Count the texts of a slice."""
+        groups = [self.groups.setdefault(g, len(self.groups)) for g in zip(langs, sources)]
         if len(langs) == 1 and len(raw) > PIECE:
             whole: dict[bytes, int] = {}
             for piece in _pieces(raw):
                 _, indices, data, terms = matrix(piece, np.array([0, len(piece)]))
                 for k, n in zip(indices.tolist(), data.tolist()):
                     whole[terms[k]] = whole.get(terms[k], 0) + n
-            self.add((langs[0], sources[0]), list(whole), list(whole.values()), [1] * len(whole))
-        else:
-            indptr, indices, data, terms = matrix(raw, offsets)
-            groups = {g: k for k, g in enumerate(dict.fromkeys(zip(langs, sources)))}
-            of_row = np.array([groups[g] for g in zip(langs, sources)])
-            if len(indices):
-                place = np.repeat(of_row, np.diff(indptr)) * len(terms) + indices
-                order = np.argsort(place, kind="stable")
-                place = place[order]
-                begin = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-                n, docs = np.add.reduceat(data[order], begin), np.diff(np.append(begin, len(place)))
-                group, term = np.divmod(place[begin], len(terms))
-                cuts = np.searchsorted(group, np.arange(len(groups) + 1))
-                for g, k in groups.items():
-                    part = slice(cuts[k], cuts[k + 1])
-                    self.add(g, [terms[t] for t in term[part].tolist()], n[part].tolist(), docs[part].tolist())
-        for group in dict.fromkeys(zip(langs, sources)):  # a group without a term is a group
-            self.kept.setdefault((*group, None), [0, 0])
+            one = np.ones(len(whole), np.int64)
+            self.add(groups[0], np.arange(len(whole)), list(whole), np.array(list(whole.values()), np.int64), one)
+            return
+        indptr, indices, data, terms = matrix(raw, offsets)
+        if len(indices):
+            place = np.repeat(np.array(groups), np.diff(indptr)) * len(terms) + indices
+            order = np.argsort(place)
+            place = place[order]
+            begin = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+            group, term = np.divmod(place[begin], len(terms))
+            self.add(group, term, terms, np.add.reduceat(data[order], begin), np.diff(np.append(begin, len(place))))
 
 
 def count_terms(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """(lang, source, term, n, docs): occurrences and documents of each term; a row with a null term for every group."""
+    """(lang, source, term, n, docs): occurrences and documents of each term; one row with a null term for every group, with a term or not."""
     short_batches(docs.sparkSession)
     empty = F.lit("")
     frame = docs.select(F.coalesce(F.col(text_col).cast("string"), empty).cast("binary").alias("text"), *[F.coalesce(F.col(c).cast("string"), empty).alias(a) for c, a in ((lang_col, "lang"), (source_col, "source"))])
-    schema = "lang string, source string, term binary, n long, docs long"
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = _Counts(arrow)
+        counts = _Counts()
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=SLICE):
                 texts = part.column(0)
                 offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
                 data = texts.buffers()[2]
                 raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.empty(0, np.uint8)
                 counts.batch(part.column(1).to_pylist(), part.column(2).to_pylist(), LOWER[raw], offsets - offsets[0])
-                if len(counts.kept) >= HELD:
+                if counts.full():
                     yield counts.take()
             del batch
             give_back()
         yield counts.take()
 
-    found = frame.mapInArrow(run, schema)
-    return found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")).withColumn("term", F.col("term").cast("string"))
+    found = frame.mapInArrow(run, "lang string, source string, term binary, n long, docs long")
+    sums = found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")).withColumn("term", F.col("term").cast("string"))
+    none = F.lit(0).cast("long")
+    return sums.unionByName(frame.select("lang", "source", F.lit(None).cast("string").alias("term"), none.alias("n"), none.alias("docs")).distinct())
 
 
 def _per(count: Column, total: Column) -> Column:

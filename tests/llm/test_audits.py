@@ -245,7 +245,20 @@ def test_words_are_told_apart_by_their_bytes(monkeypatch):
 def test_long_texts_are_counted_whole(spark, monkeypatch):
     monkeypatch.setattr(divergence, "PIECE", 64)
     text = "alpha Beta gamma, " * 500 + "x" * 1000 + " alpha"
-    counts = divergence._Counts(divergence.to_arrow_schema(divergence.StructType.fromDDL("lang string, source string, term binary, n long, docs long")))
+    counts = divergence._Counts()
     raw = divergence.LOWER[np.frombuffer(text.encode(), np.uint8)]
     counts.batch(["en"], ["s"], raw, np.array([0, len(raw)]))
-    assert counts.kept == {("en", "s", b"alpha"): [501, 1], ("en", "s", b"beta"): [500, 1], ("en", "s", b"gamma"): [500, 1], ("en", "s", b"x" * 1000): [1, 1], ("en", "s", None): [0, 0]}
+    counts.batch(["en"], ["s"], raw[:5], np.array([0, 5]))
+    got = {(r["lang"], r["source"], r["term"]): (r["n"], r["docs"]) for r in counts.take().to_pylist()}
+    assert got == {("en", "s", b"alpha"): (502, 2), ("en", "s", b"beta"): (500, 1), ("en", "s", b"gamma"): (500, 1), ("en", "s", b"x" * 1000): (1, 1)}
+    assert counts.take().num_rows == 0
+
+
+@pytest.mark.parametrize("held, size", [(1, 1 << 30), (10**9, 1)])
+def test_counts_are_handed_on_when_there_are_many(spark, monkeypatch, held, size):
+    monkeypatch.setattr(divergence, "HELD", held)
+    monkeypatch.setattr(divergence, "HELD_BYTES", size)
+    monkeypatch.setattr(divergence, "SLICE", 16)
+    docs = spark.createDataFrame([("en", "s", "a b a"), ("en", "t", "B"), ("en", "s", "b c"), ("de", "s", None)] * 5, "lang string, source string, text string")
+    got = {tuple(r)[:3]: (r.n, r.docs) for r in divergence.count_terms(docs).collect()}
+    assert got == {("en", "s", "a"): (10, 5), ("en", "s", "b"): (10, 10), ("en", "s", "c"): (5, 5), ("en", "t", "b"): (5, 5), ("en", "s", None): (0, 0), ("en", "t", None): (0, 0), ("de", "s", None): (0, 0)}
