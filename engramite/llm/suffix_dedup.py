@@ -268,8 +268,9 @@ def find_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
     splitters = sorted({sample[i * len(sample) // parts] for i in range(1, parts)}) if sample else []
 
     def sent(table: pa.Table) -> pa.Table:
-        owner, _, hashed = anchors(_texts(table)[1], length)
-        return _runs.send(table.column("run")[0].as_py(), hashed, np.array(table.column("id").to_pylist(), np.int64)[owner], bits)
+        ids, raw = _texts(table)
+        owner, _, hashed = anchors(raw, length)
+        return _runs.send(table.column("run")[0].as_py(), hashed, np.array(ids, np.int64)[owner], bits)
 
     def deal(table: pa.Table, back: pa.Table) -> pa.Table:
         if not table.num_rows:
