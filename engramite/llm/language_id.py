@@ -40,7 +40,12 @@ FAMILIES = {
 
 _BLANK = np.arange(256, dtype=np.uint8)
 _BLANK[[b for b in range(128) if not chr(b).isalpha()]] = 32
-_LETTER = re.compile(r"[^\W\d_]")
+_LIKELY_LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str | None) -> bool:
+    """Whether a text has a letter by Unicode category; the pattern also takes numbers such as a half or a Roman numeral sign."""
+    return any(m[0].isalpha() for m in _LIKELY_LETTER.finditer(text or ""))
 
 
 def histograms(texts: list[str]) -> np.ndarray:
@@ -152,7 +157,7 @@ def fit(docs: DataFrame, learn_from, id_col: str = "doc_id", text_col: str = "te
 
     def make():
         def work(keys: list, texts: list) -> dict:
-            kept = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
+            kept = [i for i, t in enumerate(texts) if has_letter(t)]
             x = histograms([texts[i] for i in kept]) if kept else np.zeros((0, BINS), np.float32)
             return {"k": [keys[i] for i in kept], "x": [r.tobytes() for r in x]}
 
@@ -172,7 +177,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     def make():
         def work(keys: list, texts: list) -> dict:
             langs, scores = ["und"] * len(texts), [0.0] * len(texts)
-            rows = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if sent.value else []
+            rows = [i for i, t in enumerate(texts) if has_letter(t)] if sent.value else []
             if rows:
                 found, sure = sent.value.predict(histograms([texts[i] for i in rows]))
                 for i, lang, p in zip(rows, found, sure.tolist(), strict=True):
