@@ -180,29 +180,37 @@ def re_single_class(pattern: str) -> bool:
     return len(items) == 1 and items[0][0] is sre.MAX_REPEAT and pattern.endswith("+") and len(items[0][1][2]) == 1
 
 
-def scan(docs: DataFrame, rules: list[Rule] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with ``spans``: array of (start, rank, end, kind), ordered by start, then the order of the rules.
+def free_name(frame: DataFrame, name: str) -> str:
+    """The name, with as many underscores as make it a new one in the frame (names differ in more than case)."""
+    taken = {c.lower() for c in frame.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
-    All columns of ``docs`` stay; a column named ``spans`` is replaced.
+
+def scan(docs: DataFrame, rules: list[Rule] | None = None, id_col: str = "doc_id", text_col: str = "text", spans_col: str = "spans") -> DataFrame:
+    """``docs`` with ``spans_col``: array of (start, rank, end, kind), ordered by start, then the order of the rules.
+
+    All columns of ``docs`` stay, whatever their names; only one named ``spans_col`` is replaced.
     """
     rules = rules or BASE + ADDED
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     indexed = [r for r in rules if queries[r.kind] != ALWAYS]
     trigrams = sorted({t for r in indexed for c in queries[r.kind] for t in c})
-    rows = docs.drop("spans")
+    rows = docs.drop(spans_col)
+    key, kinds = free_name(docs, "__id"), free_name(docs, "__kinds")
     if indexed:
-        picked = candidates(postings(docs, trigrams, id_col, text_col), indexed).select(F.col("id").alias("__id"), F.col("kinds").alias("__kinds"))
-        rows = rows.join(picked, F.col(id_col) == F.col("__id"), "left")
+        picked = candidates(postings(docs, trigrams, id_col, text_col), indexed).select(F.col("id").alias(key), F.col("kinds").alias(kinds))
+        rows = rows.join(picked, F.col(id_col) == F.col(key), "left")
     text, none = F.col(text_col).cast("string"), F.array().cast(f"array<{_SPAN}>")
     spans = []
     for rank, rule in enumerate(rules):
         if rule in indexed:
-            wanted = F.when(F.col(id_col).isNull(), F.lit(True)).otherwise(F.coalesce(F.array_contains("__kinds", rule.kind), F.lit(False)))
+            wanted = F.when(F.col(id_col).isNull(), F.lit(True)).otherwise(F.coalesce(F.array_contains(kinds, rule.kind), F.lit(False)))
         else:
             wanted = F.coalesce(_full_scan(text, rule), F.lit(False))
         spans.append(F.when(wanted & text.isNotNull(), matches(text, rule, rank)).otherwise(none))
-    rows = rows.withColumn("spans", F.array_sort(F.concat(*spans)))
-    return rows.drop("__id", "__kinds")
+    return rows.withColumn(spans_col, F.array_sort(F.concat(*spans))).drop(key, kinds)
 
 
 def render(spans: Column) -> Column:
@@ -218,7 +226,7 @@ def report(scanned: DataFrame, base: list[Rule] | None = None, id_col: str = "do
     return scanned.select(id_col, *counts, F.sha2(render(own), 256).alias("base_sha256"), render(F.col("spans")).alias("spans"))
 
 
-def redact(scanned: DataFrame, mark: str = "[SECRET]", text_col: str = "text") -> DataFrame:
+def redact(scanned: DataFrame, mark: str = "[SECRET]", text_col: str = "text", spans_col: str = "spans") -> DataFrame:
     """The scanned rows with every span of the text replaced by a mark (overlapping ones by one mark)."""
     text = F.col(text_col)
 
@@ -228,5 +236,5 @@ def redact(scanned: DataFrame, mark: str = "[SECRET]", text_col: str = "text") -
         return F.struct(F.greatest(state["at"], span["end"]).alias("at"), F.when(fresh, between).otherwise(state["out"]).alias("out"))
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    done = F.aggregate("spans", start, add, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
-    return scanned.withColumn(text_col, F.when(F.size("spans") > 0, done).otherwise(text))
+    done = F.aggregate(spans_col, start, add, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+    return scanned.withColumn(text_col, F.when(F.size(spans_col) > 0, done).otherwise(text))
