@@ -70,7 +70,8 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     A null text stays null, with n_chars null; empty texts, null ids and repeated rows stay as they are; an empty table
     stays empty; further columns are kept as they are.
     """
-    scanned = secret_scan.redact(secret_scan.scan(docs))
+    spans = secret_scan.free_name(docs, "spans")
+    scanned = secret_scan.redact(secret_scan.scan(docs, spans_col=spans), spans_col=spans)
     return scanned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
