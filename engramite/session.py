@@ -51,3 +51,14 @@ def cut_lineage(frame):
     """Write a frame to the shared folder and go on from what was written (survives lost executors)."""
     shared_dir(frame.sparkSession)
     return frame.checkpoint(eager=True)
+
+
+def written(frame, name: str = "round"):
+    """Write a frame as a table to the shared folder and go on from the table.
+
+    Unlike a checkpoint, a table is computed once and has its true size, which the planner goes by: over many rounds of
+    joins the sizes that a checkpoint inherits are multiplied up until planning itself takes minutes.
+    """
+    path = scratch_path(frame.sparkSession, name)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
