@@ -97,11 +97,19 @@ def pattern_run(t):
 NOTE = """concat('The module src/', replace(p_name, ' ', '_'), '.py uses pandas and `', p_brand, ' cache`. It fixes ', CASE WHEN p_size % 2 = 0 THEN 'ValueError' ELSE 'MAX_SIZE' END, ' in src/', p_brand, '.py now!', CASE WHEN p_size % 3 = 0 THEN ' We migrated from redis to postgresql.' ELSE '' END)"""
 
 
+#: What the rules find in such a note, by how it is made.
+NOTE_ENTITIES = """n AS (SELECT p_partkey, 'src/' || replace(p_name, ' ', '_') || '.py' AS f, p_brand || ' cache' AS c, CASE WHEN p_size % 2 = 0 THEN 'ValueError' ELSE 'MAX_SIZE' END AS x, p_brand AS b, p_size % 3 = 0 AS moved FROM part),
+o AS (SELECT *, 11 + length(f) + 6 AS lib, 11 + length(f) + 6 + 12 AS con, 11 + length(f) + 6 + 12 + length(c) + 12 AS err FROM n), q AS (SELECT *, err + length(x) + 8 + length(b) + 8 + 18 AS mov FROM o),
+e AS (SELECT p_partkey, 'file' AS type, lower(f) AS name, 11 AS start, 11 + length(f) AS stop FROM q UNION ALL SELECT p_partkey, 'library', 'pandas', lib, lib + 6 FROM q UNION ALL SELECT p_partkey, 'concept', lower(c), con, con + length(c) FROM q
+UNION ALL SELECT p_partkey, CASE WHEN x = 'MAX_SIZE' THEN 'config' ELSE 'error' END, lower(x), err, err + length(x) FROM q UNION ALL SELECT p_partkey, 'module', 'redis', mov, mov + 5 FROM q WHERE moved
+UNION ALL SELECT p_partkey, 'tool', 'redis', mov, mov + 5 FROM q WHERE moved UNION ALL SELECT p_partkey, 'tool', 'postgresql', mov + 9, mov + 19 FROM q WHERE moved)"""
+
+
 def notes(t):
     return t.part.select("p_partkey", F.expr(NOTE).alias("text"))
 
 
-@query("KG1_entities")
+@query("KG1_entities", f"WITH {NOTE_ENTITIES} SELECT p_partkey, type, name, CAST(start AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop FROM e")
 def entities(t):
     return kg.entities(notes(t), "p_partkey", "text").select("p_partkey", "type", "name", "start", "stop")
 
@@ -117,12 +125,13 @@ def sentences(t):
     return t.texts.select("doc_id", F.size(s).cast("long").alias("n"), F.array_max(F.transform(s, lambda x: F.length(x).cast("long"))).alias("longest"))
 
 
-@query("KG3_relations")
+@query("KG3_relations", f"""WITH {NOTE_ENTITIES}, r AS (SELECT a.p_partkey, a.name AS source, a.type AS source_type, b.name AS target, b.type AS target_type, 'uses' AS relation, 0.7 AS confidence FROM e a JOIN e b ON a.p_partkey = b.p_partkey AND a.start < b.start
+  WHERE a.type IN ('file', 'library') AND b.type IN ('library', 'concept') UNION ALL SELECT a.p_partkey, a.name, a.type, b.name, b.type, 'supersedes', 0.8 FROM e a JOIN e b ON a.p_partkey = b.p_partkey WHERE a.name = 'redis' AND b.name = 'postgresql') SELECT * FROM r""")
 def relations(t):
     return kg.relations(notes(t), "p_partkey", "text")
 
 
-@query("KG4_entity_rollup")
+@query("KG4_entity_rollup", f"WITH {NOTE_ENTITIES} SELECT type, name, count(DISTINCT p_partkey) AS mentions, min(p_partkey) AS first FROM e GROUP BY 1, 2")
 def rollup(t):
     return kg.rollup(kg.entities(notes(t), "p_partkey", "text"), "p_partkey")
 

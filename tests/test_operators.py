@@ -191,19 +191,40 @@ def test_stems_match_and_rank(spark):
     assert score[2] > score[1] > score[5]
 
 
-def test_entities_and_relations():
+def test_entities_and_relations_by_the_rules(spark):
+    def frame(*texts):
+        return spark.createDataFrame(list(enumerate(texts)), "k long, text string")
+
+    def found(*texts):
+        return {(r.k, r.type, r.name): texts[r.k][r.start : r.stop] for r in knowledge.entities(frame(*texts), "k", "text").collect()}
+
     text = "src/app/main.py uses pandas. It fixes ValueError in src/app/db.py now! We replaced redis with `my cache`, see DB_URL.\nimport numpy.linalg, going on with go and C++ 3.12"
-    found = {(e.kind, e.name): text[e.start : e.stop] for e in knowledge.find_entities(text)}
-    assert {("file", "src/app/main.py"), ("file", "src/app/db.py"), ("module", "numpy.linalg"), ("config", "db_url"), ("error", "valueerror"), ("tool", "redis"), ("tool", "go"), ("language", "go"), ("language", "c++"), ("library", "pandas"), ("concept", "my cache")} <= found.keys()
-    assert ("language", "c") not in found or found["language", "c"] == "C"
-    assert all(shown.strip().lower().endswith(name.split("/")[-1]) for (_, name), shown in found.items())
-    told = {(a.name, b.name, r, s) for a, b, r, s in knowledge.find_relations(text, knowledge.find_entities(text))}
+    got = {k[1:]: v for k, v in found(text).items()}
+    assert {("file", "src/app/main.py"), ("file", "src/app/db.py"), ("module", "numpy.linalg"), ("config", "db_url"), ("error", "valueerror"), ("tool", "redis"), ("tool", "go"), ("language", "go"), ("language", "c++"), ("library", "pandas"), ("library", "numpy"), ("concept", "my cache")} == got.keys()
+    assert all(shown.strip().lower() == name for (_, name), shown in got.items())
+    told = {(r.source, r.target, r.relation, r.confidence) for r in knowledge.relations(frame(text), "k", "text").collect()}
     assert ("src/app/main.py", "pandas", "uses", 0.7) in told and ("src/app/db.py", "valueerror", "solves", 0.9) in told and ("redis", "my cache", "supersedes", 0.8) in told
     assert ("src/app", "src/app/main.py", "contains", 0.9) in told and ("src/app", "src/app/db.py", "contains", 0.9) in told
+
+    paths = [".bashrc.log ./x/y.py ../u/h.py /abs/p.py a//b v1.2.3 foo.PY x.py. src/a.py:3 src/dir/. b~ c/d~ (e/f)", "\U0001f600 pytest \U0001f600 Pytest scikit-learn, Postgres/postgresql lean4 lean", "`a/b` `q` `two words` `x.y` `two words` `redis` redis `my\nthing`", "._A_B A_B_c A_1 FooErrorBar FooError Warning the THE_X"]
+    names = {(k, t, n) for k, t, n in found(*paths)}
+    assert {n for k, t, n in names if t == "file"} == {".bashrc.log", "x/y.py", "../u/h.py", "src/dir/", "e/f", "a/b"} | {n for k, t, n in names if n == "postgres/postgresql"}
+    assert {(t, n) for k, t, n in names if k == 1} == {("tool", "pytest"), ("library", "pytest"), ("library", "scikit-learn"), ("tool", "postgres"), ("tool", "postgresql"), ("language", "lean"), ("language", "lean4"), ("file", "postgres/postgresql")}
+    assert found(*paths)[1, "tool", "pytest"] == "pytest" and found(*paths)[2, "concept", "two words"] == "two words"
+    assert {(t, n) for k, t, n in names if k == 2} == {("tool", "redis"), ("file", "a/b"), ("concept", "two words"), ("concept", "my\nthing")}
+    assert {(t, n) for k, t, n in names if k == 3} == {("config", "a_1"), ("config", "the_x"), ("error", "fooerror")}
+
     many = " ".join(f"VAR_{k}" for k in range(230))
-    assert len(knowledge.find_relations(many, knowledge.find_entities(many), most_entities=20, most=None)) == 190
-    assert len(knowledge.find_relations(many, knowledge.find_entities(many))) == 1000 and len(knowledge.find_relations(many, knowledge.find_entities(many), None, None, None)) == 230 * 229 // 2
-    assert [s for _, s in knowledge.sentences("One. Two! three.\n\nFour")] == ["One.", "Two! three.", "Four"]
+    count = lambda **bounds: knowledge.relations(frame(many), "k", "text", **bounds).count()
+    assert count(most_entities=20, most=None) == 190 and count() == 1000 and count(most_entities=None, most_in_sentence=None, most=None) == 230 * 229 // 2
+    # a name that stands first in one sentence counts in others too; borders keep their places whatever their length
+    later = "We use redis and FOO_BAR.   \n\n\nThen redis breaks nginx!  It works"
+    told = {(r.source, r.target, r.relation) for r in knowledge.relations(frame(later), "k", "text").collect()}
+    assert told == {("redis", "foo_bar", "uses"), ("redis", "nginx", "conflicts_with")}
+    odd = frame(None, "", " ", "." * 5000 + " " + "a/" * 20000 + "b " + "A_" * 30000 + "B " + "-" * 5000, "\ue000redis\ue001 and nginx")
+    assert {(r.k, r.name[:5]) for r in knowledge.entities(odd, "k", "text").collect()} == {(3, "a/a/a"), (3, "a_a_a"), (4, "redis"), (4, "nginx")}
+    assert [(r.source, r.target) for r in knowledge.relations(odd, "k", "text").where("k = 4").collect()] == [("redis", "nginx")]
+    assert knowledge.relations(frame(text, text).withColumn("k", F.lit(1)), "k", "text").count() == knowledge.relations(frame(text), "k", "text").count()
 
 
 def test_density_clusters_and_noise(spark):
