@@ -304,21 +304,35 @@ def look_back(nodes: DataFrame, session: str, order: str, parent: str, limit: in
     return out.select(F.col("s").alias(session), F.col("u").alias(order), "seen", *names)
 
 
-def look_ahead(nodes: DataFrame, session: str, order: str, parent: str, limit: int, asked: Column, wanted: Column) -> DataFrame:
-    """(session, order, after): for each ``asked`` event the first ``wanted`` one among the ``limit`` next events of its branch and of those that leave it.
-
-    Events stand in the order of their whole number, in which an event follows its parent, so one of the next ``limit``
-    is at most so many generations below: each event looks up that many, and each asked one keeps the next ``limit``.
-    """
-    up = written(nodes.select(F.col(session).alias("s"), F.col(order).alias("u"), F.col(parent).alias("p"), F.array(F.col(parent)).alias("line")))
+def lines(nodes: DataFrame, session: str, order: str, parent: str, limit: int) -> DataFrame:
+    """(s, u, line): for each event the numbers of the ``limit`` events before it along its lineage, the nearest first; arrays are doubled."""
+    up = written(nodes.select(F.col(session).alias("s"), F.col(order).alias("u"), F.col(parent).alias("p"), F.filter(F.array(F.col(parent)), lambda x: x.isNotNull()).alias("line")))
     reach = 1
     while reach < limit and not up.where("p is not null").isEmpty():
         met = _find(up, "p", up, {"p": "then", "line": "more"}, "left")
         up = written(met.select("s", "u", F.col("then").alias("p"), F.concat("line", F.coalesce("more", F.array().cast(up.schema["line"].dataType))).alias("line")))
         reach *= 2
+    return up.select("s", "u", F.slice("line", 1, limit).alias("line"))
+
+
+def pairs_back(found: DataFrame, asked: DataFrame) -> DataFrame:
+    """(s, u, other, n): the events before each asked one (s, u), n = 1 for the nearest, from ``lines``."""
+    return found.join(asked.select("s", "u").distinct(), ["s", "u"]).select("s", "u", F.posexplode("line").alias("n", "other")).withColumn("n", F.col("n") + 1)
+
+
+def pairs_ahead(found: DataFrame, asked: DataFrame, limit: int) -> DataFrame:
+    """(s, u, other, n): the ``limit`` next events of the branches below each asked one, in their order.
+
+    An event follows its parent in this order, so the next ``limit`` are at most so many generations below: each event
+    looks up that many, and each asked one keeps the first ``limit`` of those that name it.
+    """
+    named = found.select("s", F.col("u").alias("other"), F.explode("line").alias("u")).where("u < other").join(asked.select("s", "u").distinct(), ["s", "u"])
+    return named.withColumn("n", F.row_number().over(Window.partitionBy("s", "u").orderBy("other"))).where(F.col("n") <= limit)
+
+
+def look_ahead(nodes: DataFrame, session: str, order: str, parent: str, limit: int, asked: Column, wanted: Column) -> DataFrame:
+    """(session, order, after): for each ``asked`` event the first ``wanted`` one among the ``limit`` next events below it."""
     marks = nodes.select(F.col(session).alias("s"), F.col(order).alias("u"), asked.alias("asked"), wanted.alias("wanted"))
-    pairs = up.join(marks.select("s", "u", "wanted"), ["s", "u"]).select("s", F.col("u").alias("below"), "wanted", F.explode(F.slice("line", 1, limit)).alias("u")).where("u < below")
-    pairs = pairs.join(marks.where("asked").select("s", "u"), ["s", "u"])
-    near = pairs.withColumn("n", F.row_number().over(Window.partitionBy("s", "u").orderBy("below"))).where(F.col("n") <= limit)
-    found = near.where("wanted").groupBy("s", "u").agg(F.min("below").alias("after"))
+    near = pairs_ahead(lines(nodes, session, order, parent, limit), marks.where("asked"), limit)
+    found = near.join(marks.where("wanted").select("s", F.col("u").alias("other")), ["s", "other"]).groupBy("s", "u").agg(F.min("other").alias("after"))
     return marks.where("asked").select("s", "u").join(found, ["s", "u"], "left").select(F.col("s").alias(session), F.col("u").alias(order), "after")

@@ -11,23 +11,30 @@ from engramite.plans.registry import query
 #: Events as records: a user is a session, their events stand in order, and each follows one of the five before it, as
 #: its number k says; some start anew (k = 23), name a record that is not there (k = 29), stand twice under one id
 #: (k = 31) or follow a later record (k = 37, 38), which makes circles. Signups are no turns, purchases are sidechains.
-RECORDS = """k AS MATERIALIZED (SELECT *, CAST(json_extract(props, '$.k') AS INTEGER) AS k, row_number() OVER w AS line, lag(event_id) OVER w AS b1, lag(event_id, 2) OVER w AS b2, lag(event_id, 3) OVER w AS b3, lag(event_id, 4) OVER w AS b4,
+FOLLOWS = "CASE WHEN k = 23 THEN NULL WHEN k = 29 THEN -event_id WHEN k = 37 THEN a1 WHEN k = 38 THEN a2 WHEN k % 5 = 0 THEN b5 WHEN k % 5 = 1 THEN b1 WHEN k % 5 = 2 THEN b2 WHEN k % 5 = 3 THEN b3 ELSE b4 END"
+RECORDS = f"""k AS MATERIALIZED (SELECT *, CAST(json_extract(props, '$.k') AS INTEGER) AS k, row_number() OVER w AS line, lag(event_id) OVER w AS b1, lag(event_id, 2) OVER w AS b2, lag(event_id, 3) OVER w AS b3, lag(event_id, 4) OVER w AS b4,
   lag(event_id, 5) OVER w AS b5, lead(event_id) OVER w AS a1, lead(event_id, 2) OVER w AS a2 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 rec AS MATERIALIZED (SELECT user_id AS s, event_id, line, event_type, ts, k, CASE WHEN k = 31 AND b1 IS NOT NULL THEN b1 ELSE event_id END AS u, event_type <> 'signup' AS sem, event_type = 'purchase' AS side,
-  CASE WHEN k = 23 THEN NULL WHEN k = 29 THEN -event_id WHEN k = 37 THEN a1 WHEN k = 38 THEN a2 WHEN k % 5 = 0 THEN b5 WHEN k % 5 = 1 THEN b1 WHEN k % 5 = 2 THEN b2 WHEN k % 5 = 3 THEN b3 ELSE b4 END AS p FROM k)"""
+  {FOLLOWS} AS p FROM k)"""
 
 
-def records(t):
+def _follows(near):
+    k = F.col("k")
+    parent = F.when(k == 23, None).when(k == 29, -F.col("event_id")).when(k == 37, near[-1]).when(k == 38, near[-2])
+    for rest, n in ((0, 5), (1, 1), (2, 2), (3, 3)):
+        parent = parent.when(k % 5 == rest, near[n])
+    return parent.otherwise(near[4])
+
+
+def records(t, follows=_follows):
+    """Events as records; ``follows`` makes the parent of the ids near by."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     k = F.get_json_object("props", "$.k").cast("int")
     near = {n: (F.lag("event_id", n) if n > 0 else F.lead("event_id", -n)).over(w) for n in (1, 2, 3, 4, 5, -1, -2)}
     rows = t.events.select("user_id", "event_id", "event_type", "ts", k.alias("k"), F.row_number().over(w).cast("long").alias("line"), *[c.alias(f"near{n}") for n, c in near.items()])
     k, near = F.col("k"), {n: F.col(f"near{n}") for n in near}
-    parent = F.when(k == 23, None).when(k == 29, -F.col("event_id")).when(k == 37, near[-1]).when(k == 38, near[-2])
-    for rest, n in ((0, 5), (1, 1), (2, 2), (3, 3)):
-        parent = parent.when(k % 5 == rest, near[n])
     uuid = F.when((k == 31) & near[1].isNotNull(), near[1]).otherwise(F.col("event_id"))
-    return rows.select("user_id", "event_id", "line", "event_type", "ts", "k", uuid.alias("uuid"), parent.otherwise(near[4]).alias("parent"))
+    return rows.select("user_id", "event_id", "line", "event_type", "ts", "k", uuid.alias("uuid"), follows(near).alias("parent"))
 
 
 def annotated(t):
