@@ -13,7 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from engramite.session import cut_lineage
+from engramite.operators.components import connected_components
+from engramite.session import written
 
 #: Rows in a block, on average.
 BLOCK_ROWS = 2048
@@ -86,18 +87,40 @@ def nearest(df: DataFrame, k: int, key: str = "vec_id", embedding: str = "embedd
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 
 
-def refused(links: DataFrame, first: str = "a", second: str = "b") -> DataFrame:
+#: Links that one task settles; rows of two ids.
+FEW_LINKS = 200_000
+
+
+def _settle(table: pa.Table) -> pa.Table:
+    """The rows that are not stored, of all links of some components: in order of the later row, one goes if an earlier one that stays is linked to it."""
+    gone: set = set()
+    for b, a in sorted(zip(table["b"].to_pylist(), table["a"].to_pylist(), strict=True)):
+        if a not in gone:
+            gone.add(b)
+    return pa.table({"id": pa.array(sorted(gone), table.schema.field("b").type)})
+
+
+def refused(links: DataFrame, first: str = "a", second: str = "b", few: int = FEW_LINKS) -> DataFrame:
     """(id): in order of ids a row is stored unless a stored earlier one is linked to it; those that are not stored.
 
-    Each round settles the rows without an unsettled earlier neighbour, so there are as many rounds as the longest
-    chain of ids that hang on each other; a settled row's links are dropped.
+    Up to ``few`` links are settled in one task. Of more, each component with so many at most is settled in a task of
+    its own. Larger ones go by rounds: a round settles the rows without an unsettled earlier neighbour and drops their
+    links, until what is left is few or falls into small components.
     """
-    live = cut_lineage(links.select(F.col(first).alias("a"), F.col(second).alias("b")).where("a < b").distinct())
+    live = written(links.select(F.col(first).alias("a"), F.col(second).alias("b")).where("a < b").distinct())
+    schema = f"id {live.schema['b'].dataType.simpleString()}"
     gone = live.select(F.col("b").alias("id")).limit(0)
-    while not live.isEmpty():
-        stored = live.select(F.col("a").alias("id")).distinct().join(live.select(F.col("b").alias("id")), "id", "left_anti")
-        out = cut_lineage(live.join(stored.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id")).distinct())
+    while live.count() > few:
+        component = connected_components(live, "a", "b").withColumnRenamed("node", "a")
+        member = written(live.join(component, "a"))
+        small = member.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") <= few)
+        gone = gone.unionByName(written(member.join(small, "component").groupBy("component").applyInArrow(_settle, schema)))
+        live = member.join(small, "component", "left_anti").select("a", "b")
+        stored = written(live.select(F.col("a").alias("id")).distinct().join(live.select(F.col("b").alias("id")), "id", "left_anti"))
+        out = written(live.join(stored.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id")).distinct())
         gone = gone.unionByName(out)
-        live = live.join(stored.withColumnRenamed("id", "a"), "a", "left_anti").join(out.withColumnRenamed("id", "a"), "a", "left_anti").join(out.withColumnRenamed("id", "b"), "b", "left_anti")
-        live = cut_lineage(live)
-    return gone
+        for settled, side in ((stored, "a"), (out, "a"), (out, "b")):
+            live = live.join(settled.withColumnRenamed("id", side), side, "left_anti").select("a", "b")
+        live = written(live)
+    rest = live.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(_settle, schema)
+    return gone.unionByName(rest)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from engramite.functions import text as tx
 from engramite.functions import vectors as vc
+from engramite.session import written
 
 RRF_K, BOOST, CANDIDATES = 60, 0.002, 8
 
@@ -62,12 +63,13 @@ def fuse(text: DataFrame, vector: DataFrame, key: str, recall: DataFrame | None
 def bm25(df: DataFrame, query: list[str], key: str, text: str = "content", k1: float = 1.2, b: float = 0.75, columns: dict[str, float] | None = None) -> DataFrame:
     """(key, score) of rows with any of the words; with several columns each weighs its occurrences.
 
-    Document frequencies and the average length are one aggregate over all rows.
+    Document frequencies and the average length are one aggregate over all rows. The counts of each row, a few numbers,
+    are written once, so that every text is gone through once.
     """
     weights = columns or {text: 1.0}
     tf = [sum(w * tx.word_count(F.col(c), q) for c, w in weights.items()) for q in query]
     length = sum(F.size(tx.words(F.col(c))) for c in weights)
-    rows = df.select(key, length.alias("dl"), *[x.cast("double").alias(f"tf{i}") for i, x in enumerate(tf)])
+    rows = written(df.select(key, length.alias("dl"), *[x.cast("double").alias(f"tf{i}") for i, x in enumerate(tf)]))
     stats = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(query))])
     score = F.lit(0.0)
     for i in range(len(query)):

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from engramite.functions import vectors as vc
+from engramite.session import written
 
 #: Weights of the signals; what they leave goes to retrieval.
 WEIGHTS = {"project": 0.09, "recency": 0.05, "confidence": 0.05, "recall": 0.02, "type": 0.05, "tag": 0.05, "pattern": 0.05, "graph": 0.05}
@@ -137,7 +138,8 @@ def blend(weights: dict[str, float], active: Column | None = None) -> Column:
 
 
 def _told(rows: DataFrame) -> DataFrame:
-    """rows with ``graph_active``: whether any row has entities."""
+    """rows with ``graph_active``: whether any row has entities. The rows are candidates, bounded by the legs, and are written once: they are read twice here."""
+    rows = written(rows)
     return rows.crossJoin(F.broadcast(rows.agg(F.coalesce(F.max(F.size("entities") > 0), F.lit(False)).alias("graph_active"))))
 
 

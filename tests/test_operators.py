@@ -270,4 +270,9 @@ def test_refused_rows_refuse_nothing(spark):
         if any((a, b) in links and a not in gone for a in range(b)):
             gone.add(b)
     assert {r["id"] for r in pairs.refused(spark.createDataFrame(sorted(links), "a long, b long")).collect()} == gone
+    for few in (0, 3, 40):  # by rounds, by components, by rounds and then in one task
+        found = [r["id"] for r in pairs.refused(spark.createDataFrame(sorted(links), "a long, b long"), few=few).collect()]
+        assert len(found) == len(set(found)) and set(found) == gone
+    chain = [(k, k + 1) for k in range(1000)] + [(5000 + k, 5001 + k) for k in range(30)]
+    assert {r["id"] for r in pairs.refused(spark.createDataFrame(chain, "a long, b long"), few=990).collect()} == {k for k in range(1, 1001) if k % 2} | {k for k in range(5001, 5031) if k % 2}
     assert pairs.refused(spark.createDataFrame([], "a long, b long")).count() == 0
