@@ -16,6 +16,7 @@ from engramite.operators import patterns as pa
 from engramite.operators import recall as rc
 from engramite.plans.recall import COS, probe
 from engramite.plans.registry import query
+from engramite.sources.tables import spread
 
 
 @query("TXT6_stem_match")
@@ -106,7 +107,7 @@ UNION ALL SELECT p_partkey, 'tool', 'redis', mov, mov + 5 FROM q WHERE moved UNI
 
 
 def notes(t):
-    return t.part.select("p_partkey", F.expr(NOTE).alias("text"))
+    return spread(t.part).select("p_partkey", F.expr(NOTE).alias("text"))
 
 
 @query("KG1_entities", f"WITH {NOTE_ENTITIES} SELECT p_partkey, type, name, CAST(start AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop FROM e")
