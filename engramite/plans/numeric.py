@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from engramite.functions import numeric as nm
+from engramite.functions import ordered as od
 from engramite.plans.registry import query
 
 
@@ -57,6 +58,12 @@ def spearman(t):
     return rounded(nm.spearman(t.lineitem, "l_quantity", "l_extendedprice", ["l_returnflag"]), "rho")
 
 
+@query("NUM_kendall", """WITH p AS (SELECT a.p_brand, sign(a.p_size - b.p_size) * sign(a.p_retailprice - b.p_retailprice) AS s, a.p_size = b.p_size AS tx, a.p_retailprice = b.p_retailprice AS ty FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey)
+SELECT p_brand, (SELECT count(*) FROM part q WHERE q.p_brand = p.p_brand) AS n, round(sum(s) / sqrt(CAST(count(*) - count(*) FILTER (tx) AS DOUBLE) * (count(*) - count(*) FILTER (ty))), 9) AS tau FROM p GROUP BY 1""")
+def kendall(t):
+    return od.kendall(t.part, "p_size", "p_retailprice", "p_brand").withColumn("tau", F.round("tau", 9))
+
+
 @query("NUM_regression", "SELECT l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 6) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2, round(corr(l_quantity, l_extendedprice), 6) AS r, round(covar_samp(l_quantity, l_extendedprice), 4) AS cov FROM lineitem GROUP BY 1")
 def regression(t):
     made = nm.regression(t.lineitem, "l_extendedprice", "l_quantity", ["l_returnflag"])
