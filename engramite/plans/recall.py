@@ -10,7 +10,9 @@ from engramite.functions import vectors as vc
 from engramite.operators import pairs as pr
 from engramite.operators import recall as rc
 from engramite.operators import rerank as rr
+from engramite.operators import text_index as ix
 from engramite.plans.registry import AS_OF, LEARNINGS, query
+from engramite.session import scratch_path
 
 #: The words and the vector that stand for a query.
 WORDS, PROBE = ["thing", "ering", "tion"], 7
@@ -83,6 +85,18 @@ def weighted_bm25(t):
     return rc.bm25(docs, WORDS, "doc_id", columns={"head": 10.0, "content": 1.0}).orderBy(F.desc("score"), "doc_id").limit(20).withColumn("score", F.round("score", 6))
 
 
+@query("TXT9_index", bm_sql([f"10 * {HITS.format(w='h', q=q)} + {HITS.format(w='w', q=q)}" for q in WORDS], "len(h) + len(w)", f"SELECT doc_id, {TOKENS.format(c='text')} AS w, {TOKENS.format(c='lang || chr(32) || source')} AS h FROM documents"))
+def indexed_bm25(t):
+    """By an index of two segments, merged: language and source as a title that weighs ten times as much."""
+    docs = texts(t).join(t.documents.select("doc_id", F.concat_ws(" ", "lang", "source").alias("head")), "doc_id")
+    path = scratch_path(t.spark, "index")
+    early = F.col("doc_id") < t.documents.agg(F.avg("doc_id")).first()[0]
+    for part in (early, ~early):
+        ix.add(docs.where(part), path, "doc_id", {"head": 10.0, "content": 1.0})
+    ix.merge(t.spark, path)
+    return ix.search(t.spark, path, WORDS, 20).select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
 @query("TXT10_linear_hybrid", f"WITH {TEXT_LEG.replace('LIMIT 50', '')}, v AS (SELECT a.vec_id AS doc_id, {COS} AS sim FROM embeddings a, embeddings b WHERE b.vec_id = {PROBE}) SELECT v.doc_id, round(0.3 * coalesce(t.s, 0) + 0.7 * v.sim, 6) AS score FROM v LEFT JOIN text_leg t ON t.doc_id = v.doc_id ORDER BY 0.3 * coalesce(t.s, 0) + 0.7 * v.sim DESC, v.doc_id LIMIT 20")
 def linear(t):
     both = rc.knn(t.embeddings.withColumnRenamed("vec_id", "doc_id"), probe(t)).select("doc_id", "similarity").join(rc.or_rank(texts(t), WORDS).select("doc_id", "text_score"), "doc_id", "left")
