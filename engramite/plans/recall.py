@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from engramite.functions import text as tx
 from engramite.functions import vectors as vc
+from engramite.operators import ask
 from engramite.operators import pairs as pr
 from engramite.operators import recall as rc
 from engramite.operators import rerank as rr
@@ -213,16 +214,19 @@ true AS graph_active FROM fused f JOIN learnings l ON l.id = f.doc_id)"""
 SCORE = "(1 - wp - wr - wc - wn - wy - wt - wa - wg) * cal + wp * s_project + wr * s_recency + wc * s_confidence + wn * s_recall + wy * s_type + wt * s_tag + wa * s_pattern + wg * s_graph"
 
 
-def features(t) -> DataFrame:
+def described(rows: DataFrame) -> DataFrame:
     """Every third row has a pattern with its project and type as tags, every second one has them as entities."""
-    rows = rc.fuse(*legs(t), "doc_id").join(t.learnings.withColumnRenamed("id", "doc_id"), "doc_id")
     known = F.array(F.struct(F.col("project").alias("name"), F.lit("module").alias("type")), F.struct(F.col("type").alias("name"), F.lit("language").alias("type")))
-    rows = rows.withColumns(
+    return rows.withColumns(
         {
             "tags": F.array("project", "type"), "pattern_strength": F.when(F.col("doc_id") % 3 == 0, (F.col("doc_id") % 10) / 10.0), "pattern_tags": F.array("project", "type"),
             "entities": F.when(F.col("doc_id") % 2 == 0, known).otherwise(F.array().cast("array<struct<name:string,type:string>>")),
         }
     )
+
+
+def features(t) -> DataFrame:
+    rows = described(rc.fuse(*legs(t), "doc_id").join(t.learnings.withColumnRenamed("id", "doc_id"), "doc_id"))
     return rr.signals(rows, "src0", AS_OF, TAGS, TYPES, ENTITIES)
 
 
@@ -255,6 +259,19 @@ def rerank(t):
     return rr.rerank(features(t), rr.WEIGHTS, "doc_id", 10).select("doc_id", F.round("score", 9).alias("score"))
 
 
+POOLED = FUSED.replace("LIMIT 50)", "LIMIT 400)").replace("LIMIT 80)", "LIMIT 400)").replace("fused AS (", "fused0 AS (") + """, boosted0 AS (SELECT f.*, rrf + CASE WHEN recall_count > 0 THEN 0.002 * log2(1 + recall_count) ELSE 0 END AS raw FROM fused0 f LEFT JOIN learnings l ON l.id = f.doc_id),
+twice AS (SELECT * FROM boosted0 ORDER BY raw DESC, doc_id LIMIT 104), pool AS (SELECT * FROM twice WHERE raw >= 0.002 ORDER BY raw DESC, doc_id LIMIT 52), fused AS (SELECT p.* FROM pool p WHERE doc_id NOT IN (3, 10) ORDER BY raw DESC, doc_id LIMIT 50)"""
+
+
+@query("VEC19_recall", LEARNINGS + f", {POOLED}, {SIGNALS}, r AS (SELECT s.doc_id, {SCORE} AS score FROM sig s JOIN learnings l ON l.id = s.doc_id, (SELECT {WEIGHED}) WHERE l.project = 'src0' OR l.type = 'en'), o AS (SELECT *, row_number() OVER (ORDER BY r.score DESC, doc_id) AS rank FROM r) SELECT rank, doc_id AS id, round(score, 9) AS score FROM o WHERE rank <= 10")
+def recall(t):
+    """The whole recall: both legs, the boost, the threshold, two ids seen before, tags that a row must have one of, all signals."""
+    asked = ask.Ask(" ".join(WORDS), probe(t), k=10, tags=tuple(TAGS), tags_strict=True, context="src0", exclude=(3, 10), as_of=AS_OF, types=TYPES, entities=tuple(ENTITIES))
+    memories = described(t.learnings.withColumnRenamed("id", "doc_id")).withColumnRenamed("doc_id", "id")
+    memories = memories.join(t.embeddings.select(F.col("vec_id").alias("id"), "embedding"), "id", "left")
+    return ask.recall(memories, asked).select("rank", "id", F.round("score", 9).alias("score"))
+
+
 CONFIGS = ", ".join(f"('{name}', {', '.join(map(str, w))}, 0.05)" for name, w in rr.SWEEPS.items())
 
 
