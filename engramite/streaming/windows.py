@@ -11,6 +11,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
+from engramite.sources.versions import Table
+
 
 def read_events(spark: SparkSession, folder: str, files_at_once: int = 1) -> DataFrame:
     """A stream of the Parquet files that come into a folder; the checkpoint remembers what was read."""
@@ -62,11 +64,19 @@ def keep_latest(events: DataFrame, most: int = 50, idle: str = "1 hour", late: s
 
 
 def upsert_batches(stream: DataFrame, path: str, keys: list[str], at: str, checkpoint: str):
-    """Write each micro-batch as a version of its latest rows by key; reading takes the newest of each key."""
+    """Commit the latest rows by key of each micro-batch to a table of versions, each batch once however often it is run; ``Table(...).read()`` has the newest of each key.
+
+    A later batch's row replaces an earlier one's only if it is not older by ``at``.
+    """
+    table = Table(stream.sparkSession, path, keys)
 
     def write(batch: DataFrame, number: int) -> None:
         from engramite.operators.metrics import latest
 
-        latest(batch, keys, F.desc(at)).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        new, old = latest(batch, keys, F.desc(at)), table.read()
+        if old is not None:
+            known = old.select(*keys, F.col(at).alias("__at"))
+            new = new.join(known, keys, "left").where(F.col("__at").isNull() | (F.col(at) >= F.col("__at"))).drop("__at")
+        table.add(new, f"{checkpoint}#{number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

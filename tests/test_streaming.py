@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from engramite.sources.versions import Table
 from engramite.streaming import windows as st
 
 
@@ -37,7 +38,13 @@ def test_state_is_bounded_fold(spark, sf, tmp_path):
 
 
 def test_upsert_batches(spark, sf, tmp_path):
-    source(spark, sf, tmp_path / "in")
-    st.upsert_batches(st.read_events(spark, str(tmp_path / "in"), 10), str(tmp_path / "out"), ["user_id"], "ts", str(tmp_path / "c5")).awaitTermination()
-    out = spark.read.parquet(str(tmp_path / "out"))
-    assert out.count() >= out.select("user_id").distinct().count() > 0
+    events = source(spark, sf, tmp_path / "in")
+    stream = lambda: st.upsert_batches(st.read_events(spark, str(tmp_path / "in"), 1), str(tmp_path / "out"), ["user_id"], "ts", str(tmp_path / "c5"))
+    stream().awaitTermination()
+    table = Table(spark, str(tmp_path / "out"), ["user_id"])
+    want = {r.user_id: r.ts for r in events.groupBy("user_id").agg(F.max("ts").alias("ts")).collect()}
+    assert {r.user_id: r.ts for r in table.read().collect()} == want and len(table.versions()) > 1
+    before = table.version()
+    stream().awaitTermination()  # a restart from the checkpoint has nothing to do
+    assert table.version() == before
+    assert table.add(table.read().limit(1), before.done[0]).number == before.number  # a batch that is run again is not committed again
