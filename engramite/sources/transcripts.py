@@ -6,32 +6,65 @@ counted as malformed and skipped.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BLOCK = "type string, text string, thinking string, id string, name string, input string, tool_use_id string, is_error boolean, content string"
 
-#: Limits of one transcript: bytes of a line, records.
-LINE_BYTES, RECORDS = 8 << 20, 125_000
+#: Limits of one transcript: bytes, bytes of a line, records, events (content blocks).
+FILE_BYTES, LINE_BYTES, RECORDS, EVENTS = 64 << 20, 8 << 20, 125_000, 25_000
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, raw): lines of the files with their numbers in each file, as Spark's text source orders them."""
-    rows = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "raw"))
-    return rows.where(F.trim("raw") != "")
+    """(file, line, raw): the lines that are not blank, with their numbers from 0 in each file.
+
+    Files are cut into byte ranges that are read apart, so no file is one row. A line belongs to the range that it
+    begins in; its number is its place in the range and what the ranges of the file before hold. Blank lines count.
+    """
+    text = spark.read.option("lineSep", "\n").text(path)
+    cut = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("raw"))
+    ranges = cut.groupBy("file", "start").agg(F.min("at").alias("first"), F.count("*").alias("lines"))
+    before = F.coalesce(F.sum("lines").over(Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = cut.join(ranges.select("file", "start", "first", before.alias("before")), ["file", "start"])
+    numbered = placed.select("file", (F.col("at") - F.col("first") + F.col("before")).cast("int").alias("line"), F.regexp_replace("raw", "\r$", "").alias("raw"))
+    return numbered.where(F.trim("raw") != "")
+
+
+def fingerprints(spark: SparkSession, path: str) -> DataFrame:
+    """(file, bytes, sha256) of the files; no fingerprint of a file beyond ``FILE_BYTES``, whose content is not read. Spark lists no empty files."""
+    found = spark.read.format("binaryFile").load(path)
+    small = found.where(F.col("length") <= FILE_BYTES).select(F.col("path").alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    return small.unionByName(found.where(F.col("length") > FILE_BYTES).select(F.col("path").alias("file"), F.col("length").alias("bytes"), F.lit(None).cast("string").alias("sha256")))
 
 
 def records(lines: DataFrame) -> DataFrame:
     """(file, line, type, uuid, parent, ts, sidechain, content, bad) of every line."""
     get = lambda p: F.get_json_object("raw", p)
     variant = F.try_parse_json("raw")
-    bad = variant.isNull() | ~F.schema_of_variant(variant).startswith("OBJECT") | (F.length("raw") > LINE_BYTES)
+    bad = variant.isNull() | ~F.schema_of_variant(variant).startswith("OBJECT") | (F.octet_length("raw") > LINE_BYTES)
     return lines.select("file", "line", get("$.type").alias("type"), get("$.uuid").alias("uuid"), get("$.parentUuid").alias("parent"), F.try_to_timestamp(get("$.timestamp")).alias("ts"), (get("$.isSidechain") == "true").alias("sidechain"), get("$.message.content").alias("content"), bad.alias("bad"))
 
 
-def account(rows: DataFrame) -> DataFrame:
-    """(file, records, malformed, over_limit)."""
-    return rows.groupBy("file").agg(F.count("*").alias("records"), F.count_if("bad").alias("malformed"), (F.count("*") > RECORDS).alias("over_limit"))
+def account(rows: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """(file, records, malformed, events, over_limit), and of ``fingerprints`` bytes and sha256: what was read of each file.
+
+    A file is over a limit by its bytes, its records, or its events: the content blocks of its records that are not
+    malformed. ``within_limits`` leaves such files out. Files without a line are told of only with ``files``.
+    """
+    blocks = F.when(F.col("content").startswith("["), F.coalesce(F.size(F.from_json("content", "array<string>")), F.lit(0))).otherwise(F.when(F.col("content").isNotNull(), 1).otherwise(0))
+    told = rows.groupBy("file").agg(F.count("*").alias("records"), F.count_if("bad").alias("malformed"), F.sum(F.when(F.col("bad"), 0).otherwise(blocks)).alias("events"))
+    over = (F.col("records") > RECORDS) | (F.col("events") > EVENTS)
+    if files is None:
+        return told.withColumn("over_limit", over)
+    none = F.lit(0).cast("long")
+    joined = files.withColumn("file", F.regexp_replace("file", r"^file:/+", "file:///")).join(told.withColumn("file", F.regexp_replace("file", r"^file:/+", "file:///")), "file", "left")
+    counts = {c: F.coalesce(c, none) for c in ("records", "malformed", "events")}
+    return joined.withColumns(counts).withColumn("over_limit", over | (F.col("bytes") > FILE_BYTES)).select("file", "records", "malformed", "events", "over_limit", "bytes", "sha256")
+
+
+def within_limits(rows: DataFrame, accounts: DataFrame) -> DataFrame:
+    """The records of files that are over no limit."""
+    return rows.join(accounts.where("over_limit").select("file"), "file", "left_anti")
 
 
 def blocks(rows: DataFrame) -> DataFrame:
@@ -75,8 +108,6 @@ def objective_chains(uses: DataFrame) -> DataFrame:
     For each failing check: the last change before it, the first change of that file after it and the first passing
     run of the same command after that; windows over a file's events, no pairs.
     """
-    from pyspark.sql import Window
-
     at = F.struct("line", "pos")
     target = F.get_json_object("input", "$.file_path")
     command = F.get_json_object("input", "$.command")

@@ -1,4 +1,6 @@
+import hashlib
 import json
+import random
 import zipfile
 
 from pyspark.sql import functions as F
@@ -32,6 +34,44 @@ def test_transcripts(spark, tmp_path):
     assert len(chain) == 1 and chain[0]["changed"]["line"] < chain[0]["failed_check"]["line"] < chain[0]["fixed"]["line"] < chain[0]["passed_check"]["line"]
 
 
+def test_lines_are_numbered_over_byte_ranges(spark, tmp_path, monkeypatch):
+    draw, want = random.Random(3), {}
+    for k in range(4):
+        lines = [draw.choice(["", " ", "x" * draw.randint(1, 400), "naïve 漢字 " * draw.randint(1, 9)]) for _ in range(200 * k)]
+        (tmp_path / f"f{k}.jsonl").write_bytes(("\r\n" if k == 2 else "\n").join(lines).encode() + b"\n" * (k % 2))
+        want |= {(f"f{k}.jsonl", n): x for n, x in enumerate(lines) if x.strip(" ")}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        for size in ("1000", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "100")
+            got = {(r.file.rsplit("/", 1)[1], r.line): r.raw for r in transcripts.read_lines(spark, str(tmp_path)).collect()}
+            assert got == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+
+
+def test_limits_and_fingerprints(spark, tmp_path, monkeypatch):
+    block = [{"type": "text", "text": "a"}] * 3
+    (tmp_path / "few.jsonl").write_text("\n".join([line("user", "u", None, 0, "hi"), line("user", "v", "u", 0, block), "{", json.dumps({"x": "y" * 300})]))
+    (tmp_path / "many.jsonl").write_text("\n".join(line("user", f"u{k}", None, 0, "hi") for k in range(6)))
+    (tmp_path / "blocks.jsonl").write_text(line("user", "u", None, 0, block * 3))
+    (tmp_path / "empty.jsonl").write_text("")
+    (tmp_path / "large.jsonl").write_text("\n" * 3000)
+    for name, value in (("FILE_BYTES", 2000), ("LINE_BYTES", 300), ("RECORDS", 5), ("EVENTS", 8)):
+        monkeypatch.setattr(transcripts, name, value)
+    rows, prints = transcripts.records(transcripts.read_lines(spark, str(tmp_path))), transcripts.fingerprints(spark, str(tmp_path))
+    told = {r.file.rsplit("/", 1)[1].split(".")[0]: r for r in transcripts.account(rows, prints).collect()}
+    assert {k: (r.records, r.malformed, r.events, r.over_limit) for k, r in told.items()} == {"few": (4, 2, 4, False), "many": (6, 0, 6, True), "blocks": (1, 1, 0, False), "large": (0, 0, 0, True)}
+    assert told["few"].sha256 == hashlib.sha256((tmp_path / "few.jsonl").read_bytes()).hexdigest() and told["large"].sha256 is None and told["large"].bytes == 3000
+    kept = transcripts.within_limits(rows, transcripts.account(rows))
+    assert {r.file.rsplit("/", 1)[1] for r in kept.select("file").distinct().collect()} == {"few.jsonl", "blocks.jsonl"}
+    monkeypatch.setattr(transcripts, "LINE_BYTES", 3000)
+    over = {r.file.rsplit("/", 1)[1]: r for r in transcripts.account(transcripts.records(transcripts.read_lines(spark, str(tmp_path)))).collect()}
+    assert over["blocks.jsonl"].events == 9 and over["blocks.jsonl"].over_limit and over["few.jsonl"].malformed == 1
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "a.TXT").write_text("plain")
