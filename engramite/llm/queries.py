@@ -125,6 +125,17 @@ def op11_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+#: For pages that have an article with a heading and paragraphs, as the given ones do.
+ORACLES["op11_html_text"] = r"""
+WITH bodies AS (SELECT page_id, url, regexp_split_to_array(coalesce(regexp_extract(html, '<article>(.*)</article>', 1, 's'), ''), '</?(?:p|h1)>') AS parts FROM pages),
+plain AS (SELECT page_id, url, list_transform(parts, lambda x: regexp_replace(replace(x, '<br>', ' '), '</?b>', '', 'g')) AS parts FROM bodies),
+named AS (SELECT page_id, url, list_transform(parts, lambda x: replace(replace(replace(replace(replace(x, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&#39;', chr(39)), '&#x27;', chr(39))) AS parts FROM plain),
+lines AS (SELECT page_id, url, list_transform(parts, lambda x: trim(regexp_replace(regexp_replace(x, '&amp;?', '&', 'g'), '[ \t\n\f\r]+', ' ', 'g'))) AS parts FROM named),
+texts AS (SELECT page_id, url, coalesce(array_to_string(list_filter(parts, lambda x: x <> ''), chr(10)), '') AS text FROM lines)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM texts
+"""
+
+
 @query
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = filter_audit.masks(documents(spark, sf_dir))
