@@ -14,14 +14,21 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections import Counter
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from engramite.functions import text as tx
 
 #: Documents of a block, on average, and buckets of terms.
 BLOCK_DOCS, BUCKETS = 1024, 64
+#: Documents whose words are counted at a time.
+ROWS = 100
 #: Blocks whose documents are scored to get a score to beat.
 FIRST_BLOCKS = 8
 
@@ -55,17 +62,38 @@ def _write(postings: DataFrame, documents: DataFrame, path: str) -> None:
     terms.select(prefix, "term").distinct().repartition("prefix").sortWithinPartitions("prefix", "term").write.parquet(f"{path}/prefixes")
 
 
+def _counted(weights: list[float], schema: pa.Schema):
+    """A pass over (key, words of each field): a row for each term of a document, and one with a null term for the document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
+            keys, fields = batch.column(0).to_pylist(), [c.to_pylist() for c in batch.columns[1:]]
+            out: tuple[list, list, list, list] = ([], [], [], [])
+            for row, key in enumerate(keys):
+                found: dict[str, float] = {}
+                for weight, words in zip(weights, fields, strict=True):
+                    for word, n in Counter(words[row]).items():
+                        found[word] = found.get(word, 0.0) + weight * n
+                size = sum(len(words[row]) for words in fields)
+                for column, values in zip(out, ([None, *found], [key] * (len(found) + 1), [0.0, *found.values()], [size] * (len(found) + 1)), strict=True):
+                    column.extend(values)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
+
+    return run
+
+
 def add(docs: DataFrame, path: str, key: str, fields: dict[str, float], words=tx.words) -> None:
     """Add documents as a segment; the first call makes the index. Null texts have no words; of rows with one key one counts, null keys are left out."""
     spark = docs.sparkSession
-    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), *[words(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(f"w{i}") for i, c in enumerate(fields)]).dropDuplicates(["key"])
-    length = sum((F.size(f"w{i}") for i in range(1, len(fields))), F.size("w0")).cast("long")
-    all_words = F.concat(*[F.transform(f"w{i}", _weighted(weight)) for i, weight in enumerate(fields.values())])
+    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"t{i}") for i, c in enumerate(fields)])
+    if not rows.groupBy("key").count().where("count > 1").isEmpty():
+        rows = rows.dropDuplicates(["key"])
+    split = rows.select("key", *[words(F.col(f"t{i}")).alias(f"w{i}") for i in range(len(fields))])
+    ddl = StructType.fromDDL(f"term string, key {rows.schema['key'].dataType.simpleString()}, tf double, dl long")
     segment = f"segment-{uuid.uuid4().hex}"
-    rows.select("key", length.alias("dl"), all_words.alias("words")).write.parquet(f"{path}/{segment}/words")
-    counted = spark.read.parquet(f"{path}/{segment}/words")
-    each = counted.select("key", "dl", F.explode("words").alias("w")).groupBy("key", "dl", F.col("w.term").alias("term")).agg(F.sum("w.weight").alias("tf"))
-    _write(each.select("term", "key", "tf", "dl"), counted.select("key", "dl"), f"{path}/{segment}")
+    split.mapInArrow(_counted([float(w) for w in fields.values()], to_arrow_schema(ddl)), ddl).write.parquet(f"{path}/{segment}/counts")
+    counts = spark.read.schema(ddl).parquet(f"{path}/{segment}/counts")
+    _write(counts.where("term is not null").select("term", "key", "tf", "dl"), counts.where("term is null").select("key", "dl"), f"{path}/{segment}")
     try:
         version, segments = _live(spark, path)
     except Exception as gone:  # no manifest yet: the index begins here
@@ -75,10 +103,6 @@ def add(docs: DataFrame, path: str, key: str, fields: dict[str, float], words=tx
     _commit(spark, path, version + 1, [*segments, (segment, max((n for _, n in segments), default=0) + 1)])
 
 
-def _weighted(weight: float):
-    return lambda w: F.struct(w.alias("term"), F.lit(float(weight)).alias("weight"))
-
-
 def _read(spark: SparkSession, path: str, segments: list[tuple[str, int]], table: str) -> DataFrame:
     out = None
     for segment, number in segments:
