@@ -64,15 +64,15 @@ def _cut(rows: DataFrame, score: str, pool: int, least: float) -> DataFrame:
     return rc.overfetch(rows, score, "id", pool, least)
 
 
-def candidates(rows: DataFrame, ask: Ask) -> DataFrame:
+def candidates(rows: DataFrame, ask: Ask, texts: DataFrame | None = None) -> DataFrame:
     """(id, raw, base, step): at most ``ask.pool()`` rows; raw ranks them, base is what the reranking calibrates, step is where on the ladder they were found.
 
-    Null texts and null embeddings are in no leg.
+    Null texts and null embeddings are in no leg. ``texts`` (id, content) stand for the content of ``rows``.
     """
     pool, near = ask.pool(), rc.CANDIDATES * ask.pool()
     plain = tx.query_words(ask.words)
     wanted = list(dict.fromkeys([*plain, *ask.expand]))
-    texts = rows.where("content is not null").select("id", "content")
+    texts = (rows if texts is None else texts).where("content is not null").select("id", "content")
     vectors = rows.where("embedding is not null").select("id", "embedding", "created_at")
 
     def of(words: list[str]) -> DataFrame:
@@ -107,17 +107,22 @@ def _seen(ids: Column, ask: Ask) -> Column:
     return F.coalesce(~ids.isin(list(ask.exclude)), F.lit(True)) if ask.exclude else F.lit(True)
 
 
-def recall(memories: DataFrame, ask: Ask) -> DataFrame:
+def recall(memories: DataFrame, ask: Ask, texts: DataFrame | None = None) -> DataFrame:
     """(rank, id, score, step): the ``k`` best memories.
 
     ``memories``: id, content, embedding, project, created_at, confidence, recall_count, type, tags, pattern_strength, pattern_tags,
     entities (name, type); those that are superseded or archived are left out by the caller. Ties go to the smaller id.
-    Fewer rows than ``k`` come back where no more are found; with no question and no vector none.
+    Fewer rows than ``k`` come back where no more are found; with no question and no vector none. Content may be given
+    apart, as ``texts`` (id, content) of the same ids: then it goes through no join that the memories are made by.
     """
-    everywhere = memories if ask.project is None or ask.project_first else memories.where(F.col("project") == ask.project)
-    found = candidates(everywhere, ask)
+
+    def of_project() -> tuple[DataFrame, DataFrame | None]:
+        rows = memories.where(F.col("project") == ask.project)
+        return rows, None if texts is None else texts.join(rows.select("id"), "id", "left_semi")
+
+    found = candidates(memories, ask, texts) if ask.project is None or ask.project_first else candidates(of_project()[0], ask, of_project()[1])
     if ask.project is not None and ask.project_first:
-        own = candidates(memories.where(F.col("project") == ask.project), ask)
+        own = candidates(of_project()[0], ask, of_project()[1])
         best = lambda df: df.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("raw"), "id")))  # noqa: E731  # at most a pool of rows
         order = rc.project_first(best(own), best(found), "id", ask.pool())
         both = own.unionByName(found).groupBy("id").agg(F.max(F.struct("raw", "base", "step")).alias("b")).select("id", "b.*")

@@ -267,9 +267,9 @@ twice AS (SELECT * FROM boosted0 ORDER BY raw DESC, doc_id LIMIT 104), pool AS (
 def recall(t):
     """The whole recall: both legs, the boost, the threshold, two ids seen before, tags that a row must have one of, all signals."""
     asked = ask.Ask(" ".join(WORDS), probe(t), k=10, tags=tuple(TAGS), tags_strict=True, context="src0", exclude=(3, 10), as_of=AS_OF, types=TYPES, entities=tuple(ENTITIES))
-    memories = described(t.learnings.withColumnRenamed("id", "doc_id")).withColumnRenamed("doc_id", "id")
+    memories = described(t.learnings.drop("content").withColumnRenamed("id", "doc_id")).withColumnRenamed("doc_id", "id")
     memories = memories.join(t.embeddings.select(F.col("vec_id").alias("id"), "embedding"), "id", "left")
-    return ask.recall(memories, asked).select("rank", "id", F.round("score", 9).alias("score"))
+    return ask.recall(memories, asked, texts(t).withColumnRenamed("doc_id", "id")).select("rank", "id", F.round("score", 9).alias("score"))
 
 
 CONFIGS = ", ".join(f"('{name}', {', '.join(map(str, w))}, 0.05)" for name, w in rr.SWEEPS.items())

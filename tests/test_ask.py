@@ -21,6 +21,8 @@ def memories(spark):
 
 def ids(memories, *words, **flags):
     rows = recall(memories, Ask(" ".join(words), **flags)).orderBy("rank").collect()
+    if flags.get("project"):  # with the content apart
+        assert rows == recall(memories.drop("content"), Ask(" ".join(words), **flags), memories.select("id", "content")).orderBy("rank").collect()
     assert [r["rank"] for r in rows] == list(range(1, len(rows) + 1)) and all(a.score >= b.score for a, b in zip(rows, rows[1:]))
     return [r.id for r in rows], {r.step for r in rows}
 
