@@ -228,18 +228,17 @@ def replaced(text: Column, rules: list[tuple[str, str]]) -> Column:
 
 def log_field(text: Column, longest: int = 500) -> Column:
     """One line of printable ASCII and tabs for logs: other characters by number, longer texts cut with a mark, null named."""
-    head = F.substring(text, 1, longest)
+    # the head is taken once: runs of plain characters as they are, any other one by itself
+    pieces = F.regexp_extract_all(F.substring(text, 1, longest), F.lit(r"[\x20-\x7E\t]+|[^\x20-\x7E\t]"), F.lit(0))
 
-    def shown(at: Column) -> Column:
-        sign = F.substring(head, at, F.lit(1))
-        code = F.ascii(sign)
+    def shown(piece: Column) -> Column:
+        code = F.ascii(piece)
         number = lambda prefix, width: F.concat(F.lit(prefix), F.lpad(F.lower(F.hex(code)), width, "0"))
-        return F.when((code == 9) | code.between(32, 126), sign).when(code <= 0xFF, number("\\x", 2)).when(code <= 0xFFFF, number("\\u", 4)).otherwise(number("\\U", 8))
+        return F.when((code == 9) | code.between(32, 126), piece).when(code <= 0xFF, number("\\x", 2)).when(code <= 0xFFFF, number("\\u", 4)).otherwise(number("\\U", 8))
 
-    places = F.when(F.length(head) > 0, F.sequence(F.lit(1), F.length(head))).otherwise(F.array().cast("array<int>"))
-    line = F.when(head.rlike(r"[^\x20-\x7E\t]"), F.array_join(F.transform(places, shown), "")).otherwise(head)
-    cut = F.when(F.length(text) > longest, F.concat(line, F.lit("...[truncated "), F.length(text) - longest, F.lit(" characters]"))).otherwise(line)
-    return F.coalesce(cut, F.lit("<none>"))
+    line = F.array_join(F.transform(pieces, shown), "")
+    cut = F.when(F.length(text) > longest, F.concat(F.lit("...[truncated "), F.length(text) - longest, F.lit(" characters]"))).otherwise("")
+    return F.coalesce(F.concat(line, cut), F.lit("<none>"))
 
 
 def file_mentions(text: Column) -> Column:

@@ -111,6 +111,16 @@ def test_log_line(spark):
     assert row["p"] == "a\\x0a\tb\\x07\\xe9" + "x" * 14 + "...[truncated 586 characters]"
 
 
+def test_log_line_takes_the_text_once(spark):
+    """What is done for each character does not go back to the text; characters of all widths, none, and null."""
+    rows = [(k, "a" * k + end) for k, end in enumerate(["", "\U0001f600\x9b\n", "\u0000 \u20ac~\x7f", "\t\U0001f600" * 3])] + [(9, None)]
+    found = spark.createDataFrame(rows, "k int, t string").select("k", tx.log_field(F.concat("t", F.lit("")), 5).alias("p"))
+    assert {r["k"]: r["p"] for r in found.collect()} == {
+        0: "", 1: "a\\U0001f600\\x9b\\x0a", 2: "aa\\x00 \\u20ac...[truncated 2 characters]", 3: "aaa\t\\U0001f600...[truncated 4 characters]", 9: "<none>",
+    }
+    assert found._jdf.queryExecution().analyzed().toString().count("concat(t#") <= 3
+
+
 def test_entropy_reads_whole_histories(spark, tmp_path):
     rows = [(i, 1, i, "view") for i in range(15)] + [(15 + i, 1, 15 + i, "buy") for i in range(15)] + [(40, 2, 1, None)]
     spark.createDataFrame(rows, "event_id long, user_id long, ts long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
