@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from engramite.functions import vectors as vc
 from engramite.operators.components import connected_components
 from engramite.operators.rerank import centroids
+from engramite.session import written
 
 
 def cooccurrence(members: DataFrame, group: str, item: str, weight: DataFrame | None = None) -> DataFrame:
@@ -33,19 +34,20 @@ def clusters(edges: DataFrame, least: float, smallest: int) -> DataFrame:
 
 def split_large(edges: DataFrame, most: int, smallest: int, least: float, factor: float = 1.5, rounds: int = 10) -> DataFrame:
     """Clusters none of which is larger than ``most`` if raising the least weight by the factor up to so many times can do it."""
-    found = clusters(edges, least, smallest)
+    # each round ends in a table, so that plans do not grow from round to round
+    found = written(clusters(edges, least, smallest), "clusters")
     for _ in range(rounds):
         large = found.where(F.col("size") > most)
         if large.isEmpty():
             break
         least *= factor
         inside = edges.join(large.select(F.col("node").alias("a")), "a", "left_semi")
-        parts = clusters(inside, least, smallest)
+        parts = written(clusters(inside, least, smallest), "clusters")
         split = parts.join(large.select("node", F.col("component").alias("whole"), F.col("size").alias("was")), "node").where("size < was")
         gone = split.select(F.col("whole").alias("component")).distinct()
         if gone.isEmpty():
             break
-        found = found.join(gone, "component", "left_anti").select("node", "component", "size").unionByName(split.select("node", "component", "size"))
+        found = written(found.join(gone, "component", "left_anti").select("node", "component", "size").unionByName(split.select("node", "component", "size")), "clusters")
     return found
 
 

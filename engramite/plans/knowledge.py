@@ -16,6 +16,7 @@ from engramite.operators import patterns as pa
 from engramite.operators import recall as rc
 from engramite.plans.recall import COS, probe
 from engramite.plans.registry import query
+from engramite.session import written
 from engramite.sources.tables import spread
 
 
@@ -52,7 +53,7 @@ REACH = "e AS (SELECT a AS u, b AS v FROM k UNION ALL SELECT b, a FROM k), reach
 
 @query("CLU4_split_large")
 def split_large(t):
-    edges = pr.similar_pairs(t.embeddings, 0.3).withColumnRenamed("similarity", "weight")
+    edges = written(pr.spanning_pairs(t.embeddings, 0.3).withColumnRenamed("similarity", "weight"), "links")
     return g.split_large(edges, 20, 5, 0.3).select("node", "component", "size")
 
 

@@ -77,6 +77,23 @@ def test_pairs_over_several_blocks(spark, monkeypatch):
     assert level["pairs"] == len(want)
 
 
+def test_spanning_pairs_tell_the_components_of_every_level(spark, monkeypatch):
+    """Several blocks and tiles, clumps of many links, copies, a null; few links and the same components as all pairs have."""
+    monkeypatch.setattr(pairs, "BLOCK_ROWS", 60)
+    monkeypatch.setattr(pairs, "TILE_ROWS", 25)
+    draw = np.random.default_rng(5)
+    middle = draw.normal(size=(6, 8))
+    vectors = np.array([middle[i % 6] + 0.6 * draw.normal(size=8) for i in range(200)] + [middle[0]] * 20)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)] + [(None, [0.0] * 8), (999, None)], "vec_id long, embedding array<double>")
+    every, few = pairs.similar_pairs(frame, 0.5).cache(), pairs.spanning_pairs(frame, 0.5).cache()
+    assert few.count() < every.count() / 3 and few.join(every, ["a", "b"], "left_anti").isEmpty()
+    for level in (0.5, 0.7, 0.9, 0.99):
+        parts = [sorted(map(tuple, connected_components(x.where(f"similarity >= {level}"), "a", "b").collect())) for x in (every, few)]
+        assert parts[0] == parts[1] and parts[0]
+    ends = every.selectExpr("a as id").unionByName(every.selectExpr("b as id")).groupBy("id").count()
+    assert sorted(map(tuple, pairs.near_counts(frame, 0.5).collect())) == sorted(map(tuple, ends.collect()))
+
+
 def test_lifecycle_guards(spark):
     store = spark.createDataFrame([(1, "p", None, None), (2, "p", None, None), (3, "q", None, None), (4, "p", 1, None), (5, "p", None, "2024-01-01")], "id long, project string, superseded_by long, archived_at string").withColumn("superseded_at", F.lit(None).cast("timestamp_ntz"))
     plan = spark.createDataFrame([(2, 1), (3, 1), (4, 2), (1, 5)], "loser long, keeper long")
