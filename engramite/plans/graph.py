@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from engramite.operators import graph as g
 from engramite.operators import pairs as pr
 from engramite.plans.registry import query
+from engramite.session import written
 
 COS = "list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"
 REACH = "e AS (SELECT a AS u, b AS v FROM k UNION ALL SELECT b, a FROM k), reach AS (SELECT DISTINCT u, u AS v FROM e UNION SELECT r.u, e.v FROM reach r JOIN e ON r.v = e.u), comp AS (SELECT u AS node, min(v) AS component FROM reach GROUP BY 1)"
@@ -37,7 +38,7 @@ def weighted(t):
 @query("CLU3_components", f"""WITH RECURSIVE k AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a, embeddings b WHERE a.vec_id < b.vec_id AND {COS} >= 0.42), {REACH}
 SELECT node, component, count(*) OVER (PARTITION BY component) AS size FROM comp QUALIFY size >= 3""")
 def components(t):
-    edges = pr.similar_pairs(t.embeddings, 0.42).withColumnRenamed("similarity", "weight")
+    edges = pr.spanning_pairs(t.embeddings, 0.42).withColumnRenamed("similarity", "weight")
     return g.clusters(edges, 0.42, 3)
 
 
@@ -45,10 +46,8 @@ def components(t):
 k AS (SELECT a, b FROM s WHERE a < b AND a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)), {REACH} SELECT c.id AS node, coalesce(comp.component, c.id) AS component FROM core c LEFT JOIN comp ON comp.node = c.id""")
 def density_clusters(t):
     """Components of the vectors that have two others near; vectors without are noise."""
-    near = pr.similar_pairs(t.embeddings, 0.4)
-    both = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id")))
-    core = both.groupBy("id").agg(F.count("*").alias("n")).where("n >= 2").select("id")
-    inside = near.join(core.withColumnRenamed("id", "a"), "a", "left_semi").join(core.withColumnRenamed("id", "b"), "b", "left_semi")
+    core = written(pr.near_counts(t.embeddings, 0.4).where("n >= 2").select("id"), "core")
+    inside = pr.spanning_pairs(t.embeddings.join(core.withColumnRenamed("id", "vec_id"), "vec_id", "left_semi"), 0.4)
     found = g.connected_components(inside, "a", "b").withColumnRenamed("node", "id")
     return core.join(found, "id", "left").select(F.col("id").alias("node"), F.coalesce("component", "id").alias("component"))
 
