@@ -13,7 +13,7 @@ from engramite.operators import recall as rc
 from engramite.operators import rerank as rr
 from engramite.operators import text_index as ix
 from engramite.plans.registry import AS_OF, LEARNINGS, query
-from engramite.session import scratch_path
+from engramite.session import scratch_path, written
 
 #: The words and the vector that stand for a query.
 WORDS, PROBE = ["thing", "ering", "tion"], 7
@@ -322,7 +322,7 @@ SELECT o.n, CASE WHEN len(list_filter(o.others, lambda x: NOT list_contains(r.go
 SELECT p.id, arg_max(other, {{'s': s, 'o': -other}}) AS kept, round(max(s), 9) AS similarity FROM p JOIN g ON g.id = p.id WHERE other NOT IN (SELECT id FROM g) GROUP BY 1""")
 def store_time(t):
     """Rows refused for a stored earlier one, with the nearest such; refused rows refuse nothing."""
-    close = pr.similar_pairs(t.embeddings, 0.35)
+    close = written(pr.similar_pairs(t.embeddings, 0.35), "links")
     gone = pr.refused(close).withColumnRenamed("id", "b")
     held = close.join(gone, "b", "left_semi").join(gone.withColumnRenamed("b", "a"), "a", "left_anti")
     return held.groupBy(F.col("b").alias("id")).agg(F.max_by("a", F.struct("similarity", -F.col("a"))).alias("kept"), F.round(F.max("similarity"), 9).alias("similarity"))
