@@ -5,18 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from engramite.functions.ordered import quantiles, same_keys
 from engramite.session import cut_lineage
 
 
-def describe(df: DataFrame, x: str, by: list[str]) -> DataFrame:
+def moments(df: DataFrame, x: str, by: list[str]) -> DataFrame:
     c = F.col(x)
-    q = lambda p: F.percentile(c, F.lit(p))
     return df.groupBy(*by).agg(
         F.count(c).alias("n"), F.min(c).alias("low"), F.max(c).alias("high"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"), F.var_pop(c).alias("var"), F.var_samp(c).alias("var_samp"),
-        F.median(c).alias("median"), (q(0.75) - q(0.25)).alias("iqr"), F.skewness(c).alias("skew"), F.kurtosis(c).alias("kurtosis"), (F.stddev_samp(c) / F.sqrt(F.count(c))).alias("sem"),
+        F.skewness(c).alias("skew"), F.kurtosis(c).alias("kurtosis"), (F.stddev_samp(c) / F.sqrt(F.count(c))).alias("sem"),
     )
 
 
+def describe(df: DataFrame, x: str, by: list[str]) -> DataFrame:
+    """``moments`` with the exact median and quartile range."""
+    quarters = quantiles(df, x, by, {"low_quarter": 0.25, "median": 0.5, "high_quarter": 0.75})
+    joined = same_keys(moments(df, x, by), quarters, by, "left")
+    names = ["n", "low", "high", "mean", "std", "var", "var_samp", "median", "iqr", "skew", "kurtosis", "sem"]
+    return joined.withColumn("iqr", F.col("high_quarter") - F.col("low_quarter")).select(*by, *names)
+
+
 def weighted_mean(x: Column, w: Column) -> Column:
     return F.try_divide(F.sum(x * w), F.sum(w))
 
@@ -43,17 +51,6 @@ def running(df: DataFrame, x: str, by: str, order: list[str]) -> DataFrame:
     return df.withColumns({"cumsum": F.sum(x).over(w.rowsBetween(Window.unboundedPreceding, 0)), "diff": F.col(x) - before, "gradient": gradient, "area": (F.col(x) + before) / 2, "median3": three[1]})
 
 
-def average_rank(x: str, by: list[str]) -> Column:
-    """Rank within keys; ties share the mean of their places."""
-    w = Window.partitionBy(*by).orderBy(x)
-    return F.rank().over(w) + (F.count("*").over(Window.partitionBy(*by, x)) - 1) / 2.0
-
-
-def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
-    ranked = df.withColumns({"__x": average_rank(x, by), "__y": average_rank(y, by)})
-    return ranked.groupBy(*by).agg(F.corr("__x", "__y").alias("rho"))
-
-
 def regression(df: DataFrame, y: str, x: str, by: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"), F.corr(x, y).alias("r"), F.covar_samp(x, y).alias("cov"))
 

@@ -21,6 +21,66 @@ def running_totals(df: DataFrame, keys: list[str], value: str, total: str = "tot
     return placed.withColumn("__inside", inside).join(F.broadcast(before), "__range").withColumn(total, F.col("__before") + F.col("__inside")).drop("__range", "__before", "__inside")
 
 
+def greatest_before(df: DataFrame, keys: list[str], value: str, name: str = "before") -> DataFrame:
+    """``df`` with the greatest value of the rows before in the order of keys that no two rows share, null for the first; over ranges as ``running_totals``."""
+    placed = written(df.repartitionByRange(*keys).withColumn("__range", F.spark_partition_id()), "ranges")
+    upto = Window.rowsBetween(Window.unboundedPreceding, -1)
+    tops = placed.groupBy("__range").agg(F.max(value).alias("__top"))
+    over = tops.select("__range", F.max("__top").over(upto.orderBy("__range")).alias("__over"))
+    inside = F.max(value).over(upto.partitionBy("__range").orderBy(*keys))
+    return placed.withColumn("__inside", inside).join(F.broadcast(over), "__range").withColumn(name, F.greatest("__over", "__inside")).drop("__range", "__over", "__inside")
+
+
+def same_keys(one: DataFrame, other: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join on keys that may be null; the keys of the first frame stay."""
+    other = other.withColumnsRenamed({k: f"__{k}" for k in keys})
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return one.join(other, on, how).drop(*[f"__{k}" for k in keys])
+
+
+def _places(cells: DataFrame, x: str, by: list[str], count: str) -> DataFrame:
+    """Distinct (by, x) with their count, ``__first``, how many rows of the group are before, and ``__all``, how many it has."""
+    told = running_totals(cells, [*by, x], count, "__upto")
+    groups = told.groupBy(*by).agg(F.min(F.col("__upto") - F.col(count)).alias("__start"), F.sum(count).alias("__all"))
+    joined = same_keys(told, groups, by) if by else told.crossJoin(groups)
+    return joined.withColumn("__first", F.col("__upto") - F.col(count) - F.col("__start")).drop("__upto", "__start")
+
+
+def quantiles(df: DataFrame, x: str, by: list[str], wanted: dict[str, float]) -> DataFrame:
+    """(by, names of ``wanted``): exact quantiles of each group, between two values in proportion; nulls are left out.
+
+    Distinct values are counted and placed by running totals over ranges, so no task holds a group.
+    """
+    cells = df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count("*").alias("__n"))
+    placed = _places(cells, x, by, "__n")
+    value, first = F.col(x).cast("double"), F.col("__first")
+    at = {name: F.lit(p) * (F.col("__all") - 1) for name, p in wanted.items()}
+    met = lambda place: F.max(F.when((first <= place) & (place < first + F.col("__n")), value))
+    ends = [c for name, pos in at.items() for c in (met(F.floor(pos)).alias(f"__low_{name}"), met(F.ceil(pos)).alias(f"__high_{name}"))]
+    found = placed.groupBy(*by).agg(F.max("__all").alias("__all"), *ends)
+    between = lambda name, pos: F.col(f"__low_{name}") + (F.col(f"__high_{name}") - F.col(f"__low_{name}")) * (pos - F.floor(pos))
+    return found.select(*by, *[between(name, pos).alias(name) for name, pos in at.items()])
+
+
+def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
+    """(by, rho): correlation of the ranks in each group, ties at the mean of their places; null where x or y is the same in all rows.
+
+    Rows are counted by group, x and y; ranks are given to distinct values over ranges and joined with the counts.
+    """
+    cells = written(df.groupBy(*by, F.col(x).alias("__x"), F.col(y).alias("__y")).agg(F.count("*").alias("__c")), "cells")
+    off = cells
+    for side in ("__x", "__y"):
+        values = cells.groupBy(*by, side).agg(F.sum("__c").alias("__n"))
+        # places less the mean place of the group
+        rank = F.col("__first") + (F.col("__n") - F.col("__all")) / 2.0
+        off = same_keys(off, _places(values, side, by, "__n").select(*by, side, rank.alias(f"{side}_off")), [*by, side])
+    u, v, c = F.col("__x_off"), F.col("__y_off"), F.col("__c")
+    made = off.groupBy(*by).agg(F.sum(c * u * v).alias("uv"), F.sum(c * u * u).alias("uu"), F.sum(c * v * v).alias("vv"))
+    return made.select(*by, F.try_divide("uv", F.sqrt("uu") * F.sqrt("vv")).alias("rho"))
+
+
 def kendall(df: DataFrame, x: str, y: str, by: str) -> DataFrame:
     """(by, n, tau): Kendall's tau-b of each group; null where x or y is the same in all rows. Rows with a null x or y are left out.
 

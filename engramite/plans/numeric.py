@@ -23,7 +23,7 @@ def describe(t):
 @query("NUM_moments", """WITH m AS (SELECT event_type, avg(value) AS m FROM events GROUP BY 1), c AS (SELECT e.event_type, e.value - m.m AS d FROM events e JOIN m ON m.event_type = e.event_type)
 SELECT event_type, round(avg(d * d * d) / power(avg(d * d), 1.5), 6) AS skew, round(avg(d * d * d * d) / power(avg(d * d), 2) - 3, 6) AS kurtosis FROM c GROUP BY 1""")
 def moments(t):
-    return rounded(nm.describe(t.events, "value", ["event_type"]).select("event_type", "skew", "kurtosis"), "skew", "kurtosis")
+    return rounded(nm.moments(t.events, "value", ["event_type"]).select("event_type", "skew", "kurtosis"), "skew", "kurtosis")
 
 
 @query("NUM_weighted_mean", "SELECT l_returnflag, round(sum(l_extendedprice * l_quantity) / sum(l_quantity), 4) AS mean FROM lineitem GROUP BY 1")
@@ -38,7 +38,7 @@ def histogram(t):
 
 @query("NUM_quantiles", "SELECT p_brand, round(quantile_cont(p_retailprice, 0.1), 6) AS p10, round(quantile_cont(p_retailprice, 0.5), 6) AS p50, round(quantile_cont(p_retailprice, 0.95), 6) AS p95 FROM part GROUP BY 1")
 def quantiles(t):
-    return t.part.groupBy("p_brand").agg(*[F.round(F.percentile("p_retailprice", F.lit(p)), 6).alias(n) for p, n in ((0.1, "p10"), (0.5, "p50"), (0.95, "p95"))])
+    return rounded(od.quantiles(t.part, "p_retailprice", ["p_brand"], {"p10": 0.1, "p50": 0.5, "p95": 0.95}), "p10", "p50", "p95")
 
 
 @query("NUM_entropy", "WITH c AS (SELECT event_type, count(*) / CAST((SELECT count(*) FROM events) AS DOUBLE) AS p FROM events GROUP BY 1) SELECT round(-sum(p * ln(p)), 9) AS entropy FROM c")
@@ -55,7 +55,7 @@ def running(t):
 
 @query("NUM_spearman", """WITH r AS (SELECT l_returnflag, rank() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_returnflag, l_quantity) - 1) / 2.0 AS x, rank() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_returnflag, l_extendedprice) - 1) / 2.0 AS y FROM lineitem) SELECT l_returnflag, round(corr(x, y), 6) AS rho FROM r GROUP BY 1""")
 def spearman(t):
-    return rounded(nm.spearman(t.lineitem, "l_quantity", "l_extendedprice", ["l_returnflag"]), "rho")
+    return rounded(od.spearman(t.lineitem, "l_quantity", "l_extendedprice", ["l_returnflag"]), "rho")
 
 
 @query("NUM_kendall", """WITH p AS (SELECT a.p_brand, sign(a.p_size - b.p_size) * sign(a.p_retailprice - b.p_retailprice) AS s, a.p_size = b.p_size AS tx, a.p_retailprice = b.p_retailprice AS ty FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey)

@@ -2,11 +2,15 @@
 
 import math
 import random
+from datetime import datetime, timedelta
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from engramite.functions import ordered
+from engramite.functions import numeric, ordered
+from engramite.plans import library
 
 
 def tau(rows):
@@ -42,3 +46,39 @@ def test_running_totals_over_ranges(spark):
     for k in sorted(values):
         total += values[k]
         assert got[k] == total
+
+
+def test_quantiles_and_ranks_gather_no_group(spark):
+    """Ties, one row, equal rows, null keys and values, a group of nulls only; and no window or percentile over a whole group."""
+    draw = random.Random(4)
+    groups = {"a": [(draw.randint(0, 9), draw.randint(0, 400)) for _ in range(300)], "b": [(1, 2)], "c": [(3, k) for k in range(4)], None: [(draw.random(), draw.random()) for _ in range(21)]}
+    rows = [(g, float(x), float(y)) for g, values in groups.items() for x, y in values]
+    frame = spark.createDataFrame([*rows, ("a", 1.0, None), ("gone", 1.0, None)], "g string, x double, y double").repartition(5)
+    made = numeric.describe(frame, "y", ["g"])
+    assert "percentile" not in made._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.g: r for r in made.collect()}
+    for g, values in groups.items():
+        low, median, high = np.quantile([y for _, y in values], [0.25, 0.5, 0.75])
+        assert got[g]["n"] == len(values) and (got[g]["median"], got[g]["iqr"]) == (pytest.approx(median), pytest.approx(high - low, abs=1e-12))
+    assert (got["gone"]["n"], got["gone"]["median"]) == (0, None)
+    found = ordered.spearman(spark.createDataFrame(rows, "g string, x double, y double").repartition(3), "x", "y", ["g"])
+    assert "windowspecdefinition(g#" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.g: r.rho for r in found.collect()}
+    for g, values in groups.items():
+        x, y = (pd.Series(side).rank() for side in zip(*values, strict=True))
+        want = x.corr(y) if len(values) > 1 and x.nunique() > 1 else None
+        assert got[g] is None if want is None else got[g] == pytest.approx(want, abs=1e-9), g
+
+
+def test_late_rows_of_one_place_stand_in_the_order_of_their_numbers(spark, tmp_path):
+    """Three rounds of numbers that fall on the same places, in files of any order."""
+    draw = random.Random(6)
+    rows = [(k, datetime(2024, 1, 1) + timedelta(hours=draw.randint(0, 2000))) for k in range(30000)]
+    draw.shuffle(rows)
+    path = f"{tmp_path}/events.parquet"
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz").repartition(7).write.parquet(path)
+    top, late = None, 0
+    for _, _, ts in sorted((k * 7919 % 10007, k, ts) for k, ts in rows):
+        late += top is not None and ts < top - timedelta(days=1)
+        top = ts if top is None else max(top, ts)
+    assert tuple(library.QUERIES["ST_late_rows"](spark, str(tmp_path)).first()) == (len(rows), late)
