@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from engramite.functions import ordered as od
 from engramite.operators import sequence as sq
 from engramite.plans.registry import query
 
@@ -115,13 +116,9 @@ def work_claims(t):
 
 @query("ST_late_rows", """WITH m AS (SELECT event_id, ts, max(ts) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mark FROM (SELECT (event_id * 7919) % 10007 AS event_id, ts FROM events)) SELECT count(*) AS n, count(*) FILTER (ts < mark - INTERVAL 1 DAY) AS late FROM m""")
 def late_rows(t):
-    """Rows later than a day behind the watermark, if they came in a scrambled order."""
-    scrambled = t.events.select(((F.col("event_id") * 7919) % 10007).alias("event_id"), "ts")
-    day = scrambled.select(F.floor(F.col("event_id") / 256).alias("slice"), "event_id", "ts")
-    # running maximum in two levels, so that no task sees all rows: of the slices before, then within the slice
-    tops = day.groupBy("slice").agg(F.max("ts").alias("top")).withColumn("before", F.max("top").over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)))
-    inner = day.withColumn("inner", F.max("ts").over(Window.partitionBy("slice").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)))
-    marked = inner.join(tops.select("slice", "before"), "slice").withColumn("mark", F.greatest("before", "inner"))
+    """Rows later than a day behind the watermark, if they came in a scrambled order; those that came at one place, which the SQL leaves open, in the order of their numbers."""
+    scrambled = t.events.select(((F.col("event_id") * 7919) % 10007).alias("place"), "event_id", "ts")
+    marked = od.greatest_before(scrambled, ["place", "event_id"], "ts", "mark")
     return marked.agg(F.count("*").alias("n"), F.count_if(F.col("ts") < F.col("mark") - F.expr("interval 1 day")).alias("late"))
 
 
