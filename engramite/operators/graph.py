@@ -11,18 +11,29 @@ from engramite.operators.rerank import centroids
 from engramite.session import written
 
 
+#: Rows, and pairs, that one task counts on average.
+TASK_ROWS = 1_000_000
+
+
 def cooccurrence(members: DataFrame, group: str, item: str, weight: DataFrame | None = None) -> DataFrame:
     """(a, b, weight) for items that share groups: the number of groups, or the sum of the groups' weights.
 
-    Meant for groups of bounded size (the lines of an order, the tags of a text).
+    Meant for groups of bounded size (the lines of an order, the tags of a text). The tasks are as many as the rows and
+    their pairs call for, so what one of them holds does not grow with the table.
     """
-    rows = members.select(group, item).distinct()
+    least = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = lambda count: max(least, -(-int(count or 0) // TASK_ROWS))
+    rows = written(members.select(group, item).repartition(parts(members.count()), group).distinct(), "members")
+    n = F.col("count")
+    size = rows.groupBy(group).count().agg(F.sum("count").alias("rows"), F.sum(n * (n - 1) / 2).alias("pairs")).first()
+    rows = rows.repartition(parts(size["rows"]), group)
     if weight is not None:
         rows = rows.join(weight, group)
     else:
         rows = rows.withColumn("weight", F.lit(1.0))
     one, two = rows.select(group, F.col(item).alias("a"), "weight"), rows.select(F.col(group).alias(group), F.col(item).alias("b"))
-    return one.join(two, group).where("a < b").groupBy("a", "b").agg(F.sum("weight").alias("weight"))
+    pairs = one.join(two, group).where("a < b").select("a", "b", "weight")
+    return pairs.repartition(parts(size["pairs"]), "a", "b").groupBy("a", "b").agg(F.sum("weight").alias("weight"))
 
 
 def clusters(edges: DataFrame, least: float, smallest: int) -> DataFrame:

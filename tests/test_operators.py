@@ -94,6 +94,15 @@ def test_spanning_pairs_tell_the_components_of_every_level(spark, monkeypatch):
     assert sorted(map(tuple, pairs.near_counts(frame, 0.5).collect())) == sorted(map(tuple, ends.collect()))
 
 
+def test_cooccurrence_has_as_many_tasks_as_its_pairs_call_for(spark, monkeypatch):
+    monkeypatch.setattr(graph, "TASK_ROWS", 100)
+    rows = [(g, i) for g in range(60) for i in range(g % 5, g % 5 + 6)] + [(3, 4), (None, 1), (None, 2), (7, None)]
+    found = graph.cooccurrence(spark.createDataFrame(rows, "g long, i long"), "g", "i")
+    assert found.rdd.getNumPartitions() >= 9
+    want = {(a, b): float(sum(1 for k in range(5) if k <= a and b < k + 6) * 12) for a in range(10) for b in range(a + 1, 10)}
+    assert {(r["a"], r["b"]): r["weight"] for r in found.collect()} == {k: v for k, v in want.items() if v}
+
+
 def test_lifecycle_guards(spark):
     store = spark.createDataFrame([(1, "p", None, None), (2, "p", None, None), (3, "q", None, None), (4, "p", 1, None), (5, "p", None, "2024-01-01")], "id long, project string, superseded_by long, archived_at string").withColumn("superseded_at", F.lit(None).cast("timestamp_ntz"))
     plan = spark.createDataFrame([(2, 1), (3, 1), (4, 2), (1, 5)], "loser long, keeper long")
