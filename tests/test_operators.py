@@ -5,6 +5,7 @@ import re
 import string
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from engramite.functions import stems
@@ -103,6 +104,14 @@ def test_cooccurrence_has_as_many_tasks_as_its_pairs_call_for(spark, monkeypatch
     assert {(r["a"], r["b"]): r["weight"] for r in found.collect()} == {k: v for k, v in want.items() if v}
 
 
+def test_stems_of_a_batch_are_kept_in_arrows_form(monkeypatch):
+    monkeypatch.setattr(stems, "TEXTS", 3)
+    texts = ["Running the dogs", None, "", "licensed work", "the", "one more", "Skies"]
+    found = stems._stems(pd.Series(texts))
+    assert "list<item: string>" in str(found.dtype) and found.array._pa_array.num_chunks == 3
+    assert [list(x) for x in found] == [stems.text_stems(t) for t in texts] and len(stems._stems(pd.Series([], dtype=object))) == 0
+
+
 def test_lifecycle_guards(spark):
     store = spark.createDataFrame([(1, "p", None, None), (2, "p", None, None), (3, "q", None, None), (4, "p", 1, None), (5, "p", None, "2024-01-01")], "id long, project string, superseded_by long, archived_at string").withColumn("superseded_at", F.lit(None).cast("timestamp_ntz"))
     plan = spark.createDataFrame([(2, 1), (3, 1), (4, 2), (1, 5)], "loser long, keeper long")
