@@ -5,30 +5,36 @@ hashed pairs of classes, and how its words repeat. An encoder turns each passage
 attention (tanh times sigmoid) weighs the passages of a bag; the weighted sum gives the score. Encoder, attention and
 score are trained together, from document labels only.
 
-Training takes at most ``PER_LABEL`` labelled rows of each label, chosen by a hash of the id, with all their passages;
-classes are weighted back to their share among all labelled rows. Scoring encodes every passage of every text.
+Training takes all labelled rows with all their passages. A hash of the id deals them over shards of about
+``SHARD_ROWS`` rows; each epoch every shard is learned from in a task of its own, from the same weights, and the weights
+and moments that come out are averaged by rows, in whole numbers, so that they don't depend on the order of the tasks.
+Few rows are one shard, learned in one task. The driver holds weights only. Scoring encodes every passage of every text.
 
 Edge cases: a null or empty text has one passage without words and is scored like any other; rows without a label or
-with a null one are not learned from; without labels every score is 0.5, with one label only it is that label; a
+with a null one, or with a null text, are not learned from; without labels every score is 0.5, with one label only it is that label; a
 document with contradicting labels is learned with both; repeated rows give repeated results; other columns are
 ignored.
 """
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from engramite.llm import _words
 from engramite.llm._batches import filter_texts, give_back, id_type, map_texts
-from engramite.llm.language_id import training_sample
 
-PASSAGE_WORDS, PER_LABEL = 64, 1200
+PASSAGE_WORDS, SHARD_ROWS = 64, 2400
 HIDDEN, EPOCHS, RATE, DECAY, BATCH = 24, 10, 0.01, 1e-4, 64
 
 #: Steps of the training at least, however few the labels are.
 LEAST_STEPS = 300
+#: Weights are added up in units of one in so many.
+UNIT = 1 << 24
 
 #: Classes of bytes: each ASCII sign its own; digits, lower case, upper case and lead bytes beyond ASCII one each.
 _CLASS = np.zeros(256, np.int64)
@@ -93,6 +99,7 @@ class AttentionNet:
             "w": draw.normal(0, 0.3, HIDDEN), "c": draw.normal(0, 0.3, HIDDEN), "d": np.zeros(1),
         }
         self.mean, self.scale = np.zeros(WIDTH), np.ones(WIDTH)
+        self.m, self.v, self.step = {k: np.zeros_like(w) for k, w in self.p.items()}, {k: np.zeros_like(w) for k, w in self.p.items()}, 0
 
     def forward(self, x: np.ndarray, edges: np.ndarray) -> dict:
         p, starts, sizes = self.p, edges[:-1], np.diff(edges)
@@ -114,24 +121,32 @@ class AttentionNet:
         dh = (f["a"][:, None] * dz + dt @ p["V"].T + dg @ p["U"].T) * (1 - f["h"] ** 2)
         return {"E": x.T @ dh, "e": dh.sum(0), "V": f["h"].T @ dt, "U": f["h"].T @ dg, "w": (f["t"] * f["g"]).T @ ds, "c": f["z"].T @ dy, "d": np.array([dy.sum()])}
 
-    def fit(self, bags: list[np.ndarray], labels: np.ndarray, weights: np.ndarray) -> AttentionNet:
-        count = sum(len(b) for b in bags)
-        self.mean = sum(b.sum(0, dtype=float) for b in bags) / count
-        self.scale = np.sqrt(sum(((b - self.mean) ** 2).sum(0) for b in bags) / count) + 1e-3
-        bags = [((b - self.mean) / self.scale).astype(np.float32) for b in bags]
-        draw, m, v, step = np.random.default_rng(5), {k: 0 for k in self.p}, {k: 0 for k in self.p}, 0
-        epochs = max(EPOCHS, -(-LEAST_STEPS * BATCH // len(bags)))
-        for epoch in range(epochs):
-            order = draw.permutation(len(bags))
+    def learn(self, bags: list[np.ndarray], labels: np.ndarray, first: int, stop: int, epochs: int) -> None:
+        """Epochs ``first`` to ``stop`` of ``epochs``, by Adam; the moments stay for the next ones."""
+        edges = np.concatenate([[0], np.cumsum([len(b) for b in bags])])
+        x = ((np.concatenate(bags) - self.mean) / self.scale).astype(np.float32)
+        for epoch in range(first, stop):
+            order = np.random.default_rng((5, epoch)).permutation(len(bags))
             for at in range(0, len(bags), BATCH):
                 rows = order[at : at + BATCH]
-                edges = np.concatenate([[0], np.cumsum([len(bags[i]) for i in rows])])
-                found, step = self.gradient(np.vstack([bags[i] for i in rows]), edges, labels[rows], weights[rows]), step + 1
+                taken = np.concatenate([np.arange(edges[i], edges[i + 1]) for i in rows])
+                border = np.concatenate([[0], np.cumsum(edges[rows + 1] - edges[rows])])
+                found, self.step = self.gradient(x[taken], border, labels[rows], np.ones(len(rows))), self.step + 1
                 for k, g in found.items():
                     g = g + DECAY * self.p[k]
-                    m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.99 * v[k] + 0.01 * g * g
-                    self.p[k] = self.p[k] - RATE * (1 - epoch / epochs) * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
-        return self
+                    self.m[k] = 0.9 * self.m[k] + 0.1 * g
+                    self.v[k] = 0.99 * self.v[k] + 0.01 * g * g
+                    self.p[k] = self.p[k] - RATE * (1 - epoch / epochs) * (self.m[k] / (1 - 0.9**self.step)) / (np.sqrt(self.v[k] / (1 - 0.99**self.step)) + 1e-8)
+
+    def state(self) -> np.ndarray:
+        return np.concatenate([part[k].ravel() for part in (self.p, self.m, self.v) for k in self.p])
+
+    def restore(self, flat: np.ndarray, step: int) -> None:
+        at, self.step = 0, step
+        for part in (self.p, self.m, self.v):
+            for k, old in self.p.items():
+                part[k] = flat[at : at + old.size].reshape(old.shape)
+                at += old.size
 
     def score(self, x: np.ndarray, edges: np.ndarray) -> np.ndarray:
         return self.forward((x - self.mean) / self.scale, edges)["y"]
@@ -140,29 +155,69 @@ class AttentionNet:
 def fit(docs: DataFrame, labels: DataFrame, learn_from, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> AttentionNet | float:
     """Train on the labels of ids where ``learn_from`` holds; a constant score where there is nothing to tell apart."""
     known = labels.where(learn_from).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("label is not null")
-    known = known.join(docs.select(F.col(id_col).alias("id")).distinct(), "id", "left_semi")
+    known = known.join(docs.select(F.col(id_col).alias("id")).distinct(), "id", "left_semi").distinct()
     shares = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     if len(shares) < 2:
         return float(next(iter(shares), 0.5))
-    sample = training_sample(docs, known, PER_LABEL, 2 * PER_LABEL, id_col, text_col).select(F.col("label").alias("k"), "text")
+    shards = max(1, sum(shares.values()) // SHARD_ROWS)
+    shard = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard")
+    texts = docs.where(learn_from).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
+    sample = texts.join(known, "id").select(F.struct("label", shard).alias("k"), "text")
 
     def make():
         def work(keys: list, texts: list) -> dict:
             x, edges = passages([t.encode("utf-8", "surrogatepass") for t in texts])
-            return {"k": keys, "x": [x[a:b].tobytes() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]}
+            packed = [zlib.compress(x[a:b].tobytes(), 1) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+            return {"label": [k["label"] for k in keys], "shard": [k["shard"] for k in keys], "x": packed}
 
         return work
 
-    rows = sorted((int(r["k"]), bytes(r["x"])) for r in map_texts(sample, make, "k int, x binary", "k", "text").collect())
-    labels_ = np.array([k for k, _ in rows], float)
-    total, taken = sum(shares.values()), {k: max(1, int((labels_ == k).sum())) for k in shares}
-    weights = np.array([shares[k] / total / (taken[k] / len(rows)) for k, _ in rows])
-    net = AttentionNet().fit([np.frombuffer(x, np.float32).reshape(-1, WIDTH) for _, x in rows], labels_, weights)
-    del rows
+    # dealt once: every epoch reads what the shuffle wrote
+    rows = map_texts(sample, make, "label int, shard int, x binary", "k", "text").rdd.map(lambda r: (r[1], (r[0], bytes(r[2])))).partitionBy(shards, int)
+    count, passages_, total, squares = rows.mapPartitions(_sums).treeReduce(lambda a, b: tuple(u + v for u, v in zip(a, b, strict=True)))
+    if not count:
+        return 0.5
+    net = AttentionNet()
+    net.mean = total / UNIT / passages_
+    net.scale = np.sqrt(np.maximum(0.0, squares / UNIT / passages_ - net.mean**2)) + 1e-3
+    epochs = max(EPOCHS, -(-LEAST_STEPS * BATCH * shards // count))
+    for first in range(epochs) if shards > 1 else [0]:
+        found = rows.mapPartitions(_learned(net, first, first + 1 if shards > 1 else epochs, epochs))
+        taken, steps, state = found.treeReduce(lambda a, b: (a[0] + b[0], max(a[1], b[1]), a[2] + b[2]))
+        net.restore(state / float(UNIT) / taken, steps)
+    net.m = net.v = {}
     give_back()
     return net
 
 
+def _bags(part: Iterable[tuple]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Passages and labels of a shard's rows, in an order of their own."""
+    rows = sorted((k, zlib.decompress(x)) for _, (k, x) in part)
+    return [np.frombuffer(x, np.float32).reshape(-1, WIDTH) for _, x in rows], np.array([k for k, _ in rows], float)
+
+
+def _sums(part: Iterable[tuple]) -> Iterator[tuple]:
+    """(rows, passages, sums, sums of squares) of a shard, the sums in units."""
+    count, passages_, total, squares = 0, 0, np.zeros(WIDTH, np.int64), np.zeros(WIDTH, np.int64)
+    for _, (_, packed) in part:
+        x = np.frombuffer(zlib.decompress(packed), np.float32).reshape(-1, WIDTH).astype(float)
+        count, passages_ = count + 1, passages_ + len(x)
+        total, squares = total + np.rint(x.sum(0) * UNIT).astype(np.int64), squares + np.rint((x * x).sum(0) * UNIT).astype(np.int64)
+    yield count, passages_, total, squares
+
+
+def _learned(net: AttentionNet, first: int, stop: int, epochs: int):
+    """A pass over a shard: (rows, steps, weights and moments times rows, in units)."""
+
+    def run(part: Iterable[tuple]) -> Iterator[tuple]:
+        bags, labels = _bags(part)
+        if bags:
+            net.learn(bags, labels, first, stop, epochs)
+        yield len(bags), net.step, np.rint(net.state() * (len(bags) * UNIT)).astype(np.int64)
+
+    return run
+
+
 def score(docs: DataFrame, model: AttentionNet | float, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, score, predicted) of every whole text; ``predicted`` is 1 where the score reaches the threshold."""
     sent = docs.sparkSession.sparkContext.broadcast(model)

@@ -606,6 +606,19 @@ def test_contradicting_labels_are_learned_with_both(spark):
     assert all(0 <= s <= 1 for s in scores) and abs(np.mean(scores) - 0.5) < 0.2
 
 
+def test_every_labelled_row_is_learned_from(spark):
+    """More rows than one shard: means are those of all passages, and what is learned does not depend on the order of rows."""
+    draw = random.Random(3)
+    rows = [(i, (sentence(draw, 8) if i % 3 else f"### {i} $$ || ## %{i}% ") + f" {i}") for i in range(2 * quality.SHARD_ROWS + 400)]
+    frame, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 3 > 0)) for i, _ in rows], "doc_id long, quality int")
+    net = quality.fit(frame, labels, F.lit(True))
+    x, edges = quality.passages([t.encode() for _, t in rows])
+    assert np.allclose(net.mean, x.mean(0, dtype=float), atol=1e-6) and np.allclose(net.scale, x.std(0, dtype=float) + 1e-3, atol=1e-4)
+    assert (((net.score(x, edges) >= 0.7) == np.array([i % 3 > 0 for i, _ in rows])).mean()) > 0.99
+    again = quality.fit(frame.repartition(7, "text"), labels.orderBy(F.desc("doc_id")), F.lit(True))
+    assert all(np.array_equal(net.p[k], again.p[k]) for k in net.p)
+
+
 def test_quality_gradient_and_awkward_rows(spark):
     net, draw = quality.AttentionNet(), np.random.default_rng(0)
     x, edges, label = draw.normal(size=(7, quality.WIDTH)), np.array([0, 3, 7]), np.array([1.0, 0.0])
