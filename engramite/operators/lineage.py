@@ -15,6 +15,9 @@ descent or list, and no session is gathered. Each round ends in a table in the s
   ``CHAIN`` forks at a time.
 
 Only siblings are put in order in one task each (the children of one record, rows of four values).
+
+Sessions of at most ``most_rows`` rows (``lineage_tasks.SESSION_ROWS``) are walked whole in a task each, which takes one
+shuffle in place of all rounds; the rounds are for the larger ones. Both find the same.
 """
 
 from __future__ import annotations
@@ -22,6 +25,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import BooleanType, IntegerType, LongType, StringType, StructType
+
+from engramite.operators import lineage_tasks as tasks
 from engramite.session import written
 
 #: Forks whose branch ids are chained in one round.
@@ -139,7 +146,16 @@ def _branches(forest: DataFrame) -> DataFrame:
     return _find(nodes, "head", named, {"branch": "branch"}).select("s", "u", "root", "branch", F.col("b").alias("branch_depth"))
 
 
-def annotate(records: DataFrame, session: str, uuid: str, parent: str, order: str, semantic: Column, sidechain: Column) -> DataFrame:
+def _parted(rows: DataFrame, session: str, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of sessions with ``most`` rows at most, and those of larger ones, if there are any; null sessions are in neither."""
+    named = rows.where(F.col(session).isNotNull())
+    large = named.groupBy(session).agg(F.count("*").alias("__n")).where(F.col("__n") > most).select(session)
+    if most > 0 and large.isEmpty():
+        return named, None
+    return named.join(large, session, "left_anti"), named.join(large, session, "left_semi")
+
+
+def annotate(records: DataFrame, session: str, uuid: str, parent: str, order: str, semantic: Column, sidechain: Column, most_rows: int = tasks.SESSION_ROWS) -> DataFrame:
     """Every record with its lineage: status, dangling_parent, ambiguous_parent, circle, anchor, above, root, depth, branch, branch_depth, fork, enter, exit, abandoned.
 
     ``semantic`` records (turns) are the nodes; others are bridges between them and take the nearest turn above as
@@ -149,7 +165,31 @@ def annotate(records: DataFrame, session: str, uuid: str, parent: str, order: st
     the way from its root to the root's last turn that is no sidechain. All columns of ``records`` stay; the new ones
     replace those of their names. Null sessions have no lineage (no_uuid); an empty frame stays empty.
     """
-    own = ["status", "dangling_parent", "ambiguous_parent", "circle", "anchor", "above", "root", "depth", "branch", "branch_depth", "fork", "enter", "exit", "abandoned"]
+    flag = lambda c: F.coalesce(c, F.lit(False))
+    kind = records.schema[uuid].dataType
+    if not isinstance(kind, (LongType, StringType)):  # others are written as text in ways of their own
+        return _by_rounds(records, session, uuid, parent, order, semantic, sidechain)
+    kept = records.drop(*tasks.TOLD)
+    facts = [F.col(uuid), F.col(parent).cast(kind), F.col(order).cast("long"), flag(semantic), flag(sidechain)]
+    rows = written(kept.select("*", *[c.alias(f"__{k}") for k, c in enumerate(facts)]), "lineage")
+    small, large = _parted(rows, session, most_rows)
+    types = {"string": StringType(), "boolean": BooleanType(), "long": LongType(), None: kind}
+    told = {c: types[t] for c, t in tasks.TOLD.items()}
+    schema = StructType(list(kept.schema.fields))
+    for c, t in told.items():
+        schema = schema.add(c, t)
+    out = small.groupBy(session).applyInArrow(tasks.annotate_table({c: to_arrow_type(t) for c, t in told.items()}), schema)
+    without = {"status": F.lit("no_uuid"), **{c: F.lit(False) for c, t in tasks.TOLD.items() if t == "boolean"}}
+    nowhere = rows.where(F.col(session).isNull()).select(*kept.columns, *[without.get(c, F.lit(None)).cast(t).alias(c) for c, t in told.items()])
+    out = out.unionByName(nowhere)
+    if large is not None:
+        out = out.unionByName(_by_rounds(large, session, uuid, "__1", order, F.col("__3"), F.col("__4")).select(*out.columns))
+    return out
+
+
+def _by_rounds(records: DataFrame, session: str, uuid: str, parent: str, order: str, semantic: Column, sidechain: Column) -> DataFrame:
+    """``annotate`` for sessions of any size."""
+    own = list(tasks.TOLD)
     flag = lambda c: F.coalesce(c, F.lit(False))
     base = records.select(F.col(session).alias("s"), F.col(uuid).alias("u"), F.col(parent).cast(records.schema[uuid].dataType).alias("p"), F.col(order).cast("long").alias("o"), flag(semantic).alias("sem"), flag(sidechain).alias("side")).where("s is not null and u is not null")
     known = written(base.groupBy("s", "u").agg(F.count("*").alias("times"), F.first("p").alias("p"), F.first("o").alias("o"), F.first("sem").alias("sem"), F.first("side").alias("side")))
@@ -262,12 +302,26 @@ def correlation_counts(correlated: DataFrame, session: str, tool_id: str, is_use
     )
 
 
-def event_parents(events: DataFrame, annotated: DataFrame, session: str, uuid: str, order: str) -> DataFrame:
+def event_parents(events: DataFrame, annotated: DataFrame, session: str, uuid: str, order: str, most_rows: int = tasks.SESSION_ROWS) -> DataFrame:
     """(session, order, parent): for each event with a lineage the event before it along its lineage: of the same turn, else the last of the nearest turn above that has one.
 
     ``events`` have ``status`` and ``anchor`` of their record and a whole number ``order`` of their own in the session;
     ``annotated`` are all records. Events of a turn (and of the bridges below it) stand in the order of their number.
     """
+    ok, own = F.col("status") == "ok", (F.col("status") == "ok") & (F.col(uuid) == F.col("anchor"))
+    nothing = lambda c, of: F.lit(None).cast(of.schema[c].dataType).alias(c)
+    both = events.where(ok).select(F.col(session).alias("s"), F.col(order).alias("no"), F.lit(True).alias("ok"), F.lit(False).alias("own"), nothing(uuid, annotated).alias("u"), "anchor", nothing("above", annotated))
+    both = both.unionByName(annotated.where(own).select(F.col(session).alias("s"), nothing(order, events).alias("no"), F.lit(False).alias("ok"), F.lit(True).alias("own"), F.col(uuid).alias("u"), nothing("anchor", events), "above"))
+    small, large = _parted(written(both), "s", most_rows)
+    found = small.groupBy("s").applyInArrow(tasks.parents_of, StructType([small.schema["s"], small.schema["no"]]).add("parent", small.schema["no"].dataType)).toDF(session, order, "parent")
+    if large is None:
+        return found
+    of = large.select(F.col("s").alias(session)).distinct()
+    return found.unionByName(_parents_by_rounds(events.join(of, session, "left_semi"), annotated.join(of, session, "left_semi"), session, uuid, order))
+
+
+def _parents_by_rounds(events: DataFrame, annotated: DataFrame, session: str, uuid: str, order: str) -> DataFrame:
+    """``event_parents`` for sessions of any size."""
     placed = events.where("status = 'ok'").select(F.col(session).alias("s"), F.col("anchor").alias("u"), F.col(order).alias("no"))
     last = placed.groupBy("s", "u").agg(F.max("no").alias("last"))
     turns = annotated.where((F.col("status") == "ok") & (F.col(uuid) == F.col("anchor"))).select(F.col(session).alias("s"), F.col(uuid).alias("u"), F.col("above").alias("p"))
@@ -279,16 +333,30 @@ def event_parents(events: DataFrame, annotated: DataFrame, session: str, uuid: s
     return rows.select(F.col("s").alias(session), F.col("no").alias(order), F.coalesce("before", "over").alias("parent"))
 
 
-def look_back(nodes: DataFrame, session: str, order: str, parent: str, limit: int, signals: dict[str, Column], merge: dict[str, str]) -> DataFrame:
+def look_back(nodes: DataFrame, session: str, order: str, parent: str, limit: int, signals: dict[str, Column], merge: dict[str, str], most_rows: int = tasks.SESSION_ROWS) -> DataFrame:
     """(session, order, seen, signals): of each event, the signals of the events before it along its lineage, at most ``limit`` of them.
 
     ``signals`` are columns of an event, ``merge`` says how two of them become one: sum or max. Windows of 1, 2, 4 ...
     events are doubled by looking at the window where the pointer lands; those of the binary digits of ``limit`` are
-    put together, so the rounds are as many as it has digits.
+    put together, so the rounds are as many as it has digits. Where order and signals are of type long, small sessions do so in their task.
     """
-    join = {"sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)), "max": lambda a, b: F.greatest(a, b)}
     names = list(signals)
-    jump = written(nodes.select(F.col(session).alias("s"), F.col(order).alias("u"), F.col(parent).alias("p"), F.lit(1).cast("long").alias("seen"), *[c.alias(n) for n, c in signals.items()]))
+    rows = written(nodes.select(F.col(session).alias("s"), F.col(order).alias("u"), F.col(parent).alias("p"), *[c.alias(n) for n, c in signals.items()]))
+    if any(not isinstance(rows.schema[c].dataType, LongType) for c in ("u", "p", *names)):
+        return _back_by_rounds(rows, limit, merge).toDF(session, order, "seen", *names)
+    small, large = _parted(rows, "s", most_rows)
+    schema = StructType([rows.schema["s"], rows.schema["u"]]).add("seen", LongType())
+    for n in names:
+        schema = schema.add(n, LongType())
+    out = small.groupBy("s").applyInArrow(tasks.windows(limit, [merge[n] for n in names]), schema)
+    return (out if large is None else out.unionByName(_back_by_rounds(large, limit, merge))).toDF(session, order, "seen", *names)
+
+
+def _back_by_rounds(rows: DataFrame, limit: int, merge: dict[str, str]) -> DataFrame:
+    """(s, u, seen, signals) of (s, u, p, signals), for sessions of any size."""
+    join = {"sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)), "max": lambda a, b: F.greatest(a, b)}
+    names = rows.columns[3:]
+    jump = written(rows.select("s", "u", "p", F.lit(1).cast("long").alias("seen"), *names))
     # windows begin at the event itself; what is asked for begins at its parent
     zero = [F.lit(0).cast("long").alias(n) if merge[n] == "sum" else F.lit(None).cast(jump.schema[n].dataType).alias(n) for n in names]
     out = jump.select("s", "u", F.col("p").alias("at"), F.lit(0).cast("long").alias("seen"), *zero)
@@ -301,7 +369,21 @@ def look_back(nodes: DataFrame, session: str, order: str, parent: str, limit: in
         if limit >> digit + 1:
             met = _find(jump, "p", jump, {"p": "then", **renamed}, "left")
             jump = written(met.select("s", "u", F.col("then").alias("p"), join["sum"](F.col("seen"), F.col("seen_")).alias("seen"), *[join[merge[n]](F.col(n), F.col(f"{n}_")).alias(n) for n in names]))
-    return out.select(F.col("s").alias(session), F.col("u").alias(order), "seen", *names)
+    return out.select("s", "u", "seen", *names)
+
+
+def around(nodes: DataFrame, session: str, order: str, parent: str, limit: int, asked: DataFrame, most_rows: int = tasks.SESSION_ROWS) -> tuple[DataFrame, DataFrame]:
+    """``pairs_back`` and ``pairs_ahead`` of the asked events (s, u)."""
+    rows = nodes.select(F.col(session).alias("s"), F.col(order).alias("u"), F.col(parent).alias("p"))
+    rows = written(rows.join(asked.select("s", "u", F.lit(True).alias("asked")).distinct(), ["s", "u"], "left").select("s", "u", "p", F.col("asked").isNotNull().alias("asked")))
+    small, large = _parted(rows, "s", most_rows)
+    schema = StructType([rows.schema["s"], rows.schema["u"]]).add("other", rows.schema["u"].dataType).add("n", IntegerType()).add("ahead", BooleanType())
+    pairs = written(small.groupBy("s").applyInArrow(tasks.around(limit), schema), "pairs")
+    back, ahead = pairs.where("not ahead").drop("ahead"), pairs.where("ahead").drop("ahead")
+    if large is not None:
+        found = lines(large, "s", "u", "p", limit)
+        back, ahead = back.unionByName(pairs_back(found, large.where("asked"))), ahead.unionByName(pairs_ahead(found, large.where("asked"), limit))
+    return back, ahead
 
 
 def lines(nodes: DataFrame, session: str, order: str, parent: str, limit: int) -> DataFrame:
@@ -330,9 +412,9 @@ def pairs_ahead(found: DataFrame, asked: DataFrame, limit: int) -> DataFrame:
     return named.withColumn("n", F.row_number().over(Window.partitionBy("s", "u").orderBy("other"))).where(F.col("n") <= limit)
 
 
-def look_ahead(nodes: DataFrame, session: str, order: str, parent: str, limit: int, asked: Column, wanted: Column) -> DataFrame:
+def look_ahead(nodes: DataFrame, session: str, order: str, parent: str, limit: int, asked: Column, wanted: Column, most_rows: int = tasks.SESSION_ROWS) -> DataFrame:
     """(session, order, after): for each ``asked`` event the first ``wanted`` one among the ``limit`` next events below it."""
     marks = nodes.select(F.col(session).alias("s"), F.col(order).alias("u"), asked.alias("asked"), wanted.alias("wanted"))
-    near = pairs_ahead(lines(nodes, session, order, parent, limit), marks.where("asked"), limit)
+    _, near = around(nodes, session, order, parent, limit, marks.where("asked"), most_rows)
     found = near.join(marks.where("wanted").select("s", F.col("u").alias("other")), ["s", "other"]).groupBy("s", "u").agg(F.min("other").alias("after"))
     return marks.where("asked").select("s", "u").join(found, ["s", "u"], "left").select(F.col("s").alias(session), F.col("u").alias(order), "after")

@@ -207,9 +207,7 @@ def detect(events: DataFrame, parents: DataFrame, window: int = WINDOW, near: in
     words = facts.where("admits or corrects").select("s", "u", *_of("d", ["kind", "actor", "low", "noun", "acknowledges", "uuid", "enter", "exit", "corrects", "plain"]))
     words = written(words, "mistakes")
     asked = failed.select("s", "u").unionByName(words.select("s", "u"))
-    found = lineage.lines(parents, "session", "no", "parent", window)
-    back = written(lineage.pairs_back(found, asked), "mistakes")
-    ahead = written(lineage.pairs_ahead(found, asked, window), "mistakes")
+    back, ahead = (written(pairs, "mistakes") for pairs in lineage.around(parents, "session", "no", "parent", window, asked))
     succeeds = lambda p: F.col(f"{p}_partner").isNotNull() & ~F.coalesce(f"{p}_partner_error", F.lit(True))
 
     before = failed.join(back, ["s", "u"]).join(others("o"), ["s", "other"])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from engramite.operators import lineage as li
 from engramite.plans.registry import query
+from engramite.session import written
 
 #: Events as records: a user is a session, their events stand in order, and each follows one of the five before it, as
 #: its number k says; some start anew (k = 23), name a record that is not there (k = 29), stand twice under one id
@@ -98,7 +99,7 @@ res AS MATERIALIZED (SELECT c.*, coalesce(CASE WHEN c.used THEN o.ts < e.ts ELSE
 
 def correlated(t):
     tool = F.when(F.col("event_type") != "signup", F.concat(F.lit("t"), F.expr("k div 12").cast("string")))
-    return li.correlate(annotated(t).withColumn("tool", tool), "user_id", "tool", F.col("event_type").isin("view", "click"), "line", "ts")
+    return li.correlate(written(annotated(t)).withColumn("tool", tool), "user_id", "tool", F.col("event_type").isin("view", "click"), "line", "ts")
 
 
 @query("JOI17_tool_events", f"WITH RECURSIVE {LINEAGES}, {ENDS} SELECT user_id, event_id, tool, partner, candidates, duplicate_id, ambiguous_id, oversize_id, negative FROM res")
@@ -119,9 +120,9 @@ lin AS MATERIALIZED (SELECT s, no, p AS a, 1 AS d FROM par WHERE p IS NOT NULL U
 
 
 def event_nodes(t):
-    rows = annotated(t)
+    rows = written(annotated(t))
     parents = li.event_parents(rows, rows, "user_id", "uuid", "line")
-    return parents.join(rows.select("user_id", "line", "event_type"), ["user_id", "line"])
+    return written(parents.join(rows.select("user_id", "line", "event_type"), ["user_id", "line"]))
 
 
 @query("WIN7_lineage_back", f"""WITH RECURSIVE {LINEAGES}, {EVENTS} SELECT p.s AS user_id, p.no AS line, count(l.a) AS seen, CAST(count(*) FILTER (x.event_type = 'click') AS BIGINT) AS clicks, max(l.a) FILTER (x.event_type = 'view') AS view_line
