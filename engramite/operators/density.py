@@ -13,32 +13,48 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 MOST_ROWS = 50_000
+#: Distances that are held at once.
+CELLS = 1 << 22
 
 
-def _distances(x: np.ndarray, rows: np.ndarray | slice) -> np.ndarray:
-    return np.sqrt(np.maximum(0.0, (x[rows] ** 2).sum(1)[:, None] + (x**2).sum(1) - 2 * x[rows] @ x.T))
+def _distances(x: np.ndarray, rows: np.ndarray | slice, squares: np.ndarray) -> np.ndarray:
+    out = (-2 * x[rows]) @ x.T
+    out += squares[rows][:, None]
+    out += squares
+    return np.sqrt(np.maximum(out, 0.0, out=out), out=out)
 
 
 def core_distances(x: np.ndarray, samples: int) -> np.ndarray:
     """Distance of each row to its ``samples``-th nearest one, itself counted."""
-    out, k = np.empty(len(x)), min(samples, len(x)) - 1
-    for a in range(0, len(x), 1024):
-        out[a : a + 1024] = np.partition(_distances(x, slice(a, a + 1024)), k, axis=1)[:, k]
+    out, k, squares, step = np.empty(len(x)), min(samples, len(x)) - 1, (x**2).sum(1), max(1, CELLS // len(x))
+    for a in range(0, len(x), step):
+        near = _distances(x, slice(a, a + step), squares)
+        near.partition(k, axis=1)
+        out[a : a + step] = near[:, k]
     return out
 
 
 def spanning_tree(x: np.ndarray, core: np.ndarray) -> np.ndarray:
     """Edges (a, b, weight) of the minimum spanning tree of the mutual reachability graph, by Prim's algorithm a row at a time."""
     n = len(x)
-    nearest, link, inside, now, edges = np.full(n, np.inf), np.zeros(n, np.int64), np.zeros(n, bool), 0, []
-    for _ in range(n - 1):
-        inside[now] = True
-        reach = np.maximum(np.maximum(_distances(x, np.array([now]))[0], core), core[now])
-        closer = (reach < nearest) & ~inside
+    # only rows outside the tree are held: they are packed again whenever a tenth of them has gone in
+    left, part, squares, reached = np.arange(1, n), x[1:], (x[1:] ** 2).sum(1), core[1:]
+    nearest, link, gone, now, edges = np.full(n - 1, np.inf), np.zeros(n - 1, np.int64), np.zeros(n - 1, bool), 0, []
+    for k in range(n - 1):
+        reach = part @ (-2 * x[now])
+        reach += squares
+        reach += (x[now] ** 2).sum()
+        np.sqrt(np.maximum(reach, 0.0, out=reach), out=reach)
+        np.maximum(np.maximum(reach, reached, out=reach), core[now], out=reach)
+        closer = (reach < nearest) & ~gone
         nearest[closer], link[closer] = reach[closer], now
-        following = int(np.argmin(np.where(inside, np.inf, nearest)))
-        edges.append((link[following], following, nearest[following]))
-        now = following
+        at = int(np.argmin(nearest))
+        now = int(left[at])
+        edges.append((link[at], now, nearest[at]))
+        gone[at], nearest[at] = True, np.inf
+        if 10 * (n - 2 - k) < 9 * len(left):
+            kept = ~gone
+            left, part, squares, reached, nearest, link, gone = (v[kept] for v in (left, part, squares, reached, nearest, link, gone))
     return np.array(edges).reshape(-1, 3)
 
 
@@ -124,11 +140,16 @@ def density_clusters(df: DataFrame, block: str, key: str, embedding: str, smalle
     def work(table: pa.Table) -> pa.Table:
         if table.num_rows > MOST_ROWS:
             raise ValueError(f"a block of {table.num_rows} rows is over {MOST_ROWS}; choose smaller blocks")
-        rows = sorted((k, v) for k, v in zip(table.column(key).to_pylist(), table.column(embedding).to_pylist(), strict=True) if v is not None)
-        x = np.array([v for _, v in rows], float).reshape(len(rows), -1)
+        own = table.column(block)[0].as_py()
+        table = table.filter(table.column(embedding).is_valid()).sort_by(key)
+        rows, vectors = table.column(key).to_pylist(), table.column(embedding).combine_chunks()
+        if len(vectors) and len(np.unique(vectors.value_lengths().to_numpy())) > 1:
+            raise ValueError("vectors of several lengths")
+        x = vectors.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(rows), -1) if len(rows) else np.zeros((0, 0))
+        del table, vectors
         length = np.linalg.norm(x, axis=1, keepdims=True)
         found = labels(np.where(length > 0, x / np.where(length > 0, length, 1), x), smallest, samples) if len(rows) else np.zeros(0, int)
-        kept = [(table.column(block)[0].as_py(), k, int(c)) for (k, _), c in zip(rows, found, strict=True) if c >= 0]
+        kept = [(own, k, int(c)) for k, c in zip(rows, found, strict=True) if c >= 0]
         return pa.table([pa.array([r[i] for r in kept], pa.int64()) for i in range(3)], schema=schema)
 
     return df.select(df[block].cast("long").alias(block), df[key].cast("long").alias(key), embedding).groupBy(block).applyInArrow(work, f"`{block}` long, `{key}` long, cluster long")

@@ -321,3 +321,33 @@ def test_refused_rows_refuse_nothing(spark):
     chain = [(k, k + 1) for k in range(1000)] + [(5000 + k, 5001 + k) for k in range(30)]
     assert {r["id"] for r in pairs.refused(spark.createDataFrame(chain, "a long, b long"), few=990).collect()} == {k for k in range(1, 1001) if k % 2} | {k for k in range(5001, 5031) if k % 2}
     assert pairs.refused(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_density_holds_few_distances_and_one_run_clusters_once(spark, sf, monkeypatch):
+    """The tree is that of all distances, with small tiles; no distance matrix of a thousand rows is held; a pattern run clusters once."""
+    import tracemalloc
+
+    from engramite.operators import density
+    from engramite.plans import knowledge
+    from engramite.plans.registry import Tables
+
+    x = np.random.default_rng(4).normal(size=(900, 6))
+    away = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    core = np.sort(away, axis=1)[:, 2]
+    monkeypatch.setattr(density, "CELLS", 1 << 14)
+    tracemalloc.start()
+    got = density.core_distances(x, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(got, core) and peak < 1 << 20
+    reach = np.maximum(np.maximum(away, core[:, None]), core[None])
+    inside, weight = [0], 0.0
+    while len(inside) < len(x):
+        part = reach[inside].min(0)
+        part[inside] = np.inf
+        inside.append(int(part.argmin()))
+        weight += part.min()
+    tree = density.spanning_tree(x, core)
+    assert len(tree) == 899 and abs(tree[:, 2].sum() - weight) < 1e-9
+    plan = knowledge.pattern_run(Tables(spark, sf))
+    assert plan._jdf.queryExecution().toString().count("FlatMapGroupsInArrow") == 0 and plan.count() >= 0
