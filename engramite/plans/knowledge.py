@@ -92,6 +92,7 @@ def pattern_labels(t):
 def pattern_run(t):
     """Density clusters of each label's vectors, with type, label, confidence and representative, under one run id."""
     found = de.density_clusters(t.embeddings, "label", "vec_id", "embedding").select((F.col("label") * 1000 + F.col("cluster")).alias("cluster"), F.col("vec_id").alias("doc_id"))
+    found = written(found, "clusters")  # found once, read by each part of the run
     rows = found.join(members(t).drop("cluster"), "doc_id").join(t.embeddings.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
     return pa.pattern_run(rows, "cluster", "doc_id", "embedding", "2024-02-15 00:00:00", "run-1", least=0.3)
 
