@@ -5,8 +5,8 @@ hashed pairs of classes, and how its words repeat. An encoder turns each passage
 attention (tanh times sigmoid) weighs the passages of a bag; the weighted sum gives the score. Encoder, attention and
 score are trained together, from document labels only.
 
-Training takes all labelled rows with all their passages. A hash of the id deals them over shards of about
-``SHARD_ROWS`` rows; each epoch every shard is learned from in a task of its own, from the same weights, and the weights
+Training takes all labelled rows with all their passages. Passages are made where the texts are; a hash of the id deals
+them and the labels over shards of about ``SHARD_ROWS`` labelled rows, where they meet, so no text is shuffled. Each epoch every shard is learned from in a task of its own, from the same weights, and the weights
 and moments that come out are averaged by rows, in whole numbers, so that they don't depend on the order of the tasks.
 Few rows are one shard, learned in one task. The driver holds weights only. Scoring encodes every passage of every text.
 
@@ -155,25 +155,26 @@ class AttentionNet:
 def fit(docs: DataFrame, labels: DataFrame, learn_from, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> AttentionNet | float:
     """Train on the labels of ids where ``learn_from`` holds; a constant score where there is nothing to tell apart."""
     known = labels.where(learn_from).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("label is not null")
-    known = known.join(docs.select(F.col(id_col).alias("id")).distinct(), "id", "left_semi").distinct()
+    known = docs.select(F.col(id_col).alias("id")).distinct().join(known, "id").distinct()
     shares = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     if len(shares) < 2:
         return float(next(iter(shares), 0.5))
     shards = max(1, sum(shares.values()) // SHARD_ROWS)
     shard = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard")
-    texts = docs.where(learn_from).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    sample = texts.join(known, "id").select(F.struct("label", shard).alias("k"), "text")
+    texts = docs.where(learn_from).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
 
     def make():
         def work(keys: list, texts: list) -> dict:
             x, edges = passages([t.encode("utf-8", "surrogatepass") for t in texts])
             packed = [zlib.compress(x[a:b].tobytes(), 1) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
-            return {"label": [k["label"] for k in keys], "shard": [k["shard"] for k in keys], "x": packed}
+            return {"id": [k["id"] for k in keys], "shard": [k["shard"] for k in keys], "x": packed}
 
         return work
 
-    # dealt once: every epoch reads what the shuffle wrote
-    rows = map_texts(sample, make, "label int, shard int, x binary", "k", "text").rdd.map(lambda r: (r[1], (r[0], bytes(r[2])))).partitionBy(shards, int)
+    # passages and labels are dealt once and meet in the shards; every epoch reads what the shuffle wrote
+    bags = map_texts(texts.select(F.struct("id", shard).alias("k"), "text"), make, f"id {id_type(texts, 'id')}, shard int, x binary", "k", "text")
+    both = bags.rdd.map(lambda r: (r[1], (r[0], bytes(r[2])))).union(known.select("id", shard, "label").rdd.map(lambda r: (r[1], (r[0], r[2]))))
+    rows = both.partitionBy(shards, int).mapPartitions(_matched)
     count, passages_, total, squares = rows.mapPartitions(_sums).treeReduce(lambda a, b: tuple(u + v for u, v in zip(a, b, strict=True)))
     if not count:
         return 0.5
@@ -190,16 +191,27 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from, label_col: str = "qualit
     return net
 
 
+def _matched(part: Iterable[tuple]) -> Iterator[tuple]:
+    """(label, passages) of a shard's rows that have a label, for each of their labels."""
+    texts, labels = [], {}
+    for _, (key, value) in part:
+        if isinstance(value, bytes):
+            texts.append((key, value))
+        else:
+            labels.setdefault(key, []).append(value)
+    return ((label, x) for key, x in texts for label in labels.get(key, ()))
+
+
 def _bags(part: Iterable[tuple]) -> tuple[list[np.ndarray], np.ndarray]:
     """Passages and labels of a shard's rows, in an order of their own."""
-    rows = sorted((k, zlib.decompress(x)) for _, (k, x) in part)
+    rows = sorted((k, zlib.decompress(x)) for k, x in part)
     return [np.frombuffer(x, np.float32).reshape(-1, WIDTH) for _, x in rows], np.array([k for k, _ in rows], float)
 
 
 def _sums(part: Iterable[tuple]) -> Iterator[tuple]:
     """(rows, passages, sums, sums of squares) of a shard, the sums in units."""
     count, passages_, total, squares = 0, 0, np.zeros(WIDTH, np.int64), np.zeros(WIDTH, np.int64)
-    for _, (_, packed) in part:
+    for _, packed in part:
         x = np.frombuffer(zlib.decompress(packed), np.float32).reshape(-1, WIDTH).astype(float)
         count, passages_ = count + 1, passages_ + len(x)
         total, squares = total + np.rint(x.sum(0) * UNIT).astype(np.int64), squares + np.rint((x * x).sum(0) * UNIT).astype(np.int64)

@@ -619,6 +619,23 @@ def test_every_labelled_row_is_learned_from(spark):
     assert all(np.array_equal(net.p[k], again.p[k]) for k in net.p)
 
 
+def test_quality_texts_go_through_no_join(spark, monkeypatch):
+    """Passages meet their labels in the shards: texts stay where they are, and what is learned is that of the labelled rows alone."""
+    draw, plans, real = random.Random(4), [], quality.map_texts
+
+    def seen(frame, *rest):
+        plans.append(frame._jdf.queryExecution().optimizedPlan().toString())
+        return real(frame, *rest)
+
+    monkeypatch.setattr(quality, "map_texts", seen)
+    rows = [(i % 500, sentence(draw, 8) if i % 3 else f"### {i} $$ || ##") for i in range(600)] + [(None, "## $$"), (7, None)]
+    frame, labels = spark.createDataFrame(rows, "doc_id int, text string"), spark.createDataFrame([(i, i % 2) for i in range(0, 900, 3)] + [(0, 1), (None, 1)], "doc_id long, quality int")
+    net = quality.fit(frame, labels, F.lit(True))
+    assert len(plans) == 1 and "Join" not in plans[0] and "Aggregate" not in plans[0]
+    x, _ = quality.passages([t.encode() for i, t in rows if t and i is not None and i % 3 == 0 for _ in range(2 if i == 0 else 1)])
+    assert np.allclose(net.mean, x.mean(0, dtype=float), atol=1e-6)
+
+
 def test_quality_gradient_and_awkward_rows(spark):
     net, draw = quality.AttentionNet(), np.random.default_rng(0)
     x, edges, label = draw.normal(size=(7, quality.WIDTH)), np.array([0, 3, 7]), np.array([1.0, 0.0])
