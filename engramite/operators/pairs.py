@@ -11,11 +11,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from engramite.operators.components import connected_components
-from engramite.session import written
+from engramite.session import scratch_path, written
 
 #: Rows in a block, on average, and rows of one side that are multiplied at once.
 BLOCK_ROWS, TILE_ROWS = 8192, 1024
@@ -24,20 +24,25 @@ BLOCK_ROWS, TILE_ROWS = 8192, 1024
 Tile = tuple[np.ndarray, np.ndarray, int, int, np.ndarray]
 
 
-def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Ids in their order and their vectors at unit length."""
+def _unit(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and their vectors at unit length."""
     ids = table.column("id").combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64)
     lists = table.column("v").combine_chunks()
     sizes = np.unique(lists.value_lengths().to_numpy(zero_copy_only=False))
     if len(sizes) > 1:
         raise ValueError(f"vectors of several lengths: {sizes[:9].tolist()}")
     rows = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), int(sizes[0]) if len(sizes) else 0)
-    order = np.argsort(ids, kind="stable")
-    ids, rows = ids[order], rows[order]
     length = np.linalg.norm(rows, axis=1, keepdims=True)
     return ids, np.divide(rows, length, out=np.zeros_like(rows), where=length > 0)
 
 
+def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Ids in their order and their vectors at unit length."""
+    ids, rows = _unit(table)
+    order = np.argsort(ids, kind="stable")
+    return ids[order], rows[order]
+
+
 def block_pairs(df: DataFrame, key: str, embedding: str, pick: Callable[[Iterator[Tile], bool], pa.Table], schema: str, square: bool = False) -> DataFrame:
     """Apply ``pick(tiles, same)`` to each two blocks (and each with itself, then ``same``); with ``square`` tiles have as many columns as rows, else all columns."""
     blocks = max(1, -(-df.count() // BLOCK_ROWS))
@@ -268,3 +273,104 @@ def refused(links: DataFrame, first: str = "a", second: str = "b", few: int = FE
         live = written(live)
     rest = live.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(_settle, schema)
     return gone.unionByName(rest)
+
+
+#: Rows that a round of ``stored_rows`` settles in one task; no more vectors are sent to all tasks at once.
+ROUND_ROWS = 8192
+
+
+def _vectors(df: DataFrame, key: str, embedding: str) -> DataFrame:
+    return df.where(F.col(key).isNotNull() & F.col(embedding).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(embedding).alias("v"))
+
+
+def stored_rows(df: DataFrame, least: float, key: str = "vec_id", embedding: str = "embedding") -> list[str]:
+    """Paths of (id, v), one for each round: in order of ids a row is stored unless a stored earlier one is at ``least`` or more; those stored, at unit length.
+
+    Ids are unique. A round settles the first ``ROUND_ROWS`` of what is left in one task and drops all later rows that
+    are near to one of those it stored, where they are. So a row is multiplied with stored rows only, and no pair is
+    written. With few near rows there are as many rounds as blocks of rows.
+    """
+    spark = df.sparkSession
+    paths, rest = [], written(_vectors(df, key, embedding), "vectors")
+
+    def settle(table: pa.Table) -> pa.Table:
+        ids, rows = _matrix(table)
+        gone = np.zeros(len(ids), bool)
+        for at in range(0, len(ids), TILE_ROWS):
+            near = rows[at : at + TILE_ROWS] @ rows[at:].T >= least
+            for i in range(len(near)):
+                if not gone[at + i]:
+                    gone[at + i + 1 :] |= near[i, i + 1 :]
+        kept = rows[~gone]
+        edges = np.arange(len(kept) + 1, dtype=np.int32) * rows.shape[1]
+        return pa.table({"id": ids[~gone], "v": pa.ListArray.from_arrays(edges, kept.ravel())})
+
+    while True:
+        first = rest.select("id").orderBy("id").limit(ROUND_ROWS).agg(F.count("*").alias("n"), F.max("id").alias("last")).first()
+        head = rest.where(F.col("id") <= F.lit(first["last"]))
+        paths.append(scratch_path(spark, "stored"))
+        head.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(settle, "id long, v array<double>").write.parquet(paths[-1])
+        if first["n"] < ROUND_ROWS:
+            return paths
+        sent = _sent(spark, paths[-1])
+
+        def far(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            stored = sent.value[1].T
+            for batch in (whole.slice(at, TILE_ROWS) for whole in batches for at in range(0, whole.num_rows, TILE_ROWS)):
+                yield batch.filter(pa.array(~(_unit(pa.Table.from_batches([batch]))[1] @ stored >= least).any(axis=1)))
+
+        rest = written(rest.where(F.col("id") > F.lit(first["last"])).mapInArrow(far, rest.schema), "vectors")
+        sent.destroy()
+
+
+def _ids(spark: SparkSession, paths: list[str]) -> DataFrame:
+    return spark.read.schema("id long").parquet(*paths)
+
+
+def _sent(spark: SparkSession, path: str):
+    """A round's stored ids and rows, sent to all tasks."""
+    table = spark.read.schema("id long, v array<double>").parquet(path).toArrow()
+    ids, lists = table["id"].combine_chunks().to_numpy(), table["v"].combine_chunks()
+    return spark.sparkContext.broadcast((ids, lists.flatten().to_numpy().reshape(len(ids), -1)))
+
+
+def _unique(df: DataFrame, key: str, embedding: str) -> bool:
+    return df.where(F.col(key).isNotNull() & F.col(embedding).isNotNull()).groupBy(key).count().where("count > 1").isEmpty()
+
+
+def refused_rows(df: DataFrame, least: float, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+    """(id): the rows refused in order of ids, those at ``least`` or more to a stored earlier one. Ids that repeat are settled by the list of all pairs."""
+    if not _unique(df, key, embedding):
+        return refused(similar_pairs(df, least, key, embedding))
+    return _vectors(df, key, embedding).select("id").join(_ids(df.sparkSession, stored_rows(df, least, key, embedding)), "id", "left_anti")
+
+
+def nearest_stored(df: DataFrame, least: float, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+    """(id, kept, similarity): the refused rows, each with the nearest stored earlier one, ties to the smaller id."""
+    by = (F.max_by("a", F.struct("similarity", -F.col("a"))).alias("kept"), F.max("similarity").alias("similarity"))
+    if not _unique(df, key, embedding):
+        close = written(similar_pairs(df, least, key, embedding), "links")
+        gone = refused(close).withColumnRenamed("id", "b")
+        held = close.join(gone, "b", "left_semi").join(gone.withColumnRenamed("b", "a"), "a", "left_anti")
+        return held.groupBy(F.col("b").alias("id")).agg(*by)
+    spark, rows = df.sparkSession, written(_vectors(df, key, embedding), "vectors")
+    if rows.isEmpty():
+        return rows.select("id", F.col("id").alias("kept"), F.lit(0.0).alias("similarity"))
+    paths, path = stored_rows(rows, least, "id", "v"), scratch_path(spark, "nearest")
+    for stored in paths:
+        sent = _sent(spark, stored)
+
+        def best(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            other, vectors = sent.value
+            for batch in (whole.slice(at, TILE_ROWS) for whole in batches for at in range(0, whole.num_rows, TILE_ROWS)):
+                ids, unit = _unit(pa.Table.from_batches([batch]))
+                cosine = np.where(other[None, :] < ids[:, None], unit @ vectors.T, -np.inf)
+                at = cosine.argmax(axis=1)
+                value = cosine[np.arange(len(ids)), at]
+                near = value >= least
+                yield pa.RecordBatch.from_pydict({"b": ids[near], "a": other[at][near], "similarity": value[near]})
+
+        rows.mapInArrow(best, "b long, a long, similarity double").write.mode("append").parquet(path)
+        sent.destroy()
+    found = spark.read.schema("b long, a long, similarity double").parquet(path).join(_ids(spark, paths).withColumnRenamed("id", "b"), "b", "left_anti")
+    return found.groupBy(F.col("b").alias("id")).agg(*by)

@@ -322,10 +322,7 @@ SELECT o.n, CASE WHEN len(list_filter(o.others, lambda x: NOT list_contains(r.go
 SELECT p.id, arg_max(other, {{'s': s, 'o': -other}}) AS kept, round(max(s), 9) AS similarity FROM p JOIN g ON g.id = p.id WHERE other NOT IN (SELECT id FROM g) GROUP BY 1""")
 def store_time(t):
     """Rows refused for a stored earlier one, with the nearest such; refused rows refuse nothing."""
-    close = written(pr.similar_pairs(t.embeddings, 0.35), "links")
-    gone = pr.refused(close).withColumnRenamed("id", "b")
-    held = close.join(gone, "b", "left_semi").join(gone.withColumnRenamed("b", "a"), "a", "left_anti")
-    return held.groupBy(F.col("b").alias("id")).agg(F.max_by("a", F.struct("similarity", -F.col("a"))).alias("kept"), F.round(F.max("similarity"), 9).alias("similarity"))
+    return pr.nearest_stored(t.embeddings, 0.35).withColumn("similarity", F.round("similarity", 9))
 
 
 @query("VEC21_semantic_dedup", f"""WITH RECURSIVE h AS (SELECT e.vec_id, e.embedding, row_number() OVER (PARTITION BY sha256(d.text) ORDER BY d.doc_id) AS n FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id), u AS (SELECT vec_id, embedding FROM h WHERE n = 1),
@@ -333,8 +330,8 @@ p AS (SELECT a.vec_id AS id, b.vec_id AS other FROM u a, u b WHERE b.vec_id < a.
 SELECT vec_id AS id, CASE WHEN vec_id IN (SELECT id FROM g) THEN 'similar' ELSE 'stored' END AS outcome FROM u UNION ALL SELECT vec_id, 'same text' FROM h WHERE n > 1""")
 def semantic_dedup(t):
     both = t.embeddings.join(t.documents.select("doc_id", F.sha2("text", 256).alias("hash")), F.col("vec_id") == F.col("doc_id"))
-    both = both.withColumn("n", F.row_number().over(Window.partitionBy("hash").orderBy("doc_id")))
+    both = written(both.select("vec_id", "embedding", F.row_number().over(Window.partitionBy("hash").orderBy("doc_id")).alias("n")), "texts")
     fresh = both.where("n = 1").select("vec_id", "embedding")
-    late = pr.refused(pr.similar_pairs(fresh, 0.35)).select(F.col("id").alias("vec_id"), F.lit("similar").alias("outcome"))
+    late = pr.refused_rows(fresh, 0.35).select(F.col("id").alias("vec_id"), F.lit("similar").alias("outcome"))
     stored = fresh.join(late, "vec_id", "left").select(F.col("vec_id").alias("id"), F.coalesce("outcome", F.lit("stored")).alias("outcome"))
     return stored.unionByName(both.where("n > 1").select(F.col("vec_id").alias("id"), F.lit("same text").alias("outcome")))

@@ -307,6 +307,29 @@ def test_approximate_neighbours_reach_the_recall(spark, sf):
     assert hits >= 0.9 * 10 * len(asked)
 
 
+def test_rows_are_refused_without_a_list_of_pairs(spark, monkeypatch):
+    """Rounds of few rows give what the list of all pairs gives, and make no pairs; ids that repeat go by the list."""
+    monkeypatch.setattr(pairs, "ROUND_ROWS", 40)
+    draw = np.random.default_rng(8)
+    rows = [(int(i) * 3, v.tolist()) for i, v in zip(draw.permutation(300), draw.normal(size=(300, 4)), strict=True)] + [(4, None), (None, [1.0] * 4), (7, [0.0] * 4)]
+    for more in ([], [(0, [0.5, -1.0, 0.3, 2.0])]):
+        frame = spark.createDataFrame(rows + more, "vec_id long, embedding array<double>")
+        close = pairs.similar_pairs(frame, 0.6).cache()
+        gone = {r["id"] for r in pairs.refused(close).collect()}
+        best = {}
+        for r in close.collect():
+            if r["b"] in gone and r["a"] not in gone:
+                best[r["b"]] = max(best.get(r["b"], (-2.0, 0)), (r["similarity"], -r["a"]))
+        with monkeypatch.context() as m:
+            if not more:
+                m.setattr(pairs, "similar_pairs", None)
+            assert sorted(r["id"] for r in pairs.refused_rows(frame, 0.6).collect()) == sorted(gone)
+            found = {r["id"]: (r["similarity"], -r["kept"]) for r in pairs.nearest_stored(frame, 0.6).collect()}
+        assert found.keys() == best.keys() and all(found[k][1] == best[k][1] and abs(found[k][0] - best[k][0]) < 1e-12 for k in best)
+    none = spark.createDataFrame([], "vec_id long, embedding array<double>")
+    assert pairs.refused_rows(none, 0.6).count() == 0 and pairs.nearest_stored(none, 0.6).count() == 0
+
+
 def test_refused_rows_refuse_nothing(spark):
     draw = np.random.default_rng(6)
     links = {tuple(sorted(map(int, draw.choice(60, 2, replace=False)))) for _ in range(120)}
