@@ -2,9 +2,13 @@
 
 A segment is a table of postings in buckets by term: a row holds a term's postings of one block of documents (key,
 weighted occurrences, length) with their number, the most occurrences and the least length, so the best score that a
-document of the block can get is known without reading its list. Beside it stand the documents' lengths and the first two and three
-letters of the terms. A search reads the rows of its terms only: bounds first, then lists of the blocks with the best
-bounds, which give a score to beat, then lists of the blocks whose bound is not below it. Results are those of a scan.
+document of the block can get is known without reading its list. Rows without a term, in buckets of their own, hold the
+lengths of a block's documents; beside the postings stand the first two and three letters of the terms. A search reads
+the rows of its terms only: bounds first, then lists of the blocks with the best bounds, which give a score to beat, then
+lists of the blocks whose bound is not below it. Results are those of a scan.
+
+A block is made in the task that counts its documents' words, so that lists, not words, are shuffled, once. A merge
+shuffles lists once: superseded documents are taken out of them, and lists of small blocks are put together.
 
 Segments are never changed. A manifest names those that are live at each version; a version is one appended row group,
 so a reader sees the old segments or the new ones. A document that comes again in a later segment replaces the earlier.
@@ -17,16 +21,19 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from engramite.functions import text as tx
+from engramite.session import written
 
-#: Documents of a block, on average, and buckets of terms.
-BLOCK_DOCS, BUCKETS = 1024, 64
+#: Documents of a block at most, where it is made; buckets of terms, and of rows without one; parts that a bucket is sorted in.
+BLOCK_DOCS, BUCKETS, DOC_BUCKETS, PARTS = 4096, 64, 16, 8
 #: Documents whose words are counted at a time.
 ROWS = 100
 #: Blocks whose documents are scored to get a score to beat.
@@ -49,24 +56,43 @@ def _commit(spark: SparkSession, path: str, version: int, segments: list[tuple[s
     spark.createDataFrame(rows, "version long, segment string, number long").coalesce(1).write.mode("append").parquet(f"{path}/manifest")
 
 
-def _write(postings: DataFrame, documents: DataFrame, path: str) -> None:
-    """Postings (term, key, tf, dl) and documents (key, dl) as a segment."""
-    blocks = max(1, documents.count() // BLOCK_DOCS)
-    block = F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int")
-    made = postings.groupBy("term", block.alias("block")).agg(F.count("*").alias("n"), F.max("tf").alias("top_tf"), F.min("dl").alias("least_dl"), F.collect_list(F.struct("key", "tf", "dl")).alias("list"))
-    made = made.withColumn("bucket", _bucket(F.col("term")))
-    made.repartition("bucket").sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{path}/postings")
-    documents.write.parquet(f"{path}/documents")
-    terms = made.select("term").distinct()
-    prefix = F.explode(F.array(*[F.substring("term", 1, n) for n in (2, 3)])).alias("prefix")
-    terms.select(prefix, "term").distinct().repartition("prefix").sortWithinPartitions("prefix", "term").write.parquet(f"{path}/prefixes")
+LISTS = ("key", "tf", "dl")
+
+
+def _dealt(lists: DataFrame) -> DataFrame:
+    """Lists (term, block, key, tf, dl) in their buckets, a bucket in parts of its terms."""
+    bucket = F.when(F.col("term").isNull(), BUCKETS + F.pmod(F.xxhash64("block"), F.lit(DOC_BUCKETS))).otherwise(_bucket(F.col("term"))).cast("int")
+    part = F.pmod(F.xxhash64("term", F.lit(1)), F.lit(PARTS))
+    return lists.select("term", "block", *LISTS, bucket.alias("bucket")).repartition("bucket", part).sortWithinPartitions("bucket", "term", "block")
+
 
+def _write(dealt: DataFrame, path: str) -> None:
+    """Lists that are in their buckets and sorted there as a segment."""
+    spark = dealt.sparkSession
+    made = dealt.select("term", "block", *LISTS, F.size("key").cast("long").alias("n"), F.array_max("tf").alias("top_tf"), F.array_min("dl").alias("least_dl"), "bucket")
+    made.write.partitionBy("bucket").parquet(f"{path}/postings")
+    terms = spark.read.schema(made.schema).parquet(f"{path}/postings").where(F.col("bucket") < BUCKETS).select("term").distinct()
+    prefix = F.explode(F.array_distinct(F.array(*[F.substring("term", 1, n) for n in (2, 3)]))).alias("prefix")
+    terms.select(prefix, "term").repartition("prefix").sortWithinPartitions("prefix", "term").write.parquet(f"{path}/prefixes")
 
-def _counted(weights: list[float], schema: pa.Schema):
-    """A pass over (key, words of each field): a row for each term of a document, and one with a null term for the document."""
+
+def _blocks(weights: list[float], schema: pa.Schema, most: int):
+    """A pass over (key, words of each field): the lists of each block of documents, the one with a null term for the documents."""
+
+    def lists(held: list[pa.RecordBatch], block: int) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        term = table["term"].combine_chunks().dictionary_encode()
+        codes = term.indices.fill_null(len(term.dictionary)).to_numpy()
+        order, edges = np.argsort(codes, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(codes, minlength=len(term.dictionary) + 1))])
+        columns = [pa.array([*term.dictionary.to_pylist(), None], pa.string()), pa.array(np.full(len(edges) - 1, block), pa.int64())]
+        for name in LISTS:
+            columns.append(pa.ListArray.from_arrays(pa.array(edges, pa.int32()), table[name].combine_chunks().take(pa.array(order)), type=schema.field(name).type))
+        return pa.RecordBatch.from_arrays(columns, schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
+        flat = pa.schema([("term", pa.string()), *[(name, schema.field(name).type.value_type) for name in LISTS]])
+        held, docs, block, step = [], 0, TaskContext.get().partitionId() << 24, min(ROWS, most)
+        for batch in (whole.slice(at, step) for whole in batches for at in range(0, whole.num_rows, step)):
             keys, fields = batch.column(0).to_pylist(), [c.to_pylist() for c in batch.columns[1:]]
             out: tuple[list, list, list, list] = ([], [], [], [])
             for row, key in enumerate(keys):
@@ -77,11 +103,33 @@ def _counted(weights: list[float], schema: pa.Schema):
                 size = sum(len(words[row]) for words in fields)
                 for column, values in zip(out, ([None, *found], [key] * (len(found) + 1), [0.0, *found.values()], [size] * (len(found) + 1)), strict=True):
                     column.extend(values)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
+            held.append(pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, flat, strict=True)], schema=flat))
+            docs += len(keys)
+            if docs + step > most:
+                yield lists(held, block)
+                held, docs, block = [], 0, block + 1
+        if held:
+            yield lists(held, block)
 
     return run
 
 
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lists of one term and block that follow each other as one; those of two batches stay apart, and bounds add up."""
+    for batch in batches:
+        if batch.num_rows:
+            term = batch.column(0).dictionary_encode().indices.fill_null(-1).to_numpy()
+            block = batch.column(1).to_numpy()
+            starts = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])]))
+            columns = [c.take(pa.array(starts)) for c in batch.columns]
+            for k, name in enumerate(batch.schema.names):
+                if name in LISTS:
+                    whole = batch.column(k)
+                    edges = np.append(whole.offsets.to_numpy()[starts], whole.offsets[-1].as_py())
+                    columns[k] = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), whole.values, type=whole.type)
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+
 def add(docs: DataFrame, path: str, key: str, fields: dict[str, float], words=tx.words) -> None:
     """Add documents as a segment; the first call makes the index. Null texts have no words; of rows with one key one counts, null keys are left out."""
     spark = docs.sparkSession
@@ -89,11 +137,9 @@ def add(docs: DataFrame, path: str, key: str, fields: dict[str, float], words=tx
     if not rows.groupBy("key").count().where("count > 1").isEmpty():
         rows = rows.dropDuplicates(["key"])
     split = rows.select("key", *[words(F.col(f"t{i}")).alias(f"w{i}") for i in range(len(fields))])
-    ddl = StructType.fromDDL(f"term string, key {rows.schema['key'].dataType.simpleString()}, tf double, dl long")
+    ddl = StructType.fromDDL(f"term string, block long, key array<{rows.schema['key'].dataType.simpleString()}>, tf array<double>, dl array<int>")
     segment = f"segment-{uuid.uuid4().hex}"
-    split.mapInArrow(_counted([float(w) for w in fields.values()], to_arrow_schema(ddl)), ddl).write.parquet(f"{path}/{segment}/counts")
-    counts = spark.read.schema(ddl).parquet(f"{path}/{segment}/counts")
-    _write(counts.where("term is not null").select("term", "key", "tf", "dl"), counts.where("term is null").select("key", "dl"), f"{path}/{segment}")
+    _write(_dealt(split.mapInArrow(_blocks([float(w) for w in fields.values()], to_arrow_schema(ddl), BLOCK_DOCS), ddl)), f"{path}/{segment}")
     try:
         version, segments = _live(spark, path)
     except Exception as gone:  # no manifest yet: the index begins here
@@ -111,19 +157,39 @@ def _read(spark: SparkSession, path: str, segments: list[tuple[str, int]], table
     return out
 
 
+def _postings(spark: SparkSession, path: str, segments: list[tuple[str, int]]) -> DataFrame:
+    return _read(spark, path, segments, "postings").withColumn("list", F.arrays_zip(*LISTS))
+
+
+def _documents(spark: SparkSession, path: str, segments: list[tuple[str, int]]) -> DataFrame:
+    """(key, dl, number, block) of the documents of all segments."""
+    rows = _postings(spark, path, segments).where(F.col("bucket") >= BUCKETS)
+    return rows.select("number", "block", F.explode("list").alias("p")).select("p.key", "p.dl", "number", "block")
+
+
 def _current(spark: SparkSession, path: str, segments: list[tuple[str, int]]) -> DataFrame:
     """(key, dl, number) of the live documents: the latest segment of each key."""
-    rows = _read(spark, path, segments, "documents")
+    rows = _documents(spark, path, segments).select("key", "dl", "number")
     return rows if len(segments) == 1 else rows.groupBy("key").agg(F.max_by(F.struct("dl", "number"), "number").alias("d")).select("key", "d.*")
 
 
 def merge(spark: SparkSession, path: str) -> None:
-    """Write the live postings of all segments as one."""
+    """Write the live postings of all segments as one; blocks of fewer than ``BLOCK_DOCS`` documents are put together."""
     version, segments = _live(spark, path)
-    current = _current(spark, path, segments)
-    each = _read(spark, path, segments, "postings").select("term", "number", F.explode("list").alias("p")).select("term", "number", "p.*")
+    rows, documents = _postings(spark, path, segments), _documents(spark, path, segments)
+    last = documents.groupBy("key").agg(F.count("*").alias("n"), F.max("number").alias("last")).where("n > 1").select("key", "last")
+    dead = written(documents.join(last, "key").where("number < last").groupBy("number", "block").agg(F.collect_list("key").alias("dead")), "dead")
+    if not dead.isEmpty():
+        live = F.filter("list", lambda p: ~F.array_contains("dead", p.key))
+        rows = rows.join(dead, ["number", "block"], "left").withColumn("list", F.when(F.col("dead").isNull(), F.col("list")).otherwise(live)).where(F.size("list") > 0)
+        rows = rows.select("term", "number", "block", "bucket", "list", *[F.col(f"list.{name}").alias(name) for name in LISTS])
+    order, small = Window.orderBy("number", "block"), F.col("n") < BLOCK_DOCS  # over blocks, not rows
+    before = F.sum(F.when(small, F.col("n")).otherwise(0)).over(order) - F.col("n")
+    sizes = rows.where(F.col("bucket") >= BUCKETS).groupBy("number", "block").agg(F.sum(F.size("list")).alias("n"))
+    joined = written(sizes.select("number", "block", F.when(small, -1 - F.floor(before / BLOCK_DOCS)).otherwise(F.row_number().over(order)).cast("long").alias("new")), "blocks")
+    dealt = _dealt(rows.join(joined, ["number", "block"]).select("term", F.col("new").alias("block"), *LISTS))
     segment = f"segment-{uuid.uuid4().hex}"
-    _write(each.join(current.select("key", "number"), ["key", "number"]).select("term", "key", "tf", "dl"), current.select("key", "dl"), f"{path}/{segment}")
+    _write(dealt.mapInArrow(_together, dealt.schema).sortWithinPartitions("bucket", "term", "block"), f"{path}/{segment}")
     _commit(spark, path, version + 1, [(segment, segments[-1][1] + 1)])
 
 
@@ -140,7 +206,7 @@ def search(spark: SparkSession, path: str, terms: list[str], k: int, k1: float =
     _, segments = _live(spark, path)
     current = _current(spark, path, segments)
     size = current.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(1.0)).alias("avgdl")).first()
-    found = _read(spark, path, segments, "postings").where(F.col("bucket").isin(sorted(_buckets_of(spark, terms))) & F.col("term").isin(terms))
+    found = _postings(spark, path, segments).where(F.col("bucket").isin(sorted(_buckets_of(spark, terms))) & F.col("term").isin(terms))
     single = len(segments) == 1
     if single:
         counts = found.groupBy("term").agg(F.sum("n").alias("df"))

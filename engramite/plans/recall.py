@@ -14,6 +14,7 @@ from engramite.operators import rerank as rr
 from engramite.operators import text_index as ix
 from engramite.plans.registry import AS_OF, LEARNINGS, query
 from engramite.session import scratch_path, written
+from engramite.sources.tables import spread
 
 #: The words and the vector that stand for a query.
 WORDS, PROBE = ["thing", "ering", "tion"], 7
@@ -89,7 +90,7 @@ def weighted_bm25(t):
 @query("TXT9_index", bm_sql([f"10 * {HITS.format(w='h', q=q)} + {HITS.format(w='w', q=q)}" for q in WORDS], "len(h) + len(w)", f"SELECT doc_id, {TOKENS.format(c='text')} AS w, {TOKENS.format(c='lang || chr(32) || source')} AS h FROM documents"))
 def indexed_bm25(t):
     """By an index of two segments, merged: language and source as a title that weighs ten times as much."""
-    docs = texts(t).join(t.documents.select("doc_id", F.concat_ws(" ", "lang", "source").alias("head")), "doc_id")
+    docs = spread(t.documents.select("doc_id", F.col("text").alias("content"), F.concat_ws(" ", "lang", "source").alias("head")))
     path = scratch_path(t.spark, "index")
     early = F.col("doc_id") < t.documents.agg(F.avg("doc_id")).first()[0]
     for part in (early, ~early):

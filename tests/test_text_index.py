@@ -60,3 +60,21 @@ def test_index_gives_what_a_scan_gives(spark, tmp_path, monkeypatch):
     assert {r.term for r in text_index.terms_with(spark, path, "dgj").collect()} == {"dgjx"}
     plan = text_index._read(spark, path, after[1], "postings").where((F.col("bucket") == 3) & (F.col("term") == "aehx"))._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan and "bucket" in plan.split("PartitionFilters")[1].split("]")[0] and "EqualTo(term,aehx)" in plan
+
+
+def test_words_are_shuffled_as_lists_and_small_blocks_are_joined(spark, tmp_path, monkeypatch):
+    """A term's postings of a task's documents are one row, and merging makes one of those of small blocks."""
+    monkeypatch.setattr(text_index, "BLOCK_DOCS", 50)
+    path, fields = f"file://{tmp_path}/index", {"body": 1.0}
+    for k in range(3):
+        text_index.add(spark.createDataFrame([(20 * k + d, f"word w{d:02d}x") for d in range(20)], "id long, body string").coalesce(1), path, "id", fields)
+    _, segments = text_index._live(spark, path)
+    lists = text_index._postings(spark, path, segments).where("term = 'word'")
+    assert sorted(r["n"] for r in lists.collect()) == [20, 20, 20]
+    text_index.add(spark.createDataFrame([(5, "other w05x"), (25, None)], "id long, body string").coalesce(1), path, "id", fields)
+    text_index.merge(spark, path)
+    _, segments = text_index._live(spark, path)
+    rows = text_index._postings(spark, path, segments)
+    assert sum(r["n"] for r in rows.where("term = 'word'").collect()) == 58 and rows.where("term = 'word'").count() <= 2
+    assert sorted(r["key"] for r in text_index._current(spark, path, segments).collect()) == list(range(60))
+    assert rows.where("term is null").select("block").distinct().count() == 2
