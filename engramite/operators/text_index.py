@@ -1,9 +1,9 @@
 """A text index that stays: postings of weighted fields in blocks with bounds, segments that are added and merged.
 
 A segment is a table of postings in buckets by term: a row holds a term's postings of one block of documents (key,
-weighted occurrences, length) with their number, the most occurrences and the least length, so the best score that a
+weighted occurrences) with their number, the most occurrences and the least length, so the best score that a
 document of the block can get is known without reading its list. Rows without a term, in buckets of their own, hold the
-lengths of a block's documents; beside the postings stand the first two and three letters of the terms. A search reads
+lengths of a block's documents in place of occurrences; beside the postings stand the first two and three letters of the terms. A search reads
 the rows of its terms only: bounds first, then lists of the blocks with the best bounds, which give a score to beat, then
 lists of the blocks whose bound is not below it. Results are those of a scan.
 
@@ -56,41 +56,51 @@ def _commit(spark: SparkSession, path: str, version: int, segments: list[tuple[s
     spark.createDataFrame(rows, "version long, segment string, number long").coalesce(1).write.mode("append").parquet(f"{path}/manifest")
 
 
-LISTS = ("key", "tf", "dl")
+LISTS = ("key", "tf")
+
+
+def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each term of a batch once; files are in order of terms, so few are left twice."""
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0).unique()], schema=batch.schema)
 
 
 def _dealt(lists: DataFrame) -> DataFrame:
-    """Lists (term, block, key, tf, dl) in their buckets, a bucket in parts of its terms."""
+    """Lists (term, block, least_dl, key, tf) in their buckets, a bucket in parts of its terms."""
     bucket = F.when(F.col("term").isNull(), BUCKETS + F.pmod(F.xxhash64("block"), F.lit(DOC_BUCKETS))).otherwise(_bucket(F.col("term"))).cast("int")
     part = F.pmod(F.xxhash64("term", F.lit(1)), F.lit(PARTS))
-    return lists.select("term", "block", *LISTS, bucket.alias("bucket")).repartition("bucket", part).sortWithinPartitions("bucket", "term", "block")
+    return lists.select("term", "block", "least_dl", *LISTS, bucket.alias("bucket")).repartition("bucket", part).sortWithinPartitions("bucket", "term", "block")
 
 
 def _write(dealt: DataFrame, path: str) -> None:
     """Lists that are in their buckets and sorted there as a segment."""
     spark = dealt.sparkSession
-    made = dealt.select("term", "block", *LISTS, F.size("key").cast("long").alias("n"), F.array_max("tf").alias("top_tf"), F.array_min("dl").alias("least_dl"), "bucket")
+    made = dealt.select("term", "block", *LISTS, F.size("key").cast("long").alias("n"), F.array_max("tf").alias("top_tf"), "least_dl", "bucket")
     made.write.partitionBy("bucket").parquet(f"{path}/postings")
-    terms = spark.read.schema(made.schema).parquet(f"{path}/postings").where(F.col("bucket") < BUCKETS).select("term").distinct()
+    terms = spark.read.schema(made.schema).parquet(f"{path}/postings").where(F.col("bucket") < BUCKETS).select("term").mapInArrow(_apart, "term string")
     prefix = F.explode(F.array_distinct(F.array(*[F.substring("term", 1, n) for n in (2, 3)]))).alias("prefix")
     terms.select(prefix, "term").repartition("prefix").sortWithinPartitions("prefix", "term").write.parquet(f"{path}/prefixes")
 
 
 def _blocks(weights: list[float], schema: pa.Schema, most: int):
-    """A pass over (key, words of each field): the lists of each block of documents, the one with a null term for the documents."""
+    """A pass over (key, words of each field): the lists of each block of documents; that with a null term has the documents' lengths."""
 
     def lists(held: list[pa.RecordBatch], block: int) -> pa.RecordBatch:
         table = pa.Table.from_batches(held)
         term = table["term"].combine_chunks().dictionary_encode()
         codes = term.indices.fill_null(len(term.dictionary)).to_numpy()
         order, edges = np.argsort(codes, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(codes, minlength=len(term.dictionary) + 1))])
-        columns = [pa.array([*term.dictionary.to_pylist(), None], pa.string()), pa.array(np.full(len(edges) - 1, block), pa.int64())]
+        size = table["dl"].to_numpy()[order]
+        starts, full = edges[:-1], np.diff(edges) > 0
+        least = np.zeros(len(starts), np.int32)
+        least[full] = np.minimum.reduceat(size, starts[full])
+        columns = [pa.array([*term.dictionary.to_pylist(), None], pa.string()), pa.array(np.full(len(starts), block), pa.int64()), pa.array(least)]
         for name in LISTS:
             columns.append(pa.ListArray.from_arrays(pa.array(edges, pa.int32()), table[name].combine_chunks().take(pa.array(order)), type=schema.field(name).type))
         return pa.RecordBatch.from_arrays(columns, schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat = pa.schema([("term", pa.string()), *[(name, schema.field(name).type.value_type) for name in LISTS]])
+        flat = pa.schema([("term", pa.string()), *[(name, schema.field(name).type.value_type) for name in LISTS], ("dl", pa.int32())])
         held, docs, block, step = [], 0, TaskContext.get().partitionId() << 24, min(ROWS, most)
         for batch in (whole.slice(at, step) for whole in batches for at in range(0, whole.num_rows, step)):
             keys, fields = batch.column(0).to_pylist(), [c.to_pylist() for c in batch.columns[1:]]
@@ -101,7 +111,7 @@ def _blocks(weights: list[float], schema: pa.Schema, most: int):
                     for word, n in Counter(words[row]).items():
                         found[word] = found.get(word, 0.0) + weight * n
                 size = sum(len(words[row]) for words in fields)
-                for column, values in zip(out, ([None, *found], [key] * (len(found) + 1), [0.0, *found.values()], [size] * (len(found) + 1)), strict=True):
+                for column, values in zip(out, ([None, *found], [key] * (len(found) + 1), [float(size), *found.values()], [size] * (len(found) + 1)), strict=True):
                     column.extend(values)
             held.append(pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, flat, strict=True)], schema=flat))
             docs += len(keys)
@@ -123,7 +133,9 @@ def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             starts = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])]))
             columns = [c.take(pa.array(starts)) for c in batch.columns]
             for k, name in enumerate(batch.schema.names):
-                if name in LISTS:
+                if name == "least_dl":
+                    columns[k] = pa.array(np.minimum.reduceat(batch.column(k).to_numpy(), starts))
+                elif name in LISTS:
                     whole = batch.column(k)
                     edges = np.append(whole.offsets.to_numpy()[starts], whole.offsets[-1].as_py())
                     columns[k] = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), whole.values, type=whole.type)
@@ -137,7 +149,7 @@ def add(docs: DataFrame, path: str, key: str, fields: dict[str, float], words=tx
     if not rows.groupBy("key").count().where("count > 1").isEmpty():
         rows = rows.dropDuplicates(["key"])
     split = rows.select("key", *[words(F.col(f"t{i}")).alias(f"w{i}") for i in range(len(fields))])
-    ddl = StructType.fromDDL(f"term string, block long, key array<{rows.schema['key'].dataType.simpleString()}>, tf array<double>, dl array<int>")
+    ddl = StructType.fromDDL(f"term string, block long, least_dl int, key array<{rows.schema['key'].dataType.simpleString()}>, tf array<double>")
     segment = f"segment-{uuid.uuid4().hex}"
     _write(_dealt(split.mapInArrow(_blocks([float(w) for w in fields.values()], to_arrow_schema(ddl), BLOCK_DOCS), ddl)), f"{path}/{segment}")
     try:
@@ -164,7 +176,7 @@ def _postings(spark: SparkSession, path: str, segments: list[tuple[str, int]]) -
 def _documents(spark: SparkSession, path: str, segments: list[tuple[str, int]]) -> DataFrame:
     """(key, dl, number, block) of the documents of all segments."""
     rows = _postings(spark, path, segments).where(F.col("bucket") >= BUCKETS)
-    return rows.select("number", "block", F.explode("list").alias("p")).select("p.key", "p.dl", "number", "block")
+    return rows.select("number", "block", F.explode("list").alias("p")).select("p.key", F.col("p.tf").cast("long").alias("dl"), "number", "block")
 
 
 def _current(spark: SparkSession, path: str, segments: list[tuple[str, int]]) -> DataFrame:
@@ -182,12 +194,12 @@ def merge(spark: SparkSession, path: str) -> None:
     if not dead.isEmpty():
         live = F.filter("list", lambda p: ~F.array_contains("dead", p.key))
         rows = rows.join(dead, ["number", "block"], "left").withColumn("list", F.when(F.col("dead").isNull(), F.col("list")).otherwise(live)).where(F.size("list") > 0)
-        rows = rows.select("term", "number", "block", "bucket", "list", *[F.col(f"list.{name}").alias(name) for name in LISTS])
+        rows = rows.select("term", "number", "block", "bucket", "least_dl", "list", *[F.col(f"list.{name}").alias(name) for name in LISTS])
     order, small = Window.orderBy("number", "block"), F.col("n") < BLOCK_DOCS  # over blocks, not rows
     before = F.sum(F.when(small, F.col("n")).otherwise(0)).over(order) - F.col("n")
     sizes = rows.where(F.col("bucket") >= BUCKETS).groupBy("number", "block").agg(F.sum(F.size("list")).alias("n"))
     joined = written(sizes.select("number", "block", F.when(small, -1 - F.floor(before / BLOCK_DOCS)).otherwise(F.row_number().over(order)).cast("long").alias("new")), "blocks")
-    dealt = _dealt(rows.join(joined, ["number", "block"]).select("term", F.col("new").alias("block"), *LISTS))
+    dealt = _dealt(rows.join(joined, ["number", "block"]).select("term", F.col("new").alias("block"), "least_dl", *LISTS))
     segment = f"segment-{uuid.uuid4().hex}"
     _write(dealt.mapInArrow(_together, dealt.schema).sortWithinPartitions("bucket", "term", "block"), f"{path}/{segment}")
     _commit(spark, path, version + 1, [(segment, segments[-1][1] + 1)])
@@ -226,8 +238,8 @@ def search(spark: SparkSession, path: str, terms: list[str], k: int, k1: float =
 
     def scored(blocks: DataFrame) -> DataFrame:
         each = found.join(F.broadcast(blocks.select("number", "block")), ["number", "block"]).select("term", "number", F.explode("list").alias("p"))
-        each = each.select("term", "number", "p.key", impact(F.col("p.tf"), F.col("p.dl")).alias("score"))
-        each = each if single else each.join(current.select("key", "number"), ["key", "number"])
+        each = each.select("term", "number", "p.key", "p.tf").join(current, ["key", "number"])
+        each = each.select("key", impact(F.col("tf"), F.col("dl")).alias("score"))
         return each.groupBy("key").agg(F.sum("score").alias("score")).orderBy(F.desc("score"), "key").limit(k)
 
     best = scored(bounds.orderBy(F.desc("bound"), "number", "block").limit(first)).agg(F.count("*").alias("n"), F.min("score").alias("least")).first()
