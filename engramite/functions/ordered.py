@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from engramite.session import written
@@ -31,6 +31,17 @@ def greatest_before(df: DataFrame, keys: list[str], value: str, name: str = "bef
     return placed.withColumn("__inside", inside).join(F.broadcast(over), "__range").withColumn(name, F.greatest("__over", "__inside")).drop("__range", "__over", "__inside")
 
 
+def sums_in_groups(df: DataFrame, by: list[str], keys: list[str], sums: dict[str, Column]) -> DataFrame:
+    """``df`` with running sums of whole numbers in each group, in the order of keys that no two of its rows share, this row included; over ranges as ``running_totals``, so a group can be as large as it likes. Groups and keys are not null."""
+    placed = written(df.repartitionByRange(*by, *keys).withColumn("__range", F.spark_partition_id()), "ranges")
+    parts = placed.groupBy(*by, "__range").agg(*[F.sum(c).alias(name) for name, c in sums.items()])
+    sooner = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    before = parts.select(*by, "__range", *[F.coalesce(F.sum(name).over(sooner), F.lit(0)).alias(f"__{name}") for name in sums])
+    inside = Window.partitionBy("__range", *by).orderBy(*keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = placed.withColumns({name: F.sum(c).over(inside) for name, c in sums.items()}).join(before, [*by, "__range"])
+    return summed.withColumns({name: F.col(name) + F.col(f"__{name}") for name in sums}).drop("__range", *[f"__{name}" for name in sums])
+
+
 def same_keys(one: DataFrame, other: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """A join on keys that may be null; the keys of the first frame stay."""
     other = other.withColumnsRenamed({k: f"__{k}" for k in keys})

@@ -28,13 +28,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import BooleanType, IntegerType, LongType, StringType, StructType
 
+from engramite.functions import ordered
 from engramite.operators import lineage_tasks as tasks
 from engramite.session import written
 
 #: Forks whose branch ids are chained in one round.
 CHAIN = 16
-#: Endpoints of one tool id that are correlated at most, as surveyed; more are reported as oversize.
+#: Endpoints of one tool id beyond which the surveyed code gives up; here a bound for those who ask for it.
 MOST_ENDPOINTS = 128
+#: Endpoints of one tool id in a session that are summed in one task; larger groups are summed over ranges.
+GROUP_ROWS = 50_000
 
 
 def _find(rows: DataFrame, pointer: str, there: DataFrame, names: dict[str, str], how: str = "inner") -> DataFrame:
@@ -236,22 +239,23 @@ def counts(annotated: DataFrame, session: str, uuid: str) -> DataFrame:
     )
 
 
-def correlate(endpoints: DataFrame, session: str, tool_id: str, is_use: Column, order: str, at: str | None = None, most: int | None = MOST_ENDPOINTS) -> DataFrame:
+def correlate(endpoints: DataFrame, session: str, tool_id: str, is_use: Column, order: str, at: str | None = None, most: int | None = None, most_rows: int = GROUP_ROWS) -> DataFrame:
     """Tool uses and results with their partner: ``partner`` (the other's ``order``), ``duplicate_id``, ``ambiguous_id``, ``oversize_id``, ``candidates``, ``negative``.
 
     ``endpoints`` are annotated events (``enter``, ``exit``, ``status``) with a whole number ``order`` of their own in
     the session. A use and a result of one id can belong together if the use's record is the result's or above it. They
     are partners if the use has no other such result and the result no other such use. ``ambiguous_id`` tells of an id
-    of which some endpoint has several candidates, ``duplicate_id`` of one used or answered twice. Ids with more than
-    ``most`` endpoints in a session are not matched but reported (None lifts the bound). ``negative`` marks partners
-    whose result's time (``at``) is before the use's. Null ids stay, without a partner.
+    of which some endpoint has several candidates, ``duplicate_id`` of one used or answered twice. All are matched; only
+    if ``most`` is given (``MOST_ENDPOINTS``, as surveyed), ids with more endpoints in a session are not, and are
+    reported as ``oversize_id``. ``negative`` marks partners whose result's time (``at``) is before the use's. Null ids
+    stay, without a partner.
 
     No pairs are made. Along a group's intervals, running sums of the uses that are open tell how many a result is
     under, and, if it is one, which one; the results counted between a use's enter and exit tell the same of the use.
+    Groups of more than ``most_rows`` endpoints are summed over ranges, in many tasks.
     """
     own = ["partner", "candidates", "duplicate_id", "ambiguous_id", "oversize_id", "negative"]
     base = endpoints.drop(*own).withColumn("use", F.coalesce(is_use, F.lit(False)))
-    by_id = Window.partitionBy(session, tool_id)
     named = base.where(F.col(tool_id).isNotNull() & F.col(session).isNotNull())
     sizes = named.groupBy(session, tool_id).agg(F.count_if("use").alias("uses"), F.count_if(~F.col("use")).alias("results"))
     sizes = sizes.withColumn("oversize_id", F.lit(False) if most is None else (F.col("uses") > 0) & (F.col("results") > 0) & (F.col("uses") + F.col("results") > most))
@@ -260,13 +264,17 @@ def correlate(endpoints: DataFrame, session: str, tool_id: str, is_use: Column,
     mark = lambda pos, rank: F.struct(F.col(pos).alias("pos"), F.lit(rank).alias("rank"))
     steps = F.when(F.col("use"), F.array(mark("enter", 1), mark("exit", 0))).otherwise(F.array(mark("enter", 2)))
     walk = placed.withColumn("step", F.explode(steps)).select(session, tool_id, "use", "no", "step.pos", "step.rank")
-    along = by_id.orderBy("pos", "rank", "no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sign = F.when(F.col("rank") == 1, 1).when(F.col("rank") == 0, -1).otherwise(0)
     result = F.when(F.col("rank") == 2, 1).otherwise(0)
-    summed = walk.select(
-        session, tool_id, "use", "no", "rank", F.sum(sign).over(along).alias("open"), F.sum(sign * F.col("no")).over(along).alias("open_no"),
-        F.sum(result).over(along).alias("met"), F.sum(result * F.col("no")).over(along).alias("met_no"),
-    )
+    sums = {"open": sign, "open_no": sign * F.col("no"), "met": result, "met_no": result * F.col("no")}
+    along = Window.partitionBy(session, tool_id).orderBy("pos", "rank", "no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    told = lambda rows: rows.withColumns({name: F.sum(c).over(along) for name, c in sums.items()})
+    large = sizes.where(~F.col("oversize_id") & (F.col("uses") + F.col("results") > most_rows)).select(session, tool_id)
+    if large.isEmpty():
+        summed = told(walk)
+    else:
+        by_ranges = ordered.sums_in_groups(walk.join(large, [session, tool_id], "left_semi"), [session, tool_id], ["pos", "rank", "no"], sums)
+        summed = told(walk.join(large, [session, tool_id], "left_anti")).unionByName(by_ranges)
     side = F.when(F.col("rank") == 0, 1).when(F.col("rank") == 1, -1).otherwise(0)
     single = summed.groupBy(session, tool_id, "use", "no").agg(
         F.when(F.col("use"), F.sum(side * F.col("met"))).otherwise(F.max("open")).alias("candidates"), F.when(F.col("use"), F.sum(side * F.col("met_no"))).otherwise(F.max("open_no")).alias("other")

@@ -3,10 +3,18 @@
 import hashlib
 import random
 from collections import Counter, defaultdict
+from datetime import datetime, timedelta
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from engramite.operators import lineage
+from engramite.plans import library
+from engramite.plans import lineage as plans
+from engramite.plans.registry import Tables
+from engramite.session import written
+from tests.test_oracles import rows as plain_rows
 
 SCHEMA = "session string, id string, up string, line long, turn boolean, side boolean, extra string, depth string"
 
@@ -194,3 +202,32 @@ def test_lineages_correlation_and_windows(spark, monkeypatch):
 def test_no_records(spark):
     none = lineage.annotate(spark.createDataFrame([], SCHEMA), "session", "id", "up", "line", F.col("turn"), F.col("side"))
     assert none.count() == 0 and lineage.counts(none, "session", "id").count() == 0
+
+
+@pytest.fixture(scope="module")
+def busy(spark, tmp_path_factory):
+    """Events of long sessions, whose tool ids have some 250 endpoints each."""
+    draw = random.Random(9)
+    kinds = ["view", "click", "error", "purchase", "signup"]
+    rows = [(n, datetime(2024, 1, 1) + timedelta(minutes=draw.randint(0, 9000)), n % 3, draw.choice(kinds), f'{{"k": {draw.randint(0, 39)}}}') for n in range(3600)]
+    folder = tmp_path_factory.mktemp("busy")
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, props string").repartition(3).write.parquet(f"{folder}/events.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["JOI17_tool_events"])
+def test_tool_ids_with_many_endpoints_are_matched(spark, busy, name):
+    con = duckdb.connect()
+    con.sql(f"create view events as select * from '{busy}/events.parquet/*.parquet'")
+    most = con.sql("select max(n) from (select count(*) as n from events where event_type <> 'signup' group by user_id, cast(json_extract(props, '$.k') as integer) // 12)").fetchall()[0][0]
+    assert most > lineage.MOST_ENDPOINTS
+    assert plain_rows(library.QUERIES[name](spark, busy).toPandas()) == plain_rows(con.sql(library.ORACLES[name]).df())
+
+
+def test_large_groups_are_summed_over_ranges(spark, busy):
+    tool = F.when(F.col("event_type") != "signup", F.expr("k div 12"))
+    rows = written(plans.annotated(Tables(spark, busy)).withColumn("tool", tool))
+    use = F.col("event_type").isin("view", "click")
+    # no group, some and all groups over ranges
+    found = [sorted(map(tuple, lineage.correlate(rows, "user_id", "tool", use, "line", "ts", most_rows=most).collect()), key=repr) for most in (lineage.GROUP_ROWS, 200, 0)]
+    assert found[0] == found[1] == found[2] and sum(r[-6] is not None for r in found[0]) > 100
