@@ -215,7 +215,7 @@ def busy(spark, tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["JOI17_tool_events"])
+@pytest.mark.parametrize("name", ["JOI17_tool_events", "JOI17_correlation_counts"])
 def test_tool_ids_with_many_endpoints_are_matched(spark, busy, name):
     con = duckdb.connect()
     con.sql(f"create view events as select * from '{busy}/events.parquet/*.parquet'")
